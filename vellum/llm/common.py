@@ -38,9 +38,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}", {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, group_mb: int = 128) -> DataFrame:
+        """``group_mb``: of a row group; small where rows are large, as readers hold a group at a time."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_mb << 20).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

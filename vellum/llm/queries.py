@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, token_output, url_filter
+from vellum.llm import chat_format, decontaminate, exact_dedup, hmm_lm, language_id, mixing, ngram_join, substring_dedup, token_output, url_filter
 from vellum.llm.common import scratch_root
 
 
@@ -20,10 +20,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op4_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return hmm_lm.score(docs.withColumn("held_out", language_id.held_out(F.col("doc_id"), 7, 2)))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +58,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -62,8 +75,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (
-        op1_exact_dedup, op3_chat_format, op5_language_id, op6_url_filter, op7_mixing, op8_decontaminate, op10_token_output)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
+        op1_exact_dedup, op2_ngram_join, op3_chat_format, op4_hmm_score, op5_language_id, op6_url_filter, op7_mixing,
+        op8_decontaminate, op9_substring_dedup, op10_token_output)}
 
 
 _URL_SQL = r"""
