@@ -20,6 +20,11 @@ WORD = r"(?U)\S+"
 TITLE_WORDS, TITLE_CHARS, TITLE_STOPS = 12, 80, ".:;"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     """Tokens of the word tokenizer: runs of non-space, Unicode white space included."""
     return F.regexp_count(text, F.lit(WORD)).cast("int")
@@ -82,10 +87,14 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words, each starting ``size - overlap`` after the last; the tail once."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below the window size")
-    w, step = words(text), size - overlap
-    last = F.greatest(F.size(w) - F.lit(overlap) - 1, F.lit(0))
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), last - last % step, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
+    step = size - overlap
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.size(w) - F.lit(overlap) - 1, F.lit(0))
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), last - last % step, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
+
+    return let(words(text), cut)
 
 
 def normalize_spaces(text: Column) -> Column:

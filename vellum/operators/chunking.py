@@ -65,6 +65,10 @@ def _trim_end(x: str) -> str:
     return f"regexp_replace({x}, '\\\\s+$', '')"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\\\s+|\\\\s+$', '')"
+
+
 def _sentence_units(block: str, base: str) -> str:
     parts = _quoted(r"(?s)(.*?)(" + T.SENTENCE_BREAK + r"|\z)")
     unit = f"""cast(struct(
@@ -85,13 +89,13 @@ def _table_units(block: str, base: str, most: int) -> str:
         a.at + length(l) + 1 as at, a.seen or ({rule}) as seen,
         if(not a.seen and (({row}) or ({rule})), a.at + length(l) + 1, a.head) as head,
         if(not a.seen and (({row}) or ({rule})), concat_ws('\\n', nullif(a.header, ''), l), a.header) as header,
-        if(a.seen and ({row}), concat(a.rows, array(struct(a.at as s, a.at + length(l) + 1 as e, trim(l) as t))), a.rows) as rows) as {state})"""
+        if(a.seen and ({row}), concat(a.rows, array(struct(a.at as s, a.at + length(l) + 1 as e, {_strip('l')} as t))), a.rows) as rows) as {state})"""
     read = f"aggregate(split({block}, '\\n'), cast(struct({base} as at, false as seen, {base} as head, '' as header, array() as rows) as {state}), (a, l) -> {step})"
-    shown = f"trim(substring({block}, 1, q.head - {base}))"
+    shown = _strip(f"substring({block}, 1, q.head - {base})")
     unit = f"""cast(struct(
         {base} as s, element_at(g.rows, -1).e as e, g.tok as tok, 'table_group' as kind,
-        concat(array(struct({base}, q.head)), transform(g.rows, r -> struct(r.s, least(r.e, {base} + length({block}))))) as spans,
-        trim(q.header) as header, concat({shown}, '\\n', array_join(transform(g.rows, r -> r.t), '\\n')) as rendered, array() as sents) as {UNIT})"""
+        concat(array(cast(struct({base}, q.head) as {SPAN})), transform(g.rows, r -> cast(struct(r.s, least(r.e, {base} + length({block}))) as {SPAN}))) as spans,
+        {_strip('q.header')} as header, concat({shown}, '\\n', array_join(transform(g.rows, r -> r.t), '\\n')) as rendered, array() as sents) as {UNIT})"""
     group = f"struct<rows:{rows},tok:int,out:array<{UNIT}>>"
     add = f"""if(size(g.rows) > 0 and g.tok + {_tokens("r.t")} > {most},
         cast(struct(array(r) as rows, {_tokens(shown)} + {_tokens("r.t")} as tok, concat(g.out, array({unit})) as out) as {group}),
@@ -130,9 +134,9 @@ def pieces(config: ChunkConfig) -> Column:
 
     table = f"cast(struct(u.spans as spans, u.kind as kind, u.tok as tok, u.header as header, u.rendered as rendered, 0 as overlap, 0 as part, false as cut) as {PIECE})"
     w = "regexp_extract_all(substring(body, u.s - body_start + 1, u.e - u.s), '(?U)\\\\S+\\\\s*', 0)"
-    slices = f"""transform(sequence(0, cast(ceil(u.tok / {most}) as int) - 1), i -> cast(struct(
-        array(struct(u.s + length(array_join(slice({w}, 1, i * {most}), '')), u.s + length(array_join(slice({w}, 1, (i + 1) * {most}), '')))) as spans,
-        'slice' as kind, least({most}, u.tok - i * {most}) as tok, null as header, null as rendered, 0 as overlap, i as part, false as cut) as {PIECE}))"""
+    slices = f"""transform(array({w}), w -> transform(sequence(0, cast(ceil(u.tok / {most}) as int) - 1), i -> cast(struct(
+        array(struct(u.s + length(array_join(slice(w, 1, i * {most}), '')), u.s + length(array_join(slice(w, 1, (i + 1) * {most}), '')))) as spans,
+        'slice' as kind, least({most}, u.tok - i * {most}) as tok, null as header, null as rendered, 0 as overlap, i as part, false as cut) as {PIECE})))[0]"""
     empty = f"cast(array() as array<{UNIT}>)"
     alone = f"cast(struct({empty} as cur, 0 as tok, 0 as overlap, concat({flushed('false')}, x) as out) as {state})"
     append = f"cast(struct(concat(a.cur, array(u)) as cur, a.tok + u.tok as tok, a.overlap as overlap, a.out as out) as {state})"
@@ -217,8 +221,8 @@ def rerank_windows(chunks: DataFrame, question: str, config: ChunkConfig | None
     parts = F.regexp_extract_all("text", F.lit(r"(?s)(.*?)(" + T.SENTENCE_BREAK + r"|\z)"), F.lit(0))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\S+\s*"), F.lit(0))
     rows = rows.withColumn("s", F.filter(parts, lambda x: x != "")).withColumn("w", words).withColumn("b", F.col("budget"))
-    cut = F.expr("""flatten(transform(s, x -> transform(sequence(0, greatest(cast(ceil(regexp_count(x, '(?U)\\\\S+') / b) as int) - 1, 0)),
-        i -> if(regexp_count(x, '(?U)\\\\S+') <= b, x, array_join(slice(regexp_extract_all(x, '(?U)\\\\S+\\\\s*', 0), i * b + 1, b), '')))))""")
+    cut = F.expr("""flatten(transform(s, x -> transform(array(regexp_extract_all(x, '(?U)\\\\S+\\\\s*', 0)), w ->
+        if(size(w) <= b, array(x), transform(sequence(0, cast(ceil(size(w) / b) as int) - 1), i -> array_join(slice(w, i * b + 1, b), ''))))[0]))""")
     packed = F.expr("""aggregate(cut, cast(struct(0 as tok, array() as out) as struct<tok:int,out:array<string>>), (a, x) ->
         if(size(a.out) > 0 and a.tok + regexp_count(x, '(?U)\\\\S+') <= b,
            cast(struct(a.tok + regexp_count(x, '(?U)\\\\S+') as tok, concat(slice(a.out, 1, size(a.out) - 1), array(concat(element_at(a.out, -1), x))) as out) as struct<tok:int,out:array<string>>),

@@ -77,20 +77,20 @@ _LINES = r"""
 WITH t AS (
   SELECT doc_id, 'Manual ' || doc_id || chr(10) || '1. Purpose' || chr(10) || text || chr(10) || '2.1 Review Steps' || chr(10) || '2.5 kg is a limit, not a title.' || chr(10)
     || 'see it' || chr(10) || 'Section 3 – Limits' || chr(10) || '# Notes' || chr(10) || 'Keep the ' || source || ' file.' || chr(10) || '4. this is no heading' || chr(10) AS text FROM documents),
-l AS (SELECT doc_id, text, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS at
+l AS (SELECT doc_id, text, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS pos
       FROM (SELECT doc_id, text, s, unnest(generate_series(1, len(s))) AS i, s[i] AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM t))),
 m AS (SELECT *, regexp_extract(line, '^(#{1,6})\s+(\S.*?)\s*$', 2) AS md, regexp_extract(line, '^Section\s+(\d+)\s+[–—-]\s+(\S.*?)\s*$', 1) AS sn,
         regexp_extract(line, '^Section\s+(\d+)\s+[–—-]\s+(\S.*?)\s*$', 2) AS st,
         regexp_extract(line, '^(\d+(?:\.\d+)*)\.\s+(\S.*?)\s*$', 1) AS dn, regexp_extract(line, '^(\d+(?:\.\d+)*)\.\s+(\S.*?)\s*$', 2) AS dt,
         regexp_extract(line, '^(\d+\.\d+(?:\.\d+)*)\s+(\S.*?)\s*$', 1) AS bn, regexp_extract(line, '^(\d+\.\d+(?:\.\d+)*)\s+(\S.*?)\s*$', 2) AS bt FROM l),
-h AS (SELECT doc_id, text, at, line, CASE WHEN md <> '' THEN md WHEN st <> '' THEN 'Section ' || sn || ' ' || st
+h AS (SELECT doc_id, text, pos, line, CASE WHEN md <> '' THEN md WHEN st <> '' THEN 'Section ' || sn || ' ' || st
         WHEN dt <> '' AND {dt} THEN dn || ' ' || dt WHEN bt <> '' AND {bt} THEN bn || ' ' || bt END AS heading FROM m)
 """.replace("{dt}", "{title_dt}").replace("{bt}", "{title_bt}")
 _TITLE = r"""(len(regexp_extract_all({x}, '\S+')) BETWEEN 1 AND 12 AND length({x}) <= 80 AND right({x}, 1) NOT IN ('.', ':', ';') AND regexp_matches({x}, '^\p{Lu}'))"""
 _LINES = _LINES.replace("{title_dt}", _TITLE.replace("{x}", "dt")).replace("{title_bt}", _TITLE.replace("{x}", "bt"))
 
 
-@query(_LINES + "SELECT doc_id::VARCHAR AS document_version_id, at::BIGINT AS at, heading FROM h WHERE heading IS NOT NULL")
+@query(_LINES + "SELECT doc_id::VARCHAR AS document_version_id, pos::BIGINT AS \"at\", heading FROM h WHERE heading IS NOT NULL")
 def heading_detect(spark, sf):
     lines = structured(table(spark, sf, "documents")).select("document_version_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     before = Window.partitionBy("document_version_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,9 +99,9 @@ def heading_detect(spark, sf):
 
 
 _BODIES = _LINES + """,
-b AS (SELECT doc_id, text, at, heading, at + length(line) + 1 AS body, coalesce(lead(at) OVER (PARTITION BY doc_id ORDER BY at), length(text)) AS stop FROM h WHERE heading IS NOT NULL),
-s AS (SELECT doc_id, 0 AS section_ordinal, 'Manual ' || doc_id AS heading, 0 AS body_start, (SELECT min(at) FROM b WHERE b.doc_id = t.doc_id) AS body_end, 'internal' AS access_policy_id, text FROM t
-      UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at), heading, body, stop, CASE heading WHEN '2.1 Review Steps' THEN 'restricted' ELSE 'internal' END, text FROM b)
+b AS (SELECT doc_id, text, pos, heading, pos + length(line) + 1 AS body, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) AS stop FROM h WHERE heading IS NOT NULL),
+s AS (SELECT doc_id, 0 AS section_ordinal, 'Manual ' || doc_id AS heading, 0 AS body_start, (SELECT min(pos) FROM b WHERE b.doc_id = t.doc_id) AS body_end, 'internal' AS access_policy_id, text FROM t
+      UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos), heading, body, stop, CASE heading WHEN '2.1 Review Steps' THEN 'restricted' ELSE 'internal' END, text FROM b)
 """
 
 
@@ -122,9 +122,10 @@ def title_predicate(spark, sf):
     return docs.withColumn("is_title", T.is_title(F.col("line")))
 
 
-def _packed_sql(target: str, source: str) -> str:
+def _packed_sql(target: str, source: str, most: str = "1000000000") -> str:
     return rf"""
-WITH RECURSIVE s AS (SELECT doc_id, i, len(regexp_extract_all(s[i], '\S+')) AS tok FROM ({source}), unnest(generate_series(1, len(s))) AS g(i)),
+WITH RECURSIVE w AS (SELECT doc_id, i, len(regexp_extract_all(s[i], '\S+')) AS tok FROM ({source}), unnest(generate_series(1, len(s))) AS g(i)),
+s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS i, least(tok - {most} * j, {most}) AS tok FROM w, unnest(generate_series(0, (tok - 1) // {most})) AS g(j)),
 p AS (
   SELECT doc_id, i, 0 AS grp, tok AS total, tok FROM s WHERE i = 1
   UNION ALL
@@ -222,7 +223,7 @@ def table_row_groups(spark, sf):
     return out.select("document_version_id", F.col("chunk_ordinal").cast("long").alias("chunk_ordinal"), "table_header", "text")
 
 
-@query(_packed_sql("500", f"SELECT doc_id, {_SENT} AS s FROM documents") + "SELECT doc_id, grp AS window, sum(tok)::BIGINT AS tokens FROM p GROUP BY 1, 2")
+@query(_packed_sql("500", f"SELECT doc_id, {_SENT} AS s FROM documents", "500") + "SELECT doc_id, grp AS window, sum(tok)::BIGINT AS tokens FROM p GROUP BY 1, 2")
 def rerank_windows(spark, sf):
     """Windows beside a 5-word question and 4-word title: 512 - 3 - 9 tokens each."""
     chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("Policy of baggage").alias("document_title"), F.lit("Limits").alias("heading_path"), "text")
@@ -730,9 +731,11 @@ def benchmark_contamination(spark, sf):
     """Evaluation text must not be in the corpus: shared runs of eight words, by an equi-join on the runs."""
 
     def runs(df: DataFrame, key: str) -> DataFrame:
-        w = T.words(F.lower("text"))
-        at = F.when(F.size(w) >= 8, F.sequence(F.lit(1), F.size(w) - 7)).otherwise(F.array().cast("array<int>"))
-        return df.select(key, F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(8)), " ")))).alias("s"))
+        def cut(w: Column) -> Column:
+            at = F.when(F.size(w) >= 8, F.sequence(F.lit(1), F.size(w) - 7)).otherwise(F.array().cast("array<int>"))
+            return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(8)), " ")))
+
+        return df.select(key, F.explode(T.let(T.words(F.lower("text")), cut)).alias("s"))
 
     both = runs(table(spark, sf, "documents"), "doc_id").join(runs(table(spark, sf, "benchmark"), "item_id"), "s")
     return both.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
@@ -772,3 +775,23 @@ def diagnose(spark, sf):
     both = clean.join(stale, "doc_id", "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
     found = F.when(~F.col("clean"), "not in the input").when(~F.col("dirty"), "lost by the stale snapshot").otherwise("retrieved in both")
     return both.select("doc_id", found.alias("diagnosis"))
+
+
+@query()
+def incremental_ingest_stream(spark, sf):
+    """A stream over the event files, merged batch by batch into generations: each user's last event."""
+    import tempfile
+    import uuid
+
+    from vellum.streaming.ingest import latest_by_user
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    work = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    return latest_by_user(spark, f"{sf}/event[s].parquet", table(spark, sf, "events").schema, work)
+
+
+@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def activity_by_day(spark, sf):
+    from vellum.streaming.ingest import activity_windows
+
+    return activity_windows(table(spark, sf, "events")).select(F.col("window.start").alias("day"), "event_type", "n")
