@@ -794,4 +794,4 @@ def incremental_ingest_stream(spark, sf):
 def activity_by_day(spark, sf):
     from vellum.streaming.ingest import activity_windows
 
-    return activity_windows(table(spark, sf, "events")).select(F.col("window.start").alias("day"), "event_type", "n")
+    return activity_windows(table(spark, sf, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")

@@ -31,4 +31,4 @@ def latest_by_user(spark: SparkSession, events_path: str, schema, work: str) ->
 
 def activity_windows(events: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts by type and window with a watermark, for streams and tables alike."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
