@@ -45,6 +45,13 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes a result that is small beside what it was made from, and drops all else."""
+        others = list(self.paths)
+        out = self.write(df, "result")
+        self.drop(*others)
+        return out
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from vellum.llm.common import pack_ints, pack_sorted, shuffle_width, squeeze, unpack_ints, unpack_sorted, unsqueeze
 
 BITS = 44  # of an item's 64-bit hash
-BYTES = 1 << 24
-SHIFT = BITS - 27
+BYTES = 1 << 25
+SHIFT = BITS - 28
 _FLUSH = 2_000_000
 _SCHEMA = "part int, items binary, counts binary"
 
