@@ -56,6 +56,12 @@ class Shared:
     def __init__(self, bits: np.ndarray, heavy: np.ndarray, counts: np.ndarray):
         self.bits, self.heavy, self.counts = bits, heavy, counts
 
+    def __getstate__(self) -> tuple:
+        return squeeze(self.bits.tobytes()), self.heavy, self.counts
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.heavy, self.counts = np.frombuffer(unsqueeze(state[0]), np.uint8), *state[1:]
+
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         bit = (hashes >> np.uint64(64 - BITS + SHIFT)).astype(np.int64)
         return ((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)

@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes covered by a ``LENGTH``-byte string that also starts in a document with a smaller id.
 
-Where to look: every string of LENGTH bytes has an anchor, its 16-byte gram of the smallest hash, so
-equal strings have equal anchors.  The strings of one anchor occurrence are consecutive; together
-they are its context.  Only anchors that occur in two documents are kept.
+Where to look: every string of LENGTH bytes has an anchor, its 12-byte gram of the smallest hash, so
+equal strings have equal anchors at equal places.  The strings of one anchor occurrence are
+consecutive; together they are its context.  Equal strings also share the anchor with the 19 bytes
+before it, or with the 19 after it; only occurrences with one of these in two documents are kept.
 
 What is equal: contexts equal as a whole are settled by counting (the smallest id of each distinct
 context).  Where an anchor has several distinct contexts, a Burrows-Wheeler transform of these
@@ -13,7 +14,10 @@ so a passage that a third of all documents have is one context an anchor; anchor
 ``hot`` distinct contexts (the ends of such a passage) are counted string by string instead, by a
 pre-aggregated group on the string itself.
 
-Keys: an anchor and a context are known by 64 hash bits each, together 128 bits.
+The bytes of a context are fetched for its first occurrence only, and only documents that lose bytes
+are joined with their cuts; both by bounded bitmaps that may let others through, never the reverse.
+
+Keys: a context is known by 64 hash bits of its own and 32 of its anchor.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows and equal
 doc_ids never remove each other's bytes; a null doc_id counts as larger than any other; an empty
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import MULT, Scratch, mix, pieces, shuffle_width, signed, utf8
 from vellum.llm.hashbits import Shared, shared
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 12
+SIDE = (LENGTH - GRAM + 1) // 2  # one side of the anchor has as many bytes of the string
 SPAN = LENGTH - GRAM + 1  # grams in a string; at most as many strings have one anchor occurrence
 
 
@@ -46,14 +51,14 @@ class Anchors:
         self.begin = np.cumsum(size) - size
         if n < LENGTH:
             self.doc = self.lo = self.hi = np.empty(0, np.int64)
-            self.anchor = np.empty(0, np.uint64)
+            self.anchor, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
             return
         word = np.empty(n + 56, np.uint64)  # the eight bytes from each place on
         for j in range(8):
             part = word[j::8]
             part[:] = np.frombuffer(self.buffer, "<u8", len(part), j)
         self.word = word
-        gram = mix((word[:n] * MULT[2]) ^ (word[8 : n + 8] * MULT[3]))
+        gram = mix((word[:n] * MULT[2]) ^ (word[GRAM - 8 : n + GRAM - 8] * MULT[3]))
         low = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
         width = 1
         while width * 2 <= SPAN:
@@ -71,17 +76,33 @@ class Anchors:
         last = np.append(first[1:], len(at)) - 1
         real = inside[first]
         self.lo, self.hi = first[real], last[real]
-        self.anchor = gram[at[self.lo]]
+        self.at = at[self.lo]
+        self.anchor = gram[self.at]
         self.doc = np.searchsorted(self.begin, self.lo, "right") - 1
 
     def keep(self, mask: np.ndarray) -> None:
-        self.doc, self.lo, self.hi, self.anchor = self.doc[mask], self.lo[mask], self.hi[mask], self.anchor[mask]
+        for name in ("doc", "lo", "hi", "anchor", "at"):
+            setattr(self, name, getattr(self, name)[mask])
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each anchor with the SIDE bytes before it, and with those after it (beyond a text's ends: of whatever stands there)."""
+        out = []
+        for k, places in enumerate(((-SIDE, 8 - SIDE, 16 - SIDE, GRAM - 8), (0, 8, 16, GRAM + SIDE - 8))):
+            h = np.full(len(self.at), k + 1, np.uint64)
+            for j, off in enumerate(places):
+                h = (h ^ self.word[np.maximum(self.at + off, 0)]) * MULT[(j + 2 * k) % 8]
+                h ^= h >> np.uint64(32)
+            out.append(mix(h))
+        return out[0], out[1]
 
     def distinct(self) -> np.ndarray:
-        """Anchors, each once a document."""
-        order = np.lexsort((self.doc, self.anchor))
-        a, d = self.anchor[order], self.doc[order]
-        return a[np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])))] if len(a) else a
+        """Hashes of sides, each once a document."""
+        if not len(self.at):
+            return np.empty(0, np.uint64)
+        keys, doc = np.concatenate(self.sides()), np.concatenate((self.doc, self.doc))
+        order = np.lexsort((doc, keys))
+        a, d = keys[order], doc[order]
+        return a[np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])))]
 
     def contexts(self) -> np.ndarray:
         """A hash of each occurrence's context, by its first and last string, which cover it."""
@@ -96,14 +117,27 @@ class Anchors:
         return mix(string(self.lo, 0) * MULT[1] + string(self.hi, 3) * MULT[4] + (self.hi - self.lo).astype(np.uint64) * MULT[5])
 
 
-def _found(texts: list[bytes], bits: Shared | None):
+def _found(texts: list[bytes], bits: Shared | None = None):
     for i, j in pieces(texts, 1 << 20):
         found = Anchors(texts[i:j])
         if bits is not None and len(found.lo):
-            found.keep(bits.maybe(found.anchor))
+            left, right = found.sides()
+            found.keep(bits.maybe(left) | bits.maybe(right))
         yield i, found
 
 
+def _key(*columns: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for j, c in enumerate(columns):
+        h = (h ^ c.astype(np.int64).view(np.uint64)) * MULT[j]
+        h ^= h >> np.uint64(32)
+    return mix(h)
+
+
+def _short(anchor: np.ndarray) -> np.ndarray:
+    return (anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def bwt_shared(contexts: list[bytes], least: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each context the smallest ``least`` of the contexts that have its string of ``length`` at 0, 1, ...
 
@@ -163,7 +197,7 @@ def _masks(batches, most: int):
         got = bwt_shared(context, least)
         mask = [int(((v < own).astype(np.uint64) << np.arange(len(v), dtype=np.uint64)).sum()) for v, own in zip(got, m, strict=True)]
         keep = [i for i, x in enumerate(mask) if x]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (anchor, ctx, mask)], names=["anchor", "ctx", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], t) for x, t in ((anchor, pa.int32()), (ctx, pa.int64()), (mask, pa.int64()))], names=["anchor", "ctx", "mask"])
 
     held, size, last = [], 0, None
     for batch in batches:
@@ -181,8 +215,8 @@ def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
     """doc_id, _hash (of the text), cuts: array of (lo, mask), the strings to remove; only documents with some."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text", F.xxhash64("text").alias("_hash"))
-    bits = shared(rows.select("text"), lambda batch: (f.distinct() for _, f in _found(utf8(batch.column("text")), None)))
+    rows = keyed(docs)
+    bits = shared(rows.select("text"), lambda batch: (f.distinct() for _, f in _found(utf8(batch.column("text")))))
     held = spark.sparkContext.broadcast(bits)
 
     def occurrences(batches):
@@ -193,30 +227,34 @@ def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
                     doc = pa.array(f.doc + i)
                     yield pa.RecordBatch.from_arrays([
                         ids.take(doc), hashes.take(doc), pa.array((f.lo - f.begin[f.doc]).astype(np.int32)), pa.array((f.hi - f.lo + 1).astype(np.int32)),
-                        pa.array(signed(f.anchor)), pa.array(signed(f.contexts()))], names=["doc_id", "_hash", "lo", "n", "anchor", "ctx"])
+                        pa.array(_short(f.anchor)), pa.array(signed(f.contexts()))], names=["doc_id", "_hash", "lo", "n", "anchor", "ctx"])
 
-    found = scratch.write(rows.mapInArrow(occurrences, "doc_id long, _hash long, lo int, n int, anchor long, ctx long"), "found")
+    found = scratch.write(rows.mapInArrow(occurrences, "doc_id long, _hash int, lo int, n int, anchor int, ctx long"), "found")
     distinct = scratch.write(found.groupBy("anchor", "ctx").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("last")), "distinct")
     several = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("m").alias("a"), F.max("last").alias("z"))
-    several = scratch.write(several.where("contexts > 1 and a < z").select("anchor", "contexts"), "several")
-    unclear = shared(several, lambda batch: [np.unique(batch.column("anchor").to_numpy().view(np.uint64))], count=2)
-    open_anchors = spark.sparkContext.broadcast(unclear)
+    several = several.where("contexts > 1 and a < z").select("anchor", "contexts")
+    unclear = scratch.write(distinct.join(several, "anchor").select("anchor", "ctx", "m", "contexts"), "unclear")
+    firsts = shared(unclear, lambda batch: [np.unique(_key(*(batch.column(c).to_numpy() for c in ("anchor", "ctx", "m"))))], count=2)
+    wanted = spark.sparkContext.broadcast(firsts)
 
     def texts_of(batches):
+        near, first = held.value, wanted.value
         for batch in batches:
-            texts, ids = utf8(batch.column("text")), batch.column("doc_id")
-            for i, f in _found(texts, open_anchors.value):
+            texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_numpy()
+            for i, f in _found(texts, near):
+                f.keep(first.maybe(_key(_short(f.anchor), signed(f.contexts()), ids[f.doc + i]))) if len(f.lo) else None
                 if len(f.lo):
                     context = [f.buffer[a : b + LENGTH] for a, b in zip(f.lo.tolist(), f.hi.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(f.doc + i)), pa.array(signed(f.anchor)), pa.array(signed(f.contexts())), pa.array(context, pa.binary())],
-                        names=["doc_id", "anchor", "ctx", "context"])
+                        pa.array(ids[f.doc + i]), pa.array(_short(f.anchor)), pa.array(signed(f.contexts())), pa.array(context, pa.binary())],
+                        names=["m", "anchor", "ctx", "context"])
 
-    contexts = rows.mapInArrow(texts_of, "doc_id long, anchor long, ctx long, context binary")
-    contexts = contexts.groupBy("anchor", "ctx").agg(F.min("doc_id").alias("m"), F.first("context").alias("context"))
-    contexts = scratch.write(contexts.join(several, "anchor"), "contexts")
+    contexts = rows.mapInArrow(texts_of, "m long, anchor int, ctx long, context binary").dropDuplicates(["anchor", "ctx", "m"])
+    contexts = scratch.write(contexts.join(unclear, ["anchor", "ctx", "m"]), "contexts")
+    held.destroy()
+    wanted.destroy()
     usual = contexts.where(F.col("contexts") <= hot).repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor")
-    masks = usual.select("anchor", "ctx", "m", "context").mapInArrow(lambda batches: _masks(batches, 1 << 19), "anchor long, ctx long, mask long")
+    masks = usual.select("anchor", "ctx", "m", "context").mapInArrow(lambda batches: _masks(batches, 1 << 19), "anchor int, ctx long, mask long")
     strings = contexts.where(F.col("contexts") > hot).select(
         "anchor", "ctx", "m", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("at"))
     strings = strings.withColumn("string", F.substring("context", F.col("at") + 1, F.lit(LENGTH))).drop("context")
@@ -224,43 +262,73 @@ def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
     by_string = strings.join(low, "string").where("low < m").groupBy("anchor", "ctx").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
     masks = masks.union(by_string)
     decided = distinct.join(masks, ["anchor", "ctx"], "left").where("m < last or mask is not null")
-    decided = scratch.write(decided.select("anchor", "ctx", "m", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "decided")
+    decided = decided.select("anchor", "ctx", "m", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     cut = found.join(decided, ["anchor", "ctx"]).withColumn(
         "mask", F.when(F.col("doc_id") > F.col("m"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))).where("mask <> 0")
-    return cut.groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("lo", "mask")).alias("cuts"))
+    cuts = scratch.write(cut.groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("lo", "mask")).alias("cuts")), "cuts", group_mb=32)
+    scratch.drop("found", "distinct", "unclear", "contexts")
+    return cuts
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """text with doc_id (null as the largest) and 32 bits of the text's hash, which tell rows apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text", F.hash("text").alias("_hash"), F.col("doc_id").cast("long").alias("_id"))
+
+
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
 def dedup(docs: DataFrame, hot: int = 4000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, binary), kept_sha256; a row per document."""
-    cuts = spans(docs, hot).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_hash"))
-    rows = rows.join(cuts, ["_id", "_hash"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "cuts")
+    cuts, rows = spans(docs, hot), keyed(docs)
+    bits = shared(cuts.select("doc_id", "_hash"), lambda batch: [np.unique(_key(batch.column("doc_id").to_numpy(), batch.column("_hash").to_numpy()))], count=2)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
     bit = np.arange(SPAN, dtype=np.int64)
 
-    def run(batches):
+    def finished(ids, texts: list[bytes], places: list[np.ndarray | None]) -> pa.RecordBatch:
+        out = []
+        for text, start in zip(texts, places, strict=True):
+            removed = runs = 0
+            kept = text
+            if start is not None:
+                upto = np.cumsum(start)[: len(text)]
+                gone = upto - np.concatenate((np.zeros(LENGTH, np.int64), upto))[: len(text)] > 0
+                removed = int(gone.sum())
+                runs = int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum())
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+            out.append((len(text), removed, runs, kept, hashlib.sha256(kept).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))],
+                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+    def maybe_cut(batch):
+        return held.value.maybe(_key(batch.column("doc_id").to_numpy(), batch.column("_hash").to_numpy()))
+
+    def whole(batches):
+        for batch in batches:
+            rest = batch.filter(pa.array(~maybe_cut(batch)))
+            if len(rest):
+                yield finished(rest.column("_id"), utf8(rest.column("text")), [None] * len(rest))
+
+    def to_join(batches):
         for batch in batches:
-            out = []
-            texts, cuts = utf8(batch.column("text")), batch.column("cuts")
-            flat = cuts.flatten() if len(cuts) else cuts
+            yield batch.filter(pa.array(maybe_cut(batch)))
+
+    def cut(batches):
+        for batch in batches:
+            texts, lists = utf8(batch.column("text")), batch.column("cuts")
+            flat = lists.flatten()
             lo, mask = flat.field("lo").to_numpy(), flat.field("mask").to_numpy()
-            size = np.array([0 if n is None else n for n in cuts.value_lengths().to_pylist()], np.int64)
-            edge = np.concatenate(([0], np.cumsum(size)))
-            for d, text in enumerate(texts):
-                removed = spans_removed = 0
-                if size[d]:
-                    a, b = edge[d], edge[d + 1]
+            edge = np.concatenate(([0], np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])))
+            places = []
+            for text, a, b in zip(texts, edge[:-1], edge[1:], strict=True):
+                start = None
+                if b > a:
                     start = np.zeros(len(text) + 1, np.int64)
                     start[(lo[a:b, None] + bit)[(mask[a:b, None] >> bit) & 1 == 1]] = 1
-                    upto = np.cumsum(start)[: len(text)]
-                    gone = upto - np.concatenate((np.zeros(LENGTH, np.int64), upto))[: len(text)] > 0
-                    removed = int(gone.sum())
-                    spans_removed = int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum())
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                else:
-                    kept = text
-                out.append((len(text), removed, spans_removed, kept, hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+                places.append(start)
+            if texts:
+                yield finished(batch.column("_id"), texts, places)
+
+    some = rows.mapInArrow(to_join, rows.schema).join(cuts, ["doc_id", "_hash"], "left").select("_id", "text", "cuts")
+    return rows.mapInArrow(whole, KEPT).union(some.mapInArrow(cut, KEPT))
