@@ -43,6 +43,8 @@ class Scratch:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_mb << 20).parquet(path)
         self.paths[name] = path
+        # What led to a written table is no longer needed: let Spark's cleaner free its shuffle files now, not at the next collection.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def finish(self, df: DataFrame) -> DataFrame:

@@ -188,8 +188,11 @@ def bwt_shared(contexts: list[bytes], least: np.ndarray, length: int = LENGTH) -
     return out
 
 
+MASKS = "anchor int, ctx long, m long, mask long"
+
+
 def _masks(batches, most: int):
-    """anchor, ctx, mask for rows (anchor, ctx, m, context) sorted by anchor: strings that a smaller id has too."""
+    """MASKS for rows (m, anchor, ctx, context) sorted by anchor, ctx and m: strings that a smaller id has too."""
 
     def settle(rows):
         anchor, ctx, m, context = (list(x) for x in zip(*rows, strict=True))
@@ -197,16 +200,18 @@ def _masks(batches, most: int):
         got = bwt_shared(context, least)
         mask = [int(((v < own).astype(np.uint64) << np.arange(len(v), dtype=np.uint64)).sum()) for v, own in zip(got, m, strict=True)]
         keep = [i for i, x in enumerate(mask) if x]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], t) for x, t in ((anchor, pa.int32()), (ctx, pa.int64()), (mask, pa.int64()))], names=["anchor", "ctx", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], t) for x, t in ((anchor, pa.int32()), (ctx, pa.int64()), (m, pa.int64()), (mask, pa.int64()))], names=["anchor", "ctx", "m", "mask"])
 
-    held, size, last = [], 0, None
+    held, size, last = [], 0, (None, None)
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "ctx", "m", "context")), strict=True):
-            if size > most and row[0] != last:
+            if row[:2] == last:  # the same context again, of a later document
+                continue
+            if size > most and row[0] != last[0]:
                 yield settle(held)
                 held, size = [], 0
             held.append(row)
-            size, last = size + len(row[3]), row[0]
+            size, last = size + len(row[3]), row[:2]
     if held:
         yield settle(held)
 
@@ -234,39 +239,47 @@ def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
     several = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("m").alias("a"), F.max("last").alias("z"))
     several = several.where("contexts > 1 and a < z").select("anchor", "contexts")
     unclear = scratch.write(distinct.join(several, "anchor").select("anchor", "ctx", "m", "contexts"), "unclear")
-    firsts = shared(unclear, lambda batch: [np.unique(_key(*(batch.column(c).to_numpy() for c in ("anchor", "ctx", "m"))))], count=2)
-    wanted = spark.sparkContext.broadcast(firsts)
-
-    def texts_of(batches):
-        near, first = held.value, wanted.value
-        for batch in batches:
-            texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_numpy()
-            for i, f in _found(texts, near):
-                f.keep(first.maybe(_key(_short(f.anchor), signed(f.contexts()), ids[f.doc + i]))) if len(f.lo) else None
-                if len(f.lo):
-                    context = [f.buffer[a : b + LENGTH] for a, b in zip(f.lo.tolist(), f.hi.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(ids[f.doc + i]), pa.array(_short(f.anchor)), pa.array(signed(f.contexts())), pa.array(context, pa.binary())],
-                        names=["m", "anchor", "ctx", "context"])
 
-    contexts = rows.mapInArrow(texts_of, "m long, anchor int, ctx long, context binary").dropDuplicates(["anchor", "ctx", "m"])
-    contexts = scratch.write(contexts.join(unclear, ["anchor", "ctx", "m"]), "contexts")
+    def fetch(part: DataFrame) -> DataFrame:
+        """m, anchor, ctx, context for the rows of ``part``; the bitmap may let a few others through."""
+        firsts = shared(part, lambda batch: [np.unique(_key(*(batch.column(c).to_numpy() for c in ("anchor", "ctx", "m"))))], count=2)
+        wanted = spark.sparkContext.broadcast(firsts)
+
+        def texts_of(batches):
+            near, first = held.value, wanted.value
+            for batch in batches:
+                texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_numpy()
+                for i, f in _found(texts, near):
+                    f.keep(first.maybe(_key(_short(f.anchor), signed(f.contexts()), ids[f.doc + i]))) if len(f.lo) else None
+                    if len(f.lo):
+                        context = [f.buffer[a : b + LENGTH] for a, b in zip(f.lo.tolist(), f.hi.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(ids[f.doc + i]), pa.array(_short(f.anchor)), pa.array(signed(f.contexts())), pa.array(context, pa.binary())],
+                            names=["m", "anchor", "ctx", "context"])
+
+        return rows.mapInArrow(texts_of, "m long, anchor int, ctx long, context binary")
+
+    usual = fetch(unclear.where(F.col("contexts") <= hot)).repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor", "ctx", "m")
+    masks = usual.mapInArrow(lambda batches: _masks(batches, 1 << 19), MASKS)
+    many = unclear.where(F.col("contexts") > hot).drop("contexts")
+    if not many.isEmpty():
+        keys = ["anchor", "ctx", "m"]
+        strings = fetch(many).dropDuplicates(keys).join(many, keys).select(
+            *keys, "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("at"))
+        strings = scratch.write(strings.withColumn("string", F.md5(F.substring("context", F.col("at") + 1, F.lit(LENGTH)))).drop("context"), "strings")
+        low = strings.groupBy("string").agg(F.min("m").alias("low"))
+        masks = masks.union(strings.join(low, "string").where("low < m").groupBy(*keys).agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask")))
+    # A context of another first document came through a bitmap by chance; one let through beside its hot anchor is merged.
+    masks = scratch.write(masks.groupBy("anchor", "ctx", "m").agg(F.bit_or("mask").alias("mask")), "masks")
+    scratch.drop("unclear")
+    decided = distinct.join(masks, ["anchor", "ctx", "m"], "left").where("m < last or mask is not null")
+    decided = scratch.write(decided.select("anchor", "ctx", "m", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "decided")
+    scratch.drop("distinct", "masks")
     held.destroy()
-    wanted.destroy()
-    usual = contexts.where(F.col("contexts") <= hot).repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor")
-    masks = usual.select("anchor", "ctx", "m", "context").mapInArrow(lambda batches: _masks(batches, 1 << 19), "anchor int, ctx long, mask long")
-    strings = contexts.where(F.col("contexts") > hot).select(
-        "anchor", "ctx", "m", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("at"))
-    strings = strings.withColumn("string", F.substring("context", F.col("at") + 1, F.lit(LENGTH))).drop("context")
-    low = strings.groupBy("string").agg(F.min("m").alias("low"))
-    by_string = strings.join(low, "string").where("low < m").groupBy("anchor", "ctx").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
-    masks = masks.union(by_string)
-    decided = distinct.join(masks, ["anchor", "ctx"], "left").where("m < last or mask is not null")
-    decided = decided.select("anchor", "ctx", "m", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     cut = found.join(decided, ["anchor", "ctx"]).withColumn(
         "mask", F.when(F.col("doc_id") > F.col("m"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))).where("mask <> 0")
     cuts = scratch.write(cut.groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("lo", "mask")).alias("cuts")), "cuts", group_mb=32)
-    scratch.drop("found", "distinct", "unclear", "contexts")
+    scratch.drop("found", "decided")
     return cuts
 
 
