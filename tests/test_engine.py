@@ -34,9 +34,9 @@ def test_explicit_deny_and_missing_rules_deny(spark):
     kind = "classification string, allowed_roles array<string>, department_ids array<string>, allowed_users array<string>, denied_users array<string>"
     rules = spark.createDataFrame([("public", None, None, None, ["demo-auditor"]), ("secret", None, None, None, None), (None, None, None, None, None), ("public", None, None, None, None)], kind)
     rows = rules.select(F.struct("*").alias("p")).crossJoin(catalogue.principals(spark).where("user_id = 'demo-auditor'").select(F.struct("*").alias("u")))
-    ok = [r[0] for r in rows.select(allow("u", F.lit("airport"), F.lit("demo"), "p")).collect()]
+    ok = [r[0] for r in rows.select(allow("u", F.lit("main"), F.lit("demo"), "p")).collect()]
     assert ok == [False, False, False, True]
-    assert not rows.where(allow("u", F.lit("other"), F.lit("demo"), "p") | allow("u", F.lit("airport"), F.lit("else"), "p") | allow("u", F.lit(None).cast("string"), F.lit("demo"), "p")).count()
+    assert not rows.where(allow("u", F.lit("other"), F.lit("demo"), "p") | allow("u", F.lit("main"), F.lit("else"), "p") | allow("u", F.lit(None).cast("string"), F.lit("demo"), "p")).count()
 
 
 def test_authorization_stands_below_the_limit(spark):

@@ -258,13 +258,13 @@ def corpus_summary(spark, sf):
 
 #: Seed principals: id, active, roles, department, corpora, grants.
 PRINCIPALS = [
-    ("baggage-employee", True, ["employee"], "baggage", ["airport", "skywings"], []),
-    ("baggage-supervisor", True, ["employee", "supervisor"], "baggage", ["airport", "skywings"], []),
-    ("flight-supervisor", True, ["employee", "supervisor"], "flight-operations", ["airport", "aethersky"], []),
-    ("hr-specialist", True, ["employee", "hr_specialist"], "hr", ["airport", "aethersky"], []),
-    ("security-officer", True, ["employee"], "security", ["airport", "skywings", "emissions"], []),
-    ("demo-auditor", True, ["auditor"], "audit", ["airport", "skywings", "aethersky", "emissions"], ["read_history:airport"]),
-    ("inactive-employee", False, ["employee"], "baggage", ["airport"], []),
+    ("baggage-employee", True, ["employee"], "baggage", ["main", "bags"], []),
+    ("baggage-supervisor", True, ["employee", "supervisor"], "baggage", ["main", "bags"], []),
+    ("flight-supervisor", True, ["employee", "supervisor"], "flight-operations", ["main", "pay"], []),
+    ("hr-specialist", True, ["employee", "hr_specialist"], "hr", ["main", "pay"], []),
+    ("security-officer", True, ["employee"], "security", ["main", "bags", "emissions"], []),
+    ("demo-auditor", True, ["auditor"], "audit", ["main", "bags", "pay", "emissions"], ["read_history:main"]),
+    ("inactive-employee", False, ["employee"], "baggage", ["main"], []),
 ]
 #: Seed rules: id, classification, allowed roles, departments, allowed users, denied users.
 POLICIES = [
@@ -305,7 +305,7 @@ p(policy_id, class, role, dep, named) AS (VALUES ('public', 'public', NULL, NULL
 def acl_matrix(spark, sf):
     """Every seed principal against every seed rule on one corpus."""
     pairs = principals(spark).select(F.struct("*").alias("u")).crossJoin(F.broadcast(policies(spark).select(F.struct("*").alias("p"))))
-    return pairs.select("u.user_id", F.col("p.id").alias("policy_id"), access.allow("u", F.lit("airport"), F.lit("demo"), "p").alias("allowed"))
+    return pairs.select("u.user_id", F.col("p.id").alias("policy_id"), access.allow("u", F.lit("main"), F.lit("demo"), "p").alias("allowed"))
 
 
 def _labelled(spark, sf) -> DataFrame:
@@ -321,7 +321,7 @@ def _labelled(spark, sf) -> DataFrame:
 def acl_filter_docs(spark, sf):
     """How many documents each principal may read; documents without a rule are denied."""
     pairs = _labelled(spark, sf).crossJoin(F.broadcast(principals(spark).select(F.struct("*").alias("u"))))
-    pairs = pairs.withColumn("ok", access.allow("u", F.lit("airport"), F.lit("demo"), "p"))
+    pairs = pairs.withColumn("ok", access.allow("u", F.lit("main"), F.lit("demo"), "p"))
     return pairs.groupBy("u.user_id").agg(F.count_if("ok").alias("readable"), F.count("*").alias("documents"))
 
 
@@ -332,13 +332,13 @@ def section_narrows_document(spark, sf):
     rules = policies(spark).select(F.col("id").alias("sid"), F.struct("*").alias("s"))
     docs = docs.withColumn("sid", F.when(F.col("lang") == "de", "hr-procedure").otherwise("public")).join(F.broadcast(rules), "sid")
     docs = docs.crossJoin(F.broadcast(principals(spark).where("user_id = 'baggage-employee'").select(F.struct("*").alias("u"))))
-    both = access.allow("u", F.lit("airport"), F.lit("demo"), "p") & access.allow("u", F.lit("airport"), F.lit("demo"), "s")
+    both = access.allow("u", F.lit("main"), F.lit("demo"), "p") & access.allow("u", F.lit("main"), F.lit("demo"), "s")
     return docs.select("doc_id", both.alias("allowed"))
 
 
 @query("""SELECT * FROM (VALUES ('baggage-employee', false), ('baggage-supervisor', false), ('flight-supervisor', false), ('hr-specialist', false), ('security-officer', false), ('demo-auditor', true), ('inactive-employee', false)) AS t(user_id, may_read_history)""")
 def history_grants(spark, sf):
-    return principals(spark).select("user_id", access.may_read_history(F.col("explicit_grants"), F.lit("airport")).alias("may_read_history"))
+    return principals(spark).select("user_id", access.may_read_history(F.col("explicit_grants"), F.lit("main")).alias("may_read_history"))
 
 
 @query("""WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS revision FROM events GROUP BY user_id)
@@ -395,7 +395,7 @@ def vector_topk(spark, sf):
 def _readable(spark, sf, user: str = "baggage-employee") -> DataFrame:
     who = principals(spark).where(F.col("user_id") == user).select(F.struct("*").alias("u"))
     docs = _labelled(spark, sf).crossJoin(F.broadcast(who))
-    return docs.where(access.allow("u", F.lit("airport"), F.lit("demo"), "p")).select(F.col("doc_id").alias("item_id"), "text", "source")
+    return docs.where(access.allow("u", F.lit("main"), F.lit("demo"), "p")).select(F.col("doc_id").alias("item_id"), "text", "source")
 
 
 _OPEN = "SELECT doc_id FROM labels WHERE toxic = 0 AND doc_id IN (SELECT doc_id FROM documents)"
