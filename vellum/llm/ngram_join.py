@@ -17,6 +17,12 @@ documents are still in different components then, all their remaining pairs are
 every link between different components is found without naming all pairs of a group.  A token
 of more than ``block`` documents is compared in pairs of blocks, in different tasks.
 
+``class_links`` counts, for a document's class, the other classes whose similarity with it is t at
+least, each once.  Linked classes are in one component, so every pair of classes of a component (of
+sizes that allow a link) is verified on the full sets, in pairs of blocks of bounded numbers of classes
+and elements; only the counts leave a task.  That work grows with the square of a component, as
+the number of links does.
+
 Defined cases: documents without words have no shingles and link with nothing; with fewer words than
 ``k``, the whole sequence is the one shingle; null is empty; repeated rows are one class; a null
 doc_id is a row of its own component null unless linked; an empty table gives no rows.
@@ -36,6 +42,8 @@ from vellum.llm.components import components
 from vellum.llm.hashbits import Shared, shared
 
 MOST_L, VERIFY_COST, SKETCH = 4, 16, 512
+#: Classes and elements of one block of a component, where links are counted.
+COUNT_CLASSES, COUNT_ELEMENTS = 1024, 1 << 20
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -193,30 +201,75 @@ def _verify(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(keep)], names=["a", "b", "linked"])
 
 
-def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 8192, heavy: int = 1 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_links; a row per document."""
+def _count(rows: list[dict], num: int, den: int) -> np.ndarray:
+    """For rows sorted by n: how many of the others each one is linked with (in a pair of blocks: of the other side)."""
+    n, side = np.array([r["n"] for r in rows], np.int64), np.array([r["side"] for r in rows])
+    sets = [unpack_sorted(r["elements"]) for r in rows]
+    first = np.cumsum([0, *map(len, sets)])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    links, own = np.zeros(len(rows), np.int64), np.zeros(len(values), bool)
+    for i in range(len(rows) - 1):
+        last = int(np.searchsorted(num * n, den * n[i], "right"))  # up to there the sizes allow a link
+        if last <= i + 1:
+            continue
+        own[code[first[i] : first[i + 1]]] = True
+        at = first[i + 1]
+        both = np.add.reduceat(own[code[at : first[last]]], first[i + 1 : last] - at, dtype=np.int64)
+        own[code[first[i] : first[i + 1]]] = False
+        size = np.diff(first[i : last + 1])
+        linked = den * both >= num * (size[0] + size[1:] - both)
+        if side[i] != 2:
+            linked &= side[i + 1 : last] != side[i]
+        links[i] += linked.sum()
+        links[i + 1 : last] += linked
+    return links
+
+
+def _counts(batches, num: int, den: int):
+    """key, links for rows sorted by (comp, i, j, n); a key once for each pair of blocks."""
+
+    def batch_of(rows):
+        links = _count(rows, num, den)
+        return pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows], pa.binary()), pa.array(links)], names=["key", "links"])
+
+    held, last = [], None
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            for row in batch.slice(start, 256).to_pylist():
+                if (key := (row["comp"], row["i"], row["j"])) != last:
+                    if len(held) > 1:
+                        yield batch_of(held)
+                    held, last = [], key
+                held.append(row)
+    if len(held) > 1:
+        yield batch_of(held)
+
+
+def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 8192, heavy: int = 1 << 20, count_classes: int = COUNT_CLASSES) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_links (other classes its class is linked with); a row per document."""
     spark = docs.sparkSession
     scratch, width = Scratch(spark), shuffle_width(docs.sparkSession)
     counts = shared(docs.select("text"), lambda batch: shingle_sets(utf8(batch.column("text")), k), heavy=heavy)
-    prof = scratch.write(profiles(docs, k, num, den, counts), "profiles")
-    classes = scratch.write(prof.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    # One row a class: the profile of its smallest document.
+    prof = scratch.write(profiles(docs, k, num, den, counts).withColumn("at", F.monotonically_increasing_id()), "profiles")
+    classes = scratch.write(prof.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("at").alias("first_at")), "classes")
+    # One row a class, whatever ids are null or repeated: the profile of its first row.
     sends = prof.where("size(tokens) > 0").withColumnRenamed("key", "_key")
-    reps = sends.join(classes, (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).drop("_key", "rep", "doc_id")
+    reps = sends.join(classes, (F.col("_key") == F.col("key")) & (F.col("at") == F.col("first_at"))).drop("_key", "rep", "doc_id", "at", "first_at")
     reps = scratch.write(reps, "reps")
     posts = reps.select("key", F.explode("tokens").alias("token"))
     lists = scratch.write(posts.groupBy("token").agg(F.count("*").alias("len")).where("len > 1"), "lists")
-    size = F.col("len")
-    blocks = F.ceil(size / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    # (i, i): the block itself, side 2; (i, j): the pair of blocks, sides 0 and 1.
-    spread = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(
-        F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"),
-        F.when(o == mine, 2).when(o > mine, 0).otherwise(1).alias("side")))
+
+    def spread(blocks):
+        # (i, i): the block itself, side 2; (i, j): the pair of blocks, sides 0 and 1.
+        mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
+        return F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(
+            F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"),
+            F.when(o == mine, 2).when(o > mine, 0).otherwise(1).alias("side")))
+
     payload = reps.select("key", "n", "l", "sketch", F.when(F.col("l") > 1, F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int"))).alias("tokens"), F.when(F.col("l") > 1, F.col("levels")).alias("levels"))
 
     def candidates(members: DataFrame, every: bool) -> DataFrame:
-        dealt = members.select("token", "key", "comp", F.explode(spread).alias("s")).select("token", "key", "comp", "s.*")
+        dealt = members.select("token", "key", "comp", F.explode(spread(F.ceil(F.col("len") / F.lit(block)).cast("int"))).alias("s")).select("token", "key", "comp", "s.*")
         rows = dealt.join(payload, "key").repartition(width, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "key")
         return rows.mapInArrow(lambda batches: _pairs(batches, num, den, every), "a binary, b binary").distinct()
 
@@ -241,9 +294,13 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int
     upper = components(between, scratch, "top").select(F.col("node").alias("mid"), F.col("root").alias("upper"))
     comp = classes.join(roots, F.col("key") == F.col("node"), "left").withColumn("mid", F.coalesce("root", "key")).drop("node", "root")
     comp = comp.join(upper, "mid", "left").select("key", "rep", F.coalesce("upper", "mid").alias("comp"))
-    named = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    links = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("class_links"))
+    comp = scratch.write(comp.join(reps.select("key", F.col("n").alias("elements_n")), "key", "left"), "whole")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(count_classes)), F.ceil(F.coalesce(F.sum("elements_n"), F.lit(0)) / F.lit(COUNT_ELEMENTS))).cast("int")
+    named = scratch.write(comp.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"), parts.alias("parts")), "named")
+    inside = comp.join(named.where("members > 1"), "comp").select("comp", "key", F.explode(spread(F.col("parts"))).alias("s")).select("comp", "key", "s.*")
+    rows = inside.join(reps.select("key", "n", "elements"), "key").repartition(width, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "n", "key")
+    links = rows.mapInArrow(lambda batches: _counts(batches, num, den), "key binary, links long")
+    degree = links.groupBy(F.col("key").alias("node")).agg(F.sum("links").alias("class_links"))
     comp = comp.join(named, "comp").join(degree, F.col("key") == F.col("node"), "left")
     # Written, so that the join below stands alone: a class of very many copies is then split by skew handling.
     comp = scratch.write(comp.select(F.col("key").alias("_key"), "component_id", "class_links"), "comp")
