@@ -2,8 +2,9 @@
 
 Every task sorts the suffixes of its shard's words (a batch of whole documents) and binary-searches
 every test suffix in that order: the run of training suffixes that share its first ``window`` words
-are the verbatim matches and their locations.  Matches are then followed word by word to their full
-length.  Nothing is shuffled, and a document never leaves its task.
+are the verbatim matches and their locations.  A match whose words before differ begins a longer one,
+which is followed word by word to the right, within its item and document, to its full length.
+Nothing is shuffled, and a document never leaves its task.
 
 Only positions can match whose word occurs in the benchmark, so all others are dropped before the
 sort; they still separate what stands on both sides.  The benchmark goes to the tasks in blocks of at
@@ -11,7 +12,8 @@ most ``block_words`` words (a proven bound; more words mean more passes, not mor
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never found;
 an item shorter than a window is one window; repeated items each count; repeated documents are judged
-alike; an empty benchmark finds nothing; other columns are ignored by ``report``.
+alike; an empty benchmark finds nothing; other columns are ignored by ``report``; the longest match is
+of one item, and of equal ones the first in the document.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import LOWER_ALNUM, MULT, Scratch, Words, mix, pieces, utf8
 
-SCHEMA = "doc_id long, n_words long, hit array<int>, items array<string>, longest int, longest_at int"
+MATCH = "array<struct<at: int, length: int, item: string, item_at: int>>"
+SCHEMA = f"doc_id long, n_words long, hit array<int>, items array<string>, matches {MATCH}"
 
 
 class Tests:
@@ -34,17 +37,24 @@ class Tests:
         self.vocabulary = np.unique(words.hash)
         codes = np.searchsorted(self.vocabulary, words.hash) + 1  # 0: no word of the benchmark
         found: dict[int, dict[bytes, set[str]]] = {}
-        self.texts = []
+        places: dict[int, dict[bytes, list[int]]] = {}
+        self.names, self.first = [item for item, _ in items], words.first[:-1] + np.arange(1, len(items) + 1)
+        #: The items' words one after another, a zero before and after each item.
+        self.line = np.zeros(len(codes) + len(items) + 1, np.int32)
         for i, (item, _) in enumerate(items):
             own = codes[words.first[i] : words.first[i + 1]].astype(np.int32)
-            self.texts.append(own)
+            self.line[self.first[i] : self.first[i] + len(own)] = own
             n = min(window, len(own))
             for at in range(len(own) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(own[at : at + n].tobytes(), set()).add(item)
+                key = own[at : at + n].tobytes()
+                found.setdefault(n, {}).setdefault(key, set()).add(item)
+                places.setdefault(n, {}).setdefault(key, []).append(int(self.first[i]) + at)
         #: By length: the distinct test windows as rows of word codes, and the items of each.
         self.by_length = {
             n: (np.array([np.frombuffer(k, np.int32) for k in w]), [sorted(v) for v in w.values()]) for n, w in found.items()
         }
+        #: Of the same windows: their places in ``line``.
+        self.places = {n: [np.array(v) for v in w.values()] for n, w in places.items()}
         first = self.vocabulary >> np.uint64(44)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[first] = True
@@ -81,6 +91,16 @@ def search(order_words: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.searchsorted(big, key, "left"), np.searchsorted(big, key, "right")
 
 
+def follow(short: np.ndarray, line: np.ndarray, p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of the matches that begin at ``p`` of a shard and ``q`` of the items, of ``n`` words at least."""
+    length, alive = np.full(len(p), n), np.arange(len(p))
+    while len(alive):
+        a, b = short[p[alive] + length[alive]], line[q[alive] + length[alive]]
+        alive = alive[(a == b) & (a != 0)]
+        length[alive] += 1
+    return length
+
+
 def _shard(ids: list, texts: list[bytes], tests: Tests, window: int):
     """Rows of SCHEMA for one shard."""
     words = Words(texts, LOWER_ALNUM)
@@ -101,7 +121,7 @@ def _shard(ids: list, texts: list[bytes], tests: Tests, window: int):
     back = np.full(len(line), -1, np.int64)
     back[place] = np.arange(len(codes))
     word_at = np.concatenate((back[where], np.full(window, -1, np.int64)))
-    hit, items, longest = np.zeros(len(codes) + 1, np.int32), {}, {}
+    hit, items, followed = np.zeros(len(codes) + 1, np.int32), {}, {}
     matches = []
     run = np.zeros(len(short) + 1, np.int64)  # known words from here on
     zero = np.flatnonzero(short == 0)
@@ -112,36 +132,45 @@ def _shard(ids: list, texts: list[bytes], tests: Tests, window: int):
             continue
         order, rows = suffix_order(short, starts, n)
         lo, hi = search(rows, test)
+        begin = []
         for w in np.flatnonzero(hi > lo):
             at = word_at[order[lo[w] : hi[w]]]
             matches.append((at, n))
             for d in np.unique(doc[at]):
                 items.setdefault(int(d), set()).update(owners[w])
+            places = tests.places[n][w]
+            before, step = tests.line[places - 1], max(1, 1_000_000 // len(places))
+            for x in range(lo[w], hi[w], step):
+                p = order[x : min(x + step, hi[w])]
+                # short[-1] is 0, as is what stands before an item
+                i, j = np.nonzero((before == 0) | (before != short[p - 1][:, None]))
+                if len(i):
+                    begin.append((p[i], places[j]))
+        if begin:
+            p, q = (np.concatenate(x) for x in zip(*begin, strict=True))
+            length, of = follow(short, tests.line, p, q, n), np.searchsorted(tests.first, q, "right") - 1
+            for x, size, i, y in zip(word_at[p].tolist(), length.tolist(), of.tolist(), (q - tests.first[of]).tolist(), strict=True):
+                d = int(doc[x])
+                followed.setdefault(d, set()).add((x - int(first[d]), size, tests.names[i], y))
     for at, n in matches:
         np.add.at(hit, at, 1)
         np.add.at(hit, np.minimum(at + n, len(codes)), -1)
     covered = np.cumsum(hit[:-1]) > 0
-    # Adjacent windows of the benchmark that match are one longer match: its length is that of the run of hits.
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
-    cut = np.unique(np.concatenate((edge, first)))
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        if covered[a] and b - a > longest.get(int(doc[a]), (0, 0))[0]:
-            longest[int(doc[a])] = (int(b - a), int(a - first[doc[a]]))
     for d, key in enumerate(ids):
         a, b = first[d], first[d + 1]
-        size, at = longest.get(d, (0, None))
-        yield key, int(b - a), np.flatnonzero(covered[a:b]).tolist(), sorted(items.get(d, ())), size, at
+        found = [dict(zip(("at", "length", "item", "item_at"), m, strict=True)) for m in sorted(followed.get(d, ()), key=str)]
+        yield key, int(b - a), np.flatnonzero(covered[a:b]).tolist(), sorted(items.get(d, ())), found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> list[DataFrame]:
-    """For each block of the benchmark: doc_id, n_words, hit word positions, items found, longest run and its place."""
+    """For each block of the benchmark: doc_id, n_words, hit word positions, items found, longest matches with their places."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text")).where("item is not null")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word and its separator take two bytes at least.
     blocks = max(1, -(-total // (2 * block_words)))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int32()), ("longest_at", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_at", pa.int32())])))])
     out = []
     for b in range(blocks):
         mine = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
@@ -160,7 +189,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated, longest, longest_at; a row per document."""
+    """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated, matches, longest, longest_at; a row per document.
+
+    ``matches``: at and length in words, item and item_at, for each common run of words that neither side extends.
+    """
     found = matches(docs, benchmark, window, block_words)
     if len(found) == 1:
         rows = found[0]
@@ -176,12 +208,15 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
         joined = both.groupBy("doc_id").agg(
             F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.max(F.struct("longest", "longest_at")).alias("l"))
+            F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
         rows = joined.join(marked.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_id")), "doc_id").select(
-            F.col("_id").alias("doc_id"), "n_words", "hit", "items", "l.longest", "l.longest_at")
+            F.col("_id").alias("doc_id"), "n_words", "hit", "items", "matches")
+    rows = rows.withColumn("matches", F.array_sort("matches"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["length"].alias("length"), (-m["at"]).alias("before"))))
     return rows.select(
         "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
-        (F.size("hit") > 0).alias("contaminated"), "longest", "longest_at")
+        (F.size("hit") > 0).alias("contaminated"),
+        "matches", F.coalesce(best["length"], F.lit(0)).alias("longest"), (-best["before"]).alias("longest_at"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
