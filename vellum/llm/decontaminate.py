@@ -12,7 +12,8 @@ most ``block_words`` words (a proven bound; more words mean more passes, not mor
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never found;
 an item shorter than a window is one window; repeated items each count; repeated documents are judged
-alike; an empty benchmark finds nothing; other columns are ignored by ``report``; the longest match is
+alike; items without an id hit as others do and are one null at the end of ``items``, counted once in
+``n_items``; an empty benchmark finds nothing; other columns are ignored by ``report``; the longest match is
 of one item, and of equal ones the first in the document.
 """
 
@@ -51,7 +52,7 @@ class Tests:
                 places.setdefault(n, {}).setdefault(key, []).append(int(self.first[i]) + at)
         #: By length: the distinct test windows as rows of word codes, and the items of each.
         self.by_length = {
-            n: (np.array([np.frombuffer(k, np.int32) for k in w]), [sorted(v) for v in w.values()]) for n, w in found.items()
+            n: (np.array([np.frombuffer(k, np.int32) for k in w]), [list(v) for v in w.values()]) for n, w in found.items()
         }
         #: Of the same windows: their places in ``line``.
         self.places = {n: [np.array(v) for v in w.values()] for n, w in places.items()}
@@ -159,21 +160,21 @@ def _shard(ids: list, texts: list[bytes], tests: Tests, window: int):
     for d, key in enumerate(ids):
         a, b = first[d], first[d + 1]
         found = [dict(zip(("at", "length", "item", "item_at"), m, strict=True)) for m in sorted(followed.get(d, ()), key=str)]
-        yield key, int(b - a), np.flatnonzero(covered[a:b]).tolist(), sorted(items.get(d, ())), found
+        yield key, int(b - a), np.flatnonzero(covered[a:b]).tolist(), sorted(items.get(d, ()), key=lambda k: (k is None, k)), found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> list[DataFrame]:
     """For each block of the benchmark: doc_id, n_words, hit word positions, items found, longest matches with their places."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text")).where("item is not null")
+    sized = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text"))
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word and its separator take two bytes at least.
     blocks = max(1, -(-total // (2 * block_words)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_at", pa.int32())])))])
     out = []
     for b in range(blocks):
-        mine = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        mine = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         items = [(r["item"], r["text"].encode()) for r in mine.toLocalIterator()]
         tests = spark.sparkContext.broadcast(Tests(items, window))
 
