@@ -62,6 +62,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """_row, _doc (all columns): the rows with numbers of their own, written so that the numbers stay; ids may be null or repeated."""
+    return scratch.write(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")), "numbered")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sizes them for its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

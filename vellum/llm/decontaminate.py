@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import LOWER_ALNUM, MULT, Scratch, Words, mix, pieces, utf8
+from vellum.llm.common import LOWER_ALNUM, Scratch, Words, numbered, pieces, utf8
 
 MATCH = "array<struct<at: int, length: int, item: string, item_at: int>>"
 SCHEMA = f"doc_id long, n_words long, hit array<int>, items array<string>, matches {MATCH}"
@@ -221,6 +221,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    bad = report(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents without any hit, with all their columns; each row is judged by its own text, whatever its id."""
+    marked = numbered(docs, Scratch(docs.sparkSession))
+    texts = marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))
+    bad = report(texts, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad"))
+    return marked.join(bad, marked["_row"] == bad["_bad"], "left_anti").select("_doc.*")

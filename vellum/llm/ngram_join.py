@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import LOWER_SPACE, MULT, Scratch, Words, mix, pack_sorted, pieces, shuffle_width, signed, unpack_sorted, utf8
+from vellum.llm.common import LOWER_SPACE, MULT, Scratch, Words, mix, numbered, pack_sorted, pieces, shuffle_width, signed, unpack_sorted, utf8
 from vellum.llm.components import components
 from vellum.llm.hashbits import Shared, shared
 
@@ -312,6 +312,13 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id, with all columns."""
-    kept = link(docs, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The documents that stay, with all columns: of each component the row with the smallest doc_id.
+
+    Rows are told apart by numbers of their own: a null doc_id comes after all others, and of rows with the same one the first stays.
+    """
+    marked = numbered(docs, Scratch(docs.sparkSession))
+    groups = link(marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), **how).select(F.col("doc_id").alias("_id"), "component_id")
+    ids = marked.select("_row", F.col("_doc.doc_id").alias("doc_id")).join(groups, F.col("_row") == F.col("_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = ids.groupBy("component_id").agg(best.alias("best")).select(F.col("best._row").alias("_kept"))
+    return marked.join(kept, marked["_row"] == kept["_kept"], "left_semi").select("_doc.*")
