@@ -82,8 +82,8 @@ def test_ngram_join_on_test_table(spark):
 def test_prefixes_ask_for_more_where_candidates_cost():
     tokens = np.arange(100, dtype=np.uint64)
     assert ngram_join.prefix(tokens, np.ones(100, np.int64), 9, 10)[0] == 1
-    level, sent, levels = ngram_join.prefix(tokens, np.full(100, 1000), 9, 10)
-    assert level > 1 and len(sent) == 10 + level and levels.max() == level
+    level, sent, short = ngram_join.prefix(tokens, np.full(100, 1000), 9, 10)
+    assert level > 1 and len(sent) == 10 + level and short == 11
 
 
 def test_one_of_each(docs):

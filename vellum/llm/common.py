@@ -20,6 +20,8 @@ MULT = np.array(
      0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 _LOCAL: list[str] = []
+#: The setting that removes shuffle files once their query has ended.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,10 +43,14 @@ class Scratch:
     def write(self, df: DataFrame, name: str, group_mb: int = 128) -> DataFrame:
         """``group_mb``: of a row group; small where rows are large, as readers hold a group at a time."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_mb << 20).parquet(path)
+        # Nothing reads the shuffle files that led to a written table again: Spark is told to remove them at the end of the write.
+        before = self.spark.conf.get(FILE_CLEANUP)
+        self.spark.conf.set(FILE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_mb << 20).parquet(path)
+        finally:
+            self.spark.conf.set(FILE_CLEANUP, before)
         self.paths[name] = path
-        # What led to a written table is no longer needed: let Spark's cleaner free its shuffle files now, not at the next collection.
-        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def finish(self, df: DataFrame) -> DataFrame:

@@ -10,18 +10,26 @@ postings read plus candidates to verify, of which at most postings / l can share
 held to the smaller l of its two documents.  Tokens that only one document has find nobody and aren't
 sent.
 
-Candidates of one token are compared by size, shared prefix tokens and a 512-bit parity sketch, whose
-distance never exceeds the sets' true one; none of these loses a pair.  Of the pairs left a token
-first hands on a spanning forest only.  Its edges are verified on the full sets.  Where a token's
-documents are still in different components then, all their remaining pairs are verified too.  So
-every link between different components is found without naming all pairs of a group.  A token
-of more than ``block`` documents is compared in pairs of blocks, in different tasks.
+Components grow in three rounds; only classes still apart are ever compared, and links are verified
+on the full sets before they join anything:
+
+1. Near copies nearly always share one of ``HEADS`` smallest hashes.  Each such group hands on a
+   spanning forest of its candidates.  Large groups of near copies are one component after it.
+2. Tokens of the prefixes whose classes are in several components: a spanning forest over components,
+   one edge (the nearest two sketches) for each pair that it joins.
+3. Tokens with an edge that verification refused: every remaining pair across components, named at
+   its first shared prefix token only.
+
+Candidates are compared by size, shared prefix tokens (rounds 2 and 3) and a 512-bit parity sketch,
+whose distance never exceeds the sets' true one; none of these loses a pair.  A round-2 forest spans
+all of a token's candidates, so a token whose edges all hold has nothing left to find.  A token of more
+than ``block`` classes is dealt in blocks: its largest component's blocks meet those of the others only.
 
 ``class_links`` counts, for a document's class, the other classes whose similarity with it is t at
 least, each once.  Linked classes are in one component, so every pair of classes of a component (of
 sizes that allow a link) is verified on the full sets, in pairs of blocks of bounded numbers of classes
 and elements; only the counts leave a task.  That work grows with the square of a component, as
-the number of links does.
+the number of links does; ``one_of_each`` doesn't need it.
 
 Defined cases: documents without words have no shingles and link with nothing; with fewer words than
 ``k``, the whole sequence is the one shingle; null is empty; repeated rows are one class; a null
@@ -31,17 +39,22 @@ doc_id is a row of its own component null unless linked; an empty table gives no
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import LOWER_SPACE, MULT, Scratch, Words, mix, numbered, pack_sorted, pieces, shuffle_width, signed, unpack_sorted, utf8
 from vellum.llm.components import components
 from vellum.llm.hashbits import Shared, shared
 
-MOST_L, VERIFY_COST, SKETCH = 4, 16, 512
+SKETCH, HEADS = 512, 3
+#: Longest l to consider, and what verifying a pair costs beside reading a posting: a fixed part and a part of its elements.
+MOST_L, VERIFY, VERIFY_PART = 64, 8, 1 / 16
+#: A prefix with more tokens than that is sent without the list of them, so l stays 1.
+MOST_LISTED = 256
 #: Classes and elements of one block of a component, where links are counted.
 COUNT_CLASSES, COUNT_ELEMENTS = 1024, 1 << 20
 
@@ -66,127 +79,170 @@ def shingle_sets(texts: list[bytes], k: int):
                 yield np.empty(0, np.uint64)
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """l, the prefix tokens that others have, and each one's level: the least l whose prefix has it."""
+def prefix(tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray, int]:
+    """l, the prefix tokens that others have in token order, and how many of them the prefix for l = 1 has."""
     n = len(tokens)
     alpha = -(-num * n // den)
     order = np.lexsort((tokens, counts))
-    longest = min(n, n - alpha + min(MOST_L, alpha))
-    head = counts[order[:longest]]
-    postings = np.cumsum(np.where(head > 1, head - 1, 0))
-    best = 1
-    if postings[-1]:
-        cost = [postings[min(n, n - alpha + x) - 1] * (1 + VERIFY_COST / x) for x in range(1, min(MOST_L, alpha) + 1)]
-        best = int(np.argmin(cost)) + 1
-    length = min(n, n - alpha + best)
-    sent = np.flatnonzero(head[:length] > 1)
-    level = np.maximum(sent - (n - alpha) + 1, 1)
-    return best, tokens[order[sent]], level.astype(np.uint8)
+    most = min(MOST_L, alpha, max(1, MOST_LISTED - (n - alpha)))
+    head = counts[order[: n - alpha + most]]
+    postings = np.cumsum(np.where(head > 1, head - 1, 0))[n - alpha :]
+    l = np.arange(1, most + 1)
+    best = int(l[np.argmin(postings * (1 + (VERIFY + n * VERIFY_PART) / l))])
+    sent = np.flatnonzero(head[: n - alpha + best] > 1)
+    return best, tokens[order[sent]], int(np.searchsorted(sent, n - alpha + 1))
+
+
+def heads(s: np.ndarray) -> np.ndarray:
+    """The smallest of the elements' hashes, under ``HEADS`` hash functions."""
+    return mix(np.array([(s * MULT[k]).min() for k in range(HEADS)]) + MULT[1 : HEADS + 1])
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int, counts: Shared) -> DataFrame:
-    """doc_id, n, key (of the set), and for documents with a prefix to send: l, tokens, levels, sketch, elements."""
+    """doc_id, n, key (of the set), and for documents with a prefix to send: l, tokens, short, heads, sketch, elements."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "doc_id long, n int, key binary, l int, tokens array<long>, levels binary, sketch binary, elements binary"
+    schema = "doc_id long, n int, key binary, l int, tokens array<long>, short int, heads array<long>, sketch binary, elements binary"
 
     def run(batches):
         for batch in batches:
             rows = []
             for s in shingle_sets(utf8(batch.column("text")), k):
-                row = [len(s), None, 1, [], b"", None, None]
+                row = [len(s), None, 1, [], 0, None, None, None]
                 if len(s):
                     row[1] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    row[2], tokens, levels = prefix(s, held.value.count(s), num, den)
+                    row[2], tokens, row[4] = prefix(s, held.value.count(s), num, den)
                     if len(tokens):
                         parity = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-                        row[3:] = signed(tokens), levels.tobytes(), np.packbits(parity.astype(np.uint8)).tobytes(), pack_sorted(s >> np.uint64(16))
+                        row[3], row[5] = signed(tokens), signed(heads(s))
+                        row[6:] = np.packbits(parity.astype(np.uint8)).tobytes(), pack_sorted(s >> np.uint64(16))
                 rows.append(row)
-            kinds = (pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            kinds = (pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             cols = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "n", "key", "l", "tokens", "levels", "sketch", "elements"])
+            names = ["doc_id", "n", "key", "l", "tokens", "short", "heads", "sketch", "elements"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 class Group:
-    """The documents of one token (of one pair of blocks), for comparison of one with many."""
-
-    def __init__(self, rows: list[dict], num: int, den: int):
-        self.rows, self.num, self.den = rows, num, den
-        self.n = np.array([r["n"] for r in rows], np.int64)
-        self.l = np.array([r["l"] for r in rows], np.int64)
-        self.side = np.array([r["side"] for r in rows])
-        self.comp = np.array([r["comp"] for r in rows], object)
-        self.sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), "<u8").reshape(len(rows), -1)
-        self.deep = np.flatnonzero(self.l > 1)
-        if len(self.deep) > 1:  # shared prefix tokens matter only where both ask for more than one
-            tokens = [np.array(rows[i]["tokens"], np.int32) for i in self.deep]
-            _, code = np.unique(np.concatenate(tokens), return_inverse=True)
-            self.level = np.full((len(rows), code.max() + 1), 99, np.uint8)
-            at = np.cumsum([0, *map(len, tokens)])
-            for x, i in enumerate(self.deep):
-                self.level[i, code[at[x] : at[x + 1]]] = np.frombuffer(rows[i]["levels"], np.uint8)
-
-    def near(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` that document i may be linked with."""
+    """The classes of one token (of one pair of blocks), for comparison of one with many."""
+
+    def __init__(self, rows: dict[str, np.ndarray], lists: list | None, num: int, den: int):
+        self.num, self.den = num, den
+        self.n, self.side, self.sketch, self.id = rows["n"], rows["side"], rows["sketch"], rows["id"]
+        _, self.comp = np.unique(rows["comp"], return_inverse=True)
+        self.l, self.code, self.lists = rows["l"], None, lists
+        if lists is not None and sum(x is not None for x in lists) > 1:
+            known = [x if x is not None else () for x in lists]
+            size = np.fromiter(map(len, known), np.int64, len(known))
+            values, code = np.unique(np.concatenate([np.asarray(x, np.int64) for x in known]), return_inverse=True)
+            self.code = np.full((len(known), int(size.max())), len(values), np.int64)
+            self.code[np.arange(self.code.shape[1]) < size[:, None]] = code
+            self.values, self.listed = values, size > 0
+
+    def near(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``others``, in other components, that class i may be linked with; the distances of their sketches."""
         if self.side[i] != 2:  # in a pair of blocks only across
             others = others[self.side[others] != self.side[i]]
         a, b = self.n[i], self.n[others]
-        others = others[(self.den * np.minimum(a, b) >= self.num * np.maximum(a, b))]
-        if not len(others):
-            return others
+        others = others[(self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)) & (self.comp[others] != self.comp[i])]
         # overlap >= num / (den + num) * (a + b), so the sets differ in a + b - 2 * overlap elements at most
         differ = np.bitwise_count(self.sketch[others] ^ self.sketch[i]).sum(1)
         total = a + self.n[others]
-        others = others[differ * (self.den + self.num) <= total * (self.den - self.num)]
-        least = np.minimum(self.l[i], self.l[others])
-        if (least > 1).any():
-            both = np.maximum(self.level[others], self.level[i]) <= least[:, None]
-            others = others[(least == 1) | (both.sum(1) >= least)]
-        return others
-
-
-def _pairs(batches, num: int, den: int, every: bool):
-    """Edges (a, b) for rows sorted by (token, i, j): a spanning forest of each group, or every pair across components."""
-
-    def of(rows):
-        g = Group(rows, num, den)
-        if every:
-            for i in range(len(rows) - 1):
-                rest = np.arange(i + 1, len(rows))
-                for j in g.near(i, rest[g.comp[rest] != g.comp[i]]):
-                    yield rows[i]["key"], rows[j]["key"]
-            return
-        left = np.arange(len(rows))
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                i = queue.pop()
-                got = g.near(i, left)
-                if len(got):
-                    left = np.setdiff1d(left, got, assume_unique=True)
-                    for j in got:
-                        yield rows[i]["key"], rows[j]["key"]
-                    queue.extend(got.tolist())
-
-    def batch_of(edges):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*edges, strict=True)], names=["a", "b"])
-
-    held, last, edges = [], None, set()
+        fit = differ * (self.den + self.num) <= total * (self.den - self.num)
+        return others[fit], differ[fit]
+
+    def matching(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of ``others``: which share as many prefix tokens with class i as both ask for."""
+        if self.code is None or not self.listed[i]:
+            return np.ones(len(others), bool)
+        own = np.zeros(len(self.values) + 1, bool)
+        own[self.code[i]] = True
+        own[-1] = False
+        return (own[self.code[others]].sum(1) >= np.minimum(self.l[i], self.l[others])) | ~self.listed[others]
+
+    def first(self, i: int, others: np.ndarray, token: int) -> np.ndarray:
+        """Of ``others``: which share no prefix token before ``token`` with class i."""
+        if self.code is None or not self.listed[i]:
+            return np.ones(len(others), bool)
+        own = np.zeros(len(self.values) + 1, bool)
+        mine = self.code[i]
+        own[mine[: int(np.flatnonzero(mine == np.searchsorted(self.values, token))[0])]] = True
+        return ~own[self.code[others]].any(1) | ~self.listed[others]
+
+
+def _forest(g: Group):
+    """Pairs that join the components of a group's candidates: for each two joined, those with the nearest sketches."""
+    left = np.arange(len(g.n))
+    while len(left):
+        queue = left[g.comp[left] == g.comp[left[0]]].tolist()
+        left = left[g.comp[left] != g.comp[left[0]]]
+        while queue and len(left):
+            i = queue.pop()
+            got, differ = g.near(i, left)
+            if len(got):
+                fit = g.matching(i, got)
+                got = got[fit][np.argsort(differ[fit], kind="stable")]
+                _, best = np.unique(g.comp[got], return_index=True)
+                for j in got[best].tolist():
+                    yield i, j
+                joined = np.isin(g.comp[left], g.comp[got])
+                queue.extend(left[joined].tolist())
+                left = left[~joined]
+
+
+def _every(g: Group, token: int):
+    """All candidates across components that have no shared prefix token before this one."""
+    for i in range(len(g.n) - 1):
+        got, _ = g.near(i, np.arange(i + 1, len(g.n)))
+        if len(got):
+            got = got[g.matching(i, got)]
+            for j in got[g.first(i, got, token)].tolist():
+                yield i, j
+
+
+def _candidates(batches, num: int, den: int, every: bool):
+    """a, b, token for rows sorted by (token, i, j): edges of each group."""
+
+    def table(batch) -> dict[str, np.ndarray]:
+        rows = {k: batch.column(k).to_numpy() for k in ("token", "i", "j", "side", "id", "comp", "n", "l")}
+        sketch = batch.column("sketch").cast(pa.binary(SKETCH // 8))
+        sketch = sketch.combine_chunks() if isinstance(sketch, pa.ChunkedArray) else sketch
+        return rows | {"sketch": np.frombuffer(sketch.buffers()[1], "<u8").reshape(-1, SKETCH // 64)[sketch.offset :][: len(sketch)]}
+
+    def edges(batch):
+        rows = table(batch)
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for k in ("token", "i", "j"):
+            change[1:] |= rows[k][1:] != rows[k][:-1]
+        first = np.append(np.flatnonzero(change), batch.num_rows)
+        lists = batch.column("tokens").to_pylist() if "tokens" in batch.schema.names else None
+        a, b, token = [], [], []
+        for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if y - x == 1:
+                continue
+            g = Group({k: v[x:y] for k, v in rows.items()}, lists and lists[x:y], num, den)
+            for i, j in _every(g, int(rows["token"][x])) if every else _forest(g):
+                a.append(max(g.id[i], g.id[j]))
+                b.append(min(g.id[i], g.id[j]))
+                token.append(rows["token"][x])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, token)], names=["a", "b", "token"])
+
+    rest = None
     for batch in batches:
-        for row in batch.to_pylist():
-            key = (row["token"], row["i"], row["j"])
-            if key != last:
-                edges.update((max(e), min(e)) for e in of(held)) if len(held) > 1 else None
-                held, last = [], key
-                if len(edges) > 20_000:
-                    yield batch_of(edges)
-                    edges = set()
-            held.append(row)
-    if len(held) > 1:
-        edges.update((max(e), min(e)) for e in of(held))
-    if edges:
-        yield batch_of(edges)
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        keys = [batch.column(k).to_numpy() for k in ("token", "i", "j")]
+        same = reduce(np.logical_and, (k == k[-1] for k in keys))
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield edges(batch.slice(0, cut))
+        rest = batch.slice(cut)  # the last group may go on in the next batch
+    if rest is not None:
+        yield edges(rest)
 
 
 def _verify(batches, num: int, den: int):
@@ -198,7 +254,7 @@ def _verify(batches, num: int, den: int):
             at = np.minimum(np.searchsorted(q, p), len(q) - 1)
             both = int((q[at] == p).sum())
             keep.append(den * both >= num * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(keep)], names=["a", "b", "linked"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
 
 def _count(rows: list[dict], num: int, den: int) -> np.ndarray:
@@ -226,11 +282,11 @@ def _count(rows: list[dict], num: int, den: int) -> np.ndarray:
 
 
 def _counts(batches, num: int, den: int):
-    """key, links for rows sorted by (comp, i, j, n); a key once for each pair of blocks."""
+    """id, links for rows sorted by (comp, i, j, n); an id once for each pair of blocks."""
 
     def batch_of(rows):
         links = _count(rows, num, den)
-        return pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows], pa.binary()), pa.array(links)], names=["key", "links"])
+        return pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows]), pa.array(links)], names=["id", "links"])
 
     held, last = [], None
     for batch in batches:
@@ -245,69 +301,108 @@ def _counts(batches, num: int, den: int):
         yield batch_of(held)
 
 
-def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 8192, heavy: int = 1 << 20, count_classes: int = COUNT_CLASSES) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_links (other classes its class is linked with); a row per document."""
+def link(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 2048, heavy: int = 1 << 20,
+    count_links: bool = True, count_classes: int = COUNT_CLASSES) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and, unless left out, class_links; a row per document."""
     spark = docs.sparkSession
     scratch, width = Scratch(spark), shuffle_width(docs.sparkSession)
     counts = shared(docs.select("text"), lambda batch: shingle_sets(utf8(batch.column("text")), k), heavy=heavy)
     prof = scratch.write(profiles(docs, k, num, den, counts).withColumn("at", F.monotonically_increasing_id()), "profiles")
-    classes = scratch.write(prof.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("at").alias("first_at")), "classes")
-    # One row a class, whatever ids are null or repeated: the profile of its first row.
-    sends = prof.where("size(tokens) > 0").withColumnRenamed("key", "_key")
-    reps = sends.join(classes, (F.col("_key") == F.col("key")) & (F.col("at") == F.col("first_at"))).drop("_key", "rep", "doc_id", "at", "first_at")
-    reps = scratch.write(reps, "reps")
-    posts = reps.select("key", F.explode("tokens").alias("token"))
-    lists = scratch.write(posts.groupBy("token").agg(F.count("*").alias("len")).where("len > 1"), "lists")
-
-    def spread(blocks):
+    # One row a class, whatever ids are null or repeated: the profile of its first row, whose number is the class's id.
+    classes = scratch.write(prof.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("at").alias("id")), "classes")
+    sends = prof.where("size(tokens) > 0").drop("doc_id", "key")
+    reps = scratch.write(sends.join(classes.select("id"), F.col("at") == F.col("id")).drop("at"), "reps")
+
+    def spread(mine: Column, begin: Column, end: Column) -> Column:
         # (i, i): the block itself, side 2; (i, j): the pair of blocks, sides 0 and 1.
-        mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
-        return F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(
-            F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"),
-            F.when(o == mine, 2).when(o > mine, 0).otherwise(1).alias("side")))
+        others = F.when(end > begin, F.sequence(begin, F.greatest(begin, end - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(others, lambda o: F.struct(
+            F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when(o == mine, 2).when(o > mine, 0).otherwise(1).alias("side")))
+
+    def blocks_of(count: Column) -> Column:
+        return F.ceil(count / F.lit(block)).cast("int")
 
-    payload = reps.select("key", "n", "l", "sketch", F.when(F.col("l") > 1, F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int"))).alias("tokens"), F.when(F.col("l") > 1, F.col("levels")).alias("levels"))
+    def block_of(blocks: Column) -> Column:
+        return F.pmod(F.xxhash64("id", "token"), F.greatest(blocks, F.lit(1))).cast("int")
 
-    def candidates(members: DataFrame, every: bool) -> DataFrame:
-        dealt = members.select("token", "key", "comp", F.explode(spread(F.ceil(F.col("len") / F.lit(block)).cast("int"))).alias("s")).select("token", "key", "comp", "s.*")
-        rows = dealt.join(payload, "key").repartition(width, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "key")
-        return rows.mapInArrow(lambda batches: _pairs(batches, num, den, every), "a binary, b binary").distinct()
+    def groups(dealt: DataFrame, lists: Column | None, every: bool, name: str) -> DataFrame:
+        """a, b, token from rows (token, id, comp, s)."""
+        payload = reps.select("id", "n", "l", "sketch", *([] if lists is None else [lists.alias("tokens")]))
+        rows = dealt.select("token", "id", "comp", "s.*").join(payload, "id")
+        rows = rows.repartition(width, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "id")
+        return scratch.write(rows.mapInArrow(lambda batches: _candidates(batches, num, den, every), "a long, b long, token long"), name)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        elements = reps.select("key", "elements")
-        left = pairs.join(elements.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
-        both = left.join(elements.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-        return scratch.write(both.mapInArrow(lambda batches: _verify(batches, num, den), "a binary, b binary, linked boolean"), name)
-
-    members = posts.join(lists, "token")
-    first = verified(candidates(members.withColumn("comp", F.lit(None).cast("binary")), False), "first")
-    roots = scratch.write(components(first.where("linked").select("a", "b"), scratch, "cc"), "roots")
-    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("token", "len", "key", F.coalesce("root", "key").alias("comp"))
-    placed = scratch.write(placed, "placed")
-    open_lists = placed.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
-    more = candidates(placed.join(open_lists, "token"), True).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(more, "second")
-    # The second round's links join components of the first.
-    top = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    tob = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    between = second.where("linked").join(top, "a", "left").join(tob, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    upper = components(between, scratch, "top").select(F.col("node").alias("mid"), F.col("root").alias("upper"))
-    comp = classes.join(roots, F.col("key") == F.col("node"), "left").withColumn("mid", F.coalesce("root", "key")).drop("node", "root")
-    comp = comp.join(upper, "mid", "left").select("key", "rep", F.coalesce("upper", "mid").alias("comp"))
-    comp = scratch.write(comp.join(reps.select("key", F.col("n").alias("elements_n")), "key", "left"), "whole")
+        elements = reps.select("id", "elements")
+        left = pairs.join(elements.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
+        both = left.join(elements.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
+        return scratch.write(both.mapInArrow(lambda batches: _verify(batches, num, den), "a long, b long, linked boolean"), name)
+
+    def placed(found: DataFrame, comp: DataFrame) -> DataFrame:
+        """``found`` (a, b, ...) with the components p and q of its two ends."""
+        ends = found.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("p")), "a")
+        return ends.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("q")), "b")
+
+    def grown(comp: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """id, comp after the verified links."""
+        between = placed(links.where("linked"), comp).select(F.col("p").alias("a"), F.col("q").alias("b"))
+        roots = components(between, scratch, name)
+        return scratch.write(comp.join(roots, F.col("comp") == F.col("node"), "left").select("id", F.coalesce("root", "comp").alias("comp")), f"{name}_comp")
+
+    alone = reps.select("id", F.col("id").alias("comp"))
+    posts = reps.select("id", F.explode("heads").alias("token"))
+    lists = posts.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
+    mine = block_of(blocks_of(F.col("len")))
+    dealt = posts.join(lists, "token").select("token", "id", F.col("id").alias("comp"), F.struct(mine.alias("i"), mine.alias("j"), F.lit(2).alias("side")).alias("s"))
+    found = groups(dealt, None, False, "edges1").select("a", "b").distinct()
+    comp = grown(alone, verified(found, "links1"), "cc1")
+
+    def members(comp: DataFrame, only: DataFrame | None) -> DataFrame:
+        """token, id, comp and s, for tokens (of ``only``) with several components."""
+        posts = reps.select("id", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
+        posts = posts if only is None else posts.join(only, "token", "left_semi")
+        posts = scratch.write(posts.join(comp, "id").select("token", "id", "comp"), "posts" if only is None else "open_posts")
+        parts = posts.groupBy("token", "comp").agg(F.count("*").alias("size"))
+        lists = parts.groupBy("token").agg(F.count("*").alias("comps"), F.sum("size").alias("len"), F.max(F.struct("size", "comp")).alias("top"))
+        lists = lists.where("comps > 1").select("token", "len", F.col("top.comp").alias("top"), F.col("top.size").alias("top_size"))
+        major, minor = blocks_of(F.col("top_size")), blocks_of(F.col("len") - F.col("top_size"))
+        in_major, in_minor = block_of(major), major + block_of(minor)
+        one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
+        s = F.when(F.col("len") <= block, one).when(F.col("comp") == F.col("top"), spread(in_major, major, major + minor)).otherwise(spread(in_minor, F.lit(0), major + minor))
+        return posts.join(lists, "token").select("token", "id", "comp", F.explode(s).alias("s"))
+
+    listed = F.size("tokens") <= MOST_LISTED
+    short = F.when(listed & (F.col("l") > 1), F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")))
+    edges = groups(members(comp, None), short, False, "edges2")
+    second = verified(edges.select("a", "b").distinct(), "links2")
+    comp = grown(comp, second, "cc2")
+    still = scratch.write(placed(edges, comp).where("p <> q").select("token").distinct(), "open")
+    third = groups(members(comp, still), F.when(listed, F.col("tokens")), True, "edges3").select("a", "b").distinct()
+    third = verified(third.join(second.select("a", "b"), ["a", "b"], "left_anti"), "links3")
+    comp = grown(comp, third, "cc3")
+    scratch.drop("edges1", "edges2", "edges3", "links1", "links2", "links3", "posts", "open_posts", "open", "cc1_comp", "cc2_comp")
+
+    whole = classes.join(comp, "id", "left").select("key", "rep", F.col("id"), F.coalesce("comp", "id").alias("comp"))
+    whole = scratch.write(whole.join(reps.select("id", F.col("n").alias("elements_n")), "id", "left"), "whole")
     parts = F.greatest(F.ceil(F.count("*") / F.lit(count_classes)), F.ceil(F.coalesce(F.sum("elements_n"), F.lit(0)) / F.lit(COUNT_ELEMENTS))).cast("int")
-    named = scratch.write(comp.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"), parts.alias("parts")), "named")
-    inside = comp.join(named.where("members > 1"), "comp").select("comp", "key", F.explode(spread(F.col("parts"))).alias("s")).select("comp", "key", "s.*")
-    rows = inside.join(reps.select("key", "n", "elements"), "key").repartition(width, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "n", "key")
-    links = rows.mapInArrow(lambda batches: _counts(batches, num, den), "key binary, links long")
-    degree = links.groupBy(F.col("key").alias("node")).agg(F.sum("links").alias("class_links"))
-    comp = comp.join(named, "comp").join(degree, F.col("key") == F.col("node"), "left")
+    named = scratch.write(whole.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"), parts.alias("parts")), "named")
+    whole = whole.join(named, "comp")
+    kept = ["component_id"]
+    if count_links:
+        own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        inside = whole.where("members > 1").select("comp", "id", F.explode(spread(own, F.lit(0), F.col("parts"))).alias("s")).select("comp", "id", "s.*")
+        rows = inside.join(reps.select("id", "n", "elements"), "id").repartition(width, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "n", "id")
+        links = rows.mapInArrow(lambda batches: _counts(batches, num, den), "id long, links long")
+        degree = links.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("class_links"))
+        whole = whole.join(degree, F.col("id") == F.col("node"), "left")
+        kept.append("class_links")
     # Written, so that the join below stands alone: a class of very many copies is then split by skew handling.
-    comp = scratch.write(comp.select(F.col("key").alias("_key"), "component_id", "class_links"), "comp")
-    out = prof.select("doc_id", "n", "key").join(comp, F.col("key") == F.col("_key"), "left")
+    whole = scratch.write(whole.select(F.col("key").alias("_key"), *kept), "comp")
+    out = prof.select("doc_id", "n", "key").join(whole, F.col("key") == F.col("_key"), "left")
     out = out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("class_links", F.lit(0).cast("long")).alias("class_links"))
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in kept[1:]])
     return scratch.finish(out)
 
 
@@ -316,9 +411,10 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
 
     Rows are told apart by numbers of their own: a null doc_id comes after all others, and of rows with the same one the first stays.
     """
-    marked = numbered(docs, Scratch(docs.sparkSession))
-    groups = link(marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), **how).select(F.col("doc_id").alias("_id"), "component_id")
-    ids = marked.select("_row", F.col("_doc.doc_id").alias("doc_id")).join(groups, F.col("_row") == F.col("_id"))
+    scratch = Scratch(docs.sparkSession)
+    marked = numbered(docs, scratch)
+    groups = link(marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), count_links=False, **how)
+    ids = marked.select("_row", F.col("_doc.doc_id").alias("doc_id")).join(groups.select(F.col("doc_id").alias("_id"), "component_id"), F.col("_row") == F.col("_id"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     kept = ids.groupBy("component_id").agg(best.alias("best")).select(F.col("best._row").alias("_kept"))
     return marked.join(kept, marked["_row"] == kept["_kept"], "left_semi").select("_doc.*")
