@@ -22,21 +22,20 @@ def plan(df):
 
 def test_access_matrix(spark):
     got = {(r["user_id"], r["policy_id"]) for r in catalogue.acl_matrix(spark, SF).where("allowed").collect()}
-    active = [p[0] for p in catalogue.PRINCIPALS if p[1]]
-    want = {(u, p) for u in active for p in ("public", "internal")}
-    want |= {("baggage-supervisor", "baggage-review"), ("security-officer", "baggage-review"), ("hr-specialist", "hr-procedure")}
-    assert got == want
+    here = {"ada", "ben", "cleo", "dov", "eve", "fay", "gil"}  # active and entitled to the corpus
+    want = {(u, "open") for u in here} | {(u, "staff") for u in here - {"fay"}}
+    assert got == want | {("ben", "store"), ("eve", "store"), ("dov", "ledger")}
 
 
 def test_explicit_deny_and_missing_rules_deny(spark):
     from vellum.functions.access import allow
 
     kind = "classification string, allowed_roles array<string>, department_ids array<string>, allowed_users array<string>, denied_users array<string>"
-    rules = spark.createDataFrame([("public", None, None, None, ["demo-auditor"]), ("secret", None, None, None, None), (None, None, None, None, None), ("public", None, None, None, None)], kind)
-    rows = rules.select(F.struct("*").alias("p")).crossJoin(catalogue.principals(spark).where("user_id = 'demo-auditor'").select(F.struct("*").alias("u")))
-    ok = [r[0] for r in rows.select(allow("u", F.lit("main"), F.lit("demo"), "p")).collect()]
+    rules = spark.createDataFrame([("public", None, None, None, ["fay"]), ("secret", None, None, None, None), (None, None, None, None, None), ("public", None, None, None, None)], kind)
+    rows = rules.select(F.struct("*").alias("p")).crossJoin(catalogue.principals(spark).where("user_id = 'fay'").select(F.struct("*").alias("u")))
+    ok = [r[0] for r in rows.select(allow("u", F.lit("core"), F.lit("museum"), "p")).collect()]
     assert ok == [False, False, False, True]
-    assert not rows.where(allow("u", F.lit("other"), F.lit("demo"), "p") | allow("u", F.lit("main"), F.lit("else"), "p") | allow("u", F.lit(None).cast("string"), F.lit("demo"), "p")).count()
+    assert not rows.where(allow("u", F.lit("other"), F.lit("museum"), "p") | allow("u", F.lit("core"), F.lit("else"), "p") | allow("u", F.lit(None).cast("string"), F.lit("museum"), "p")).count()
 
 
 def test_authorization_stands_below_the_limit(spark):
@@ -106,13 +105,13 @@ def test_evaluation(spark):
 
 
 def write_corpus(tmp_path, tamper=False):
-    text = "Bag Rules\n1. Purpose\nBags must be tagged.\n"
+    text = "Lamp Rules\n1. Purpose\nLamps stay off at night.\n"
     (tmp_path / "data").mkdir()
     (tmp_path / "data/a.txt").write_text(text)
     (tmp_path / "data/README.md").write_text("not listed")
     digest = hashlib.sha256(text.encode()).hexdigest() if not tamper else "0" * 64
-    entry = f'{{"corpus_id": "bags", "policy_issuer": "Sky", "path": "a.txt", "sha256": "{digest}", "effective_from": null, "classification": "public", "access_policy_id": "public"}}'
-    (tmp_path / "m.json").write_text(f'{{\n"tenant_id": "demo", "allowlist_only": true,\n"documents": [{entry}]}}')
+    entry = f'{{"corpus_id": "maps", "policy_issuer": "Museum", "path": "a.txt", "sha256": "{digest}", "effective_from": null, "classification": "public", "access_policy_id": "public"}}'
+    (tmp_path / "m.json").write_text(f'{{\n"tenant_id": "museum", "allowlist_only": true,\n"documents": [{entry}]}}')
     return str(tmp_path / "m.json"), str(tmp_path / "data"), digest
 
 
@@ -120,15 +119,15 @@ def test_corpus_from_manifest_to_jsonl(spark, tmp_path):
     from vellum.operators.chunking import chunk_documents
 
     manifest, root, digest = write_corpus(tmp_path)
-    docs = corpus.documents(spark, corpus.manifest(spark, manifest), root).withColumn("document_title", F.lit("Bag Rules")).cache()
-    assert [(r["corpus_id"], r["document_version_id"], r["effective_from"]) for r in docs.collect()] == [("bags", f"bags:{digest[:12]}", None)]
+    docs = corpus.documents(spark, corpus.manifest(spark, manifest), root).withColumn("document_title", F.lit("Lamp Rules")).cache()
+    assert [(r["corpus_id"], r["document_version_id"], r["effective_from"]) for r in docs.collect()] == [("maps", f"maps:{digest[:12]}", None)]
     chunks = chunk_documents(docs)
     records = corpus.chunk_records(chunks, docs)
     corpus.write_jsonl(records, str(tmp_path / "out"))
     lines = [x for p in (tmp_path / "out").glob("part*") for x in p.read_text().splitlines()]
     assert len(lines) == 2 and all('"continuation_of":null' in x for x in lines) and len(records.columns) == 18
     s = corpus.summary(chunks, docs).first()
-    assert (s["children"], s["sections"], s["max_child_tokens"], s["over_max"], s["headings"]) == (2, 2, 4, [], ["1 Purpose", "Bag Rules"])
+    assert (s["children"], s["sections"], s["max_child_tokens"], s["over_max"], s["headings"]) == (2, 2, 5, [], ["1 Purpose", "Lamp Rules"])
 
 
 def test_changed_file_fails(spark, tmp_path):

@@ -6,16 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns that decide what a heading, sentence, exception, reference or table row is.
-MARKDOWN_HEADING = r"^(#{1,6})\s+(\S.*?)\s*$"
-SECTION_HEADING = r"^Section\s+(\d+)\s+[–—-]\s+(\S.*?)\s*$"
-DOTTED_HEADING = r"^(\d+(?:\.\d+)*)\.\s+(\S.*?)\s*$"
-BARE_HEADING = r"^(\d+\.\d+(?:\.\d+)*)\s+(\S.*?)\s*$"
-SENTENCE_BREAK = r"""(?<=[.!?])\s+(?=[A-Z0-9"“])"""
-BLOCK_BREAK = r"\n\s*\n"
-EXCEPTION = r"(?i)(^\s*exception\b|\b(except|unless)\b|\bexception applies\b)"
-REFERENCE = r"(?i)\b(refer to|see section|see the)\b[^.\n]{0,160}"
-TABLE_ROW = r"^\s*\|.+\|\s*$"
-TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
+MARKDOWN_HEADING = r"(?U)^(#{1,6})\s+(\S.*?)\s*$"
+SECTION_HEADING = r"(?U)^Section\s+(\d+)\s+[–—-]\s+(\S.*?)\s*$"
+DOTTED_HEADING = r"(?U)^(\d+(?:\.\d+)*)\.\s+(\S.*?)\s*$"
+BARE_HEADING = r"(?U)^(\d+\.\d+(?:\.\d+)*)\s+(\S.*?)\s*$"
+SENTENCE_BREAK = r"""(?U)(?<=[.!?])\s+(?=[A-Z0-9"“])"""
+BLOCK_BREAK = r"(?U)\n\s*\n"
+EXCEPTION = r"(?iU)(^\s*exception\b|\b(except|unless)\b|\bexception applies\b)"
+REFERENCE = r"(?iU)\b(refer to|see section|see the)\b[^.\n]{0,160}"
+TABLE_ROW = r"(?U)^\s*\|.+\|\s*$"
+TABLE_RULE = r"(?U)^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 WORD = r"(?U)\S+"
 TITLE_WORDS, TITLE_CHARS, TITLE_STOPS = 12, 80, ".:;"
 
@@ -45,24 +45,24 @@ def is_title(title: Column) -> Column:
 
 
 def heading(line: Column) -> Column:
-    """The line's formatted heading, or null: Markdown, ``Section N –``, or numbered with a title."""
+    """The line's formatted heading, or null: Markdown, ``Section N –`` or numbered, each with a title."""
 
     def group(pattern: str, i: int) -> Column:
         return F.regexp_extract(line, pattern, i)
 
-    numbered = F.coalesce(*[
-        F.when(line.rlike(p) & is_title(group(p, 2)), F.concat_ws(" ", group(p, 1), group(p, 2))) for p in (DOTTED_HEADING, BARE_HEADING)
-    ])
-    return (
-        F.when(line.rlike(MARKDOWN_HEADING), group(MARKDOWN_HEADING, 2))
-        .when(line.rlike(SECTION_HEADING), F.concat_ws(" ", F.lit("Section"), group(SECTION_HEADING, 1), group(SECTION_HEADING, 2)))
-        .otherwise(numbered)
-    )
+    def titled(pattern: str, shown: Column) -> Column:
+        return F.when(line.rlike(pattern) & is_title(group(pattern, 2)), shown)
+
+    return F.coalesce(
+        titled(MARKDOWN_HEADING, group(MARKDOWN_HEADING, 2)),
+        titled(SECTION_HEADING, F.concat_ws(" ", F.lit("Section"), group(SECTION_HEADING, 1), group(SECTION_HEADING, 2))),
+        # A line of the dotted form is never tried as the bare one: their titles would be the same.
+        *[titled(p, F.concat_ws(" ", group(p, 1), group(p, 2))) for p in (DOTTED_HEADING, BARE_HEADING)])
 
 
 def sentences(text: Column) -> Column:
     """Sentences of a text, ends trimmed, blanks dropped."""
-    parts = F.transform(F.split(text, SENTENCE_BREAK), lambda s: F.regexp_replace(s, r"\s+$", ""))
+    parts = F.transform(F.split(text, SENTENCE_BREAK), lambda s: F.regexp_replace(s, r"(?U)\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.functions.ids import ChunkConfig
+from vellum.functions.ids import Limits, chunk_id, fingerprint
 
 SPAN = "struct<start:int,end:int>"
 UNIT = f"struct<s:int,e:int,tok:int,kind:string,spans:array<{SPAN}>,header:string,rendered:string,sents:array<struct<s:int,tok:int>>>"
@@ -39,7 +39,7 @@ def sections(docs: DataFrame) -> DataFrame:
     section = "struct<heading:string,start:int,end:int,named:boolean>"
     rows = rows.withColumn("all", F.expr(f"""
       concat(
-        if(trim(regexp_replace(substring(text, 1, coalesce(heads[0].at, length(text))), '\\\\s', ' ')) <> '',
+        if(trim(regexp_replace(substring(text, 1, coalesce(heads[0].at, length(text))), '(?U)\\\\s', ' ')) <> '',
            array(cast(struct(document_title, 0, coalesce(heads[0].at, length(text)), false) as {section})), cast(array() as array<{section}>)),
         coalesce(transform(heads, (h, i) -> cast(struct(
            h.heading, least(h.body, length(text)), coalesce(get(heads, i + 1).at, length(text)), true) as {section})), cast(array() as array<{section}>)))
@@ -62,11 +62,11 @@ def _tokens(x: str) -> str:
 
 
 def _trim_end(x: str) -> str:
-    return f"regexp_replace({x}, '\\\\s+$', '')"
+    return f"regexp_replace({x}, '(?U)\\\\s+$', '')"
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\\\s+|\\\\s+$', '')"
+    return f"regexp_replace({x}, '(?U)^\\\\s+|\\\\s+$', '')"
 
 
 def _sentence_units(block: str, base: str) -> str:
@@ -81,16 +81,20 @@ def _sentence_units(block: str, base: str) -> str:
 
 
 def _table_units(block: str, base: str, most: int) -> str:
-    """Row groups that repeat the header, as many rows as fit; rows before the rule line belong to the header."""
+    """Row groups that repeat the header, as many rows as fit; rows before the rule line belong to the header.
+
+    Lines that are no rows but stand after the rule line follow as sentences, so that nothing is lost.
+    """
     rows = "array<struct<s:int,e:int,t:string>>"
-    state = f"struct<at:int,seen:boolean,head:int,header:string,rows:{rows}>"
+    state = f"struct<at:int,seen:boolean,head:int,header:string,rows:{rows},prose:{rows}>"
     row, rule = f"l rlike {_quoted(T.TABLE_ROW)}", f"l rlike {_quoted(T.TABLE_RULE)}"
     step = f"""cast(struct(
         a.at + length(l) + 1 as at, a.seen or ({rule}) as seen,
         if(not a.seen and (({row}) or ({rule})), a.at + length(l) + 1, a.head) as head,
         if(not a.seen and (({row}) or ({rule})), concat_ws('\\n', nullif(a.header, ''), l), a.header) as header,
-        if(a.seen and ({row}), concat(a.rows, array(struct(a.at as s, a.at + length(l) + 1 as e, {_strip('l')} as t))), a.rows) as rows) as {state})"""
-    read = f"aggregate(split({block}, '\\n'), cast(struct({base} as at, false as seen, {base} as head, '' as header, array() as rows) as {state}), (a, l) -> {step})"
+        if(a.seen and ({row}), concat(a.rows, array(struct(a.at as s, a.at + length(l) + 1 as e, {_strip('l')} as t))), a.rows) as rows,
+        if(a.seen and not ({row}) and not ({rule}) and {_strip('l')} <> '', concat(a.prose, array(struct(a.at as s, a.at + length(l) as e, l as t))), a.prose) as prose) as {state})"""
+    read = f"aggregate(split({block}, '\\n'), cast(struct({base} as at, false as seen, {base} as head, '' as header, array() as rows, array() as prose) as {state}), (a, l) -> {step})"
     shown = _strip(f"substring({block}, 1, q.head - {base})")
     unit = f"""cast(struct(
         {base} as s, element_at(g.rows, -1).e as e, g.tok as tok, 'table_group' as kind,
@@ -104,24 +108,25 @@ def _table_units(block: str, base: str, most: int) -> str:
     groups = f"""aggregate(filter(q.rows, r -> {checked}), cast(struct(array() as rows, {_tokens(shown)} as tok, array() as out) as {group}),
         (g, r) -> {add}, g -> if(size(g.rows) > 0, concat(g.out, array({unit})), g.out))"""
     # ``transform`` over one element names the parsed table ``q``.
-    return f"flatten(transform(array({read}), q -> {groups}))"
+    prose = f"flatten(transform(q.prose, n -> {_sentence_units('n.t', 'n.s')}))"
+    return f"flatten(transform(array({read}), q -> concat({groups}, {prose})))"
 
 
-def units(config: ChunkConfig) -> Column:
+def units(limits: Limits) -> Column:
     """The units of column ``body`` in order, offsets from ``body_start``; each block is table groups or sentences."""
     parts = _quoted(r"(?s)(.*?)(" + T.BLOCK_BREAK + r"|\z)")
     state = f"struct<at:int,out:array<{UNIT}>>"
     rule = f"exists(split(p.t, '\\n'), l -> l rlike {_quoted(T.TABLE_RULE)})"
-    one = f"""if({rule}, transform(array({_table_units("p.t", "a.at", config.max_tokens)}), t -> if(size(t) > 0, t, {_sentence_units("p.t", "a.at")}))[0],
+    one = f"""if({rule}, transform(array({_table_units("p.t", "a.at", limits.most)}), t -> if(size(t) > 0, t, {_sentence_units("p.t", "a.at")}))[0],
                {_sentence_units("p.t", "a.at")})"""
     pairs = f"zip_with(regexp_extract_all(body, {parts}, 0), regexp_extract_all(body, {parts}, 1), (r, t) -> struct(r, t))"
     step = f"cast(struct(a.at + length(p.r) as at, if(trim(p.t) = '', a.out, concat(a.out, {one})) as out) as {state})"
     return F.expr(f"aggregate({pairs}, cast(struct(body_start as at, array() as out) as {state}), (a, p) -> {step}, a -> a.out)")
 
 
-def pieces(config: ChunkConfig) -> Column:
+def pieces(limits: Limits) -> Column:
     """Packs column ``units`` greedily: to the target, exceptions up to the maximum, longer units in slices."""
-    most, target = config.max_tokens, config.target_tokens
+    most, target = limits.most, limits.target
     state = f"struct<cur:array<{UNIT}>,tok:int,overlap:int,out:array<{PIECE}>>"
 
     def flushed(cut: str) -> str:
@@ -142,7 +147,7 @@ def pieces(config: ChunkConfig) -> Column:
     append = f"cast(struct(concat(a.cur, array(u)) as cur, a.tok + u.tok as tok, a.overlap as overlap, a.out as out) as {state})"
     # Whole sentences from the end of the piece just closed, while they fit the overlap; it must be one span.
     tail = f"""aggregate(reverse(a.cur[0].sents), cast(struct(0 as tok, true as go, array() as sents) as struct<tok:int,go:boolean,sents:array<struct<s:int,tok:int>>>),
-        (b, s) -> if(b.go and b.tok + s.tok <= {config.overlap_tokens},
+        (b, s) -> if(b.go and b.tok + s.tok <= {limits.overlap},
             cast(struct(b.tok + s.tok as tok, true as go, concat(array(s), b.sents) as sents) as struct<tok:int,go:boolean,sents:array<struct<s:int,tok:int>>>),
             cast(struct(b.tok as tok, false as go, b.sents as sents) as struct<tok:int,go:boolean,sents:array<struct<s:int,tok:int>>>)))"""
     joined = f"""cast(struct(v.sents[0].s as s, u.e as e, v.tok + u.tok as tok, u.kind as kind, array(struct(v.sents[0].s, u.e)) as spans,
@@ -161,18 +166,17 @@ def pieces(config: ChunkConfig) -> Column:
     return F.expr(f"aggregate(units, {zero}, (a, u) -> {step}, a -> {flushed('false')})")
 
 
-def chunk_sections(parts: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
+def chunk_sections(parts: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Child chunks of sections (as ``sections`` gives them), one row each."""
-    config = config or ChunkConfig()
-    digest = config.fingerprint()
+    limits = limits or Limits()
+    digest = fingerprint(limits)
     rows = parts.withColumn("tokens", T.word_count(F.col("body"))).where("tokens > 0")
     whole = F.expr(f"""array(cast(struct(array(struct(body_start, body_end)) as spans, 'whole' as kind, tokens as tok, null as header,
         null as rendered, 0 as overlap, 0 as part, false as cut) as {PIECE}))""")
-    short = (F.col("tokens") <= config.max_tokens) & ~T.has_table(F.col("body"))
-    rows = rows.withColumn("units", F.when(~short, units(config)))
-    rows = rows.withColumn("pieces", F.when(short, whole).otherwise(pieces(config))).drop("units")
-    ids = F.expr(f"""transform(pieces, p -> sha2(concat_ws('|', document_version_id,
-        array_join(transform(p.spans, s -> concat_ws(':', s.start, s.end)), ','), p.part, '{digest}'), 256))""")
+    short = (F.col("tokens") <= limits.most) & ~T.has_table(F.col("body"))
+    rows = rows.withColumn("units", F.when(~short, units(limits)))
+    rows = rows.withColumn("pieces", F.when(short, whole).otherwise(pieces(limits))).drop("units")
+    ids = F.transform("pieces", lambda p: chunk_id(F.col("document_version_id"), p["spans"], p["part"], digest))
     rows = rows.withColumn("ids", ids)
     out = rows.select("*", F.posexplode("pieces").alias("chunk_ordinal", "p"))
     source = F.transform("p.spans", lambda s: F.substring("body", s["start"] - F.col("body_start") + 1, s["end"] - s["start"]))
@@ -190,8 +194,8 @@ def chunk_sections(parts: DataFrame, config: ChunkConfig | None = None) -> DataF
         F.get("p.spans", F.lit(0))["start"].alias("source_start"), F.element_at("p.spans", -1)["end"].alias("source_end"))
 
 
-def chunk_documents(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
-    return chunk_sections(sections(docs), config)
+def chunk_documents(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    return chunk_sections(sections(docs), limits)
 
 
 def pack_greedy(tokens: Column, target: int) -> Column:
@@ -208,15 +212,15 @@ def pack_greedy(tokens: Column, target: int) -> Column:
     return F.aggregate(tokens, zero, add, lambda a: a["out"])
 
 
-def rerank_windows(chunks: DataFrame, question: str, config: ChunkConfig | None = None) -> DataFrame:
+def rerank_windows(chunks: DataFrame, question: str, limits: Limits | None = None) -> DataFrame:
     """Windows of chunks that fit the scorer's pair limit beside the question and title: chunk_id, window_id, window_index, text, continuation_of.
 
     A chunk that fits is one window under its own id; else whole sentences are packed, and a longer
     sentence is cut into slices of the budget.
     """
-    config = config or ChunkConfig()
+    limits = limits or Limits()
     title = F.concat_ws(" ", "document_title", "heading_path")
-    budget = F.lit(config.rerank_pair_tokens - config.rerank_special_tokens) - T.word_count(F.lit(question)) - T.word_count(title)
+    budget = F.lit(limits.pair - limits.special) - T.word_count(F.lit(question)) - T.word_count(title)
     rows = chunks.withColumn("budget", F.when(budget > 0, budget).otherwise(F.raise_error(F.lit("question and title leave no room")).cast("int")))
     parts = F.regexp_extract_all("text", F.lit(r"(?s)(.*?)(" + T.SENTENCE_BREAK + r"|\z)"), F.lit(0))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\S+\s*"), F.lit(0))
@@ -232,4 +236,4 @@ def rerank_windows(chunks: DataFrame, question: str, config: ChunkConfig | None
     out = rows.select("chunk_id", F.size("windows").alias("n"), F.posexplode("windows").alias("window_index", "text"))
     name = F.when(F.col("n") == 1, F.col("chunk_id")).otherwise(F.concat_ws(":rerank:", "chunk_id", F.col("window_index").cast("string")))
     first = F.when(F.col("window_index") > 0, F.concat(F.col("chunk_id"), F.lit(":rerank:0")))
-    return out.select("chunk_id", name.alias("window_id"), "window_index", F.regexp_replace("text", r"\s+$", "").alias("text"), first.alias("continuation_of"))
+    return out.select("chunk_id", name.alias("window_id"), "window_index", F.regexp_replace("text", r"(?U)\s+$", "").alias("text"), first.alias("continuation_of"))

@@ -23,3 +23,13 @@ def findings(**kinds: DataFrame) -> DataFrame:
         one = df.select(F.lit(kind).alias("finding"), F.col(df.columns[0]).cast("string").alias("subject"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def common_to_all(members: DataFrame, marks: DataFrame, by: list[str], mark: list[str]) -> DataFrame:
+    """``by``, ``mark``: the marks that every member of a group has.  ``marks`` has a row a member and mark.
+
+    Both sides are counted before they meet, so no group is ever gathered.
+    """
+    every = members.groupBy(*by).agg(F.count("*").alias("_every"))
+    have = marks.groupBy(*by, *mark).agg(F.count("*").alias("_have"))
+    return have.join(every, by).where("_have = _every").select(*by, *mark)

@@ -67,7 +67,7 @@ def structured(docs: DataFrame) -> DataFrame:
     """Documents with headings around their text, as policy documents have them."""
     text = F.concat(
         F.lit("Manual "), F.col("doc_id"), F.lit("\n1. Purpose\n"), F.col("text"), F.lit("\n2.1 Review Steps\n2.5 kg is a limit, not a title.\nsee it\n"),
-        F.lit("Section 3 – Limits\n# Notes\nKeep the "), F.col("source"), F.lit(" file.\n4. this is no heading\n"))
+        F.lit("Section 3 – Limits\n# Notes\nKeep the "), F.col("source"), F.lit(" file.\n4. this is no heading\n# neither is this\nSection 5 - nor that.\n"))
     return docs.select(
         F.col("doc_id").cast("string").alias("document_version_id"), F.concat(F.lit("Manual "), F.col("doc_id")).alias("document_title"),
         F.lit("internal").alias("access_policy_id"), text.alias("text"), F.create_map(F.lit("2.1 Review Steps"), F.lit("restricted")).alias("access_by_heading"))
@@ -76,18 +76,19 @@ def structured(docs: DataFrame) -> DataFrame:
 _LINES = r"""
 WITH t AS (
   SELECT doc_id, 'Manual ' || doc_id || chr(10) || '1. Purpose' || chr(10) || text || chr(10) || '2.1 Review Steps' || chr(10) || '2.5 kg is a limit, not a title.' || chr(10)
-    || 'see it' || chr(10) || 'Section 3 – Limits' || chr(10) || '# Notes' || chr(10) || 'Keep the ' || source || ' file.' || chr(10) || '4. this is no heading' || chr(10) AS text FROM documents),
+    || 'see it' || chr(10) || 'Section 3 – Limits' || chr(10) || '# Notes' || chr(10) || 'Keep the ' || source || ' file.' || chr(10) || '4. this is no heading' || chr(10) || '# neither is this' || chr(10) || 'Section 5 - nor that.' || chr(10) AS text FROM documents),
 l AS (SELECT doc_id, text, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS pos
       FROM (SELECT doc_id, text, s, unnest(generate_series(1, len(s))) AS i, s[i] AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM t))),
 m AS (SELECT *, regexp_extract(line, '^(#{1,6})\s+(\S.*?)\s*$', 2) AS md, regexp_extract(line, '^Section\s+(\d+)\s+[–—-]\s+(\S.*?)\s*$', 1) AS sn,
         regexp_extract(line, '^Section\s+(\d+)\s+[–—-]\s+(\S.*?)\s*$', 2) AS st,
         regexp_extract(line, '^(\d+(?:\.\d+)*)\.\s+(\S.*?)\s*$', 1) AS dn, regexp_extract(line, '^(\d+(?:\.\d+)*)\.\s+(\S.*?)\s*$', 2) AS dt,
         regexp_extract(line, '^(\d+\.\d+(?:\.\d+)*)\s+(\S.*?)\s*$', 1) AS bn, regexp_extract(line, '^(\d+\.\d+(?:\.\d+)*)\s+(\S.*?)\s*$', 2) AS bt FROM l),
-h AS (SELECT doc_id, text, pos, line, CASE WHEN md <> '' THEN md WHEN st <> '' THEN 'Section ' || sn || ' ' || st
-        WHEN dt <> '' AND {dt} THEN dn || ' ' || dt WHEN bt <> '' AND {bt} THEN bn || ' ' || bt END AS heading FROM m)
-""".replace("{dt}", "{title_dt}").replace("{bt}", "{title_bt}")
+h AS (SELECT doc_id, text, pos, line, CASE WHEN md <> '' AND {title_md} THEN md WHEN st <> '' AND {title_st} THEN 'Section ' || sn || ' ' || st
+        WHEN dt <> '' AND {title_dt} THEN dn || ' ' || dt WHEN bt <> '' AND {title_bt} THEN bn || ' ' || bt END AS heading FROM m)
+"""
 _TITLE = r"""(len(regexp_extract_all({x}, '\S+')) BETWEEN 1 AND 12 AND length({x}) <= 80 AND right({x}, 1) NOT IN ('.', ':', ';') AND regexp_matches({x}, '^\p{Lu}'))"""
-_LINES = _LINES.replace("{title_dt}", _TITLE.replace("{x}", "dt")).replace("{title_bt}", _TITLE.replace("{x}", "bt"))
+for _x in ("md", "st", "dt", "bt"):
+    _LINES = _LINES.replace(f"{{title_{_x}}}", _TITLE.replace("{x}", _x))
 
 
 @query(_LINES + "SELECT doc_id::VARCHAR AS document_version_id, pos::BIGINT AS \"at\", heading FROM h WHERE heading IS NOT NULL")
@@ -143,21 +144,69 @@ def pack_sentences(spark, sf):
     return grouped.withColumn("chunk", F.col("chunk").cast("long"))
 
 
-_CFG = ids.ChunkConfig().fingerprint()
+_CFG = ids.fingerprint(ids.Limits())
+#: The same in SQL, from its text.
+_CFG_SQL = """sha256('{"max_tokens":400,"overlap_tokens":50,"strategy":"section-aware-parent-child","target_tokens":300,"tokenizer":"word-v1"}')"""
 
 
-@query(f"""SELECT doc_id, sha256(source || ':' || substr(sha256(text), 1, 12) || '|0:' || length(text) || '|0|{_CFG}') AS chunk_id, '{_CFG}' AS config FROM documents""")
+@query(f"""SELECT doc_id, sha256(source || ':' || substr(sha256(text), 1, 12) || '|0:' || length(text) || '|0|' || {_CFG_SQL}) AS chunk_id, {_CFG_SQL} AS config FROM documents""")
 def chunk_ids(spark, sf):
     version = ids.document_version_id(F.col("source"), F.sha2("text", 256))
     spans = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
     return table(spark, sf, "documents").select("doc_id", ids.chunk_id(version, spans, F.lit(0), _CFG).alias("chunk_id"), F.lit(_CFG).alias("config"))
 
 
-@query()
+_WORDS = r"len(regexp_extract_all({x}, '\S+'))"
+_CHUNKS = _BODIES.replace("WITH t AS", "WITH RECURSIVE t AS") + r""",
+c0 AS (SELECT doc_id, section_ordinal, heading, access_policy_id, body_start::BIGINT AS bs, body_end::BIGINT AS be, substr(text, (body_start + 1)::BIGINT, (body_end - body_start)::BIGINT) AS body FROM s),
+c AS MATERIALIZED (SELECT *, {w:body} AS tokens FROM c0 WHERE {w:body} > 0),
+-- blocks and sentences: a mark is set behind each separator, so that lengths add up to offsets
+k AS (SELECT doc_id, section_ordinal, n, x[n] AS raw, bs + coalesce(sum(length(x[n])) OVER (PARTITION BY doc_id, section_ordinal ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+  FROM (SELECT doc_id, section_ordinal, bs, x, unnest(generate_series(1, len(x))) AS n FROM (SELECT *, string_split(regexp_replace(body, '(\n\s*\n)', '\1' || chr(2), 'g'), chr(2)) AS x FROM c WHERE tokens > 400))),
+z AS (SELECT doc_id, section_ordinal, n, m, regexp_replace(y[m], '\s+$', '') AS t, o + coalesce(sum(length(y[m])) OVER (PARTITION BY doc_id, section_ordinal, n ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM (SELECT doc_id, section_ordinal, n, o, y, unnest(generate_series(1, len(y))) AS m FROM (
+    SELECT *, string_split(regexp_replace(regexp_replace(raw, '\n\s*\n$', ''), '([.!?]\s+)([A-Z0-9"“])', '\1' || chr(2) || '\2', 'g'), chr(2)) AS y FROM k))),
+u AS MATERIALIZED (SELECT doc_id, section_ordinal, row_number() OVER (PARTITION BY doc_id, section_ordinal ORDER BY n, m) AS i, a::BIGINT AS a, (a + length(t))::BIGINT AS e, {w:t} AS tok,
+    regexp_matches(t, '(?i)(^\s*exception\b|\b(except|unless)\b|\bexception applies\b)') AS exc, t FROM z WHERE t <> ''),
+-- the fold: what a unit does to the piece that is open, and the piece after it
+f AS (
+  SELECT doc_id, section_ordinal, i, CASE WHEN tok > 400 THEN 'slice' ELSE 'begin' END AS act, 1::BIGINT AS grp, tok <= 400 AS opened, tok::BIGINT AS total, true AS single, a AS first, 0::BIGINT AS overlap, [{'a': a, 'tok': tok}] AS sents FROM u WHERE i = 1
+  UNION ALL
+  SELECT doc_id, section_ordinal, i, act, CASE act WHEN 'append' THEN grp ELSE grp + 1 END, act <> 'slice', (CASE act WHEN 'append' THEN total + tok WHEN 'overlap' THEN back + tok ELSE tok END)::BIGINT, act <> 'append',
+    CASE act WHEN 'append' THEN first WHEN 'overlap' THEN tail[1].a ELSE a END, (CASE act WHEN 'append' THEN overlap WHEN 'overlap' THEN back ELSE 0 END)::BIGINT, CASE act WHEN 'overlap' THEN list_append(tail, {'a': a, 'tok': tok}) ELSE [{'a': a, 'tok': tok}] END
+  FROM (SELECT *, CASE WHEN tok > 400 THEN 'slice' WHEN NOT opened THEN 'begin' WHEN exc AND total + tok <= 400 THEN 'append' WHEN exc THEN 'cut' WHEN total + tok <= 300 THEN 'append'
+      WHEN single AND back > 0 AND back + tok <= 400 THEN 'overlap' ELSE 'begin' END AS act
+    FROM (SELECT u.doc_id, u.section_ordinal, u.i, u.a, u.tok, u.exc, f.grp, f.opened, f.total, f.single, f.first, f.overlap,
+        list_filter(f.sents, lambda x, j: list_sum(list_transform(f.sents[j:], lambda y: y.tok)) <= 50) AS tail,
+        coalesce(list_sum(list_transform(list_filter(f.sents, lambda x, j: list_sum(list_transform(f.sents[j:], lambda y: y.tok)) <= 50), lambda y: y.tok)), 0) AS back
+      FROM f JOIN u ON u.doc_id = f.doc_id AND u.section_ordinal = f.section_ordinal AND u.i = f.i + 1))),
+g AS (SELECT f.doc_id, f.section_ordinal, grp, 0 AS part, min(i) AS i, max(total) AS token_count, max(overlap) AS overlap_tokens, bool_or(act = 'cut') AS cut_before,
+    list({'a': CASE WHEN act IN ('begin', 'cut', 'overlap') THEN f.first ELSE u.a END, 'e': u.e} ORDER BY i) AS spans FROM f JOIN u USING (doc_id, section_ordinal, i) WHERE act <> 'slice' GROUP BY ALL),
+sliced AS (SELECT f.doc_id, f.section_ordinal, grp, part, i, least(400, total - 400 * part) AS token_count, 0 AS overlap_tokens, false AS cut_before,
+    [{'a': a + length(array_to_string(v[1:part * 400], '')), 'e': a + length(array_to_string(v[1:(part + 1) * 400], ''))}] AS spans
+  FROM (SELECT *, unnest(generate_series(0, (total - 1) // 400)) AS part FROM (SELECT f.doc_id, f.section_ordinal, f.grp, f.i, f.total, u.a, regexp_extract_all(u.t, '\S+\s*') AS v FROM f JOIN u USING (doc_id, section_ordinal, i) WHERE act = 'slice')) f),
+whole AS (SELECT doc_id, section_ordinal, 1 AS grp, 0 AS part, 1 AS i, tokens AS token_count, 0 AS overlap_tokens, false AS cut_before, [{'a': bs, 'e': be}] AS spans FROM c WHERE tokens <= 400),
+p AS (SELECT *, row_number() OVER v - 1 AS chunk_ordinal, coalesce(lead(cut_before) OVER v, false) AS cut FROM (SELECT * FROM g UNION ALL SELECT * FROM sliced UNION ALL SELECT * FROM whole) WINDOW v AS (PARTITION BY doc_id, section_ordinal ORDER BY grp, part)),
+n AS (SELECT p.*, heading, access_policy_id, sha256(p.doc_id || '|' || array_to_string(list_transform(spans, lambda x: x.a || ':' || x.e), ',') || '|' || part || '|' || {cfg}) AS chunk_id,
+    array_to_string(list_transform(spans, lambda x: substr(body, x.a - bs + 1, x.e - x.a)), chr(10)) AS text FROM p JOIN c USING (doc_id, section_ordinal))
+SELECT chunk_id, doc_id::VARCHAR AS document_version_id, section_ordinal, chunk_ordinal, heading AS heading_path, access_policy_id, text, token_count::BIGINT AS token_count, overlap_tokens::BIGINT AS overlap_tokens, part AS part_index,
+  '[' || array_to_string(list_transform(spans, lambda x: '{"start":' || x.a || ',"end":' || x.e || '}'), ',') || ']' AS spans, spans[1].a AS source_start, spans[-1].e AS source_end,
+  CASE WHEN part > 0 THEN first_value(chunk_id) OVER (PARTITION BY doc_id, section_ordinal, grp ORDER BY part) END AS continuation_of,
+  coalesce(CASE WHEN cut THEN lead(chunk_id) OVER (PARTITION BY doc_id, section_ordinal ORDER BY chunk_ordinal) END, '') AS exception_refs,
+  array_to_string(list_filter(regexp_extract_all(text, '(?i)\b(?:refer to|see section|see the)\b[^.\n]{0,160}'), lambda x, j: list_position(regexp_extract_all(text, '(?i)\b(?:refer to|see section|see the)\b[^.\n]{0,160}'), x) = j), ' / ') AS reference_refs
+FROM n"""
+for _x in ("body", "t"):
+    _CHUNKS = _CHUNKS.replace(f"{{w:{_x}}}", _WORDS.replace("{x}", _x))
+
+
+@query(_CHUNKS.replace("{cfg}", _CFG_SQL))
 def chunk_documents(spark, sf):
-    """The whole chunker: sections, units, packing, ids."""
+    """The whole chunker: sections, units, packing, overlap, slices, links, ids."""
     out = chunking.chunk_documents(structured(table(spark, sf, "documents")))
-    return out.withColumn("spans", F.to_json("spans"))
+    numbers = [F.col(c).cast("long").alias(c) for c in ("section_ordinal", "chunk_ordinal", "token_count", "overlap_tokens", "part_index", "source_start", "source_end")]
+    return out.select(
+        "chunk_id", "document_version_id", "heading_path", "access_policy_id", "text", *numbers, F.to_json("spans").alias("spans"), "continuation_of",
+        F.array_join("exception_refs", ",").alias("exception_refs"), F.array_join("reference_refs", " / ").alias("reference_refs"))
 
 
 @query(r"""SELECT doc_id, i AS window, array_to_string(w[i * 250 + 1:i * 250 + 300], ' ') AS text FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
@@ -219,14 +268,14 @@ def table_row_groups(spark, sf):
     docs = table(spark, sf, "nation").where(~F.col("n_name").contains(" ")).select(
         F.col("n_nationkey").cast("string").alias("document_version_id"), F.lit("T").alias("document_title"), F.lit("p").alias("access_policy_id"),
         F.concat(F.lit("| Item | Limit |\n|---|---|\n"), rows).alias("text"))
-    out = chunking.chunk_documents(docs, ids.ChunkConfig(16, 20, 0))
+    out = chunking.chunk_documents(docs, ids.Limits(16, 20, 0))
     return out.select("document_version_id", F.col("chunk_ordinal").cast("long").alias("chunk_ordinal"), "table_header", "text")
 
 
 @query(_packed_sql("500", f"SELECT doc_id, {_SENT} AS s FROM documents", "500") + "SELECT doc_id, grp AS window, sum(tok)::BIGINT AS tokens FROM p GROUP BY 1, 2")
 def rerank_windows(spark, sf):
     """Windows beside a 5-word question and 4-word title: 512 - 3 - 9 tokens each."""
-    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("Policy of baggage").alias("document_title"), F.lit("Limits").alias("heading_path"), "text")
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("Rules for the rooms").alias("document_title"), F.lit("Limits").alias("heading_path"), "text")
     out = chunking.rerank_windows(chunks, "What is the weight limit?")
     return out.select(F.col("chunk_id").alias("doc_id"), F.col("window_index").cast("long").alias("window"), T.word_count(F.col("text")).cast("long").alias("tokens"))
 
@@ -256,22 +305,25 @@ def corpus_summary(spark, sf):
 
 # ---------------------------------------------------------------- governance
 
-#: Seed principals: id, active, roles, department, corpora, grants.
+#: A museum's staff: id, active, roles, department, corpora, grants.
 PRINCIPALS = [
-    ("baggage-employee", True, ["employee"], "baggage", ["main", "bags"], []),
-    ("baggage-supervisor", True, ["employee", "supervisor"], "baggage", ["main", "bags"], []),
-    ("flight-supervisor", True, ["employee", "supervisor"], "flight-operations", ["main", "pay"], []),
-    ("hr-specialist", True, ["employee", "hr_specialist"], "hr", ["main", "pay"], []),
-    ("security-officer", True, ["employee"], "security", ["main", "bags", "emissions"], []),
-    ("demo-auditor", True, ["auditor"], "audit", ["main", "bags", "pay", "emissions"], ["read_history:main"]),
-    ("inactive-employee", False, ["employee"], "baggage", ["main"], []),
+    ("ada", True, ["guide"], "rooms", ["core", "maps"], []),
+    ("ben", True, ["guide", "curator"], "rooms", ["core", "maps"], []),
+    ("cleo", True, ["curator"], "loans", ["core", "coins"], []),
+    ("dov", True, ["registrar", "guide"], "vault", ["core"], []),
+    ("eve", True, ["guide"], None, ["core", "coins"], []),
+    ("fay", True, ["reviewer"], "board", ["core", "coins", "maps"], ["read_history:core"]),
+    ("gil", True, ["curator"], "rooms", ["core"], []),
+    ("hana", True, ["curator"], "rooms", ["maps"], ["read_history:maps"]),
+    ("ivo", False, ["curator", "registrar"], "rooms", ["core"], ["read_history:core"]),
 ]
-#: Seed rules: id, classification, allowed roles, departments, allowed users, denied users.
+#: Its rules: id, classification, allowed roles, departments, allowed users, denied users.
 POLICIES = [
-    ("public", "public", None, None, None, None),
-    ("internal", "internal", None, None, None, None),
-    ("baggage-review", "restricted", ["supervisor"], ["baggage"], ["security-officer"], []),
-    ("hr-procedure", "restricted", ["hr_specialist"], ["hr"], None, []),
+    ("open", "public", None, None, None, None),
+    ("staff", "internal", None, None, None, ["fay"]),
+    ("store", "restricted", ["curator", "restorer"], ["rooms", "vault"], ["eve"], ["gil"]),
+    ("ledger", "restricted", ["registrar"], [], None, None),
+    ("sealed", "secret", ["curator"], None, ["ada"], None),
 ]
 
 
@@ -286,7 +338,7 @@ def _literal(rows: list[tuple], names: list[str], kinds: list[str], spark: Spark
 def principals(spark: SparkSession) -> DataFrame:
     lists = "array<string>"
     out = _literal(PRINCIPALS, ["user_id", "active", "roles", "department_id", "allowed_corpus_ids", "explicit_grants"], ["string", "boolean", lists, "string", lists, lists], spark)
-    return out.withColumn("tenant_id", F.lit("demo"))
+    return out.withColumn("tenant_id", F.lit("museum"))
 
 
 def policies(spark: SparkSession) -> DataFrame:
@@ -294,51 +346,66 @@ def policies(spark: SparkSession) -> DataFrame:
     return _literal(POLICIES, ["id", "classification", "allowed_roles", "department_ids", "allowed_users", "denied_users"], ["string", "string", lists, lists, lists, lists], spark)
 
 
-_ACL_SQL = """WITH u(user_id, active, roles, dep) AS (VALUES ('baggage-employee', true, ['employee'], 'baggage'), ('baggage-supervisor', true, ['employee', 'supervisor'], 'baggage'),
-  ('flight-supervisor', true, ['employee', 'supervisor'], 'flight-operations'), ('hr-specialist', true, ['employee', 'hr_specialist'], 'hr'), ('security-officer', true, ['employee'], 'security'),
-  ('demo-auditor', true, ['auditor'], 'audit'), ('inactive-employee', false, ['employee'], 'baggage')),
-p(policy_id, class, role, dep, named) AS (VALUES ('public', 'public', NULL, NULL, NULL), ('internal', 'internal', NULL, NULL, NULL), ('baggage-review', 'restricted', 'supervisor', 'baggage', 'security-officer'), ('hr-procedure', 'restricted', 'hr_specialist', 'hr', NULL))
+def _values(rows: list[tuple], kinds: list[str]) -> str:
+    """The rows as SQL literals."""
+
+    def value(v, kind: str) -> str:
+        if v is None:
+            return f"NULL::{kind}"
+        return f"[{', '.join(map(repr, v))}]::{kind}" if isinstance(v, list) else repr(v) if isinstance(v, str) else str(v).lower()
+
+    return ", ".join(f"({', '.join(value(v, k) for v, k in zip(r, kinds, strict=True))})" for r in rows)
+
+
+_ACL_SQL = f"""WITH u(user_id, active, roles, dep, corpora, grants) AS (VALUES {_values(PRINCIPALS, ["VARCHAR", "BOOLEAN", "VARCHAR[]", "VARCHAR", "VARCHAR[]", "VARCHAR[]"])}),
+p(policy_id, class, allowed, deps, named, denied) AS (VALUES {_values(POLICIES, ["VARCHAR", "VARCHAR", "VARCHAR[]", "VARCHAR[]", "VARCHAR[]", "VARCHAR[]"])}),
+acl AS (SELECT user_id, policy_id, active AND list_contains(corpora, 'core') AND NOT list_contains(coalesce(denied, []), user_id) AND CASE class WHEN 'public' THEN true WHEN 'internal' THEN true
+  WHEN 'restricted' THEN (len(list_intersect(roles, coalesce(allowed, []))) > 0 AND (len(coalesce(deps, [])) = 0 OR coalesce(list_contains(deps, dep), false))) OR list_contains(coalesce(named, []), user_id)
+  ELSE false END AS allowed FROM u, p)
 """
 
 
-@query(_ACL_SQL + """SELECT user_id, policy_id, active AND (class IN ('public', 'internal') OR (list_contains(roles, role) AND u.dep = p.dep) OR coalesce(user_id = named, false)) AS allowed FROM u, p""")
+@query(_ACL_SQL + "SELECT user_id, policy_id, allowed FROM acl")
 def acl_matrix(spark, sf):
-    """Every seed principal against every seed rule on one corpus."""
+    """Every principal against every rule on one corpus."""
     pairs = principals(spark).select(F.struct("*").alias("u")).crossJoin(F.broadcast(policies(spark).select(F.struct("*").alias("p"))))
-    return pairs.select("u.user_id", F.col("p.id").alias("policy_id"), access.allow("u", F.lit("main"), F.lit("demo"), "p").alias("allowed"))
+    return pairs.select("u.user_id", F.col("p.id").alias("policy_id"), access.allow("u", F.lit("core"), F.lit("museum"), "p").alias("allowed"))
 
 
 def _labelled(spark, sf) -> DataFrame:
-    """Documents with a rule by their label: toxic is the restricted baggage rule, none is no rule at all."""
+    """Documents with a rule by their label: toxic is the store's rule, none is no rule at all."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    labels = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "baggage-review").otherwise("internal").alias("id"))
+    labels = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "store").otherwise("staff").alias("id"))
     return docs.join(labels, "doc_id", "left").join(F.broadcast(policies(spark)), "id", "left").select("doc_id", "source", "text", F.struct("id", "classification", "allowed_roles", "department_ids", "allowed_users", "denied_users").alias("p"))
 
 
-@query("""SELECT u.user_id, count(*) FILTER (WHERE u.active AND l.toxic IS NOT NULL AND (l.toxic = 0 OR u.ok)) AS readable, count(*) AS documents
-  FROM (VALUES ('baggage-employee', true, false), ('baggage-supervisor', true, true), ('flight-supervisor', true, false), ('hr-specialist', true, false), ('security-officer', true, true), ('demo-auditor', true, false), ('inactive-employee', false, false)) AS u(user_id, active, ok)
-  CROSS JOIN documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+_RULED = "SELECT doc_id, d.lang, CASE l.toxic WHEN 1 THEN 'store' WHEN 0 THEN 'staff' END AS policy_id FROM documents d LEFT JOIN labels l USING (doc_id)"
+
+
+@query(_ACL_SQL + f"""SELECT u.user_id, count(*) FILTER (WHERE acl.allowed) AS readable, count(*) AS documents FROM u CROSS JOIN ({_RULED}) d LEFT JOIN acl ON acl.user_id = u.user_id AND acl.policy_id = d.policy_id GROUP BY 1""")
 def acl_filter_docs(spark, sf):
     """How many documents each principal may read; documents without a rule are denied."""
     pairs = _labelled(spark, sf).crossJoin(F.broadcast(principals(spark).select(F.struct("*").alias("u"))))
-    pairs = pairs.withColumn("ok", access.allow("u", F.lit("main"), F.lit("demo"), "p"))
+    pairs = pairs.withColumn("ok", access.allow("u", F.lit("core"), F.lit("museum"), "p"))
     return pairs.groupBy("u.user_id").agg(F.count_if("ok").alias("readable"), F.count("*").alias("documents"))
 
 
-@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN false ELSE l.toxic = 0 END AND d.lang <> 'de' AS allowed FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query(_ACL_SQL + f"""SELECT d.doc_id, coalesce(a.allowed, false) AND b.allowed AS allowed FROM ({_RULED}) d LEFT JOIN acl a ON a.policy_id = d.policy_id AND a.user_id = 'ben'
+  JOIN acl b ON b.user_id = 'ben' AND b.policy_id = CASE d.lang WHEN 'de' THEN 'ledger' WHEN 'fr' THEN 'sealed' ELSE 'open' END""")
 def section_narrows_document(spark, sf):
-    """Document rule and section rule must both allow; here sections in German are restricted to HR."""
+    """Document rule and section rule must both allow; here sections in German and French have narrower rules."""
     docs = _labelled(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     rules = policies(spark).select(F.col("id").alias("sid"), F.struct("*").alias("s"))
-    docs = docs.withColumn("sid", F.when(F.col("lang") == "de", "hr-procedure").otherwise("public")).join(F.broadcast(rules), "sid")
-    docs = docs.crossJoin(F.broadcast(principals(spark).where("user_id = 'baggage-employee'").select(F.struct("*").alias("u"))))
-    both = access.allow("u", F.lit("main"), F.lit("demo"), "p") & access.allow("u", F.lit("main"), F.lit("demo"), "s")
+    docs = docs.withColumn("sid", F.when(F.col("lang") == "de", "ledger").when(F.col("lang") == "fr", "sealed").otherwise("open")).join(F.broadcast(rules), "sid")
+    docs = docs.crossJoin(F.broadcast(principals(spark).where("user_id = 'ben'").select(F.struct("*").alias("u"))))
+    both = access.allow("u", F.lit("core"), F.lit("museum"), "p") & access.allow("u", F.lit("core"), F.lit("museum"), "s")
     return docs.select("doc_id", both.alias("allowed"))
 
 
-@query("""SELECT * FROM (VALUES ('baggage-employee', false), ('baggage-supervisor', false), ('flight-supervisor', false), ('hr-specialist', false), ('security-officer', false), ('demo-auditor', true), ('inactive-employee', false)) AS t(user_id, may_read_history)""")
+@query(_ACL_SQL + "SELECT user_id, c AS corpus_id, list_contains(grants, 'read_history:' || c) AS may_read_history FROM u, (VALUES ('core'), ('maps')) AS x(c)")
 def history_grants(spark, sf):
-    return principals(spark).select("user_id", access.may_read_history(F.col("explicit_grants"), F.lit("main")).alias("may_read_history"))
+    corpora = _literal([("core",), ("maps",)], ["corpus_id"], ["string"], spark)
+    return principals(spark).crossJoin(F.broadcast(corpora)).select("user_id", "corpus_id", access.may_read_history(F.col("explicit_grants"), F.col("corpus_id")).alias("may_read_history"))
 
 
 @query("""WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS revision FROM events GROUP BY user_id)
@@ -350,19 +417,13 @@ def revocation_recheck(spark, sf):
     return s.select("user_id", "revision", "last_type", (F.col("last_type") != "error").alias("still_allowed"))
 
 
-@query("""WITH t AS (SELECT d.source, d.doc_id, CASE WHEN l.toxic = 1 THEN ['supervisor'] WHEN l.toxic = 0 THEN ['employee', 'supervisor'] ELSE [] END AS perms FROM documents d LEFT JOIN labels l USING (doc_id)),
-c AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE list_contains(perms, 'employee')) AS e, count(*) FILTER (WHERE list_contains(perms, 'supervisor')) AS s FROM t GROUP BY source)
-SELECT source, concat_ws(',', CASE WHEN e = n THEN 'employee' END, CASE WHEN s = n THEN 'supervisor' END) AS permissions FROM c""")
+@query(_ACL_SQL + f"""SELECT fact, user_id FROM (SELECT r.doc_id // 5 AS fact, a.user_id, count(*) AS n FROM ({_RULED}) r JOIN acl a ON a.policy_id = r.policy_id AND a.allowed GROUP BY ALL)
+  JOIN (SELECT doc_id // 5 AS fact, count(*) AS every FROM documents GROUP BY 1) USING (fact) WHERE n = every""")
 def permission_intersection(spark, sf):
-    """A fact derived from several documents inherits what all of them permit.
-
-    Counted role by role, so a source of any number of documents is never gathered.
-    """
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    roles = F.when(F.col("toxic") == 1, F.array(F.lit("supervisor"))).when(F.col("toxic") == 0, F.array(F.lit("employee"), F.lit("supervisor"))).otherwise(F.array().cast("array<string>"))
-    d = d.select("source", roles.alias("roles"))
-    c = d.groupBy("source").agg(*[F.bool_and(F.array_contains("roles", r)).alias(r) for r in ("employee", "supervisor")])
-    return c.select("source", F.concat_ws(",", *[F.when(F.col(r), r) for r in ("employee", "supervisor")]).alias("permissions"))
+    """A fact derived from several documents (here five in a row) may be read by those who may read each of them."""
+    docs = _labelled(spark, sf).withColumn("fact", F.expr("doc_id div 5"))
+    readers = docs.crossJoin(F.broadcast(principals(spark).select(F.struct("*").alias("u")))).where(access.allow("u", F.lit("core"), F.lit("museum"), "p"))
+    return quality.common_to_all(docs.select("fact"), readers.select("fact", "u.user_id"), ["fact"], ["user_id"])
 
 
 @query("""SELECT doc_id, length(text) <= 2000 AND text NOT LIKE '%role%' AS accepted FROM documents""")
@@ -392,10 +453,10 @@ def vector_topk(spark, sf):
     return retrieval.nearest(_vectors(spark, sf), _question(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _readable(spark, sf, user: str = "baggage-employee") -> DataFrame:
+def _readable(spark, sf, user: str = "ada") -> DataFrame:
     who = principals(spark).where(F.col("user_id") == user).select(F.struct("*").alias("u"))
     docs = _labelled(spark, sf).crossJoin(F.broadcast(who))
-    return docs.where(access.allow("u", F.lit("main"), F.lit("demo"), "p")).select(F.col("doc_id").alias("item_id"), "text", "source")
+    return docs.where(access.allow("u", F.lit("core"), F.lit("museum"), "p")).select(F.col("doc_id").alias("item_id"), "text", "source")
 
 
 _OPEN = "SELECT doc_id FROM labels WHERE toxic = 0 AND doc_id IN (SELECT doc_id FROM documents)"
