@@ -11,13 +11,15 @@ prefix sum, so one conversation may hold a third of all rows.
 
 Defined cases: a null or empty role is the speaker ``unknown``; a null text is empty; a null conv_id
 is a conversation of its own; ties and repeated turns keep the order (turn, role, text); markers
-inside a text are broken up (``<|`` becomes ``< |``), so that they can't end a turn; a conversation
-of system turns only has no participant, hence no rows; other columns are ignored.
+inside a text are broken up (``<|`` becomes ``< |``), so that they can't end a turn; names are quoted,
+with quotes, backslashes, line ends and markers escaped, so that a name can't end a turn either and
+different speakers have different names; a conversation of system turns only has no participant,
+hence no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, prefix_sums
@@ -25,6 +27,13 @@ from vellum.llm.common import Scratch, prefix_sums
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def quoted(name: Column) -> Column:
+    """The name in quotes, on one line, without markers; no two names become equal."""
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("<|", "<\\|")):
+        name = F.replace(name, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), name, F.lit('"'))
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, segment, turn, speaker, role, rendered, seg_start, seg_end, mask_start, mask_end, trained."""
     scratch = Scratch(turns.sparkSession)
@@ -39,7 +48,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     pairs = clean.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     own = F.col("speaker") == F.col("perspective")
     head = F.when(own, "assistant").when(F.col("speaker") == "system", "system").otherwise(
-        F.concat(F.lit("user name="), F.regexp_replace("speaker", r"\s", "_")))
+        F.concat(F.lit("user name="), quoted(F.col("speaker"))))
     seg = pairs.select(
         "conv_id", "perspective", "turn", "speaker",
         F.when(own, "assistant").when(F.col("speaker") == "system", "system").otherwise("user").alias("role"),

@@ -113,7 +113,7 @@ s AS (
   SELECT c.conv_id, perspective, turn, speaker, body, speaker = perspective AS trained,
          CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
          '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
-           ELSE 'user name=' || regexp_replace(speaker, '\s', '_', 'g') END || chr(10) AS head
+           ELSE 'user name="' || replace(replace(replace(replace(replace(speaker, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), '<|', '<\|') || '"' END || chr(10) AS head
   FROM c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
 r AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS rendered FROM s),
 o AS (
