@@ -9,7 +9,8 @@ word, a table that grows with the corpus and is never broadcast.
 Training is Baum-Welch: every task runs scaled forward and backward recursions over its training
 texts and adds up expected counts; the counts of all partitions are summed by slices of the tables
 and only the tables' fixed size reaches the driver.  Training sequences longer than ``window`` tokens
-are read as consecutive windows; all tokens count.  Scoring is one exact scaled forward recursion over
+are read as consecutive windows; all tokens count.  Only a text's first window counts for the start; the
+others begin in the states' long-run shares.  Scoring is one exact scaled forward recursion over
 the whole text.
 
 Chunks: each task turns its texts into chunks of about ``chunk`` tokens (word ids within the chunk's
@@ -118,13 +119,21 @@ def word_counts(table: DataFrame, classes: int) -> DataFrame:
     return dealt.repartitionById(parts, "part").mapInArrow(merge, "chunk long, part int, counts binary")
 
 
+def long_run(move: np.ndarray) -> np.ndarray:
+    """The shares of the states that ``move`` leaves as they are."""
+    n = len(move)
+    return np.linalg.lstsq(np.vstack((move.T - np.eye(n), np.ones(n))), np.append(np.zeros(n), 1.0), rcond=None)[0]
+
+
 class Packed:
     """Sequences of classes side by side, longest first, time step by time step, for recursions in lockstep."""
 
-    def __init__(self, seqs: list[np.ndarray]):
+    def __init__(self, seqs: list[np.ndarray], begins: list[bool] | None = None):
+        """``begins``: whether a sequence begins a text; all do if it isn't given."""
         self.order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
         size = np.array([len(seqs[i]) for i in self.order], np.int64)
         self.size = size
+        self.begins = np.array([begins is None or begins[i] for i in self.order])
         steps = int(size[0])
         self.alive = np.searchsorted(-size, -np.arange(steps), "left")  # sequences longer than t
         self.at = np.concatenate(([0], np.cumsum(self.alive)))
@@ -141,6 +150,8 @@ class Packed:
         """Emission rows, scaled state probabilities, and the scales, whose logarithms add up to the likelihood."""
         b = emit[:, self.obs].T.copy()
         state, scale = np.empty_like(b), np.empty(len(b))
+        if not self.begins.all():
+            start = np.where(self.begins[:, None], start, long_run(move))
         for t, n in enumerate(self.alive.tolist()):
             a = self.at[t]
             now = (start if t == 0 else state[self.at[t - 1] : self.at[t - 1] + n] @ move) * b[a : a + n]
@@ -169,7 +180,7 @@ class Packed:
         moves = move * (state[before].T @ b[later])
         state *= back
         emits = np.array([np.bincount(self.obs, state[:, k], emit.shape[1]) for k in range(len(start))])
-        return state[: len(self.size)].sum(0), moves, emits, float(np.log10(scale).sum())
+        return state[: len(self.size)][self.begins].sum(0), moves, emits, float(np.log10(scale).sum())
 
 
 def sequences(row: dict, classes: int, ids: np.ndarray) -> list[np.ndarray]:
@@ -197,9 +208,10 @@ def train(table: DataFrame, by_class: np.ndarray, states: int, rounds: int, seed
             for batch in batches:
                 for row in batch.to_pylist():
                     seqs = [s for s, out in zip(sequences(row, classes, unpack_ints(row["ids"]).astype(np.int64)), row["held"], strict=True) if not out]
+                    begins = [i == 0 for s in seqs for i in range(0, len(s), window)]
                     seqs = [s[i : i + window] for s in seqs for i in range(0, len(s), window)]
                     if seqs:
-                        a, b, c, like = Packed(seqs).expected(start, move, emit)
+                        a, b, c, like = Packed(seqs, begins).expected(start, move, emit)
                         got = np.concatenate((a, b.ravel(), c.ravel(), [like]))
                         total = got if total is None else total + got
             if total is not None:
