@@ -5,8 +5,8 @@ permuted by its place; a text's vector bundles (adds) those of its n-grams; a la
 bundles its training texts.  A text is given the language whose centred prototype has the largest
 cosine with its own vector.
 
-Letters are the bytes of the lower-cased UTF-8 text, folded to 64 symbols: a gap, a-z, and 37 for
-bytes of other letters; all else is a gap.  Vectors depend on a seed only, so tasks make the same
+Letters are the bytes of the lower-cased text in UTF-8: a-z, and each byte of the characters beyond
+ASCII; all else is a gap.  Vectors depend on a seed only, so tasks make the same
 ones; what goes to the driver is one vector a language (``max_langs`` at most).  Every training text
 counts, whole.  Each text adds its n-grams' shares, times the root of their number.
 
@@ -27,13 +27,16 @@ from vellum.llm.common import pieces, utf8
 N = 3
 _SYMBOL = np.zeros(256, np.int32)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
-_SYMBOL[128:] = 27 + np.arange(128) % 37
+_SYMBOL[128:] = 27 + np.arange(128)
+SYMBOLS, BITS = 155, 8
+#: Distinct n-grams whose vectors are made at a time, which bounds memory whatever the scripts.
+GRAMS = 1 << 14
 
 
 def letters(dim: int, seed: int) -> list[np.ndarray]:
-    """For each place in an n-gram: the 64 symbols' vectors, permuted for that place."""
+    """For each place in an n-gram: all symbols' vectors, permuted for that place."""
     rng = np.random.default_rng(seed)
-    base = rng.choice(np.array([-1, 1], np.int8), (64, dim))
+    base = rng.choice(np.array([-1, 1], np.int8), (SYMBOLS, dim))
     return [np.roll(base, N - 1 - i, axis=1) for i in range(N)]
 
 
@@ -46,6 +49,8 @@ def has_letter(text: bytes) -> bool:
 def bundles(texts: list[bytes], vectors: list[np.ndarray]):
     """The texts' vectors (float32 rows), some at a time, as (first index, rows)."""
     dim = vectors[0].shape[1]
+    seen, column = np.zeros(1 << (BITS * N), bool), np.zeros(1 << (BITS * N), np.int32)
+    texts = [t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
     for i, j in pieces(texts, 1 << 19):
         for a in range(i, j, 256):
             some = texts[a : min(a + 256, j)]
@@ -58,16 +63,20 @@ def bundles(texts: list[bytes], vectors: list[np.ndarray]):
             if len(data) < N:
                 yield a, np.zeros((len(some), dim), np.float32)
                 continue
-            gram = (data[:-2] << 12) | (data[1:-1] << 6) | data[2:]
+            gram = (data[:-2] << (2 * BITS)) | (data[1:-1] << BITS) | data[2:]
             same = doc[:-2] == doc[2:]
             gram, doc = gram[same], doc[:-2][same]
-            seen = np.zeros(1 << 18, bool)
             seen[gram] = True
             used = np.flatnonzero(seen)
-            column = np.cumsum(seen) - 1
-            count = np.bincount(doc * len(used) + column[gram], minlength=len(some) * len(used)).reshape(len(some), -1)
-            bound = (vectors[0][used >> 12] * vectors[1][(used >> 6) & 63] * vectors[2][used & 63]).astype(np.float32)
-            yield a, count.astype(np.float32) @ bound
+            seen[used], column[used] = False, np.arange(len(used))
+            at, rows, mask = column[gram], np.zeros((len(some), dim), np.float32), (1 << BITS) - 1
+            for x in range(0, len(used), GRAMS):
+                few = used[x : x + GRAMS]
+                own = (at >= x) & (at < x + len(few))
+                count = np.bincount(doc[own] * len(few) + at[own] - x, minlength=len(some) * len(few)).reshape(len(some), -1)
+                bound = vectors[0][few >> (2 * BITS)] * vectors[1][(few >> BITS) & mask] * vectors[2][few & mask]
+                rows += count.astype(np.float32) @ bound.astype(np.float32)
+            yield a, rows
 
 
 def train(docs: DataFrame, dim: int = 512, seed: int = 7, max_langs: int = 1000) -> dict[str, np.ndarray]:
