@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, prefix_sums
+from vellum.llm.common import Scratch, numbered, prefix_sums
 
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -72,19 +72,13 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, in the columns of ``docs``: a row for every repeat, the document at a cut shortened.
-
-    Rows equal in doc_id and text take their words together, as repeats of one row.
-    """
-    names = docs.columns
-    by_row = plan(docs.withColumn("_hash", F.xxhash64("text")), keep=["_hash"], **how).where("taken > 0")
-    taken = by_row.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("_hash")).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).withColumn("_hash", F.xxhash64("text"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))).where("_n = 1")
-    rows = rows.join(taken, ["_id", "_hash"])
-    full, part = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    repeats = F.concat(F.array_repeat(F.col("_size"), full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array()))
-    rows = rows.select(*names, "_size", F.explode(repeats).alias("_words"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    cut = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " "))
-    return rows.select(*[(cut.alias("text") if c == "text" else F.col(c)) for c in names])
+    """The mix itself, in the columns of ``docs``: a row for every repeat, the document at a cut shortened."""
+    marked = numbered(docs, Scratch(docs.sparkSession))  # rows are told apart by numbers, and no column of theirs is touched
+    rows = marked.select(*[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "source", "text")], F.col("_row").alias("_at"))
+    taken = plan(rows, keep=["_at"], **how).where("taken > 0").select("_at", "size", "taken")
+    full, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    repeats = F.concat(F.array_repeat(F.col("size"), full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array()))
+    mixed = marked.join(taken, F.col("_row") == F.col("_at")).select("_doc", "size", F.explode(repeats).alias("_words"))
+    words = F.filter(F.split("_doc.text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    cut = F.when(F.col("_words") == F.col("size"), F.col("_doc.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " "))
+    return mixed.select(*[(cut if c == "text" else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
