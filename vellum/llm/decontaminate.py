@@ -19,6 +19,8 @@ of one item, and of equal ones the first in the document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,16 +165,19 @@ def _shard(ids: list, texts: list[bytes], tests: Tests, window: int):
         yield key, int(b - a), np.flatnonzero(covered[a:b]).tolist(), sorted(items.get(d, ()), key=lambda k: (k is None, k)), found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> list[DataFrame]:
-    """For each block of the benchmark: doc_id, n_words, hit word positions, items found, longest matches with their places."""
+def _blocks(benchmark: DataFrame, block_words: int) -> int:
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // (2 * block_words)))  # a word and its separator take two bytes at least
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+    """A row a document and block of the benchmark: doc_id, n_words, hit word positions, items found, longest matches with their places."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text"))
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A word and its separator take two bytes at least.
-    blocks = max(1, -(-total // (2 * block_words)))
+    blocks = _blocks(benchmark, block_words)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_at", pa.int32())])))])
-    out = []
+    scratch, names = Scratch(spark), []
     for b in range(blocks):
         mine = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         items = [(r["item"], r["text"].encode()) for r in mine.toLocalIterator()]
@@ -185,8 +190,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
                     rows = list(_shard(ids[i:j], texts[i:j], tests.value, window))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        out.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA))
-    return out
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+        if blocks == 1:
+            return found
+        # One block is held at a time: its matches are written, then the driver and the executors let it go.
+        names.append(scratch.write(found, f"block{b}"))
+        tests.destroy()
+    return reduce(DataFrame.union, names)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
@@ -194,23 +204,17 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
 
     ``matches``: at and length in words, item and item_at, for each common run of words that neither side extends.
     """
-    found = matches(docs, benchmark, window, block_words)
-    if len(found) == 1:
-        rows = found[0]
+    # Blocks see the same documents, whose rows meet by numbers of their own.
+    marked = numbered(docs.select("doc_id", "text"), Scratch(docs.sparkSession)) if _blocks(benchmark, block_words) > 1 else None
+    if marked is None:
+        rows = matches(docs, benchmark, window, block_words)
     else:
-        # Blocks see the same documents: rows of one document meet by its id and its own columns.
-        scratch = Scratch(docs.sparkSession)
-        keyed = docs.withColumn("_text", F.col("text")).select("doc_id", "text")
-        marked = scratch.write(keyed.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-        parts = matches(marked.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, block_words)
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.union(p)
-        joined = both.groupBy("doc_id").agg(
+        parts = matches(marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), benchmark, window, block_words)
+        joined = parts.groupBy("doc_id").agg(
             F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
-        rows = joined.join(marked.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_id")), "doc_id").select(
+        rows = joined.join(marked.select(F.col("_row").alias("doc_id"), F.col("_doc.doc_id").alias("_id")), "doc_id").select(
             F.col("_id").alias("doc_id"), "n_words", "hit", "items", "matches")
     rows = rows.withColumn("matches", F.array_sort("matches"))
     best = F.array_max(F.transform("matches", lambda m: F.struct(m["length"].alias("length"), (-m["at"]).alias("before"))))
