@@ -10,8 +10,9 @@ bits an id).  Selector 0 escapes an id of more than sixty bits: the word's low b
 word in the escape list behind the others.
 
 Documents are tokenised where they are read, dealt by doc_id ranges and sorted; a shard is a range.
-Words are encoded once a worker and then looked up: the tokenizer drops white space and never joins
-words across it, so a text's ids are its words' ids in turn.
+Where the tokenizer drops white space and never joins words across it (``by_words`` reads that from its
+file), a text's ids are its words' ids in turn, and words are encoded once a worker and then looked up
+by 64 hash bits.  With any other tokenizer whole texts are encoded.
 
 Defined cases: a null text is empty (only the end id); a null doc_id comes first; documents with one
 doc_id keep the order of their ids' checksums; an empty table writes no segment.
@@ -19,11 +20,13 @@ doc_id keep the order of their ids' checksums; an empty table writes no segment.
 
 from __future__ import annotations
 
+import json
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,7 +123,7 @@ def decode(payload: bytes) -> np.ndarray:
 
 RAW_SPACE = np.arange(256, dtype=np.uint8)
 RAW_SPACE[9:14] = 32
-_MOST = 2_000_000
+_MOST = 1 << 19
 
 
 class WordIds:
@@ -166,15 +169,53 @@ class WordIds:
         return [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-_WORKER: dict[int, WordIds] = {}
+class TextIds:
+    """A tokenizer for whole texts."""
+
+    def __init__(self, model: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(model)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        got = self.tokenizer.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in got]
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer, which may be a sequence of them."""
+    return [] if part is None else [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def by_words(model: str) -> bool:
+    """Whether the tokenizer is known to treat the words between white space one by one; a no costs time only."""
+    parts = json.loads(model)
+    for step in _steps(parts["normalizer"], "normalizers"):
+        spaces = step["type"] == "Replace" and step["pattern"].get("Regex") in (r"\s", r"\s+") and step["content"] == " "
+        if not spaces and step["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase"):
+            return False
+    first = next(iter(_steps(parts["pre_tokenizer"], "pretokenizers")), {"type": None})
+    if first["type"] == "Split":
+        pattern = first["pattern"].get("Regex")
+        if first["behavior"] != "Removed" or not first["invert"] or not pattern:
+            return False
+        tried = "a b\tc\nd\v1\f2\r' 's . ! \u00e9 \u4e00 _ - a"
+        if any(c.isspace() for m in regex.findall(pattern, tried) for c in m) or regex.search(r"(?<!\[)\^|\$|\(\?[=!<]|\\[bBAZzG]", pattern):
+            return False
+    elif first["type"] not in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return False
+    return not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in parts["added_tokens"])
+
+
+_WORKER: dict[int, WordIds | TextIds] = {}
 
 
-def word_ids(model: str) -> WordIds:
+def ids_of(model: str) -> WordIds | TextIds:
     """One for each Python worker, kept from task to task."""
     key = zlib.crc32(model.encode())
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = WordIds(model)
+        _WORKER[key] = WordIds(model) if by_words(model) else TextIds(model)
     return _WORKER[key]
 
 
@@ -185,7 +226,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) ->
     cuts = np.array(bounds, np.int64)
 
     def run(batches):
-        ids = word_ids(model.value)
+        ids = ids_of(model.value)
         for batch in batches:
             keys, texts = batch.column("doc_id"), utf8(batch.column("text"))
             near = np.array([-1 if k is None else int(np.searchsorted(cuts, k, "left")) for k in keys.to_pylist()])
