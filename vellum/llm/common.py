@@ -160,7 +160,7 @@ class Words:
         self.first = np.concatenate(([0], np.searchsorted(self.start, ends)))
 
 
-def pieces(texts: list[bytes], most: int = 1 << 21):
+def pieces(texts: list[bytes], most: int = 1 << 20):
     """Index ranges of consecutive texts of about ``most`` bytes together; a longer text is alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -1,9 +1,9 @@
 """Which hashed items occur in two documents or more, exactly counted and kept in a bounded bitmap.
 
 Tasks reduce their items to sorted runs, dealt by value ranges; each range is merged and counted by
-one task.  What comes back is a bitmap of fixed size (``BYTES``), one bit for many values once the
-corpus is large: a set bit only means "maybe shared", which costs work, never results.  Optionally
-the values of the highest counts are returned too, again a bounded number.
+one task.  What comes back is a bitmap of at most ``BYTES``, smaller for few items, with one bit for
+many values once the corpus is large: a set bit only means "maybe shared", which costs work, never
+results.  Optionally the values of the highest counts are returned too, again a bounded number.
 """
 
 from __future__ import annotations
@@ -15,22 +15,31 @@ from pyspark.sql import DataFrame
 from vellum.llm.common import pack_ints, pack_sorted, shuffle_width, squeeze, unpack_ints, unpack_sorted, unsqueeze
 
 BITS = 44  # of an item's 64-bit hash
-BYTES = 1 << 25
-SHIFT = BITS - 28
+BYTES, LEAST = 1 << 25, 1 << 20
 _FLUSH = 2_000_000
 _SCHEMA = "part int, items binary, counts binary"
 
 
-def first_byte(part: int, parts: int) -> int:
-    return -(-part * BYTES // parts)
+def bitmap_bytes(items: int) -> int:
+    """A power of two with 16 bits an item, as far as the bounds allow."""
+    return min(BYTES, max(LEAST, 1 << max(2 * items - 1, 1).bit_length()))
+
+
+def first_byte(part: int, parts: int, size: int = BYTES) -> int:
+    return -(-part * size // parts)
+
+
+def shift(size: int) -> int:
+    """Bits of an item below those that number its bit of a bitmap."""
+    return BITS - (size.bit_length() + 2)
 
 
 class Collector:
     """Gathers items (each document's own distinct ones) and hands them on as sorted runs."""
 
-    def __init__(self, parts: int, count: int = 1):
+    def __init__(self, parts: int, size: int, count: int = 1):
         self.held, self.size, self.count = [], 0, count
-        self.cuts = np.array([first_byte(p, parts) << (SHIFT + 3) for p in range(parts + 1)], np.uint64)
+        self.cuts = np.array([first_byte(p, parts, size) << (shift(size) + 3) for p in range(parts + 1)], np.uint64)
 
     def add(self, hashes: np.ndarray):
         self.held.append(hashes >> np.uint64(64 - BITS))
@@ -55,15 +64,17 @@ class Shared:
 
     def __init__(self, bits: np.ndarray, heavy: np.ndarray, counts: np.ndarray):
         self.bits, self.heavy, self.counts = bits, heavy, counts
+        self.shift = shift(len(bits))
 
     def __getstate__(self) -> tuple:
         return squeeze(self.bits.tobytes()), self.heavy, self.counts
 
     def __setstate__(self, state: tuple) -> None:
         self.bits, self.heavy, self.counts = np.frombuffer(unsqueeze(state[0]), np.uint8), *state[1:]
+        self.shift = shift(len(self.bits))
 
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
-        bit = (hashes >> np.uint64(64 - BITS + SHIFT)).astype(np.int64)
+        bit = (hashes >> np.uint64(64 - BITS + self.shift)).astype(np.int64)
         return ((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
@@ -78,12 +89,12 @@ class Shared:
         return out
 
 
-def shared(docs: DataFrame, items, count: int = 1, heavy: int = 0, heavy_from: int = 16) -> Shared:
-    """``items(batch)`` gives arrays of hashes, each distinct within its document, for a batch of ``docs``."""
+def shared(docs: DataFrame, items, count: int = 1, heavy: int = 0, heavy_from: int = 16, size: int = BYTES) -> Shared:
+    """``items(batch)`` gives arrays of hashes, each distinct within its document, for a batch of ``docs``; ``size``: bytes of the bitmap."""
     parts = shuffle_width(docs.sparkSession)
 
     def runs(batches):
-        held = Collector(parts, count)
+        held = Collector(parts, size, count)
         for batch in batches:
             for hashes in items(batch):
                 yield from held.add(hashes)
@@ -105,9 +116,9 @@ def shared(docs: DataFrame, items, count: int = 1, heavy: int = 0, heavy_from: i
         item, n = item[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
         item, n = item[first], np.add.reduceat(n, first)
-        lo, hi = first_byte(part, parts), first_byte(part + 1, parts)
+        lo, hi = first_byte(part, parts, size), first_byte(part + 1, parts, size)
         mark = np.zeros((hi - lo) * 8, np.uint8)
-        mark[(item[n >= 2] >> np.uint64(SHIFT)).astype(np.int64) - lo * 8] = 1
+        mark[(item[n >= 2] >> np.uint64(shift(size))).astype(np.int64) - lo * 8] = 1
         top = np.flatnonzero(n >= heavy_from) if heavy else np.empty(0, np.int64)
         most = max(1, heavy // parts)
         if len(top) > most:
@@ -117,10 +128,10 @@ def shared(docs: DataFrame, items, count: int = 1, heavy: int = 0, heavy_from: i
             pa.array([pack_sorted(item[top])], pa.binary()), pa.array([n[top].astype("<u4").tobytes()], pa.binary())], names=["part", "bits", "items", "counts"])
 
     found = docs.mapInArrow(runs, _SCHEMA).repartitionById(parts, "part").mapInArrow(merge, "part int, bits binary, items binary, counts binary")
-    bits, top, counts = np.zeros(BYTES, np.uint8), [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-    for r in sorted(found.collect(), key=lambda r: r["part"]):  # BYTES and ``heavy`` entries in all
+    bits, top, counts = np.zeros(size, np.uint8), [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    for r in sorted(found.collect(), key=lambda r: r["part"]):  # ``size`` bytes and ``heavy`` entries in all
         got = np.frombuffer(unsqueeze(bytes(r["bits"])), np.uint8)
-        bits[first_byte(r["part"], parts) :][: len(got)] = got
+        bits[first_byte(r["part"], parts, size) :][: len(got)] = got
         top.append(unpack_sorted(bytes(r["items"])))
         counts.append(np.frombuffer(bytes(r["counts"]), "<u4"))
     return Shared(bits, np.concatenate(top), np.concatenate(counts))

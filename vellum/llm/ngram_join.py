@@ -43,12 +43,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import LOWER_SPACE, MULT, Scratch, Words, mix, numbered, pack_sorted, pieces, shuffle_width, signed, unpack_sorted, utf8
 from vellum.llm.components import components
-from vellum.llm.hashbits import Shared, shared
+from vellum.llm.hashbits import Shared, bitmap_bytes, shared
 
 SKETCH, HEADS = 512, 3
 #: Longest l to consider, and what verifying a pair costs beside reading a posting: a fixed part and a part of its elements.
@@ -98,9 +99,8 @@ def heads(s: np.ndarray) -> np.ndarray:
     return mix(np.array([(s * MULT[k]).min() for k in range(HEADS)]) + MULT[1 : HEADS + 1])
 
 
-def profiles(docs: DataFrame, k: int, num: int, den: int, counts: Shared) -> DataFrame:
+def profiles(docs: DataFrame, k: int, num: int, den: int, held: Broadcast[Shared]) -> DataFrame:
     """doc_id, n, key (of the set), and for documents with a prefix to send: l, tokens, short, heads, sketch, elements."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
     schema = "doc_id long, n int, key binary, l int, tokens array<long>, short int, heads array<long>, sketch binary, elements binary"
 
     def run(batches):
@@ -307,8 +307,12 @@ def link(
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and, unless left out, class_links; a row per document."""
     spark = docs.sparkSession
     scratch, width = Scratch(spark), shuffle_width(docs.sparkSession)
-    counts = shared(docs.select("text"), lambda batch: shingle_sets(utf8(batch.column("text")), k), heavy=heavy)
-    prof = scratch.write(profiles(docs, k, num, den, counts).withColumn("at", F.monotonically_increasing_id()), "profiles")
+    letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = bitmap_bytes(letters // 24)  # a third of the shingles at about eight bytes each
+    counts = shared(docs.select("text"), lambda batch: shingle_sets(utf8(batch.column("text")), k), heavy=heavy, size=size)
+    held = spark.sparkContext.broadcast(counts)
+    prof = scratch.write(profiles(docs, k, num, den, held).withColumn("at", F.monotonically_increasing_id()), "profiles")
+    held.destroy()
     # One row a class, whatever ids are null or repeated: the profile of its first row, whose number is the class's id.
     classes = scratch.write(prof.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("at").alias("id")), "classes")
     sends = prof.where("size(tokens) > 0").drop("doc_id", "key")
