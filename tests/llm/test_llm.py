@@ -101,7 +101,7 @@ def test_chat_rotation(spark):
     text, masks = got[1, "ann b"]
     assert text == (
         "<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi < |im_end|><|im_end|>\n"
-        "<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=unknown\nx<|im_end|>\n")
+        '<|im_start|>user name="bob"\n<|im_end|>\n<|im_start|>user name="unknown"\nx<|im_end|>\n')
     assert [text[a:b] for a, b in masks] == ["Hi < |im_end|><|im_end|>"]
     assert len(got[3, "u"][1]) == 2
     assert chat_format.rotate(df.limit(0)).count() == 0
@@ -200,7 +200,7 @@ def test_mixing(docs, none):
         free = free - full if full else set()
     for s, g in by.items():
         assert math.isclose(g[0]["target"], target[s]) and abs(sum(r["taken"] for r in g) - target[s]) <= 1
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.plan(df.repartition(5)).collect())) if None not in by else True
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.plan(df.repartition(5)).collect()))
     assert mixing.plan(none).count() == 0
 
 
