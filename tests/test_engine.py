@@ -50,10 +50,36 @@ def test_scans_read_only_what_they_use(spark):
     assert "ReadSchema: struct<text:string,lang:string,source:string>" in text
 
 
-def test_too_many_questions_are_refused(spark):
-    many = spark.range(retrieval.MOST_QUESTIONS + 1).select(F.col("id").alias("question_id"), F.array(F.lit(1.0)).alias("vector"))
-    with pytest.raises(ValueError):
-        retrieval.nearest(spark.createDataFrame([(1, [1.0])], "item_id long, embedding array<float>"), many)
+def test_questions_in_blocks_get_the_same_answers(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "item_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "question_id long, vector array<float>")
+    one, many = (sorted(map(tuple, retrieval.nearest(vectors, asked, 3, most=n).collect())) for n in (1 << 20, 500))
+    assert one == many and len(one) == 120
+
+
+def test_keyword_scores_against_a_plain_version(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    vocab = ["a", "no", "Not", "kg", "2.1", "32", "b-12", "Ünit", "IATA", "12/a"]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 12))) for _ in range(50)] + [None, "", "concatenated"]
+    asked = [" ".join(rng.choices(vocab, k=rng.randint(1, 4))) for _ in range(25)] + [None, "", "?!", "cat", "concatenated"]
+    token = re.compile(r"[^\W_]*\d[^\W_]*(?:[.\-/][^\W_]+)*|[^\W_]+")
+    want = {}
+    for q, question in enumerate(asked):
+        scored = []
+        for d, text in enumerate(texts):
+            both = set(token.findall((question or "").lower())) & set(token.findall((text or "").lower()))
+            score = sum(5 if re.search(r"\d", t) else 1 for t in both)
+            if score:
+                scored.append((-(score + 10 * ((question or "").lower() in text.lower())), d))
+        want |= {(q, d): (-s, i + 1) for i, (s, d) in enumerate(sorted(scored)[:4])}
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(3)
+    questions = spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
+    for most in (1 << 20, 300):
+        got = retrieval.keyword_top(items, questions, 4, most=most).collect()
+        assert {(r["question_id"], r["item_id"]): (r["score"], r["rank"]) for r in got} == want
 
 
 def test_fusion_breaks_ties_by_id_and_moves_are_kept(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.running import running_sum
+
 
 def recall(retrieved: Column, acceptable: Column) -> Column:
     """The best covered share over several acceptable evidence sets; null (not applicable) without any."""
@@ -20,11 +22,28 @@ def case_passes(status: Column, expected: Column, required: Column, prohibited:
     return F.coalesce((status == expected) & all_in & none_in, F.lit(False))
 
 
-def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Runs, p50 and p95 a group, by linear interpolation."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.groupBy(*by).agg(F.count(value).alias("runs"), p.alias("_p")).select(
-        *by, "runs", F.round(F.col("_p")[0], 6).alias("p50"), F.round(F.col("_p")[1], 6).alias("p95"))
+def percentiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Runs and a column a share (p50, p95) for each group, by linear interpolation between exact ranks.
+
+    Values are counted once each and ranked by ranges, so no task holds a group.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranked = running_sum(sizes, by, [value], "_n", "_upto")
+    runs = df.groupBy(*by).agg(F.count(value).alias("runs"))
+    runs = runs.select(*[F.col(c).alias(f"_of_{c}") for c in by], "runs")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+
+    def at(rank: Column) -> Column:  # the value that has this rank, counted from 0
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col(value)))
+
+    columns = []
+    for share in shares:
+        place = (F.col("runs") - 1) * F.lit(share)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        columns.append(F.round(low + (high - low) * F.max(place - F.floor(place)), 6).alias(f"p{round(share * 100)}"))
+    return runs.join(ranked, same, "left").groupBy(*[F.col(f"_of_{c}").alias(c) for c in by]).agg(F.max("runs").alias("runs"), *columns)
 
 
 def macro(cases: DataFrame, first: str, second: str, metric: str) -> DataFrame:

@@ -22,17 +22,24 @@ def one_hop(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, types: list[st
     return out.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
 
 
+def permitted_edges(edges: DataFrame, nodes: DataFrame, types: list[str]) -> DataFrame:
+    """src, dst: validated edges of the allowed types with both ends in ``nodes`` (id)."""
+    usable = edges.where(F.col("type").isin(*types) & (F.col("validation_status") == "validated")).select("src", "dst")
+    ends = nodes.select("id")
+    return usable.join(ends, F.col("src") == F.col("id"), "left_semi").join(ends, F.col("dst") == F.col("id"), "left_semi").distinct()
+
+
 def reporting_subtree(spark: SparkSession, people: DataFrame, root: str) -> DataFrame:
-    """user_id, depth of everyone below ``root`` (itself at 0) in a table of user_id, manager_id."""
-    people.select("user_id", "manager_id").createOrReplaceTempView("vellum_people")
+    """user_id, depth of everyone below ``root`` (itself at 0) in a table of user_id, manager_id, however deep or wide."""
+    for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        spark.conf.set(limit, "-1")
     return spark.sql(
         """WITH RECURSIVE below(user_id, depth) AS (
-             SELECT user_id, 0 FROM vellum_people WHERE user_id = :root
+             SELECT user_id, 0 FROM {people} WHERE user_id = :root
              UNION ALL
-             SELECT p.user_id, b.depth + 1 FROM vellum_people p JOIN below b ON p.manager_id = b.user_id)
+             SELECT p.user_id, b.depth + 1 FROM {people} p JOIN below b ON p.manager_id = b.user_id)
            SELECT user_id, depth FROM below""",
-        {"root": root},
-    )
+        {"root": root}, people=people.select("user_id", "manager_id"))
 
 
 def duplicate_ids(nodes: DataFrame) -> DataFrame:

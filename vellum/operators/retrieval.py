@@ -6,15 +6,32 @@ A ranked list is a DataFrame with the columns of ``by`` (usually a question id),
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from vellum.functions.access import allow
+from vellum.functions.running import running_sum
 from vellum.functions.vectors import dot
 
-#: Bytes up to which the question side of a similarity search is broadcast.
-MOST_QUESTIONS = 10_000
+#: Bytes of questions (texts, or vectors as doubles) that every task holds at a time; more are asked in blocks.
+MOST_BYTES = 64 << 20
+#: Scores that a task holds at a time.
+_SCORES = 4_000_000
+
+
+def in_blocks(questions: DataFrame, size: Column, ask: Callable[[DataFrame], DataFrame], most: int = MOST_BYTES) -> DataFrame:
+    """``ask`` for blocks of questions of about ``most`` bytes each, so that the side that is broadcast is bounded."""
+    blocks = max(1, -(-int(questions.agg(F.sum(size)).first()[0] or 0) // most))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [ask(questions if blocks == 1 else questions.where(block == b)) for b in range(blocks)])
 
 
 def top_k(df: DataFrame, by: list[str], score: str, item: str, k: int) -> DataFrame:
@@ -23,36 +40,94 @@ def top_k(df: DataFrame, by: list[str], score: str, item: str, k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, questions: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, questions: DataFrame, k: int = 10, digits: int = 6, most: int = MOST_BYTES) -> DataFrame:
     """Exact cosine top-k of unit vectors: question_id, item_id, score, rank.
 
-    ``vectors``: item_id, embedding, already authorized.  ``questions``: question_id, vector; their
-    number is checked, so each executor holds them all and the vectors are read once, unshuffled.
+    ``vectors``: item_id, embedding, already authorized.  ``questions``: question_id, vector.  Each
+    executor holds a block of the questions, and a block reads the vectors once, unshuffled.
     """
-    n = questions.limit(MOST_QUESTIONS + 1).count()
-    if n > MOST_QUESTIONS:
-        raise ValueError(f"more than {MOST_QUESTIONS} questions; search in blocks")
-    pairs = vectors.crossJoin(F.broadcast(questions))
-    scored = pairs.select("question_id", "item_id", F.round(dot(F.col("embedding"), F.col("vector")), digits).alias("score"))
-    return top_k(scored, ["question_id"], "score", "item_id", k)
+
+    def ask(some: DataFrame) -> DataFrame:
+        pairs = vectors.crossJoin(F.broadcast(some))
+        scored = pairs.select("question_id", "item_id", F.round(dot(F.col("embedding"), F.col("vector")), digits).alias("score"))
+        return top_k(scored, ["question_id"], "score", "item_id", k)
+
+    return in_blocks(questions, 8 * F.size("vector") + 32, ask, most)
+
+
+#: A token with a digit, taken with its dotted, hyphened or slashed parts (2.1, 12-b), is an identifier; others are words.
+TOKEN = r"[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*(?:[.\-/][\p{L}\p{N}]+)*|[\p{L}\p{N}]+"
+_HAS_DIGIT = r"\p{N}"
 
 
 def tokens_of(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits; no stop words are dropped, nothing is stemmed."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    """Distinct lower-case words and identifiers; no stop words are dropped, nothing is stemmed."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
-def keyword_scores(items: DataFrame, questions: DataFrame, phrase: int = 10) -> DataFrame:
-    """question_id, item_id, score: shared distinct tokens, plus ``phrase`` if the whole question occurs.
+def keyword_top(items: DataFrame, questions: DataFrame, k: int = 10, phrase: int = 10, identifier: int = 5, most: int = MOST_BYTES) -> DataFrame:
+    """question_id, item_id, score, rank: the ``k`` items with the best scores above 0.
 
-    Both sides are exploded to tokens and joined on them, so only pairs with a common token are made.
+    Score: 1 for each distinct word that both have, ``identifier`` for an identifier, and ``phrase`` more
+    if the whole question occurs.  ``items``: item_id, text, already authorized.  ``questions``: question_id,
+    question.  Each task holds a block of the questions, scores documents where they are read, and hands on
+    its own ``k`` best a question; neither texts nor pairs are shuffled.
     """
-    left = items.select("item_id", F.explode(tokens_of(F.col("text"))).alias("token"))
-    right = questions.select("question_id", F.explode(tokens_of(F.col("question"))).alias("token"))
-    shared = left.join(right, "token").groupBy("question_id", "item_id").agg(F.count("*").alias("shared"))
-    whole = shared.join(items.select("item_id", "text"), "item_id").join(questions.select("question_id", "question"), "question_id")
-    found = F.contains(F.lower("text"), F.lower("question"))
-    return whole.select("question_id", "item_id", (F.col("shared") + F.when(found, phrase).otherwise(0)).alias("score"))
+    asked = questions.select("question_id", F.lower("question").alias("text"), tokens_of(F.col("question")).alias("tokens"))
+    asked = asked.select("*", F.transform("tokens", lambda t: F.when(t.rlike(_HAS_DIGIT), identifier).otherwise(1)).alias("weights"))
+    read = items.select("item_id", F.lower("text").alias("text"), tokens_of(F.col("text")).alias("tokens"))
+    schema = StructType([asked.schema["question_id"], read.schema["item_id"], StructField("score", LongType())])
+
+    def ask(some: DataFrame) -> DataFrame:
+        held = items.sparkSession.sparkContext.broadcast([tuple(r) for r in some.where("size(tokens) > 0").toLocalIterator()])
+        return read.mapInArrow(lambda batches: _keyword_best(batches, held.value, k, phrase), schema)
+
+    best = in_blocks(asked, 3 * F.octet_length("text") + 64, ask, most)
+    return top_k(best, ["question_id"], "score", "item_id", k)
+
+
+def _keyword_best(batches, questions: list[tuple], k: int, phrase: int):
+    """The best rows of a partition, as one batch."""
+    if not questions:
+        return
+    ids, texts = [q[0] for q in questions], [q[1] for q in questions]
+    size = np.array([len(q[2]) for q in questions])
+    vocabulary, code = np.unique([t for q in questions for t in q[2]], return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    asks = np.repeat(np.arange(len(questions)), size)[order]  # the questions of each token, token by token
+    weight = np.array([w for q in questions for w in q[3]])[order]
+    first = np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
+    known, step = pa.array(vocabulary, pa.string()), max(16, min(8192, _SCORES // len(questions)))
+    best = None
+
+    def kept(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["q", "score", "item"], ascending=[True, False, True]).groupby("q").head(k)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            some = batch.slice(at, step)
+            items, lists, lowered = (some.column(c) for c in ("item_id", "tokens", "text"))
+            n, q = len(some), len(questions)
+            doc = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy())
+            found = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
+            doc, found = doc[found >= 0], found[found >= 0]
+            many = first[found + 1] - first[found]
+            upto = np.cumsum(many)
+            place = np.arange(int(many.sum())) + np.repeat(first[found] - upto + many, many)
+            pair = np.repeat(doc, many) * q + asks[place]
+            shared = np.bincount(pair, minlength=n * q)
+            score = np.bincount(pair, weight[place], n * q).astype(np.int64)
+            # A question that occurs as a whole has all its tokens in the text but the first and the last, which may be parts there.
+            for x in np.flatnonzero((shared > 0) & (shared >= np.tile(size, n) - 2)).tolist():
+                if texts[x % q] in lowered[x // q].as_py():
+                    score[x] += phrase
+            score = score.reshape(n, q)
+            least = np.partition(score, n - k, axis=0)[n - k] if n > k else np.zeros(q, np.int64)
+            d, x = np.nonzero(score >= np.maximum(least, 1))
+            rows = pd.DataFrame({"q": x, "score": score[d, x], "item": items.take(pa.array(d)).to_pandas()})
+            best = kept(rows if best is None else pd.concat((best, rows)))
+    if best is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in best["q"]]), pa.array(best["item"].tolist()), pa.array(best["score"].to_numpy())], names=["question_id", "item_id", "score"])
 
 
 def rrf(lists: list[DataFrame], by: list[str], item: str, constant: int = 60) -> DataFrame:
@@ -86,5 +161,38 @@ def overlap_score(question: Column, text: Column) -> Column:
 
 def within_budget(ranked: DataFrame, by: list[str], order: list[str], tokens: str, budget: int = 3500) -> DataFrame:
     """The longest prefix in rank order whose tokens fit the budget, with the running total ``used``."""
-    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("used", F.sum(tokens).over(upto)).where(F.col("used") <= budget)
+    return running_sum(ranked, by, order, tokens, "used").where(F.col("used") <= budget)
+
+
+def with_neighbours(ranked: DataFrame, hops: DataFrame, by: list[str], item: str, additions: int = 10, most: int = 30) -> DataFrame:
+    """``by``, ``item``, rank: the ranked list, then items one hop from it that it doesn't have, ``additions`` and ``most`` in all.
+
+    ``hops``: src, dst, already validated and permitted at both ends.  An addition stands where its best seed does.
+    """
+    near = ranked.join(hops, F.col(item) == F.col("src")).groupBy(*by, F.col("dst").alias(item)).agg(F.min("rank").alias("seed"))
+    near = near.join(ranked.select(*by, item), [*by, item], "left_anti")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("seed", item))).where(F.col("place") <= additions)
+    both = ranked.select(*by, item, F.lit(0).alias("hop"), F.col("rank").alias("place")).unionByName(near.select(*by, item, F.lit(1).alias("hop"), "place"))
+    order = Window.partitionBy(*by).orderBy("hop", "place")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(*by, item, "hop", "rank")
+
+
+def readable(chunks: DataFrame, rules: DataFrame, user: DataFrame, corpora: list[str] | None = None) -> DataFrame:
+    """The chunks that the one principal of ``user`` may read, within the selected corpora.
+
+    ``chunks``: tenant_id, corpus_id, document_policy_id, access_policy_id (the section's).  Both rules must
+    allow; a missing one denies.  ``rules`` and ``user`` are as ``allow`` reads them.
+    """
+    if corpora is not None:
+        chunks = chunks.where(F.col("corpus_id").isin(*corpora))
+    rule = rules.select(F.col("id").alias("_rule"), F.struct("*").alias("_p"))
+    own = rule.select(F.col("_rule").alias("_section_rule"), F.col("_p").alias("_s"))
+    both = chunks.join(rule, F.col("document_policy_id") == F.col("_rule")).join(own, F.col("access_policy_id") == F.col("_section_rule"))
+    both = both.crossJoin(F.broadcast(user.limit(1).select(F.struct("*").alias("_u"))))
+    return both.where(allow("_u", F.col("corpus_id"), F.col("tenant_id"), "_p") & allow("_u", F.col("corpus_id"), F.col("tenant_id"), "_s")).select(*chunks.columns)
+
+
+def get_sections(wanted: DataFrame, sections: DataFrame) -> DataFrame:
+    """For each wanted section_id its body, or the status ``not_found``; what isn't in ``sections`` (readable ones) looks absent."""
+    found = wanted.join(sections.select("section_id", "section_ordinal", "heading", "body"), "section_id", "left")
+    return found.withColumn("status", F.when(F.col("body").isNull(), "not_found").otherwise("found"))

@@ -36,3 +36,17 @@ def difference(before: DataFrame, after: DataFrame, key: str, digest: str) -> Da
     b, a = before.select(key, F.col(digest).alias("_b")), after.select(key, F.col(digest).alias("_a"))
     change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed").otherwise("same")
     return b.join(a, key, "full_outer").select(key, change.alias("change"))
+
+
+def compare(sections: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sections of two versions side by side: first, second, heading, section_ordinal, change.
+
+    ``sections`` (readable ones): document_version_id, heading, body; equal headings are told apart by
+    their order.  ``pairs``: first, second.  Only a digest of a body is compared.
+    """
+    place = F.row_number().over(Window.partitionBy("document_version_id", "heading").orderBy("section_ordinal")).alias("place")
+    parts = sections.select("document_version_id", "heading", place, F.sha2("body", 256).alias("digest"))
+    old = pairs.join(parts, F.col("first") == F.col("document_version_id")).select("first", "second", "heading", "place", F.col("digest").alias("a"))
+    new = pairs.join(parts, F.col("second") == F.col("document_version_id")).select("first", "second", "heading", "place", F.col("digest").alias("b"))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") == F.col("b"), "same").otherwise("changed")
+    return old.join(new, ["first", "second", "heading", "place"], "full").select("first", "second", "heading", "place", change.alias("change"))

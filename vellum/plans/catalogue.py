@@ -436,8 +436,8 @@ def request_validation(spark, sf):
 
 
 def _question(spark, sf) -> DataFrame:
-    """The vector with id 0 as the question."""
-    return table(spark, sf, "embeddings").where("vec_id = 0").select(F.lit(0).cast("long").alias("question_id"), F.col("embedding").alias("vector"))
+    """Every 50th vector is a question."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
 
 
 def _vectors(spark, sf) -> DataFrame:
@@ -445,10 +445,11 @@ def _vectors(spark, sf) -> DataFrame:
 
 
 _SIM = "round(list_sum(list_transform(generate_series(1, len(e.embedding)), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 6)"
-_VEC = f"SELECT e.vec_id AS item_id, e.label, {_SIM} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0"
+_VEC = f"SELECT q.vec_id AS question_id, e.vec_id AS item_id, {_SIM} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0"
+_BEST = "row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id)"
 
 
-@query(f"""SELECT 0::BIGINT AS question_id, item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM ({_VEC}) ORDER BY score DESC, item_id LIMIT 10""")
+@query(f"""SELECT question_id, item_id, score, {_BEST} AS rank FROM ({_VEC}) QUALIFY rank <= 10""")
 def vector_topk(spark, sf):
     return retrieval.nearest(_vectors(spark, sf), _question(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
@@ -462,32 +463,34 @@ def _readable(spark, sf, user: str = "ada") -> DataFrame:
 _OPEN = "SELECT doc_id FROM labels WHERE toxic = 0 AND doc_id IN (SELECT doc_id FROM documents)"
 
 
-@query(f"""SELECT 0::BIGINT AS question_id, item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM ({_VEC}) WHERE item_id IN ({_OPEN}) ORDER BY score DESC, item_id LIMIT 10""")
+@query(f"""SELECT question_id, item_id, score, {_BEST} AS rank FROM ({_VEC}) WHERE item_id IN ({_OPEN}) QUALIFY rank <= 10""")
 def vector_topk_authorized(spark, sf):
     """Authorize, then rank: the filter stands below the top-k."""
     open_vectors = _vectors(spark, sf).join(_readable(spark, sf).select("item_id"), "item_id", "left_semi")
     return retrieval.nearest(open_vectors, _question(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH v AS ({_VEC}), a AS (SELECT item_id FROM v WHERE item_id IN ({_OPEN}) ORDER BY score DESC, item_id LIMIT 10), b AS (SELECT item_id FROM v ORDER BY score DESC, item_id LIMIT 10)
-SELECT (SELECT count(*) FROM a) AS filtered_first, (SELECT count(*) FROM b WHERE item_id IN ({_OPEN})) AS filtered_last, (SELECT count(*) FROM a WHERE item_id IN (SELECT item_id FROM b)) AS kept""")
+@query(f"""WITH v AS MATERIALIZED ({_VEC}), a AS (SELECT question_id, item_id FROM v WHERE item_id IN ({_OPEN}) QUALIFY {_BEST} <= 10), b AS (SELECT question_id, item_id FROM v QUALIFY {_BEST} <= 10)
+SELECT question_id, (SELECT count(*) FROM a WHERE a.question_id = x.question_id) AS filtered_first, (SELECT count(*) FROM b WHERE b.question_id = x.question_id AND item_id IN ({_OPEN})) AS filtered_last,
+  (SELECT count(*) FROM a WHERE a.question_id = x.question_id AND item_id IN (SELECT item_id FROM b WHERE b.question_id = x.question_id)) AS kept FROM (SELECT DISTINCT question_id FROM v) x""")
 def forbidden_neighbor_recall(spark, sf):
-    """What ranking before authorizing would lose to forbidden neighbours."""
+    """For each question, what ranking before authorizing would lose to forbidden neighbours."""
     vectors_, q, ok = _vectors(spark, sf), _question(spark, sf), _readable(spark, sf).select("item_id")
-    first = retrieval.nearest(vectors_.join(ok, "item_id", "left_semi"), q).select("item_id")
-    plain = retrieval.nearest(vectors_, q).select("item_id")
-    last = plain.join(ok, "item_id", "left_semi")
-    both = first.join(plain, "item_id", "left_semi")
-    return first.agg(F.count("*").alias("filtered_first")).crossJoin(last.agg(F.count("*").alias("filtered_last"))).crossJoin(both.agg(F.count("*").alias("kept")))
+    first = retrieval.nearest(vectors_.join(ok, "item_id", "left_semi"), q).select("question_id", "item_id", F.lit(True).alias("first"))
+    plain = retrieval.nearest(vectors_, q).select("question_id", "item_id", F.lit(True).alias("plain"))
+    both = first.join(plain, ["question_id", "item_id"], "full").join(ok.withColumn("open", F.lit(True)), "item_id", "left")
+    return both.groupBy("question_id").agg(
+        F.count("first").alias("filtered_first"), F.count_if(F.col("plain") & F.col("open")).alias("filtered_last"), F.count_if(F.col("first") & F.col("plain")).alias("kept"))
 
 
+_TOKENS = r"'[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*(?:[.\-/][\p{L}\p{N}]+)*|[\p{L}\p{N}]+'"
 _KW = r"""
-d AS (SELECT DISTINCT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents {where}),
-q AS (SELECT DISTINCT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM benchmark),
-m AS (SELECT question_id, d.item_id, count(*) AS shared FROM d JOIN q USING (token) GROUP BY ALL),
+d AS (SELECT DISTINCT doc_id AS item_id, unnest(regexp_extract_all(lower(text), {tok})) AS token FROM documents {where}),
+q AS (SELECT DISTINCT item_id AS question_id, unnest(regexp_extract_all(lower(text), {tok})) AS token FROM benchmark),
+m AS (SELECT question_id, d.item_id, sum(CASE WHEN regexp_matches(token, '\p{N}') THEN 5 ELSE 1 END)::BIGINT AS shared FROM d JOIN q USING (token) GROUP BY ALL),
 k AS (SELECT question_id, m.item_id, shared + CASE WHEN contains(lower(x.text), lower(b.text)) THEN 10 ELSE 0 END AS score FROM m JOIN documents x ON x.doc_id = m.item_id JOIN benchmark b ON b.item_id = question_id),
 kw AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS rank FROM k QUALIFY rank <= 10)
-"""
+""".replace("{tok}", _TOKENS)
 
 
 def _questions(spark, sf) -> DataFrame:
@@ -498,7 +501,7 @@ def _questions(spark, sf) -> DataFrame:
 def keyword_topk(spark, sf):
     """Every benchmark passage as a question over all documents."""
     items = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    out = retrieval.top_k(retrieval.keyword_scores(items, _questions(spark, sf)), ["question_id"], "score", "item_id", 10)
+    out = retrieval.keyword_top(items, _questions(spark, sf))
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -515,9 +518,9 @@ def _hybrid_lists(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = _readable(spark, sf)
     vecs = _vectors(spark, sf).join(items.select("item_id"), "item_id", "left_semi")
     asked = _questions(spark, sf).select("question_id")
-    q = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")).join(F.broadcast(asked), "question_id", "left_semi")
+    q = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")).join(asked, "question_id", "left_semi")
     vec = retrieval.nearest(vecs, q)
-    kw = retrieval.top_k(retrieval.keyword_scores(items, _questions(spark, sf)), ["question_id"], "score", "item_id", 10)
+    kw = retrieval.keyword_top(items, _questions(spark, sf))
     return vec, kw, items
 
 
@@ -530,8 +533,8 @@ def hybrid_rrf(spark, sf):
 
 _OVERLAP = r"""round(len(list_intersect(qt, dt)) / greatest(len(list_distinct(list_concat(qt, dt))), 1)::DOUBLE, 6)"""
 _RERANK = _HYBRID + rf""", s AS (SELECT h.question_id, h.item_id, h.rank AS before, {_OVERLAP} AS rerank_score FROM h
-  JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS qt FROM benchmark) b ON b.item_id = h.question_id
-  JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS dt FROM documents) d ON d.doc_id = h.item_id),
+  JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS qt FROM benchmark) b ON b.item_id = h.question_id
+  JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS dt FROM documents) d ON d.doc_id = h.item_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, item_id) AS after FROM s)
 """
 
@@ -539,7 +542,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_scor
 def _reranked(spark, sf, k: int) -> DataFrame:
     vec, kw, items = _hybrid_lists(spark, sf)
     fused = retrieval.rrf([vec, kw], ["question_id"], "item_id")
-    full = fused.join(items.select("item_id", "text"), "item_id").join(F.broadcast(_questions(spark, sf)), "question_id")
+    full = fused.join(items.select("item_id", "text"), "item_id").join(_questions(spark, sf), "question_id")
     return retrieval.rerank(full, ["question_id"], "item_id", retrieval.overlap_score(F.col("question"), F.col("text")), k)
 
 
@@ -578,7 +581,7 @@ def ask(spark, sf):
     return out.withColumn("status", evaluation.status(F.col("evidence"), F.col("evidence"), F.lit(0), F.lit(True)))
 
 
-@query()
+@query(_RERANK + "SELECT question_id, item_id, rerank_score FROM r WHERE after <= 30")
 def stand_in_cross_encoder(spark, sf):
     """Scores of all hybrid candidates by the stand-in scorer (no neural model is available here)."""
     return _reranked(spark, sf, 30).select("question_id", "item_id", "rerank_score")
@@ -606,6 +609,114 @@ def triage(spark, sf):
     return table(spark, sf, "documents").select("doc_id", route.alias("route"))
 
 
+# ---------------------------------------------------------------- retrieval over chunks
+
+
+def _versions(spark, sf) -> DataFrame:
+    """Documents as versions: three in a row are one policy's, a year apart from 2020 on; the source is the corpus."""
+    docs = table(spark, sf, "documents")
+    start = F.make_date(2020 + F.col("doc_id") % 3, F.lit(1), F.lit(1))
+    return docs.select(F.col("doc_id").cast("string").alias("document_version_id"), "doc_id", F.expr("doc_id div 3").alias("policy"), start.alias("effective_from"), F.col("source").alias("corpus_id"))
+
+
+def _chunked(spark, sf) -> DataFrame:
+    """Chunks with corpus, tenant and both rules: those of documents in force on 2021-06-30, in the core corpora of even sources."""
+    versions_ = _versions(spark, sf)
+    current = versions.as_of(versions_, "policy", "effective_from", "doc_id", F.lit("2021-06-30").cast("date")).select("doc_id")
+    meta = versions_.join(current, "doc_id", "left_semi").select("document_version_id", F.when(F.col("corpus_id").isin(*_EVEN), "core").otherwise("attic").alias("corpus_id"))
+    chunks = chunking.chunk_documents(structured(table(spark, sf, "documents").join(current, "doc_id", "left_semi"))).join(meta, "document_version_id")
+    rule = F.when(F.col("access_policy_id") == "restricted", "store").otherwise("staff")
+    return chunks.withColumn("tenant_id", F.lit("museum")).withColumn("document_policy_id", F.lit("staff")).withColumn("access_policy_id", rule)
+
+
+_EVEN = [f"src{i}" for i in range(0, 20, 2)]
+_IN_FORCE = "SELECT arg_max(doc_id, make_date((2020 + doc_id % 3)::INT, 1, 1)) AS doc_id FROM documents WHERE make_date((2020 + doc_id % 3)::INT, 1, 1) <= DATE '2021-06-30' GROUP BY doc_id // 3"
+_CHUNK_ITEMS = f"""ch AS MATERIALIZED (SELECT c.* FROM ({_CHUNKS.replace("{cfg}", _CFG_SQL)}) c JOIN documents d ON d.doc_id::VARCHAR = c.document_version_id
+  WHERE d.doc_id IN ({_IN_FORCE}) AND d.source IN ({", ".join(map(repr, _EVEN))}) AND c.access_policy_id = 'internal')"""
+
+
+def _asked_chunks(spark, sf) -> tuple[DataFrame, DataFrame]:
+    user = principals(spark).where("user_id = 'ada'")
+    return retrieval.readable(_chunked(spark, sf), policies(spark), user, ["core"]), _questions(spark, sf)
+
+
+_CHUNK_KW = _KW.replace("SELECT DISTINCT doc_id AS item_id", "SELECT DISTINCT chunk_id AS item_id").replace("FROM documents {where}", "FROM ch").replace("JOIN documents x ON x.doc_id = m.item_id", "JOIN ch x ON x.chunk_id = m.item_id")
+
+
+@query("WITH " + _CHUNK_ITEMS + "," + _CHUNK_KW + "SELECT question_id, item_id AS chunk_id, heading_path, score, kw.rank FROM kw JOIN ch ON ch.chunk_id = kw.item_id")
+def chunk_retrieval(spark, sf):
+    """From documents to cited chunks in one plan: versions in force, chunks, corpus scope, both access rules, then the best ten."""
+    chunks, asked = _asked_chunks(spark, sf)
+    best = retrieval.keyword_top(chunks.select(F.col("chunk_id").alias("item_id"), "text"), asked)
+    named = chunks.select(F.col("chunk_id").alias("item_id"), "heading_path")
+    return best.join(named, "item_id").select("question_id", F.col("item_id").alias("chunk_id"), "heading_path", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH " + _CHUNK_ITEMS + "," + _CHUNK_KW + """, c AS (SELECT question_id, kw.rank, token_count, document_version_id || ':' || heading_path AS parent_id FROM kw JOIN ch ON ch.chunk_id = kw.item_id),
+p AS (SELECT question_id, parent_id, min(rank) AS rank FROM c GROUP BY ALL), e AS (SELECT p.*, (SELECT sum(token_count) FROM ch WHERE ch.document_version_id || ':' || ch.heading_path = p.parent_id)::BIGINT AS tokens FROM p),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY question_id ORDER BY rank, parent_id)::BIGINT AS used FROM e)
+SELECT question_id, parent_id, rank, tokens, used FROM u WHERE used <= 3500""")
+def context_pack(spark, sf):
+    """Parents of the retrieved chunks, each once at its best rank, whole, while 3,500 tokens last; only readable chunks count."""
+    chunks, asked = _asked_chunks(spark, sf)
+    best = retrieval.keyword_top(chunks.select(F.col("chunk_id").alias("item_id"), "text"), asked)
+    found = best.join(chunks.select(F.col("chunk_id").alias("item_id"), "parent_id"), "item_id").groupBy("question_id", "parent_id").agg(F.min("rank").cast("long").alias("rank"))
+    sizes = chunks.groupBy("parent_id").agg(F.sum("token_count").alias("tokens"))
+    return retrieval.within_budget(found.join(sizes, "parent_id"), ["question_id"], ["rank", "parent_id"], "tokens")
+
+
+_HOPS = f"SELECT doc_id AS src, doc_id + 1 AS dst FROM documents WHERE doc_id % 3 <> 0 AND doc_id IN ({_OPEN}) AND doc_id + 1 IN ({_OPEN})"
+
+
+@query(_HYBRID + f""", hops AS ({_HOPS}), seeds AS (SELECT question_id, item_id, rank FROM h),
+near AS (SELECT s.question_id, dst AS item_id, min(s.rank) AS seed FROM seeds s JOIN hops ON src = s.item_id WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.question_id = s.question_id AND x.item_id = dst) GROUP BY ALL),
+added AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY seed, item_id) AS place FROM near QUALIFY place <= 10),
+every AS (SELECT question_id, item_id, 0 AS hop, rank AS place FROM seeds UNION ALL SELECT question_id, item_id, 1, place FROM added),
+capped AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hop, place) AS before FROM every QUALIFY before <= 30),
+s AS (SELECT capped.*, {_OVERLAP} AS rerank_score FROM capped
+  JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS qt FROM benchmark) b ON b.item_id = capped.question_id
+  JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS dt FROM documents) d ON d.doc_id = capped.item_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, item_id) AS after FROM s)
+SELECT question_id, item_id, hop, before, after, rerank_score FROM r WHERE after <= 5""")
+def graph_rerank(spark, sf):
+    """Hybrid candidates, one hop along validated edges (here to the next document) at most ten more, thirty in all, reranked."""
+    vec, kw, items = _hybrid_lists(spark, sf)
+    fused = retrieval.rrf([vec, kw], ["question_id"], "item_id")
+    edges = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("REFERS_TO").alias("type"), F.when(F.col("doc_id") % 3 != 0, "validated").otherwise("draft").alias("validation_status"))
+    hops = graph.permitted_edges(edges, items.select(F.col("item_id").alias("id")), ["REFERS_TO"])
+    every = retrieval.with_neighbours(fused, hops, ["question_id"], "item_id")
+    full = every.join(items.select("item_id", "text"), "item_id").join(_questions(spark, sf), "question_id")
+    out = retrieval.rerank(full, ["question_id"], "item_id", retrieval.overlap_score(F.col("question"), F.col("text")), 5)
+    return out.select("question_id", "item_id", "hop", F.col("before").cast("long"), F.col("after").cast("long"), "rerank_score")
+
+
+@query(_BODIES + """SELECT x.section_id, heading, CASE WHEN heading IS NULL THEN 'not_found' ELSE 'found' END AS status, length(body)::BIGINT AS chars
+  FROM (SELECT doc_id || ':' || h AS section_id FROM documents, (VALUES ('1 Purpose'), ('2.1 Review Steps'), ('9 Nowhere')) AS v(h) WHERE doc_id % 50 = 0) x
+  LEFT JOIN (SELECT doc_id || ':' || heading AS section_id, heading, substr(text, (body_start + 1)::BIGINT, (body_end - body_start)::BIGINT) AS body FROM s WHERE access_policy_id = 'internal') y USING (section_id)""")
+def section_lookup(spark, sf):
+    """Sections by id, for every 50th document; a forbidden section and one that doesn't exist look the same."""
+    asked = table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.explode(F.array(*[F.concat("doc_id", F.lit(f":{h}")) for h in ("1 Purpose", "2.1 Review Steps", "9 Nowhere")])).alias("section_id"))
+    parts = chunking.sections(structured(table(spark, sf, "documents")))
+    rule = F.when(F.col("access_policy_id") == "restricted", "store").otherwise("staff")
+    parts = parts.withColumn("tenant_id", F.lit("museum")).withColumn("corpus_id", F.lit("core")).withColumn("document_policy_id", F.lit("staff")).withColumn("access_policy_id", rule)
+    ok = retrieval.readable(parts, policies(spark), principals(spark).where("user_id = 'ada'"))
+    return retrieval.get_sections(asked, ok).select("section_id", "heading", "status", F.length("body").cast("long").alias("chars"))
+
+
+@query(_BODIES + """, q AS (SELECT doc_id, heading, row_number() OVER (PARTITION BY doc_id, heading ORDER BY section_ordinal) AS place, sha256(substr(text, (body_start + 1)::BIGINT, (body_end - body_start)::BIGINT)) AS digest FROM s WHERE access_policy_id = 'internal'),
+pairs AS (SELECT a.doc_id AS first, b.doc_id AS second FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 3 = 0),
+o AS (SELECT first, second, heading, place, digest AS a FROM pairs JOIN q ON doc_id = first), w AS (SELECT first, second, heading, place, digest AS b FROM pairs JOIN q ON doc_id = second)
+SELECT first::VARCHAR AS first, second::VARCHAR AS second, heading, place, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN w USING (first, second, heading, place)""")
+def compare_versions(spark, sf):
+    """Each policy's first version against its second, readable section by section."""
+    parts = chunking.sections(structured(table(spark, sf, "documents"))).where("access_policy_id = 'internal'")
+    ids_ = table(spark, sf, "documents").select("doc_id")
+    pairs = ids_.where("doc_id % 3 = 0").join(ids_.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi")
+    pairs = pairs.select(F.col("doc_id").cast("string").alias("first"), (F.col("doc_id") + 1).cast("string").alias("second"))
+    return versions.compare(parts, pairs).withColumn("place", F.col("place").cast("long"))
+
+
 # ---------------------------------------------------------------- graph, versions, quality
 
 
@@ -838,7 +949,7 @@ def diagnose(spark, sf):
     return both.select("doc_id", found.alias("diagnosis"))
 
 
-@query()
+@query("""SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def incremental_ingest_stream(spark, sf):
     """A stream over the event files, merged batch by batch into generations: each user's last event."""
     import tempfile

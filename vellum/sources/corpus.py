@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vellum.functions.ids import document_version_id
-from vellum.functions.text import normalize_spaces
 
 _ENTRY = "corpus_id string, policy_issuer string, path string, sha256 string, effective_from date, source_url string, classification string, access_policy_id string, source_type string"
 MANIFEST = f"schema_version string, repository string, commit string, license string, tenant_id string, allowlist_only boolean, documents array<struct<{_ENTRY.replace(' string', ':string').replace(' date', ':date')}>>"
@@ -21,11 +19,13 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def documents(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
     """The listed files under ``root``, verified: a file whose bytes don't match its checksum fails the job.
 
-    Files that the manifest doesn't list are never read into the result.  Columns: those of the
-    manifest, text, document_version_id.
+    Only listed files are opened.  Columns: those of the manifest, text, document_version_id.
     """
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    paths = [base + r["path"] for r in listed.select("path").distinct().toLocalIterator()]  # names only, as a listing has them
+    if not paths:
+        return listed.withColumn("text", F.lit(None).cast("string")).withColumn("document_version_id", F.lit(None).cast("string"))
+    files = spark.read.format("binaryFile").load(paths)
     relative = F.substring_index(F.col("file"), base.split("://")[-1].lstrip("/"), -1)
     files = files.select(F.regexp_replace("path", r"^\w+:/*", "").alias("file"), "content").withColumn("path", relative).drop("file")
     found = listed.join(files, "path", "inner")
@@ -35,11 +35,6 @@ def documents(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
     return found.withColumn("text", checked).drop("content").withColumn("document_version_id", document_version_id(F.col("corpus_id"), F.col("sha256")))
 
 
-def with_normalized_text(docs: DataFrame) -> DataFrame:
-    """Adds the space-normalized text and its offset map; the original stays."""
-    return docs.withColumn("normalization", normalize_spaces(F.col("text")))
-
-
 def chunk_records(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks as records for the line-delimited sink: start and end instead of spans, corpus and issuer added."""
     named = docs.select("document_version_id", "corpus_id", "policy_issuer")
@@ -62,6 +57,3 @@ def summary(chunks: DataFrame, docs: DataFrame, max_tokens: int = 400) -> DataFr
     left = docs.select("document_version_id", "corpus_id", F.col("policy_issuer").alias("issuer"), "sha256", F.length("text").alias("characters"))
     return left.join(per, "document_version_id", "left").na.fill(0, ["children", "sections", "max_child_tokens"]).drop("document_version_id")
 
-
-NODES = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "label", "tenant_id", "corpus_id", "policy_id", "title", "version", "publication_status", "heading_path", "name")])
-EDGES = T.StructType([T.StructField(c, T.StringType()) for c in ("src", "dst", "type", "validation_status", "evidence_span")])
