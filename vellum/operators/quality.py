@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
+
 
 def duplicates(docs: DataFrame, key: str, digest: str) -> DataFrame:
     """digest, first (smallest key) and number of documents with equal content, where more than one."""
@@ -33,3 +35,25 @@ def common_to_all(members: DataFrame, marks: DataFrame, by: list[str], mark: lis
     every = members.groupBy(*by).agg(F.count("*").alias("_every"))
     have = marks.groupBy(*by, *mark).agg(F.count("*").alias("_have"))
     return have.join(every, by).where("_have = _every").select(*by, *mark)
+
+
+def shared_runs(docs: DataFrame, doc: str, items: DataFrame, item: str, words: int, most: int = 64 << 20) -> DataFrame:
+    """``doc``, ``item``, shared: how many distinct runs of so many lower-case words two texts have in common.
+
+    Runs meet by 64 hash bits and are then compared.  Where the items' texts take at most ``most`` bytes
+    times the run's length, their runs go to every executor and no run of a document is shuffled; else both sides are.
+    """
+
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        def cut(w: Column) -> Column:
+            at = F.when(F.size(w) >= words, F.sequence(F.lit(1), F.size(w) - (words - 1))).otherwise(F.array().cast("array<int>"))
+            return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(words)), " ")))
+
+        rows = df.select(key, F.explode(T.let(T.words(F.lower("text")), cut)).alias("run"))
+        return rows.select(F.col(key).alias(f"_{key}"), F.xxhash64("run").alias("_hash"), "run")
+
+    held = runs(items, item)
+    if words * (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= most:
+        held = F.broadcast(held)
+    both = runs(docs, doc).join(held, ["_hash", "run"])
+    return both.groupBy(F.col(f"_{doc}").alias(doc), F.col(f"_{item}").alias(item)).agg(F.count("*").alias("shared"))

@@ -292,15 +292,19 @@ def whitespace_normalization(spark, sf):
     return docs.select("doc_id", F.col("n.normalized").alias("normalized"), F.size("n.offsets").cast("long").alias("offsets"))
 
 
-@query(r"""WITH d AS (SELECT source, lang, length(text) AS chars, len(regexp_extract_all(text, '\S+')) AS tokens FROM documents)
+@query(r"""WITH d AS (SELECT source, lang, length(text) AS chars, len(regexp_extract_all(text, '\S+')) AS tokens FROM documents),
+o AS (SELECT source, string_agg(tokens || 'x' || n, ',' ORDER BY tokens) AS over_max FROM (SELECT source, tokens, count(*) AS n FROM d WHERE tokens > 400 GROUP BY ALL) GROUP BY 1)
 SELECT source AS corpus_id, sum(chars)::BIGINT AS characters, count(*) AS children, count(DISTINCT lang) AS sections, coalesce(max(tokens), 0) AS max_tokens,
-  array_to_string(list_sort(list(tokens) FILTER (WHERE tokens > 400)), ',') AS over_max, array_to_string(list_sort(list(DISTINCT lang)), ',') AS headings FROM d GROUP BY source""")
+  any_value(over_max) AS over_max, array_to_string(list_sort(list(DISTINCT lang)), ',') AS headings FROM d LEFT JOIN o USING (source) GROUP BY source""")
 def corpus_summary(spark, sf):
+    """A row a corpus; lengths beyond the limit as lengthxcount, counted before they are listed."""
     d = table(spark, sf, "documents").select("source", "lang", F.length("text").alias("chars"), T.word_count(F.col("text")).cast("long").alias("tokens"))
-    over = F.array_join(F.array_sort(F.collect_list(F.when(F.col("tokens") > 400, F.col("tokens")))), ",")
-    return d.groupBy(F.col("source").alias("corpus_id")).agg(
-        F.sum("chars").alias("characters"), F.count("*").alias("children"), F.countDistinct("lang").alias("sections"),
-        F.coalesce(F.max("tokens"), F.lit(0)).alias("max_tokens"), F.nullif(over, F.lit("")).alias("over_max"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("headings"))
+    over = d.where("tokens > 400").groupBy("source", "tokens").agg(F.count("*").alias("n")).groupBy("source").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tokens", "n"))), lambda x: F.concat_ws("x", x["tokens"], x["n"])), ",").alias("over_max"))
+    all_ = d.groupBy("source").agg(
+        F.sum("chars").alias("characters"), F.count("*").alias("children"), F.count_distinct("lang").alias("sections"),
+        F.coalesce(F.max("tokens"), F.lit(0)).alias("max_tokens"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("headings"))
+    return all_.join(over, "source", "left").withColumnRenamed("source", "corpus_id")
 
 
 # ---------------------------------------------------------------- governance
@@ -900,17 +904,8 @@ def citation_validity(spark, sf):
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(generate_series(1, len(w) - 7)) AS g(i)), bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS s FROM b, unnest(generate_series(1, len(w) - 7)) AS g(i))
 SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY ALL""")
 def benchmark_contamination(spark, sf):
-    """Evaluation text must not be in the corpus: shared runs of eight words, by an equi-join on the runs."""
-
-    def runs(df: DataFrame, key: str) -> DataFrame:
-        def cut(w: Column) -> Column:
-            at = F.when(F.size(w) >= 8, F.sequence(F.lit(1), F.size(w) - 7)).otherwise(F.array().cast("array<int>"))
-            return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(8)), " ")))
-
-        return df.select(key, F.explode(T.let(T.words(F.lower("text")), cut)).alias("s"))
-
-    both = runs(table(spark, sf, "documents"), "doc_id").join(runs(table(spark, sf, "benchmark"), "item_id"), "s")
-    return both.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    """Evaluation text must not be in the corpus: shared runs of eight words."""
+    return quality.shared_runs(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id", 8)
 
 
 @query("""SELECT conv_id, count(*) AS calls, count(*) FILTER (WHERE n <= 6) AS allowed FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1""")
@@ -952,13 +947,11 @@ def diagnose(spark, sf):
 @query("""SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def incremental_ingest_stream(spark, sf):
     """A stream over the event files, merged batch by batch into generations: each user's last event."""
-    import tempfile
     import uuid
 
-    from vellum.streaming.ingest import latest_by_user
+    from vellum.streaming.ingest import latest_by_user, shared_folder
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    work = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     return latest_by_user(spark, f"{sf}/event[s].parquet", table(spark, sf, "events").schema, work)
 
 
