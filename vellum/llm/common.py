@@ -1,11 +1,13 @@
 """What the operators of this subpackage share: staged tables, distributed prefix sums, word hashing.
 
 Tables that cut lineage are written below the folder named by ``spark.checkpoint.dir`` (shared by
-driver and executors).  Only where that setting is absent, as in local tests, a folder is made.
+driver and executors).  Only where that setting is absent and driver and executors are one process, as
+in local tests, a folder is made.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,6 +30,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for staged tables of this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
         base = _LOCAL[0]
