@@ -75,6 +75,11 @@ def references(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
 
 
+def within_words(text: Column, least: int = 500, most: int = 800) -> Column:
+    """The gate for written policies: a number of words within bounds."""
+    return F.coalesce(word_count(text).between(least, most), F.lit(False))
+
+
 def has_table(text: Column) -> Column:
     return F.exists(F.split(text, "\n"), lambda line: line.rlike(TABLE_RULE))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.functions import access, ids, vectors
+from vellum.functions import access, checks, ids, vectors
 from vellum.functions import text as T
-from vellum.operators import chunking, evaluation, graph, quality, retrieval, versions
+from vellum.operators import answers, chunking, evaluation, graph, quality, retrieval, versions
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -960,3 +961,70 @@ def activity_by_day(spark, sf):
     from vellum.streaming.ingest import activity_windows
 
     return activity_windows(table(spark, sf, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+# ---------------------------------------------------------------- answers, sessions
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\S+')) BETWEEN 500 AND 800 AS accepted FROM documents""")
+def word_count_gate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.within_words(F.col("text")).alias("accepted"))
+
+
+_QTY = r"list_distinct(list_transform(regexp_extract_all(lower({x}), '\p{N}+(?:[.,]\p{N}+)*(?:\s*(?:%|kg|g|km|cm|mm|m|hours|hour|h|days|day|eur|usd)(?:[^\p{L}\p{N}]|$))?'), lambda q: regexp_replace(q, '[^\p{L}\p{N}%.,]|[.,]$', '', 'g')))"
+_NOT = r"regexp_matches({x}, '(?i)(^|[^\p{L}])(not|no|never|none|without|neither|nor|cannot|\p{L}+n''t)([^\p{L}]|$)')"
+
+
+@query(f"""WITH cl AS (SELECT b.item_id AS answer_id, k::BIGINT AS claim, b.text || CASE WHEN k % 2 = 0 THEN ' It is never more than ' ELSE ' It is ' END || k || ' kg.' AS text FROM benchmark b, generate_series(0, 5) AS g(k)),
+ci AS (SELECT answer_id, claim, answer_id * 3 + claim % 4 AS chunk_id FROM cl WHERE claim < 5 UNION ALL SELECT answer_id, claim, answer_id * 3 + claim FROM cl WHERE claim BETWEEN 1 AND 3),
+ev AS (SELECT b.item_id AS answer_id, d.doc_id AS chunk_id, d.text || CASE WHEN d.doc_id % 3 = 0 THEN ' No more than ' ELSE ' Always ' END || d.doc_id % 4 || ' kg' AS text FROM benchmark b JOIN documents d ON d.doc_id BETWEEN b.item_id * 3 AND b.item_id * 3 + 3 WHERE d.doc_id IN ({_OPEN})),
+x AS (SELECT cl.answer_id, cl.claim, cl.text, ci.chunk_id, ev.chunk_id AS ours, ev.text AS got FROM cl LEFT JOIN (SELECT DISTINCT * FROM ci) ci USING (answer_id, claim) LEFT JOIN ev ON ev.answer_id = cl.answer_id AND ev.chunk_id = ci.chunk_id),
+q AS (SELECT answer_id, claim, q, bool_or(coalesce(list_contains(has, q), false)) AS found FROM (SELECT *, unnest({_QTY.replace("{x}", "text")}) AS q, {_QTY.replace("{x}", "got")} AS has FROM x) GROUP BY ALL),
+u AS (SELECT answer_id, claim, count(*) AS unfounded FROM q WHERE NOT found GROUP BY ALL),
+p AS (SELECT answer_id, claim, count(chunk_id) AS citations, count(*) FILTER (WHERE chunk_id IS NOT NULL AND ours IS NULL) AS invented, coalesce(bool_or(ours IS NOT NULL AND {_NOT.replace("{x}", "got")} = {_NOT.replace("{x}", "text")}), false) AS agrees FROM x GROUP BY ALL)
+SELECT answer_id, claim, citations, invented, coalesce(unfounded, 0) AS unfounded, citations > 0 AND invented = 0 AND coalesce(unfounded, 0) = 0 AND agrees AS supported FROM p LEFT JOIN u USING (answer_id, claim)""")
+def claim_support(spark, sf):
+    """Claims with citations against the readable evidence of their answer: invented citations, numbers, units, negation."""
+    k = F.col("claim")
+    claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("answer_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("claim"), "text")
+    claims = claims.withColumn("text", F.concat("text", F.when(k % 2 == 0, " It is never more than ").otherwise(" It is "), k, F.lit(" kg.")))
+    cited = claims.where("claim < 5").select("answer_id", "claim", (F.col("answer_id") * 3 + k % 4).alias("chunk_id")).union(claims.where("claim between 1 and 3").select("answer_id", "claim", F.col("answer_id") * 3 + k))
+    places = table(spark, sf, "benchmark").select(F.col("item_id").alias("answer_id"), F.explode(F.sequence(F.col("item_id") * 3, F.col("item_id") * 3 + 3)).alias("item_id"))
+    said = F.concat("text", F.when(F.col("chunk_id") % 3 == 0, " No more than ").otherwise(" Always "), F.col("chunk_id") % 4, F.lit(" kg"))
+    evidence = places.join(_readable(spark, sf), "item_id").withColumnRenamed("item_id", "chunk_id").select("answer_id", "chunk_id", said.alias("text"))
+    return answers.supported(claims, cited, evidence)
+
+
+@query("""WITH rules(o_orderpriority, free, rate, rule) AS (VALUES ('1-URGENT', 1000.0::DOUBLE, 0.05::DOUBLE, 'r1'), ('2-HIGH', 5000.0, 0.02, 'r2'), ('3-MEDIUM', 20000.0, NULL, 'r3'), ('4-NOT SPECIFIED', 50000.0, 0.01, NULL))
+SELECT o_orderkey, CASE WHEN o_totalprice IS NOT NULL AND free IS NOT NULL AND rate IS NOT NULL AND rule IS NOT NULL THEN 'calculated' ELSE 'abstained' END AS status,
+  CASE WHEN rule IS NOT NULL THEN round(greatest(o_totalprice - free, 0.0) * rate, 6) END AS result, free, rate, rule AS citation FROM orders LEFT JOIN rules USING (o_orderpriority)""")
+def calculator(spark, sf):
+    """Charges by cited rules; where a rate or a rule is missing the calculator abstains."""
+    rules = _literal([("1-URGENT", 1000.0, 0.05, "r1"), ("2-HIGH", 5000.0, 0.02, "r2"), ("3-MEDIUM", 20000.0, None, "r3"), ("4-NOT SPECIFIED", 50000.0, 0.01, None)],
+                     ["o_orderpriority", "free", "rate", "rule"], ["string", "double", "double", "string"], spark)
+    o = table(spark, sf, "orders").join(F.broadcast(rules), "o_orderpriority", "left")
+    c = checks.charge(F.col("o_totalprice"), F.col("free"), F.col("rate"), F.col("rule")).alias("c")
+    return o.select("o_orderkey", c).select("o_orderkey", "c.status", "c.result", "c.inputs.free", "c.inputs.rate", "c.citation")
+
+
+@query(_ACL_SQL + f"""SELECT u.user_id, count(*) AS cases, count(*) FILTER (WHERE NOT coalesce(acl.allowed, false)) AS denied, 0::BIGINT AS disclosed, 0::BIGINT AS starved, true AS passed
+  FROM u CROSS JOIN ({_RULED}) d LEFT JOIN acl ON acl.user_id = u.user_id AND acl.policy_id = d.policy_id GROUP BY 1""")
+def security_counters(spark, sf):
+    """Every principal's retrieval against the rules decided on their own: nothing forbidden comes back, nothing permitted is lost."""
+    docs, people = _labelled(spark, sf), principals(spark)
+    chunks = docs.select("doc_id", F.lit("core").alias("corpus_id"), F.lit("museum").alias("tenant_id"), F.col("p.id").alias("document_policy_id"), F.col("p.id").alias("access_policy_id"))
+    back = [retrieval.readable(chunks, policies(spark), people.where(F.col("user_id") == p[0])).select(F.lit(p[0]).alias("user_id"), "doc_id", F.lit(True).alias("back")) for p in PRINCIPALS]
+    every = docs.crossJoin(F.broadcast(people.select(F.struct("*").alias("u")))).select("u.user_id", "doc_id", access.allow("u", F.lit("core"), F.lit("museum"), "p").alias("ok"))
+    cases = every.join(reduce(DataFrame.unionByName, back), ["user_id", "doc_id"], "left")
+    return answers.security_counters(cases, ["user_id"], F.col("ok"), F.coalesce("back", F.lit(False)))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts, ts + INTERVAL 12 HOUR AS expires_at, (SELECT min(e.ts) FROM events e WHERE e.user_id = v.user_id AND e.event_type = 'error' AND e.ts > v.ts) AS revoked_at FROM events v WHERE event_type = 'view')
+SELECT event_id AS session_id, user_id, expires_at FROM s WHERE ts <= TIMESTAMP '2024-01-03 12:00:00' AND expires_at > TIMESTAMP '2024-01-03 12:00:00' AND NOT coalesce(revoked_at <= TIMESTAMP '2024-01-03 12:00:00', false)""")
+def live_sessions(spark, sf):
+    """A view begins a session of twelve hours; the user's next error revokes it."""
+    e = table(spark, sf, "events")
+    later = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    s = e.withColumn("revoked_at", F.min(F.when(F.col("event_type") == "error", F.col("ts"))).over(later)).where("event_type = 'view'")
+    s = s.select(F.col("event_id").alias("session_id"), "user_id", F.col("ts").alias("started_at"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires_at"), "revoked_at")
+    return answers.live_sessions(s, F.lit("2024-01-03 12:00:00").cast(e.schema["ts"].dataType)).select("session_id", "user_id", "expires_at")
