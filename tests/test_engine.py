@@ -236,3 +236,39 @@ def test_entry_without_the_training_data_package(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_rrf' in q and not any(k.startswith('op1') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_batches_write_only_their_buckets(spark, tmp_path):
+    from vellum.sources.generations import BucketedStore
+
+    store = BucketedStore(spark, str(tmp_path / "s"), "id", 8)
+    first = spark.createDataFrame([(i, 0, "a") for i in range(40)], "id long, n long, v string")
+    store.merge(first, ["n"], "b0")
+    store.merge(spark.createDataFrame([(3, 1, "b"), (3, 2, "c"), (99, 1, "d"), (4, -1, "old")], "id long, n long, v string"), ["n"], "b1")
+    store.merge(spark.createDataFrame([(3, 9, "again")], "id long, n long, v string"), ["n"], "b1")  # a batch that is repeated
+    got = {r["id"]: r["v"] for r in store.read().collect()}
+    assert got == {i: "a" for i in range(40)} | {3: "c", 99: "d"}
+    assert store.log().where("generation = 'b1'").count() <= 3 < store.log().where("generation = 'b0'").count()
+
+
+def test_running_sums_cross_ranges(spark):
+    from vellum.functions.running import running_sum
+
+    rows = [(g, i, (i * 7) % 5) for g in ("a", None) for i in range(200)] + [("b", 0, 3)]
+    df = spark.createDataFrame(rows, "g string, i long, v long")
+    got = {(r["g"], r["i"]): r["s"] for r in running_sum(df, ["g"], ["i"], "v", "s").collect()}
+    assert len(got) == 401 and all(s == (3 if g == "b" else sum((j * 7) % 5 for j in range(i + 1))) for (g, i), s in got.items())
+
+
+def test_answer_checks(spark):
+    from vellum.functions import checks
+    from vellum.operators import answers
+
+    text = "Up to 2.5 kg, 30% or 12 days; at 7:15, never 3,5m."
+    assert spark.range(1).select(checks.quantities(F.lit(text))).first()[0] == ["2.5kg", "30%", "12days", "7", "15", "3,5m"]
+    assert [spark.range(1).select(checks.negated(F.lit(t))).first()[0] for t in ("It isn't so", "A knot", "No", None)] == [True, False, True, False]
+    claims = spark.createDataFrame([(1, 1, "It is 5 kg."), (1, 2, "It is 6 kg."), (1, 3, "Plain."), (1, 4, "Plain.")], "answer_id long, claim long, text string")
+    cited = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (1, 4, "nowhere")], "answer_id long, claim long, chunk_id string")
+    evidence = spark.createDataFrame([(1, "x", "Five: 5 kg")], "answer_id long, chunk_id string, text string")
+    got = {r["claim"]: tuple(r)[2:] for r in answers.supported(claims, cited, evidence).collect()}
+    assert got == {1: (1, 0, 0, True), 2: (1, 0, 1, False), 3: (0, 0, 0, False), 4: (1, 1, 0, False)}

@@ -30,10 +30,11 @@ def sections(docs: DataFrame) -> DataFrame:
     """
     key = "document_version_id"
     lines = docs.select(key, F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    # Lines are judged where they are read; only their lengths and headings go on.
+    lines = lines.select(key, "n", (F.length("line") + 1).alias("size"), T.heading(F.col("line")).alias("heading"))
     before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int"))
-    found = lines.withColumn("heading", T.heading(F.col("line"))).where("heading is not null")
-    one = F.struct("at", "heading", (F.col("at") + F.length("line") + 1).alias("body"))
+    found = lines.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).where("heading is not null")
+    one = F.struct("at", "heading", (F.col("at") + F.col("size")).alias("body"))
     heads = found.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("heads"))
     rows = docs.join(heads, key, "left")
     section = "struct<heading:string,start:int,end:int,named:boolean>"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -69,3 +69,40 @@ def upsert(current: DataFrame | None, incoming: DataFrame, key: str, order: list
 def retire(current: DataFrame, active: DataFrame, key: str) -> DataFrame:
     """What stays when only ``active`` keys remain in the corpus."""
     return current.join(active.select(key).distinct(), key, "left_semi")
+
+
+class BucketedStore:
+    """A keyed table in buckets: a batch writes those it touches, and a log says which generation of each bucket counts."""
+
+    LOG = "seq long, generation string, bucket int"
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+
+    def log(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log")
+        except AnalysisException:  # nothing published yet
+            return self.spark.createDataFrame([], self.LOG)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def read(self, only: list[int] | None = None) -> DataFrame | None:
+        """The table, or some of its buckets; a row a bucket of the log reaches the driver."""
+        rows = self.log().groupBy("bucket").agg(F.max_by("generation", "seq").alias("generation")).collect()
+        paths = [f"{self.path}/generation={r['generation']}/bucket={r['bucket']}" for r in rows if only is None or r["bucket"] in only]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def merge(self, batch: DataFrame, order: list[str], generation: str) -> None:
+        """Puts the batch over the rows of its buckets; doing it again under the same name changes nothing."""
+        if not self.log().where(F.col("generation") == generation).isEmpty():
+            return
+        touched = [r[0] for r in batch.select(self.bucket()).distinct().collect()]
+        if not touched:
+            return
+        rows = upsert(self.read(touched), batch, self.key, order).withColumn("bucket", self.bucket())
+        rows.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/generation={generation}")
+        seq = (self.log().agg(F.max("seq")).first()[0] or 0) + 1
+        named = self.spark.range(1).select(F.lit(seq).cast("long").alias("seq"), F.lit(generation).alias("generation"), F.explode(F.array(*map(F.lit, touched)).cast("array<int>")).alias("bucket"))
+        named.coalesce(1).write.mode("append").parquet(f"{self.path}/log")

@@ -1,4 +1,4 @@
-"""Incremental ingestion as a stream: each micro-batch is merged into the next generation."""
+"""Incremental ingestion as a stream: each micro-batch is merged into the buckets of keys that it touches."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.sources.generations import GenerationStore, upsert
+from vellum.sources.generations import BucketedStore
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,25 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
-def merge_stream(stream: DataFrame, store: GenerationStore, checkpoint: str, key: str, order: list[str]):
-    """Starts a query that upserts every batch by ``key``; a batch that is repeated gives the same generation."""
+def merge_stream(stream: DataFrame, store: BucketedStore, checkpoint: str, order: list[str]):
+    """Starts a query that merges every batch into the buckets it touches; a batch that is repeated changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        name = f"batch-{number:08d}"
-        if store.current() == name:  # done before a restart
-            return
-        store.publish(upsert(store.read(), batch, key, order), name)
+        store.merge(batch, order, f"batch-{number:08d}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_by_user(spark: SparkSession, events_path: str, schema, work: str) -> DataFrame:
     """Runs the stream over a folder of event files to its end; the last event of every user."""
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(events_path)
-    store = GenerationStore(spark, f"{work}/store")
-    run = merge_stream(events.select("user_id", "event_id", "ts", "event_type"), store, f"{work}/checkpoint", "user_id", ["ts", "event_id"])
-    run.awaitTermination()
-    return store.read()
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(events_path).select("user_id", "event_id", "ts", "event_type")
+    store = BucketedStore(spark, f"{work}/store", "user_id")
+    merge_stream(events, store, f"{work}/checkpoint", ["ts", "event_id"]).awaitTermination()
+    found = store.read()
+    return found if found is not None else spark.createDataFrame([], events.schema)
 
 
 def activity_windows(events: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
