@@ -123,7 +123,7 @@ def decode(payload: bytes) -> np.ndarray:
 
 RAW_SPACE = np.arange(256, dtype=np.uint8)
 RAW_SPACE[9:14] = 32
-_MOST = 1 << 19
+_MOST = 2_000_000
 
 
 class WordIds:
