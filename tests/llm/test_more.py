@@ -231,6 +231,8 @@ def test_longest_matches_in_blocks_are_those_of_one(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     one, many = (sorted(map(tuple, decontaminate.report(df, bench, block_words=n).selectExpr("doc_id", "n_hit", "items", "to_json(array_sort(matches))", "longest", "longest_at").collect()), key=str) for n in (1_000_000, 30))
     assert one == many and any(r[4] == 27 for r in one)
+    clean = [{r["doc_id"] for r in decontaminate.decontaminate(df, bench, block_words=n).collect()} for n in (1_000_000, 30)]
+    assert clean[0] == clean[1] == {r[0] for r in one if not r[1]}
     want = contamination(docs, [(i, t) for i, t in items])
     assert {r[0]: r[1] for r in one} == {d: v[1] for d, v in want.items()}
 

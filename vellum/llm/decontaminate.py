@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,18 +171,21 @@ def _blocks(benchmark: DataFrame, block_words: int) -> int:
     return max(1, -(-total // (2 * block_words)))  # a word and its separator take two bytes at least
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """A row a document and block of the benchmark: doc_id, n_words, hit word positions, items found, longest matches with their places."""
-    spark = docs.sparkSession
+def _held(benchmark: DataFrame, window: int, blocks: int, block: int) -> Broadcast[Tests]:
+    """One block of the benchmark, ready for search in every task."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text"))
+    mine = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+    return benchmark.sparkSession.sparkContext.broadcast(Tests([(r["item"], r["text"].encode()) for r in mine.toLocalIterator()], window))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+    """A row a document and block of the benchmark: doc_id, n_words, hit word positions, items found, longest matches with their places."""
     blocks = _blocks(benchmark, block_words)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_at", pa.int32())])))])
-    scratch, names = Scratch(spark), []
+    scratch, names = Scratch(docs.sparkSession), []
     for b in range(blocks):
-        mine = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        items = [(r["item"], r["text"].encode()) for r in mine.toLocalIterator()]
-        tests = spark.sparkContext.broadcast(Tests(items, window))
+        tests = _held(benchmark, window, blocks, b)
 
         def run(batches, tests=tests):
             for batch in batches:
@@ -224,9 +228,24 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
         "matches", F.coalesce(best["length"], F.lit(0)).alias("longest"), (-best["before"]).alias("longest_at"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any hit, with all their columns; each row is judged by its own text, whatever its id."""
-    marked = numbered(docs, Scratch(docs.sparkSession))
-    texts = marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))
-    bad = report(texts, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return marked.join(bad, marked["_row"] == bad["_bad"], "left_anti").select("_doc.*")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+    """The documents without any hit, with all their columns; each row is judged by its own text, whatever its id.
+
+    A block of the benchmark is one pass over the rows, in which those with hits are left out; what the blocks before
+    the last leave is written, so that one block is held at a time.
+    """
+    blocks, scratch = _blocks(benchmark, block_words), Scratch(docs.sparkSession)
+    for b in range(blocks):
+        tests = _held(benchmark, window, blocks, b)
+
+        def run(batches, tests=tests):
+            for batch in batches:
+                texts = utf8(batch.column("text"))
+                clean = [not hit for i, j in pieces(texts) for _, _, hit, _, _ in _shard(list(range(i, j)), texts[i:j], tests.value, window)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if b < blocks - 1:
+            docs = scratch.write(docs, f"left{b}")
+            tests.destroy()
+    return docs
