@@ -184,6 +184,8 @@ def test_language_predictions_against_a_plain_version(spark):
     docs = [(i, " ".join(np.random.default_rng(i).permutation(text.split())), lang) for i, (lang, text) in enumerate([x for x in langs.items() for _ in range(8)])]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(2)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df, dim=128).collect()}
+    kept = {r["doc_id"] for r in language_id.known_language(df.withColumn("score", df["doc_id"]), dim=128).where("score = doc_id").collect()}
+    assert kept == {d for d, v in got.items() if v[1] > 0} and len(kept) > 20
     vectors = language_id.letters(128, 7)
     vec = {d: next(iter(language_id.bundles([t.encode()], vectors)))[1][0].astype(float) for d, t, _ in docs}
     sums = {}

@@ -105,37 +105,63 @@ def train(docs: DataFrame, dim: int = 512, seed: int = 7, max_langs: int = 1000)
     return {r["lang"]: np.array(r["v"]) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
+class Judge:
+    """Prototypes made ready to compare texts with."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray], dim: int, seed: int):
+        self.names, self.dim, self.seed = list(prototypes), dim, seed
+        table = np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).reshape(len(self.names), dim)
+        centre = table.mean(0) if len(self.names) > 1 else np.zeros(dim)
+        away = table - centre
+        self.centre, self.away = centre.astype(np.float32), (away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+    def __call__(self, texts: list[bytes], vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's language and score."""
+        lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        if self.names:
+            for a, rows in bundles(texts, vectors):
+                unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9) - self.centre
+                unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
+                near = unit @ self.away.T
+                best = near.argmax(1)
+                score[a : a + len(rows)] = np.clip(near[np.arange(len(rows)), best], 0, 1)
+                lang[a : a + len(rows)] = np.array(self.names, object)[best]
+            none = [i for i, t in enumerate(texts) if not has_letter(t)]
+            lang[none], score[none] = "und", 0.0
+        return lang, score
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keys: list[str], dim: int = 512, seed: int = 7) -> DataFrame:
     """The columns ``keys``, lang_pred and score (the cosine, from 0 to 1) for every row."""
-    names = list(prototypes)
-    table = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-9) for x in names]).reshape(len(names), dim)
-    centre = table.mean(0) if len(names) > 1 else np.zeros(dim)
-    away = table - centre
-    away = (away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    judge = Judge(prototypes, dim, seed)
     schema = docs.select(*keys).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         vectors = letters(dim, seed)
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if names:
-                for a, rows in bundles(texts, vectors):
-                    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-                    unit = unit - centre.astype(np.float32)
-                    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-                    near = unit @ away.T
-                    best = near.argmax(1)
-                    score[a : a + len(rows)] = np.clip(near[np.arange(len(rows)), best], 0, 1)
-                    lang[a : a + len(rows)] = np.array(names, object)[best]
-                for i, t in enumerate(texts):
-                    if not has_letter(t):
-                        lang[i], score[i] = "und", 0.0
+            lang, score = judge(utf8(batch.column("text")), vectors)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(lang, pa.string()), pa.array(score)], names=[*keys, "lang_pred", "score"])
 
     return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(run, schema)
 
 
+def known_language(docs: DataFrame, least: float = 0.0, dim: int = 512, seed: int = 7) -> DataFrame:
+    """The documents in a learned language, with all their columns: those with a score above ``least``.
+
+    ``und`` scores 0, as does a text on whose side no learned language is.  Scores of short texts are low, so a
+    higher ``least`` would cost clean ones.
+    """
+    judge = Judge(train(docs.where(~held_out(F.col("doc_id"))), dim, seed), dim, seed)
+
+    def run(batches):
+        vectors = letters(dim, seed)
+        for batch in batches:
+            lang, score = judge(utf8(batch.column("text")), vectors)
+            yield batch.filter(pa.array((lang != "und") & (score > least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, modulus: int = 3, remainder: int = 1) -> Column:
     """The fold: crc32 of the id as text, modulo ``modulus``, is ``remainder``.  A null id is in training."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
