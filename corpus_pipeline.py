@@ -1,6 +1,6 @@
 """The training-corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
-1. language ID: documents without a recognisable language go;
+1. language ID: documents without a letter, or on whose side no learned language is, go;
 2. n-gram Jaccard join (five words, similarity 0.8): of each group the document with the smallest id stays;
 3. benchmark decontamination: documents with a verbatim benchmark window go;
 4. mixing sources to target weights: a document is repeated or, at its source's cut, shortened;
@@ -14,7 +14,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, language_id, mixing, ngram_join, token_output
 from vellum.llm.common import Scratch, scratch_root
@@ -22,8 +21,7 @@ from vellum.llm.queries import default_tokenizer
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))  # whatever the other columns are called
-    return language_id.identify(whole, keys=["_row"]).where("lang_pred <> 'und'").select("_row.*")
+    return language_id.known_language(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
