@@ -272,3 +272,23 @@ def test_answer_checks(spark):
     evidence = spark.createDataFrame([(1, "x", "Five: 5 kg")], "answer_id long, chunk_id string, text string")
     got = {r["claim"]: tuple(r)[2:] for r in answers.supported(claims, cited, evidence).collect()}
     assert got == {1: (1, 0, 0, True), 2: (1, 0, 1, False), 3: (0, 0, 0, False), 4: (1, 1, 0, False)}
+
+
+def test_merges_are_those_of_the_plain_loop():
+    import random
+
+    rng = random.Random(8)
+    scores = {c: -50.0 for c in "abc▁"} | {"".join(rng.choices("abc▁", k=rng.randint(2, 5))): -float(rng.randint(1, 9)) for _ in range(60)}
+    vocab = vocabulary.Vocabulary(scores, frozenset())
+
+    def plain(text):
+        parts = list(text.replace(" ", "▁"))
+        while pairs := [(-scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    for _ in range(300):
+        text = "".join(rng.choices("abc ", k=rng.randint(1, 40)))
+        if text.strip():
+            assert vocabulary.encode(text, vocab) == plain(text)

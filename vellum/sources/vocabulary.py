@@ -6,6 +6,7 @@ batches.  Distinct words can't be counted apart, as merges cross spaces here.
 
 from __future__ import annotations
 
+import heapq
 import struct
 from dataclasses import dataclass
 
@@ -72,12 +73,28 @@ def encode(text: str, vocab: Vocabulary) -> list[str]:
     parts: list[str] = []
     for c in text.replace(" ", "▁"):
         parts += [c] if c in vocab.scores else [f"<0x{b:02X}>" for b in c.encode("utf-8")]
-    while True:
-        pairs = [(-vocab.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in vocab.scores]
-        if not pairs:
-            return parts
-        _, i = min(pairs)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    # A heap of pairs, best score and leftmost first; a pair whose ends have since merged is passed over.
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap: list[tuple[float, int, int, str]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if i >= 0 and j < len(parts) and (both := parts[i] + parts[j]) in vocab.scores:
+            heapq.heappush(heap, (-vocab.scores[both], i, j, both))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    while heap:
+        _, i, j, both = heapq.heappop(heap)
+        if not parts[i] or after[i] != j or parts[i] + parts[j] != both:
+            continue
+        parts[i], parts[j], after[i] = both, "", after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [p for p in parts if p]
 
 
 def subword_count(spark: SparkSession, vocab: Vocabulary):
@@ -86,7 +103,8 @@ def subword_count(spark: SparkSession, vocab: Vocabulary):
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(encode(t, held.value)) if t is not None else 0)
+        sizes = {t: len(encode(t, held.value)) for t in texts.dropna().unique()}
+        return texts.map(sizes).fillna(0).astype("int32")
 
     def of(text: Column) -> Column:
         return count(text)
