@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat_format, decontaminate, exact_dedup, hmm_lm, language_id, mixing, ngram_join, substring_dedup, token_output, url_filter
+from vellum.llm import chat_format, decontaminate, exact_dedup, hmm_lm, language_id, lexical, merkle, mixing, ngram_join, substring_dedup, token_count, token_output, url_filter
 from vellum.llm.common import scratch_root
 
 
@@ -74,12 +74,28 @@ def op10_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return token_output.index(spark, path)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = os.fspath(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_count.counts(_table(spark, sf_dir, "documents"), model)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
         op1_exact_dedup, op2_ngram_join, op3_chat_format, op4_hmm_score, op5_language_id, op6_url_filter, op7_mixing,
-        op8_decontaminate, op9_substring_dedup, op10_token_output)}
+        op8_decontaminate, op9_substring_dedup, op10_token_output, op11_lexical_search, op12_token_counts, op13_merkle_manifest)}
 
 
 _URL_SQL = r"""
@@ -169,5 +185,58 @@ FROM e
 """
 
 
+_SEARCH_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+p AS (SELECT doc_id, t, size, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS size, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM b) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s GROUP BY t, n),
+g AS (SELECT item_id, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // l))))::BIGINT AS score FROM p JOIN f USING (t) JOIN b USING (t), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM g WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def _tree_sql(levels: int) -> str:
+    """Eight by eight, so many times: nodes a level (n), and each leaf's path; finished trees pass through."""
+    out = []
+    for name, leaves in (("a", "leaves"), ("t", "groups")):
+        out.append(f"{name}0 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM {leaves})")
+        for i in range(levels):
+            out.append(f"""{name}{i + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM (
+  SELECT tree, idx // 8 AS idx, CASE WHEN any_value(size) > 1 THEN sha256(string_agg(digest, '' ORDER BY idx)) ELSE any_value(digest) END AS digest FROM {name}{i} GROUP BY tree, idx // 8))""")
+        if name == "a":
+            out.append(f"groups AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, tree AS own, digest FROM a{levels})")
+    return ",\n".join(out)
+
+
+def _fold_sql(levels: int) -> str:
+    """Each row's way up: its hash so far and the siblings met."""
+    out, before = [], "SELECT row_id, tree, idx, coalesce(changed, leaf) AS acc, '' AS proof, NULL AS subroot FROM rows"
+    for name in ("a", "t"):
+        for i in range(levels):
+            out.append(f"""f{name}{i} AS (SELECT row_id, any_value(x.tree) AS tree, any_value(x.idx // 8) AS idx, any_value(subroot) AS subroot,
+  CASE WHEN any_value(n.size) > 1 THEN sha256(string_agg(CASE WHEN n.idx = x.idx THEN x.acc ELSE n.digest END, '' ORDER BY n.idx)) ELSE any_value(x.acc) END AS acc,
+  any_value(x.proof) || coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (WHERE n.idx <> x.idx), '') AS proof
+  FROM ({before}) x JOIN {name}{i} n ON n.tree = x.tree AND n.idx // 8 = x.idx // 8 GROUP BY row_id)""")
+            before = f"SELECT * FROM f{name}{i}"
+        before = f"SELECT row_id, '' AS tree, g.idx, acc, proof, g.digest AS subroot FROM f{name}{levels - 1} f JOIN groups g ON g.own = f.tree"
+    return ",\n".join(out)
+
+
+_FIELDS_SQL = " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_CRC_SQL = """xor(list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)) + z, xor(c, b)), 4294967295), 4294967295)"""
+_MERKLE_SQL = f"""
+WITH rows AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row_id, coalesce('v' || lang, 'n') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, sha256({_FIELDS_SQL.replace("{text}", "text")}) AS leaf,
+    CASE WHEN {_CRC_SQL} % 3 = 0 THEN sha256({_FIELDS_SQL.replace("{text}", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed FROM documents),
+leaves AS (SELECT tree, idx, leaf AS digest FROM rows),
+{_tree_sql(9)},
+{_fold_sql(9)}
+SELECT doc_id, leaf, subroot, (SELECT any_value(digest) FROM t9) AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = (SELECT any_value(digest) FROM t9) AS verified FROM ft8 JOIN rows USING (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _DEDUP_SQL, "op3_chat_format": _CHAT_SQL, "op6_url_filter": _URL_SQL, "op7_mixing": _MIX_SQL, "op8_decontaminate": _DECON_SQL}
+    return {
+        "op1_exact_dedup": _DEDUP_SQL, "op3_chat_format": _CHAT_SQL, "op6_url_filter": _URL_SQL, "op7_mixing": _MIX_SQL, "op8_decontaminate": _DECON_SQL,
+        "op11_lexical_search": _SEARCH_SQL, "op13_merkle_manifest": _MERKLE_SQL}
