@@ -37,12 +37,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _escaped(host: Column) -> Column:
+    """Without NUL, which parts labels in keys: urls may hold any character."""
+    return F.replace(F.replace(host, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+
+
 def host_key(host: Column) -> Column:
-    return F.encode(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x00"), F.lit("\x00")), "UTF-8")
+    return F.encode(F.concat(F.array_join(F.reverse(F.split(_escaped(host), r"\.")), "\x00"), F.lit("\x00")), "UTF-8")
 
 
 def path_key(host: Column, path: Column) -> Column:
-    return F.encode(F.concat(host, F.lit("\x00"), path), "UTF-8")
+    return F.encode(F.concat(_escaped(host), F.lit("\x00"), path), "UTF-8")
 
 
 def sweep(scratch: Scratch, intervals: DataFrame, points: DataFrame, name: str, whole: bool) -> DataFrame:
