@@ -234,7 +234,7 @@ def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
                         ids.take(doc), hashes.take(doc), pa.array((f.lo - f.begin[f.doc]).astype(np.int32)), pa.array((f.hi - f.lo + 1).astype(np.int32)),
                         pa.array(_short(f.anchor)), pa.array(signed(f.contexts()))], names=["doc_id", "_hash", "lo", "n", "anchor", "ctx"])
 
-    found = scratch.write(rows.mapInArrow(occurrences, "doc_id long, _hash int, lo int, n int, anchor int, ctx long"), "found")
+    found = scratch.write(rows.mapInArrow(occurrences, "doc_id long, _hash long, lo int, n int, anchor int, ctx long"), "found")
     distinct = scratch.write(found.groupBy("anchor", "ctx").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("last")), "distinct")
     several = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("m").alias("a"), F.max("last").alias("z"))
     several = several.where("contexts > 1 and a < z").select("anchor", "contexts")
@@ -278,14 +278,14 @@ def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
     held.destroy()
     cut = found.join(decided, ["anchor", "ctx"]).withColumn(
         "mask", F.when(F.col("doc_id") > F.col("m"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))).where("mask <> 0")
-    cuts = scratch.write(cut.groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("lo", "mask")).alias("cuts")), "cuts", group_mb=32)
+    cuts = scratch.write(cut.groupBy("doc_id", "_hash").agg(F.collect_set(F.struct("lo", "mask")).alias("cuts")), "cuts", group_mb=32)
     scratch.drop("found", "decided")
     return cuts
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """text with doc_id (null as the largest) and 32 bits of the text's hash, which tell rows apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text", F.hash("text").alias("_hash"), F.col("doc_id").cast("long").alias("_id"))
+    """text with doc_id (null as the largest) and 64 bits of the text's hash: rows without an id are told apart by these, repeated rows are one."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), F.col("doc_id").cast("long").alias("_id"))
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
