@@ -8,9 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum.functions.text import WORD_TOKENIZER
+
 # The default limits, the strategy's name, and the layout of what a fingerprint is the hash of.
 TARGET, MOST, OVERLAP, PAIR, SPECIAL = 300, 400, 50, 512, 3
-STRATEGY, TOKENIZER = "section-aware-parent-child", "word-v1"
+STRATEGY = "section-aware-parent-child"
 FINGERPRINT = '{"max_tokens":%d,"overlap_tokens":%d,"strategy":"%s","target_tokens":%d,"tokenizer":"%s"}'
 
 
@@ -24,7 +26,7 @@ class Limits(NamedTuple):
     special: int = SPECIAL
 
 
-def fingerprint(limits: Limits, tokenizer: str = TOKENIZER) -> str:
+def fingerprint(limits: Limits, tokenizer: str = WORD_TOKENIZER) -> str:
     """What chunk boundaries depend on, hashed.  Limits that no chunk could keep are an error here, before any plan is made."""
     wrong = [name for name, holds in (
         ("target below 1", limits.target >= 1), ("target above most", limits.target <= limits.most), ("overlap below 0", limits.overlap >= 0)) if not holds]

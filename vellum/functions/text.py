@@ -12,11 +12,14 @@ DOTTED_HEADING = r"(?U)^(\d+(?:\.\d+)*)\.\s+(\S.*?)\s*$"
 BARE_HEADING = r"(?U)^(\d+\.\d+(?:\.\d+)*)\s+(\S.*?)\s*$"
 SENTENCE_BREAK = r"""(?U)(?<=[.!?])\s+(?=[A-Z0-9"“])"""
 BLOCK_BREAK = r"(?U)\n\s*\n"
+#: A sentence with the white space behind it: up to a blank line, a sentence break that no blank line is in, or the end.
+SENTENCE = r"""(?sU).*?(?:\n\s*\n|(?<=[.!?])(?!\s*\n\s*\n)\s+(?=[A-Z0-9"“])|\z)"""
 EXCEPTION = r"(?iU)(^\s*exception\b|\b(except|unless)\b|\bexception applies\b)"
 REFERENCE = r"(?iU)\b(refer to|see section|see the)\b[^.\n]{0,160}"
 TABLE_ROW = r"(?U)^\s*\|.+\|\s*$"
 TABLE_RULE = r"(?U)^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 WORD = r"(?U)\S+"
+WORD_TOKENIZER = "word-v1"
 TITLE_WORDS, TITLE_CHARS, TITLE_STOPS = 12, 80, ".:;"
 
 
@@ -53,11 +56,12 @@ def heading(line: Column) -> Column:
     def titled(pattern: str, shown: Column) -> Column:
         return F.when(line.rlike(pattern) & is_title(group(pattern, 2)), shown)
 
-    return F.coalesce(
+    found = F.coalesce(
         titled(MARKDOWN_HEADING, group(MARKDOWN_HEADING, 2)),
         titled(SECTION_HEADING, F.concat_ws(" ", F.lit("Section"), group(SECTION_HEADING, 1), group(SECTION_HEADING, 2))),
         # A line of the dotted form is never tried as the bare one: their titles would be the same.
         *[titled(p, F.concat_ws(" ", group(p, 1), group(p, 2))) for p in (DOTTED_HEADING, BARE_HEADING)])
+    return F.when(F.left(line, F.lit(1)).rlike(r"(?U)[#S\d]"), found)  # most lines are none by their first character
 
 
 def sentences(text: Column) -> Column:
@@ -81,7 +85,16 @@ def within_words(text: Column, least: int = 500, most: int = 800) -> Column:
 
 
 def has_table(text: Column) -> Column:
-    return F.exists(F.split(text, "\n"), lambda line: line.rlike(TABLE_RULE))
+    return F.contains(text, F.lit("---")) & F.exists(F.split(text, "\n"), lambda line: line.rlike(TABLE_RULE))
+
+
+def trim_end(text: Column) -> Column:
+    """Without the white space, Unicode's included, at its end; a look at the last character spares most texts a search."""
+    return F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)\s+\z", "")).otherwise(text)
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
 def embedding_input(title: Column, heading_path: Column, text: Column) -> Column:

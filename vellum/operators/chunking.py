@@ -1,24 +1,39 @@
 """Section-aware chunking as DataFrame plans.
 
-Documents become sections (one window pass over lines), sections become units (sentences, exception
-sentences, table row groups), and an ordered fold packs units into token-bounded pieces.  Offsets are
-code points in the original text.  The folds are ``aggregate`` expressions over a section's own arrays,
-so nothing leaves the JVM and no row outgrows its section.
+Documents become sections (one fold over their lines), sections become elements (sentences, table row
+groups), and one fold packs these into token-bounded pieces.  Offsets are code points in the original
+text.  All of it happens in a document's own row: nothing is shuffled, and nothing leaves the JVM.
 
-Tokens are words here; their number adds up over sentences, which the folds rely on.
+The fold's state is small: where the open piece begins, its tokens, and the pieces closed so far as index
+ranges.  Texts and spans are made from the ranges afterwards, once, so that the work grows with the text.
+
+Tokens are what the ``Tokenizer`` counts.  Where its counts don't add up over sentences, the open piece's
+text is carried along and each candidate is counted as a whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.functions.ids import Limits, chunk_id, fingerprint
+from vellum.functions.tokenizers import WORDS, Tokenizer
 
 SPAN = "struct<start:int,end:int>"
-UNIT = f"struct<s:int,e:int,tok:int,kind:string,spans:array<{SPAN}>,header:string,rendered:string,sents:array<struct<s:int,tok:int>>>"
-PIECE = f"struct<spans:array<{SPAN}>,kind:string,tok:int,header:string,rendered:string,overlap:int,part:int,cut:boolean>"
+GROUP = f"struct<spans:array<{SPAN}>,header:string,rendered:string,tok:int>"
+#: Where a piece lies among a section's elements: its first, the end of its first unit, its last; ``at`` is where the first begins.
+RANGE = "struct<kind:string,first:int,head:int,last:int,at:int,tok:int,overlap:int,cut:boolean>"
+OPEN = f"struct<at:int,i:int,first:int,head:int,last:int,start:int,tok:int,overlap:int,text:string,out:array<{RANGE}>>"
+PIECE = f"struct<spans:array<{SPAN}>,tok:int,header:string,rendered:string,overlap:int,part:int,cut:boolean>"
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"))
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -28,175 +43,285 @@ def sections(docs: DataFrame) -> DataFrame:
     access_by_heading (map from heading to policy).  Text before the first heading is a section named
     after the document; it keeps the document's policy.  Blank documents give none.
     """
-    key = "document_version_id"
-    lines = docs.select(key, F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    # Lines are judged where they are read; only their lengths and headings go on.
-    lines = lines.select(key, "n", (F.length("line") + 1).alias("size"), T.heading(F.col("line")).alias("heading"))
-    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    found = lines.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).where("heading is not null")
-    one = F.struct("at", "heading", (F.col("at") + F.col("size")).alias("body"))
-    heads = found.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("heads"))
-    rows = docs.join(heads, key, "left")
-    section = "struct<heading:string,start:int,end:int,named:boolean>"
-    rows = rows.withColumn("all", F.expr(f"""
-      concat(
-        if(trim(regexp_replace(substring(text, 1, coalesce(heads[0].at, length(text))), '(?U)\\\\s', ' ')) <> '',
-           array(cast(struct(document_title, 0, coalesce(heads[0].at, length(text)), false) as {section})), cast(array() as array<{section}>)),
-        coalesce(transform(heads, (h, i) -> cast(struct(
-           h.heading, least(h.body, length(text)), coalesce(get(heads, i + 1).at, length(text)), true) as {section})), cast(array() as array<{section}>)))
-    """))
-    override = F.try_element_at("access_by_heading", F.col("x.heading")) if "access_by_heading" in docs.columns else F.lit(None).cast("string")
-    return rows.select(key, "document_title", "text", "access_policy_id", *(["access_by_heading"] if "access_by_heading" in docs.columns else []),
-                       F.posexplode("all").alias("section_ordinal", "x")).select(
-        key, "document_title", "section_ordinal", F.concat_ws(":", key, "x.heading").alias("section_id"), F.col("x.heading").alias("heading"),
-        F.substring("text", F.col("x.start") + 1, F.greatest(F.col("x.end") - F.col("x.start"), F.lit(0))).alias("body"),
-        F.col("x.start").alias("body_start"), F.greatest("x.end", "x.start").alias("body_end"),
+    key, named = "document_version_id", "access_by_heading" in docs.columns
+    found = "array<struct<heading:string,at:int,line:int>>"
+
+    def read(lines: Column) -> Column:
+        """The headings with where their lines begin and the lines' numbers."""
+
+        def step(a: Column, line: Column) -> Column:
+            here = F.when(line["h"].isNotNull(), F.concat(a["out"], F.array(F.struct(line["h"].alias("heading"), a["at"].alias("at"), a["n"].alias("line"))))).otherwise(a["out"])
+            return F.struct((a["at"] + line["size"] + 1).alias("at"), (a["n"] + 1).alias("n"), here.alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(found).alias("out"))
+        return F.aggregate(F.transform(lines, lambda x: F.struct(F.length(x).alias("size"), T.heading(x).alias("h"))), start, step, lambda a: a["out"])
+
+    def parts(lines: Column, heads: Column) -> Column:
+        total = F.length("text")
+
+        def body(first: Column, count: Column, last: Column) -> Column:
+            return F.concat(F.array_join(F.slice(lines, first + 1, count), "\n"), F.when(last | (count == 0), "").otherwise("\n"))
+
+        def one(h: Column, i: Column) -> Column:
+            after = F.get(heads, i + 1)
+            stop, start = F.coalesce(after["line"], F.size(lines)), h["line"] + 1
+            begin = F.least(h["at"] + F.length(F.get(lines, h["line"])) + 1, total)
+            text = F.when(start < F.size(lines), body(start, stop - start, after.isNull())).otherwise("")
+            return F.struct(h["heading"].alias("heading"), begin.alias("start"), (begin + F.length(text)).alias("end"), text.alias("body"), F.lit(True).alias("named"))
+
+        upto = F.get(heads, F.lit(0))
+        before = F.when(upto.isNull(), F.col("text")).otherwise(body(F.lit(0), upto["line"], F.lit(False)))
+        head = T.let(before, lambda b: F.when(b.rlike(r"(?U)\S"), F.array(F.struct(
+            F.col("document_title").alias("heading"), F.lit(0).alias("start"), F.length(b).alias("end"), b.alias("body"), F.lit(False).alias("named")))))
+        kind = "struct<heading:string,start:int,end:int,body:string,named:boolean>"
+        return F.concat(F.coalesce(head, _none(kind)), F.transform(heads, one))
+
+    every = T.let(F.split("text", "\n", -1), lambda lines: T.let(read(lines), lambda heads: parts(lines, heads)))
+    rows = docs.where("text is not null").select(key, "document_title", "access_policy_id", *(["access_by_heading"] if named else []), F.posexplode(every).alias("section_ordinal", "x"))
+    override = F.try_element_at("access_by_heading", F.col("x.heading")) if named else F.lit(None).cast("string")
+    return rows.select(
+        key, "document_title", "section_ordinal", F.concat_ws(":", key, "x.heading").alias("section_id"), F.col("x.heading").alias("heading"), F.col("x.body").alias("body"),
+        F.col("x.start").alias("body_start"), F.col("x.end").alias("body_end"),
         F.when(F.col("x.named"), F.coalesce(override, F.col("access_policy_id"))).otherwise(F.col("access_policy_id")).alias("access_policy_id"))
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+# ---------------------------------------------------------------- elements
 
 
-def _tokens(x: str) -> str:
-    return f"regexp_count({x}, {_quoted(T.WORD)})"
+def _element(raw: Column, kept: Column, tokenizer: Tokenizer, group: Column | None = None) -> Column:
+    """``r`` is all of an element's text, ``t`` what counts of it; a table's group stands where its block begins."""
+    return F.struct(
+        raw.alias("r"), kept.alias("t"), F.length(raw).alias("n"), tokenizer.count(kept).cast("int").alias("tok"), T.is_exception(kept).alias("exc"),
+        (F.lit(None).cast(GROUP) if group is None else group).alias("group"))
 
 
-def _trim_end(x: str) -> str:
-    return f"regexp_replace({x}, '(?U)\\\\s+$', '')"
+def _sentences(text: Column, tokenizer: Tokenizer) -> Column:
+    raw = F.filter(F.regexp_extract_all(text, F.lit(T.SENTENCE), F.lit(0)), lambda x: x != "")
+    return F.transform(raw, lambda r: T.let(T.trim_end(r), lambda t: _element(r, t, tokenizer)))
 
 
-def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '(?U)^\\\\s+|\\\\s+$', '')"
+def _table_groups(block: Column, lines: Column, rule: Column, tokenizer: Tokenizer, most: int) -> Column:
+    """Row groups that repeat the header, as many rows as fit; the lines up to the first rule (number ``rule``, from 1) are the header."""
+    row = "array<struct<s:int,e:int,t:string>>"
+    top = F.slice(lines, F.lit(1), rule)
 
+    def shaped(line: Column) -> Column:
+        return line.rlike(T.TABLE_ROW) | line.rlike(T.TABLE_RULE)
 
-def _sentence_units(block: str, base: str) -> str:
-    parts = _quoted(r"(?s)(.*?)(" + T.SENTENCE_BREAK + r"|\z)")
-    unit = f"""cast(struct(
-        a.at as s, a.at + length(p.t) as e, {_tokens("p.t")} as tok, if(p.t rlike {_quoted(T.EXCEPTION)}, 'exception', 'sentence') as kind,
-        array(struct(a.at, a.at + length(p.t))) as spans, null as header, null as rendered, array(struct(a.at, {_tokens("p.t")})) as sents) as {UNIT})"""
-    start = f"cast(struct({base} as at, array() as out) as struct<at:int,out:array<{UNIT}>>)"
-    pairs = f"zip_with(regexp_extract_all({block}, {parts}, 0), transform(regexp_extract_all({block}, {parts}, 1), y -> {_trim_end('y')}), (r, t) -> struct(r, t))"
-    step = f"cast(struct(a.at + length(p.r) as at, if(trim(p.t) = '', a.out, concat(a.out, array({unit}))) as out) as struct<at:int,out:array<{UNIT}>>)"
-    return f"aggregate({pairs}, {start}, (a, p) -> {step}, a -> a.out)"
+    def groups(size: Column, shown: Column, header: Column) -> Column:
+        def rendered(rows: Column) -> Column:
+            return F.concat(shown, F.lit("\n"), F.array_join(F.transform(rows, lambda r: r["t"]), "\n"))
 
+        def group(rows: Column) -> Column:
+            spans = F.concat(F.array(_span(F.lit(0), size)), F.transform(rows, lambda r: _span(r["s"], F.least(r["e"], F.length(block)))))
+            return T.let(rendered(rows), lambda t: F.struct(spans.alias("spans"), header.alias("header"), t.alias("rendered"), tokenizer.count(t).cast("int").alias("tok")))
 
-def _table_units(block: str, base: str, most: int) -> str:
-    """Row groups that repeat the header, as many rows as fit; rows before the rule line belong to the header.
+        def step(a: Column, line: Column) -> Column:
+            behind = a["at"] + F.length(line) + 1
+            one = F.array(F.struct(a["at"].alias("s"), behind.alias("e"), T.strip(line).alias("t")))
+            fits = tokenizer.count(rendered(F.concat(a["rows"], one))) <= most
+            alone = F.when(tokenizer.count(rendered(one)) <= most, one).otherwise(F.raise_error(F.lit("a table row with its header exceeds the token limit")).cast(row))
+            closed = F.struct(behind.alias("at"), alone.alias("rows"), F.when(F.size(a["rows"]) > 0, F.concat(a["out"], F.array(group(a["rows"])))).otherwise(a["out"]).alias("out"))
+            grown = F.struct(behind.alias("at"), F.concat(a["rows"], one).alias("rows"), a["out"].alias("out"))
+            skipped = F.struct(behind.alias("at"), a["rows"].alias("rows"), a["out"].alias("out"))
+            return F.when(~line.rlike(T.TABLE_ROW) | line.rlike(T.TABLE_RULE), skipped).when(fits, grown).otherwise(closed)
 
-    Lines that are no rows but stand after the rule line follow as sentences, so that nothing is lost.
-    """
-    rows = "array<struct<s:int,e:int,t:string>>"
-    state = f"struct<at:int,seen:boolean,head:int,header:string,rows:{rows},prose:{rows}>"
-    row, rule = f"l rlike {_quoted(T.TABLE_ROW)}", f"l rlike {_quoted(T.TABLE_RULE)}"
-    step = f"""cast(struct(
-        a.at + length(l) + 1 as at, a.seen or ({rule}) as seen,
-        if(not a.seen and (({row}) or ({rule})), a.at + length(l) + 1, a.head) as head,
-        if(not a.seen and (({row}) or ({rule})), concat_ws('\\n', nullif(a.header, ''), l), a.header) as header,
-        if(a.seen and ({row}), concat(a.rows, array(struct(a.at as s, a.at + length(l) + 1 as e, {_strip('l')} as t))), a.rows) as rows,
-        if(a.seen and not ({row}) and not ({rule}) and {_strip('l')} <> '', concat(a.prose, array(struct(a.at as s, a.at + length(l) as e, l as t))), a.prose) as prose) as {state})"""
-    read = f"aggregate(split({block}, '\\n'), cast(struct({base} as at, false as seen, {base} as head, '' as header, array() as rows, array() as prose) as {state}), (a, l) -> {step})"
-    shown = _strip(f"substring({block}, 1, q.head - {base})")
-    unit = f"""cast(struct(
-        {base} as s, element_at(g.rows, -1).e as e, g.tok as tok, 'table_group' as kind,
-        concat(array(cast(struct({base}, q.head) as {SPAN})), transform(g.rows, r -> cast(struct(r.s, least(r.e, {base} + length({block}))) as {SPAN}))) as spans,
-        {_strip('q.header')} as header, concat({shown}, '\\n', array_join(transform(g.rows, r -> r.t), '\\n')) as rendered, array() as sents) as {UNIT})"""
-    group = f"struct<rows:{rows},tok:int,out:array<{UNIT}>>"
-    add = f"""if(size(g.rows) > 0 and g.tok + {_tokens("r.t")} > {most},
-        cast(struct(array(r) as rows, {_tokens(shown)} + {_tokens("r.t")} as tok, concat(g.out, array({unit})) as out) as {group}),
-        cast(struct(concat(g.rows, array(r)) as rows, g.tok + {_tokens("r.t")} as tok, g.out as out) as {group}))"""
-    checked = f"if({_tokens(shown)} + {_tokens('r.t')} > {most}, raise_error('a table row with its header exceeds the token limit'), r.s) is not null"
-    groups = f"""aggregate(filter(q.rows, r -> {checked}), cast(struct(array() as rows, {_tokens(shown)} as tok, array() as out) as {group}),
-        (g, r) -> {add}, g -> if(size(g.rows) > 0, concat(g.out, array({unit})), g.out))"""
-    # ``transform`` over one element names the parsed table ``q``.
-    prose = f"flatten(transform(q.prose, n -> {_sentence_units('n.t', 'n.s')}))"
-    return f"flatten(transform(array({read}), q -> concat({groups}, {prose})))"
-
-
-def units(limits: Limits) -> Column:
-    """The units of column ``body`` in order, offsets from ``body_start``; each block is table groups or sentences."""
-    parts = _quoted(r"(?s)(.*?)(" + T.BLOCK_BREAK + r"|\z)")
-    state = f"struct<at:int,out:array<{UNIT}>>"
-    rule = f"exists(split(p.t, '\\n'), l -> l rlike {_quoted(T.TABLE_RULE)})"
-    one = f"""if({rule}, transform(array({_table_units("p.t", "a.at", limits.most)}), t -> if(size(t) > 0, t, {_sentence_units("p.t", "a.at")}))[0],
-               {_sentence_units("p.t", "a.at")})"""
-    pairs = f"zip_with(regexp_extract_all(body, {parts}, 0), regexp_extract_all(body, {parts}, 1), (r, t) -> struct(r, t))"
-    step = f"cast(struct(a.at + length(p.r) as at, if(trim(p.t) = '', a.out, concat(a.out, {one})) as out) as {state})"
-    return F.expr(f"aggregate({pairs}, cast(struct(body_start as at, array() as out) as {state}), (a, p) -> {step}, a -> a.out)")
-
-
-def pieces(limits: Limits) -> Column:
-    """Packs column ``units`` greedily: to the target, exceptions up to the maximum, longer units in slices."""
-    most, target = limits.most, limits.target
-    state = f"struct<cur:array<{UNIT}>,tok:int,overlap:int,out:array<{PIECE}>>"
-
-    def flushed(cut: str) -> str:
-        return f"""if(size(a.cur) = 0, a.out, concat(a.out, array(cast(struct(
-            flatten(transform(a.cur, c -> c.spans)) as spans, 'text' as kind, a.tok as tok, null as header, null as rendered,
-            a.overlap as overlap, 0 as part, {cut} as cut) as {PIECE}))))"""
-
-    def begin(unit: str, overlap: str, out: str) -> str:
-        return f"cast(struct(array({unit}) as cur, {unit}.tok as tok, {overlap} as overlap, {out} as out) as {state})"
-
-    table = f"cast(struct(u.spans as spans, u.kind as kind, u.tok as tok, u.header as header, u.rendered as rendered, 0 as overlap, 0 as part, false as cut) as {PIECE})"
-    w = "regexp_extract_all(substring(body, u.s - body_start + 1, u.e - u.s), '(?U)\\\\S+\\\\s*', 0)"
-    slices = f"""transform(array({w}), w -> transform(sequence(0, cast(ceil(u.tok / {most}) as int) - 1), i -> cast(struct(
-        array(struct(u.s + length(array_join(slice(w, 1, i * {most}), '')), u.s + length(array_join(slice(w, 1, (i + 1) * {most}), '')))) as spans,
-        'slice' as kind, least({most}, u.tok - i * {most}) as tok, null as header, null as rendered, 0 as overlap, i as part, false as cut) as {PIECE})))[0]"""
-    empty = f"cast(array() as array<{UNIT}>)"
-    alone = f"cast(struct({empty} as cur, 0 as tok, 0 as overlap, concat({flushed('false')}, x) as out) as {state})"
-    append = f"cast(struct(concat(a.cur, array(u)) as cur, a.tok + u.tok as tok, a.overlap as overlap, a.out as out) as {state})"
-    # Whole sentences from the end of the piece just closed, while they fit the overlap; it must be one span.
-    tail = f"""aggregate(reverse(a.cur[0].sents), cast(struct(0 as tok, true as go, array() as sents) as struct<tok:int,go:boolean,sents:array<struct<s:int,tok:int>>>),
-        (b, s) -> if(b.go and b.tok + s.tok <= {limits.overlap},
-            cast(struct(b.tok + s.tok as tok, true as go, concat(array(s), b.sents) as sents) as struct<tok:int,go:boolean,sents:array<struct<s:int,tok:int>>>),
-            cast(struct(b.tok as tok, false as go, b.sents as sents) as struct<tok:int,go:boolean,sents:array<struct<s:int,tok:int>>>)))"""
-    joined = f"""cast(struct(v.sents[0].s as s, u.e as e, v.tok + u.tok as tok, u.kind as kind, array(struct(v.sents[0].s, u.e)) as spans,
-        null as header, null as rendered, concat(v.sents, u.sents) as sents) as {UNIT})"""
-    following = f"""transform(array(if(size(a.cur) = 1 and size(a.cur[0].spans) = 1, {tail}, null)), v ->
-        if(v is not null and size(v.sents) > 0 and v.tok + u.tok <= {most}, {begin(joined, "v.tok", flushed("false"))}, {begin("u", "0", flushed("false"))}))[0]"""
-    step = f"""case
-        when u.kind = 'table_group' then {alone.replace("x)", f"array({table}))")}
-        when u.tok > {most} then {alone.replace("x)", f"{slices})")}
-        when size(a.cur) = 0 then {begin("u", "0", "a.out")}
-        when u.kind = 'exception' and a.tok + u.tok <= {most} then {append}
-        when u.kind = 'exception' then {begin("u", "0", flushed("true"))}
-        when a.tok + u.tok <= {target} then {append}
-        else {following} end"""
-    zero = f"cast(struct({empty} as cur, 0 as tok, 0 as overlap, array() as out) as {state})"
-    return F.expr(f"aggregate(units, {zero}, (a, u) -> {step}, a -> {flushed('false')})")
-
-
-def chunk_sections(parts: DataFrame, limits: Limits | None = None) -> DataFrame:
+        start = F.struct(size.alias("at"), F.array().cast(row).alias("rows"), _none(GROUP).alias("out"))
+        done = lambda a: F.when(F.size(a["rows"]) > 0, F.concat(a["out"], F.array(group(a["rows"])))).otherwise(a["out"])
+        return F.aggregate(F.slice(lines, rule + 1, F.size(lines)), start, step, done)
+
+    text = F.array_join(top, "\n")
+    return T.let(F.length(text) + 1, lambda size: T.let(T.strip(text), lambda shown: T.let(
+        T.strip(F.array_join(F.filter(top, shaped), "\n")), lambda header: groups(size, shown, header))))
+
+
+def _block(raw: Column, tokenizer: Tokenizer, most: int) -> Column:
+    """A block's elements; lines of a table's block that are no rows follow as sentences, so that nothing is lost."""
+    block = T.trim_end(raw)
+
+    def table(lines: Column, rule: Column) -> Column:
+        blank = F.array(_element(raw, F.lit(""), tokenizer))
+
+        def with_lines(groups: Column) -> Column:
+            stood = F.transform(groups, lambda g: _element(F.lit(""), g["rendered"], tokenizer, g))
+
+            def after(line: Column, i: Column) -> Column:
+                whole = F.concat(line, F.when(i + 1 < F.size(lines), "\n").otherwise(""))
+                prose = (i >= rule) & ~line.rlike(T.TABLE_ROW) & ~line.rlike(T.TABLE_RULE) & line.rlike(r"(?U)\S")
+                return F.when(prose, _sentences(whole, tokenizer)).otherwise(F.array(_element(whole, F.lit(""), tokenizer)))
+
+            rest = F.substring(raw, F.length(block) + 1, F.length(raw))  # white space behind the block
+            return F.when(F.size(groups) == 0, _sentences(raw, tokenizer)).otherwise(
+                F.concat(stood, F.flatten(F.transform(lines, after)), F.array(_element(rest, F.lit(""), tokenizer))))
+
+        return F.when(block == "", blank).when(rule == 0, _sentences(raw, tokenizer)).otherwise(T.let(_table_groups(block, lines, rule, tokenizer, most), with_lines))
+
+    return T.let(F.split(block, "\n"), lambda lines: T.let(
+        F.array_position(F.transform(lines, lambda x: x.rlike(T.TABLE_RULE)), True).cast("int"), lambda rule: table(lines, rule)))
+
+
+def elements(body: Column, tokenizer: Tokenizer, most: int) -> Column:
+    blocks = F.regexp_extract_all(body, F.lit(r"(?s).*?(?:" + T.BLOCK_BREAK + r"|\z)"), F.lit(0))
+    by_block = F.flatten(F.transform(F.filter(blocks, lambda b: b != ""), lambda b: _block(b, tokenizer, most)))
+    return F.when(T.has_table(body), by_block).otherwise(_sentences(body, tokenizer))
+
+
+# ---------------------------------------------------------------- packing
+
+
+def _ranges(units: Column, start: Column, limits: Limits, tokenizer: Tokenizer) -> Column:
+    """Packs elements greedily: to the target, exceptions up to the maximum; longer ones and table groups stand alone."""
+
+    def state(a: Column, u: Column, **new: Column) -> Column:
+        names = ("first", "head", "last", "start", "tok", "overlap", "text", "out")
+        moved = [(a["at"] + u["n"]).alias("at"), (a["i"] + 1).alias("i")]
+        return F.struct(*moved, *[new.get(n, a[n]).alias(n) for n in names])
+
+    def piece(kind: str, first, head, last, at, tok, overlap, cut) -> Column:
+        return F.struct(*[x.alias(n) for n, x in (("kind", F.lit(kind)), ("first", first), ("head", head), ("last", last), ("at", at), ("tok", tok), ("overlap", overlap), ("cut", cut))])
+
+    def closed(a: Column, cut: Column, *more: Column) -> Column:
+        one = F.array(piece("text", a["first"], a["head"], a["last"], a["start"], a["tok"], a["overlap"], cut))
+        out = F.when(a["first"] >= 0, F.concat(a["out"], one)).otherwise(a["out"])
+        return F.concat(out, F.array(*more)) if more else out
+
+    def alone(a: Column, u: Column, kind: str) -> Column:
+        one = piece(kind, a["i"], a["i"], a["i"], a["at"], F.coalesce(u["group"]["tok"], u["tok"]), F.lit(0), F.lit(False))
+        return state(a, u, first=F.lit(-1), text=F.lit(""), out=closed(a, F.lit(False), one))
+
+    def begun(a: Column, u: Column, out: Column) -> Column:
+        return state(a, u, first=a["i"], head=a["i"], last=a["i"], start=a["at"], tok=u["tok"], overlap=F.lit(0), text=F.lit("") if tokenizer.additive else u["t"], out=out)
+
+    def overlapped(a: Column, u: Column) -> Column:
+        """Whole sentences from the end of the piece just closed, while they fit the overlap; it must be one span."""
+        kind = "struct<go:boolean,back:int,taken:int,seen:int,text:string,kept:string,tok:int>"
+
+        def back(b: Column, x: Column) -> Column:
+            def with_text(text: Column) -> Column:
+                fits = b["go"] & (tokenizer.count(T.trim_end(text)) <= limits.overlap)
+                far = b["seen"] + 1
+
+                def pick(yes, no):
+                    return F.when((x["t"] != "") & fits, yes).otherwise(no)
+
+                return F.struct(
+                    (b["go"] & (fits | (x["t"] == ""))).alias("go"), pick(F.length(text), b["back"]).alias("back"), pick(far, b["taken"]).alias("taken"), far.alias("seen"),
+                    text.alias("text"), pick(text, b["kept"]).alias("kept"), b["tok"].alias("tok"))
+
+            return F.when(b["go"], T.let(F.concat(x["r"], b["text"]), with_text)).otherwise(b)
+
+        def joined(v: Column) -> Column:
+            text = F.concat(v["kept"], u["t"])
+            both, behind = tokenizer.count(text).cast("int"), tokenizer.count(v["kept"]).cast("int")
+            grown = state(a, u, first=a["i"] - v["taken"], head=a["i"], last=a["i"], start=a["at"] - v["back"], tok=both, overlap=behind,
+                          text=F.lit("") if tokenizer.additive else text, out=closed(a, F.lit(False)))
+            return F.when((v["taken"] > 0) & (both <= limits.most), grown).otherwise(begun(a, u, closed(a, F.lit(False))))
+
+        zero = F.struct(F.lit(True), F.lit(0), F.lit(0), F.lit(0), F.lit(""), F.lit(""), F.lit(0)).cast(kind)
+        tail = F.aggregate(F.reverse(F.slice(units, a["first"] + 1, a["i"] - a["first"])), zero, back)
+        return F.when((a["head"] == a["last"]) & F.lit(limits.overlap > 0), T.let(tail, joined)).otherwise(begun(a, u, closed(a, F.lit(False))))
+
+    def step(a: Column, u: Column) -> Column:
+        def packed(text: Column, tok: Column) -> Column:
+            appended = state(a, u, last=a["i"], tok=tok, text=text)
+            return (
+                F.when(u["exc"] & (tok <= limits.most), appended)
+                .when(u["exc"], begun(a, u, closed(a, F.lit(True))))
+                .when(tok <= limits.target, appended)
+                .otherwise(overlapped(a, u))
+            )
+
+        if tokenizer.additive:
+            grown = T.let(a["tok"] + u["tok"], lambda tok: packed(F.lit(""), tok))
+        else:
+            grown = T.let(F.concat(a["text"], F.lit("\n"), u["t"]), lambda text: T.let(tokenizer.count(text).cast("int"), lambda tok: packed(text, tok)))
+        return (
+            F.when(u["group"].isNotNull(), alone(a, u, "table"))
+            .when(u["t"] == "", state(a, u))
+            .when(u["tok"] > limits.most, alone(a, u, "slice"))
+            .when(a["first"] < 0, begun(a, u, a["out"]))
+            .otherwise(grown)
+        )
+
+    minus, zero = F.lit(-1), F.lit(0)
+    empty = F.struct(start, zero, minus, minus, minus, zero, zero, zero, F.lit(""), _none(RANGE)).cast(OPEN)
+    return F.aggregate(units, empty, step, lambda a: closed(a, F.lit(False)))
+
+
+def _pieces(units: Column, ranges: Column, limits: Limits, tokenizer: Tokenizer) -> Column:
+    """Texts and spans of the ranges."""
+
+    def finished(spans: Column, text: Column, tok: Column, part: Column, p: Column, header: Column | None = None) -> Column:
+        header = F.lit(None).cast("string") if header is None else header
+        return F.struct(spans.alias("spans"), tok.cast("int").alias("tok"), header.alias("header"), text.alias("rendered"), p["overlap"].alias("overlap"), part.alias("part"), p["cut"].alias("cut"))
+
+    def text_piece(p: Column) -> Column:
+        def add(a: Column, u: Column) -> Column:
+            kept = u["t"] != ""
+            return F.struct(
+                (a["at"] + u["n"]).alias("at"), F.when(kept, F.concat(a["spans"], F.array(_span(a["at"], a["at"] + F.length(u["t"]))))).otherwise(a["spans"]).alias("spans"),
+                F.when(kept, F.concat(a["texts"], F.array(u["t"]))).otherwise(a["texts"]).alias("texts"))
+
+        def with_head(raw: Column) -> Column:
+            head = T.trim_end(raw)
+            start = F.struct((p["at"] + F.length(raw)).alias("at"), F.array(_span(p["at"], p["at"] + F.length(head))).alias("spans"), F.array(head).alias("texts"))
+            rest = F.slice(units, p["head"] + 2, p["last"] - p["head"])
+            return F.aggregate(rest, start, add, lambda a: finished(a["spans"], F.array_join(a["texts"], "\n"), p["tok"], F.lit(0), p))
+
+        return F.array(T.let(F.array_join(F.transform(F.slice(units, p["first"] + 1, p["head"] - p["first"] + 1), lambda u: u["r"]), ""), with_head))
+
+    def slice_piece(p: Column, u: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            text = F.substring(u["t"], s["start"] + 1, s["end"] - s["start"])
+            return finished(F.array(_span(p["at"] + s["start"], p["at"] + s["end"])), text, tokenizer.count(text), i, p)
+
+        return F.transform(tokenizer.slices(u["t"], limits.most), part)
+
+    def table_piece(p: Column, g: Column) -> Column:
+        spans = F.transform(g["spans"], lambda s: _span(p["at"] + s["start"], p["at"] + s["end"]))
+        return F.array(finished(spans, g["rendered"], g["tok"], F.lit(0), p, g["header"]))
+
+    def one(p: Column) -> Column:
+        u = F.get(units, p["first"])
+        return F.when(p["kind"] == "text", text_piece(p)).when(p["kind"] == "slice", T.let(u, lambda x: slice_piece(p, x))).otherwise(T.let(u["group"], lambda g: table_piece(p, g)))
+
+    return F.flatten(F.transform(ranges, one))
+
+
+def chunk_sections(parts: DataFrame, limits: Limits | None = None, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """Child chunks of sections (as ``sections`` gives them), one row each."""
     limits = limits or Limits()
-    digest = fingerprint(limits)
-    rows = parts.withColumn("tokens", T.word_count(F.col("body"))).where("tokens > 0")
-    whole = F.expr(f"""array(cast(struct(array(struct(body_start, body_end)) as spans, 'whole' as kind, tokens as tok, null as header,
-        null as rendered, 0 as overlap, 0 as part, false as cut) as {PIECE}))""")
+    digest = fingerprint(limits, tokenizer.name)
+    rows = parts.withColumn("tokens", tokenizer.count(F.col("body")).cast("int")).where("tokens > 0").where(F.col("body").rlike(r"(?U)\S"))
+    whole = F.array(F.struct(
+        F.array(_span(F.col("body_start"), F.col("body_end"))).alias("spans"), F.col("tokens").alias("tok"), F.lit(None).cast("string").alias("header"), F.col("body").alias("rendered"),
+        F.lit(0).alias("overlap"), F.lit(0).alias("part"), F.lit(False).alias("cut")))
+    packed = T.let(elements(F.col("body"), tokenizer, limits.most), lambda units: T.let(
+        _ranges(units, F.col("body_start"), limits, tokenizer), lambda ranges: _pieces(units, ranges, limits, tokenizer)))
     short = (F.col("tokens") <= limits.most) & ~T.has_table(F.col("body"))
-    rows = rows.withColumn("units", F.when(~short, units(limits)))
-    rows = rows.withColumn("pieces", F.when(short, whole).otherwise(pieces(limits))).drop("units")
-    ids = F.transform("pieces", lambda p: chunk_id(F.col("document_version_id"), p["spans"], p["part"], digest))
-    rows = rows.withColumn("ids", ids)
-    out = rows.select("*", F.posexplode("pieces").alias("chunk_ordinal", "p"))
-    source = F.transform("p.spans", lambda s: F.substring("body", s["start"] - F.col("body_start") + 1, s["end"] - s["start"]))
-    text = F.coalesce("p.rendered", F.array_join(source, "\n"))
-    out = out.withColumn("text", text).withColumn("chunk_id", F.get("ids", F.col("chunk_ordinal")))
-    return out.select(
-        "chunk_id", F.col("section_id").alias("parent_id"), "document_version_id", "document_title", F.col("heading").alias("heading_path"), "text",
-        F.col("p.spans").alias("spans"), "access_policy_id", F.col("p.tok").alias("token_count"), F.col("p.overlap").alias("overlap_tokens"),
-        F.col("p.part").alias("part_index"),
-        F.when(F.col("p.part") > 0, F.get("ids", F.col("chunk_ordinal") - F.col("p.part"))).alias("continuation_of"),
-        F.when(F.col("p.cut"), F.array(F.get("ids", F.col("chunk_ordinal") + 1))).otherwise(F.array().cast("array<string>")).alias("exception_refs"),
-        T.references(F.col("text")).alias("reference_refs"), F.col("p.header").alias("table_header"),
+    named = F.when(short, whole).otherwise(packed)
+    with_ids = F.transform(named, lambda p: F.struct(p.alias("p"), chunk_id(F.col("document_version_id"), p["spans"], p["part"], digest).alias("id")))
+
+    def linked(all_: Column) -> Column:
+        """Each piece with the id its slices continue, and the id of the exception behind it."""
+        return F.transform(all_, lambda x, i: F.struct(
+            x["p"].alias("p"), x["id"].alias("id"), F.when(x["p"]["part"] > 0, F.get(all_, i - x["p"]["part"])["id"]).alias("of"),
+            F.when(x["p"]["cut"], F.array(F.get(all_, i + 1)["id"])).otherwise(_none("string")).alias("exceptions")))
+
+    rows = rows.select("document_version_id", "document_title", "section_id", "heading", "access_policy_id", "section_ordinal", F.posexplode(T.let(with_ids, linked)).alias("chunk_ordinal", "x"))
+    rows = rows.select("*", F.col("x.p.rendered").alias("text"))
+    return rows.select(
+        F.col("x.id").alias("chunk_id"), F.col("section_id").alias("parent_id"), "document_version_id", "document_title", F.col("heading").alias("heading_path"), "text",
+        F.col("x.p.spans").alias("spans"), "access_policy_id", F.col("x.p.tok").alias("token_count"), F.col("x.p.overlap").alias("overlap_tokens"),
+        F.col("x.p.part").alias("part_index"), F.col("x.of").alias("continuation_of"), F.col("x.exceptions").alias("exception_refs"),
+        T.references(F.col("text")).alias("reference_refs"), F.col("x.p.header").alias("table_header"),
         T.embedding_input(F.col("document_title"), F.col("heading"), F.col("text")).alias("embedding_input"),
         F.lit(digest).alias("chunker_config_hash"), "section_ordinal", "chunk_ordinal",
-        F.get("p.spans", F.lit(0))["start"].alias("source_start"), F.element_at("p.spans", -1)["end"].alias("source_end"))
+        F.get("x.p.spans", F.lit(0))["start"].alias("source_start"), F.element_at("x.p.spans", -1)["end"].alias("source_end"))
 
 
-def chunk_documents(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    return chunk_sections(sections(docs), limits)
+def chunk_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: Tokenizer = WORDS) -> DataFrame:
+    return chunk_sections(sections(docs), limits, tokenizer)
 
 
 def pack_greedy(tokens: Column, target: int) -> Column:
