@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import access, checks, ids, vectors
 from vellum.functions import text as T
+from vellum.functions.tokenizers import QUADS
 from vellum.operators import answers, chunking, evaluation, graph, quality, retrieval, versions
 
 QUERIES: dict[str, Callable] = {}
@@ -30,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """A table below ``most`` bytes, which may be one row group, dealt over all cores; a larger one is read as it lies."""
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < most
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+
+
 # ---------------------------------------------------------------- text and chunking
 
 
@@ -65,10 +73,14 @@ def sentence_stats(spark, sf):
 
 
 def structured(docs: DataFrame) -> DataFrame:
-    """Documents with headings around their text, as policy documents have them."""
+    """Documents with headings around their text, as policy documents have them, and a table of some forty to seventy rows."""
+    row = lambda i: F.concat(F.lit("| "), F.col("source"), F.lit(" room "), i, F.lit(" | "), i, F.lit(" kg |"))
+    rows = F.transform(F.sequence(F.lit(1).cast("long"), 40 + F.col("doc_id") % 30), row)
     text = F.concat(
         F.lit("Manual "), F.col("doc_id"), F.lit("\n1. Purpose\n"), F.col("text"), F.lit("\n2.1 Review Steps\n2.5 kg is a limit, not a title.\nsee it\n"),
-        F.lit("Section 3 – Limits\n# Notes\nKeep the "), F.col("source"), F.lit(" file.\n4. this is no heading\n# neither is this\nSection 5 - nor that.\n"))
+        F.lit("Section 3 – Limits\n# Notes\nKeep the "), F.col("source"), F.lit(" file.\n4. this is no heading\n# neither is this\nSection 5 - nor that.\n"),
+        F.lit("7. Weights\nBy room. See section 2.1 Review Steps. Exception applies in Manual "), F.col("doc_id") + 1, F.lit(", refer to 1 Purpose.\n\n| Room | Weight |\n|---|:--:|\n"),
+        F.array_join(rows, "\n"), F.lit("\nRooms not named take nothing. Unless the vault is open.\n\nAll weights are net.\n"))
     return docs.select(
         F.col("doc_id").cast("string").alias("document_version_id"), F.concat(F.lit("Manual "), F.col("doc_id")).alias("document_title"),
         F.lit("internal").alias("access_policy_id"), text.alias("text"), F.create_map(F.lit("2.1 Review Steps"), F.lit("restricted")).alias("access_by_heading"))
@@ -77,7 +89,9 @@ def structured(docs: DataFrame) -> DataFrame:
 _LINES = r"""
 WITH t AS (
   SELECT doc_id, 'Manual ' || doc_id || chr(10) || '1. Purpose' || chr(10) || text || chr(10) || '2.1 Review Steps' || chr(10) || '2.5 kg is a limit, not a title.' || chr(10)
-    || 'see it' || chr(10) || 'Section 3 – Limits' || chr(10) || '# Notes' || chr(10) || 'Keep the ' || source || ' file.' || chr(10) || '4. this is no heading' || chr(10) || '# neither is this' || chr(10) || 'Section 5 - nor that.' || chr(10) AS text FROM documents),
+    || 'see it' || chr(10) || 'Section 3 – Limits' || chr(10) || '# Notes' || chr(10) || 'Keep the ' || source || ' file.' || chr(10) || '4. this is no heading' || chr(10) || '# neither is this' || chr(10) || 'Section 5 - nor that.' || chr(10)
+    || '7. Weights' || chr(10) || 'By room. See section 2.1 Review Steps. Exception applies in Manual ' || (doc_id + 1) || ', refer to 1 Purpose.' || chr(10) || chr(10) || '| Room | Weight |' || chr(10) || '|---|:--:|' || chr(10)
+    || array_to_string(list_transform(generate_series(1, 40 + doc_id % 30), lambda i: '| ' || source || ' room ' || i || ' | ' || i || ' kg |'), chr(10)) || chr(10) || 'Rooms not named take nothing. Unless the vault is open.' || chr(10) || chr(10) || 'All weights are net.' || chr(10) AS text FROM documents),
 l AS (SELECT doc_id, text, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS pos
       FROM (SELECT doc_id, text, s, unnest(generate_series(1, len(s))) AS i, s[i] AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM t))),
 m AS (SELECT *, regexp_extract(line, '^(#{1,6})\s+(\S.*?)\s*$', 2) AS md, regexp_extract(line, '^Section\s+(\d+)\s+[–—-]\s+(\S.*?)\s*$', 1) AS sn,
@@ -157,59 +171,107 @@ def chunk_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ids.chunk_id(version, spans, F.lit(0), _CFG).alias("chunk_id"), F.lit(_CFG).alias("config"))
 
 
-_WORDS = r"len(regexp_extract_all({x}, '\S+'))"
-_CHUNKS = _BODIES.replace("WITH t AS", "WITH RECURSIVE t AS") + r""",
+#: What the SQL counts: a text's size, tokens of a size, the size of what joins two texts, and the size between two places.
+_MEASURES = {
+    "word-v1": {"size": r"len(regexp_extract_all({x}, '\S+'))", "tok": "({x})", "gap": "0", "tail": "list_sum(list_transform(f.sents[j:], lambda y: y.size))",
+                "back": "list_sum(list_transform(tail, lambda y: y.size))", "both": "list_sum(list_transform(tail, lambda y: y.size)) + size"},
+    "chars-4": {"size": "length({x})", "tok": "(({x} + 3) // 4)", "gap": "1", "tail": "(f.e - x.a)", "back": "(a - tail[1].a)", "both": "(e - tail[1].a)"}}
+_SLICES = {
+    "word-v1": r"""sl AS (SELECT doc_id, section_ordinal, i, part, a + length(array_to_string(v[1:part * 400], '')) AS a, a + length(array_to_string(v[1:(part + 1) * 400], '')) AS e
+  FROM (SELECT *, unnest(generate_series(0, (len(v) - 1) // 400)) AS part FROM (SELECT doc_id, section_ordinal, i, a, regexp_extract_all(t, '\s*\S+\s*') AS v FROM u WHERE kind = 'slice')))""",
+    "chars-4": r"""sl0 AS (
+  SELECT doc_id, section_ordinal, i, -1 AS part, 0::BIGINT AS a, 0::BIGINT AS e, a AS next, t AS rest FROM u WHERE kind = 'slice'
+  UNION ALL
+  SELECT doc_id, section_ordinal, i, part + 1, next, next + k, next + length(rest) - length(regexp_replace(substr(rest, k + 1), '^\s+', '')), regexp_replace(substr(rest, k + 1), '^\s+', '')
+  FROM (SELECT *, CASE WHEN n < length(rest) AND NOT regexp_matches(substr(rest, n, 1), '\s') AND contains(substr(rest, 1, n), ' ') AND n - strpos(reverse(substr(rest, 1, n)), ' ') > 0
+      THEN n - strpos(reverse(substr(rest, 1, n)), ' ') ELSE n END AS k FROM (SELECT *, least(1600, length(rest)) AS n FROM sl0 WHERE rest <> ''))),
+sl AS (SELECT doc_id, section_ordinal, i, part, a, e FROM sl0 WHERE part >= 0)"""}
+_RULE_SQL = r"'^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$'"
+_ROW_SQL = r"'^\s*\|.+\|\s*$'"
+
+
+def _chunks_sql(tokenizer: str, config: str) -> str:
+    """The whole chunker: blocks, tables, sentences, the packing fold, slices, ids."""
+    out = _BODIES.replace("WITH t AS", "WITH RECURSIVE t AS") + r""",
 c0 AS (SELECT doc_id, section_ordinal, heading, access_policy_id, body_start::BIGINT AS bs, body_end::BIGINT AS be, substr(text, (body_start + 1)::BIGINT, (body_end - body_start)::BIGINT) AS body FROM s),
-c AS MATERIALIZED (SELECT *, {w:body} AS tokens FROM c0 WHERE {w:body} > 0),
--- blocks and sentences: a mark is set behind each separator, so that lengths add up to offsets
-k AS (SELECT doc_id, section_ordinal, n, x[n] AS raw, bs + coalesce(sum(length(x[n])) OVER (PARTITION BY doc_id, section_ordinal ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
-  FROM (SELECT doc_id, section_ordinal, bs, x, unnest(generate_series(1, len(x))) AS n FROM (SELECT *, string_split(regexp_replace(body, '(\n\s*\n)', '\1' || chr(2), 'g'), chr(2)) AS x FROM c WHERE tokens > 400))),
-z AS (SELECT doc_id, section_ordinal, n, m, regexp_replace(y[m], '\s+$', '') AS t, o + coalesce(sum(length(y[m])) OVER (PARTITION BY doc_id, section_ordinal, n ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-  FROM (SELECT doc_id, section_ordinal, n, o, y, unnest(generate_series(1, len(y))) AS m FROM (
-    SELECT *, string_split(regexp_replace(regexp_replace(raw, '\n\s*\n$', ''), '([.!?]\s+)([A-Z0-9"“])', '\1' || chr(2) || '\2', 'g'), chr(2)) AS y FROM k))),
-u AS MATERIALIZED (SELECT doc_id, section_ordinal, row_number() OVER (PARTITION BY doc_id, section_ordinal ORDER BY n, m) AS i, a::BIGINT AS a, (a + length(t))::BIGINT AS e, {w:t} AS tok,
-    regexp_matches(t, '(?i)(^\s*exception\b|\b(except|unless)\b|\bexception applies\b)') AS exc, t FROM z WHERE t <> ''),
+c AS MATERIALIZED (SELECT *, {tok:size:body} AS tokens, len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, {rule}))) > 0 AS tab FROM c0 WHERE regexp_matches(body, '\S')),
+-- blocks: a mark is set behind each separator, so that lengths add up to offsets
+k AS MATERIALIZED (SELECT doc_id, section_ordinal, n, x[n] AS raw, regexp_replace(x[n], '\s+$', '') AS block, bs + coalesce(sum(length(x[n])) OVER (PARTITION BY doc_id, section_ordinal ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+  FROM (SELECT doc_id, section_ordinal, bs, x, unnest(generate_series(1, len(x))) AS n FROM (SELECT *, string_split(regexp_replace(body, '(\n\s*\n)', '\1' || chr(2), 'g'), chr(2)) AS x FROM c WHERE tokens > 400 OR tab))),
+kt AS MATERIALIZED (SELECT *, array_to_string(l[1:p], chr(10)) AS top FROM (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(x, {rule})), true) AS p FROM (SELECT *, string_split(block, chr(10)) AS l FROM k)) WHERE p > 0),
+lines AS MATERIALIZED (SELECT doc_id, section_ordinal, n, j, line, top, o, length(block) AS room, o + sum(length(line) + 1) OVER (PARTITION BY doc_id, section_ordinal, n ORDER BY j) - length(line) - 1 AS a, regexp_matches(line, {row}) AND NOT regexp_matches(line, {rule}) AS row, j <= p AS head, regexp_matches(line, {rule}) AS ruled
+  FROM (SELECT *, unnest(generate_series(1, len(l))) AS j, l[j] AS line FROM kt)),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, section_ordinal, n ORDER BY j) AS q, trim(line) AS t, {size:trim(line)} AS size, {size:trim(top)} AS top_size FROM lines WHERE row AND NOT head),
+rg AS (SELECT doc_id, section_ordinal, n, q, 1 AS g, top_size + {gap} + size AS total FROM r WHERE q = 1
+  UNION ALL SELECT r.doc_id, r.section_ordinal, r.n, r.q, CASE WHEN {tok:rg.total + {gap} + r.size} <= 400 THEN g ELSE g + 1 END, CASE WHEN {tok:rg.total + {gap} + r.size} <= 400 THEN rg.total ELSE top_size END + {gap} + r.size
+  FROM rg JOIN r ON r.doc_id = rg.doc_id AND r.section_ordinal = rg.section_ordinal AND r.n = rg.n AND r.q = rg.q + 1),
+tg AS (SELECT doc_id, section_ordinal, n, g, max(total) AS total, trim(any_value(top)) || chr(10) || string_agg(t, chr(10) ORDER BY q) AS text,
+    list_concat([{'a': any_value(o)::BIGINT, 'e': (any_value(o) + length(any_value(top)) + 1)::BIGINT}], list({'a': a::BIGINT, 'e': least(a + length(line) + 1, o + room)::BIGINT} ORDER BY q)) AS spans FROM rg JOIN r USING (doc_id, section_ordinal, n, q) GROUP BY ALL),
+-- what is cut into sentences: blocks without a table, and a table block's lines that are no rows
+w AS (SELECT doc_id, section_ordinal, n, 0 AS j, raw AS x, o FROM k WHERE (doc_id, section_ordinal, n) NOT IN (SELECT (doc_id, section_ordinal, n) FROM kt)
+      UNION ALL SELECT doc_id, section_ordinal, n, j, line, a FROM lines WHERE NOT head AND NOT row AND NOT ruled),
+z AS (SELECT doc_id, section_ordinal, n, j, m, regexp_replace(y[m], '\s+$', '') AS t, o + coalesce(sum(length(y[m])) OVER (PARTITION BY doc_id, section_ordinal, n, j ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM (SELECT *, unnest(generate_series(1, len(y))) AS m FROM (SELECT *, string_split(regexp_replace(regexp_replace(x, '\n\s*\n$', ''), '([.!?]\s+)([A-Z0-9"“])', '\1' || chr(2) || '\2', 'g'), chr(2)) AS y FROM w))),
+u0 AS (SELECT doc_id, section_ordinal, n, 1 AS part, j, m, a::BIGINT AS a, (a + length(t))::BIGINT AS e, {size:t} AS size, regexp_matches(t, '(?i)(^\s*exception\b|\b(except|unless)\b|\bexception applies\b)') AS exc, t, NULL AS spans FROM z WHERE t <> ''
+       UNION ALL SELECT doc_id, section_ordinal, n, 0, g, 0, 0, 0, total, false, text, spans FROM tg),
+u AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, section_ordinal ORDER BY n, part, j, m) AS i, CASE WHEN spans IS NOT NULL THEN 'table' WHEN {tok:size} > 400 THEN 'slice' ELSE 'text' END AS kind FROM u0),
 -- the fold: what a unit does to the piece that is open, and the piece after it
 f AS (
-  SELECT doc_id, section_ordinal, i, CASE WHEN tok > 400 THEN 'slice' ELSE 'begin' END AS act, 1::BIGINT AS grp, tok <= 400 AS opened, tok::BIGINT AS total, true AS single, a AS first, 0::BIGINT AS overlap, [{'a': a, 'tok': tok}] AS sents FROM u WHERE i = 1
+  SELECT doc_id, section_ordinal, i, CASE kind WHEN 'text' THEN 'begin' ELSE kind END AS act, 1::BIGINT AS grp, kind = 'text' AS opened, size::BIGINT AS total, true AS single, a AS first, e, 0::BIGINT AS overlap, [{'a': a, 'size': size}] AS sents FROM u WHERE i = 1
   UNION ALL
-  SELECT doc_id, section_ordinal, i, act, CASE act WHEN 'append' THEN grp ELSE grp + 1 END, act <> 'slice', (CASE act WHEN 'append' THEN total + tok WHEN 'overlap' THEN back + tok ELSE tok END)::BIGINT, act <> 'append',
-    CASE act WHEN 'append' THEN first WHEN 'overlap' THEN tail[1].a ELSE a END, (CASE act WHEN 'append' THEN overlap WHEN 'overlap' THEN back ELSE 0 END)::BIGINT, CASE act WHEN 'overlap' THEN list_append(tail, {'a': a, 'tok': tok}) ELSE [{'a': a, 'tok': tok}] END
-  FROM (SELECT *, CASE WHEN tok > 400 THEN 'slice' WHEN NOT opened THEN 'begin' WHEN exc AND total + tok <= 400 THEN 'append' WHEN exc THEN 'cut' WHEN total + tok <= 300 THEN 'append'
-      WHEN single AND back > 0 AND back + tok <= 400 THEN 'overlap' ELSE 'begin' END AS act
-    FROM (SELECT u.doc_id, u.section_ordinal, u.i, u.a, u.tok, u.exc, f.grp, f.opened, f.total, f.single, f.first, f.overlap,
-        list_filter(f.sents, lambda x, j: list_sum(list_transform(f.sents[j:], lambda y: y.tok)) <= 50) AS tail,
-        coalesce(list_sum(list_transform(list_filter(f.sents, lambda x, j: list_sum(list_transform(f.sents[j:], lambda y: y.tok)) <= 50), lambda y: y.tok)), 0) AS back
-      FROM f JOIN u ON u.doc_id = f.doc_id AND u.section_ordinal = f.section_ordinal AND u.i = f.i + 1))),
-g AS (SELECT f.doc_id, f.section_ordinal, grp, 0 AS part, min(i) AS i, max(total) AS token_count, max(overlap) AS overlap_tokens, bool_or(act = 'cut') AS cut_before,
-    list({'a': CASE WHEN act IN ('begin', 'cut', 'overlap') THEN f.first ELSE u.a END, 'e': u.e} ORDER BY i) AS spans FROM f JOIN u USING (doc_id, section_ordinal, i) WHERE act <> 'slice' GROUP BY ALL),
-sliced AS (SELECT f.doc_id, f.section_ordinal, grp, part, i, least(400, total - 400 * part) AS token_count, 0 AS overlap_tokens, false AS cut_before,
-    [{'a': a + length(array_to_string(v[1:part * 400], '')), 'e': a + length(array_to_string(v[1:(part + 1) * 400], ''))}] AS spans
-  FROM (SELECT *, unnest(generate_series(0, (total - 1) // 400)) AS part FROM (SELECT f.doc_id, f.section_ordinal, f.grp, f.i, f.total, u.a, regexp_extract_all(u.t, '\S+\s*') AS v FROM f JOIN u USING (doc_id, section_ordinal, i) WHERE act = 'slice')) f),
-whole AS (SELECT doc_id, section_ordinal, 1 AS grp, 0 AS part, 1 AS i, tokens AS token_count, 0 AS overlap_tokens, false AS cut_before, [{'a': bs, 'e': be}] AS spans FROM c WHERE tokens <= 400),
-p AS (SELECT *, row_number() OVER v - 1 AS chunk_ordinal, coalesce(lead(cut_before) OVER v, false) AS cut FROM (SELECT * FROM g UNION ALL SELECT * FROM sliced UNION ALL SELECT * FROM whole) WINDOW v AS (PARTITION BY doc_id, section_ordinal ORDER BY grp, part)),
-n AS (SELECT p.*, heading, access_policy_id, sha256(p.doc_id || '|' || array_to_string(list_transform(spans, lambda x: x.a || ':' || x.e), ',') || '|' || part || '|' || {cfg}) AS chunk_id,
-    array_to_string(list_transform(spans, lambda x: substr(body, x.a - bs + 1, x.e - x.a)), chr(10)) AS text FROM p JOIN c USING (doc_id, section_ordinal))
-SELECT chunk_id, doc_id::VARCHAR AS document_version_id, section_ordinal, chunk_ordinal, heading AS heading_path, access_policy_id, text, token_count::BIGINT AS token_count, overlap_tokens::BIGINT AS overlap_tokens, part AS part_index,
+  SELECT doc_id, section_ordinal, i, act, CASE act WHEN 'append' THEN grp ELSE grp + 1 END, act NOT IN ('slice', 'table'), (CASE act WHEN 'append' THEN total + {gap} + size WHEN 'overlap' THEN joint ELSE size END)::BIGINT, act <> 'append',
+    CASE act WHEN 'append' THEN first WHEN 'overlap' THEN tail[1].a ELSE a END, e, (CASE act WHEN 'append' THEN overlap WHEN 'overlap' THEN {tok:back} ELSE 0 END)::BIGINT, CASE act WHEN 'overlap' THEN list_append(tail, {'a': a, 'size': size}) ELSE [{'a': a, 'size': size}] END
+  FROM (SELECT *, CASE WHEN kind <> 'text' THEN kind WHEN NOT opened THEN 'begin' WHEN exc AND {tok:total + {gap} + size} <= 400 THEN 'append' WHEN exc THEN 'cut' WHEN {tok:total + {gap} + size} <= 300 THEN 'append'
+      WHEN single AND len(tail) > 0 AND {tok:joint} <= 400 THEN 'overlap' ELSE 'begin' END AS act
+    FROM (SELECT *, {back} AS back, {both} AS joint FROM (SELECT u.doc_id, u.section_ordinal, u.i, u.a, u.e, u.size, u.exc, u.kind, f.grp, f.opened, f.total, f.single, f.first, f.overlap,
+        list_filter(f.sents, lambda x, j: {tok:{tail}} <= 50) AS tail
+      FROM f JOIN u ON u.doc_id = f.doc_id AND u.section_ordinal = f.section_ordinal AND u.i = f.i + 1)))),
+{slices},
+g AS (SELECT f.doc_id, f.section_ordinal, grp, 0 AS part, min(i) AS i, {tok:max(total)} AS token_count, max(overlap) AS overlap_tokens, bool_or(act = 'cut') AS cut_before,
+    list({'a': CASE WHEN act IN ('begin', 'cut', 'overlap') THEN f.first ELSE u.a END, 'e': u.e} ORDER BY i) AS spans, NULL AS text FROM f JOIN u USING (doc_id, section_ordinal, i) WHERE kind = 'text' GROUP BY ALL),
+tables AS (SELECT f.doc_id, f.section_ordinal, grp, 0 AS part, i, {tok:size} AS token_count, 0 AS overlap_tokens, false AS cut_before, spans, t AS text FROM f JOIN u USING (doc_id, section_ordinal, i) WHERE kind = 'table'),
+sliced AS (SELECT f.doc_id, f.section_ordinal, grp, part, i, NULL AS token_count, 0 AS overlap_tokens, false AS cut_before, [{'a': sl.a, 'e': sl.e}] AS spans, NULL AS text FROM f JOIN sl USING (doc_id, section_ordinal, i)),
+whole AS (SELECT doc_id, section_ordinal, 1 AS grp, 0 AS part, 1 AS i, tokens AS token_count, 0 AS overlap_tokens, false AS cut_before, [{'a': bs, 'e': be}] AS spans, NULL AS text FROM c WHERE tokens <= 400 AND NOT tab),
+p AS (SELECT *, row_number() OVER v - 1 AS chunk_ordinal, coalesce(lead(cut_before) OVER v, false) AS cut FROM (SELECT * FROM g UNION ALL SELECT * FROM sliced UNION ALL SELECT * FROM tables UNION ALL SELECT * FROM whole) WINDOW v AS (PARTITION BY doc_id, section_ordinal ORDER BY grp, part)),
+n AS (SELECT p.* EXCLUDE (text), heading, access_policy_id, sha256(p.doc_id || '|' || array_to_string(list_transform(spans, lambda x: x.a || ':' || x.e), ',') || '|' || part || '|' || {cfg}) AS chunk_id,
+    coalesce(p.text, array_to_string(list_transform(spans, lambda x: substr(body, x.a - bs + 1, x.e - x.a)), chr(10))) AS text FROM p JOIN c USING (doc_id, section_ordinal))
+SELECT chunk_id, doc_id::VARCHAR AS document_version_id, section_ordinal, chunk_ordinal, heading AS heading_path, access_policy_id, text, coalesce(token_count, {tok:size:text})::BIGINT AS token_count, overlap_tokens::BIGINT AS overlap_tokens, part AS part_index,
   '[' || array_to_string(list_transform(spans, lambda x: '{"start":' || x.a || ',"end":' || x.e || '}'), ',') || ']' AS spans, spans[1].a AS source_start, spans[-1].e AS source_end,
   CASE WHEN part > 0 THEN first_value(chunk_id) OVER (PARTITION BY doc_id, section_ordinal, grp ORDER BY part) END AS continuation_of,
   coalesce(CASE WHEN cut THEN lead(chunk_id) OVER (PARTITION BY doc_id, section_ordinal ORDER BY chunk_ordinal) END, '') AS exception_refs,
   array_to_string(list_filter(regexp_extract_all(text, '(?i)\b(?:refer to|see section|see the)\b[^.\n]{0,160}'), lambda x, j: list_position(regexp_extract_all(text, '(?i)\b(?:refer to|see section|see the)\b[^.\n]{0,160}'), x) = j), ' / ') AS reference_refs
 FROM n"""
-for _x in ("body", "t"):
-    _CHUNKS = _CHUNKS.replace(f"{{w:{_x}}}", _WORDS.replace("{x}", _x))
+    m = _MEASURES[tokenizer]
+    for name in ("slices", "back", "both", "tail", "gap"):
+        out = out.replace(f"{{{name}}}", _SLICES[tokenizer] if name == "slices" else m[name])
+    out = re.sub(r"\{tok:size:(\w+)\}", lambda x: m["tok"].replace("{x}", m["size"].replace("{x}", x[1])), out)
+    out = re.sub(r"\{size:([^{}]+)\}", lambda x: m["size"].replace("{x}", x[1]), out)
+    out = re.sub(r"\{tok:([^{}]+)\}", lambda x: m["tok"].replace("{x}", f"({x[1]})"), out)
+    return out.replace("{rule}", _RULE_SQL).replace("{row}", _ROW_SQL).replace("{cfg}", config)
 
 
-@query(_CHUNKS.replace("{cfg}", _CFG_SQL))
-def chunk_documents(spark, sf):
-    """The whole chunker: sections, units, packing, overlap, slices, links, ids."""
-    out = chunking.chunk_documents(structured(table(spark, sf, "documents")))
+_CHUNKS = _chunks_sql("word-v1", _CFG_SQL)
+
+
+def _chunk_rows(out: DataFrame) -> DataFrame:
     numbers = [F.col(c).cast("long").alias(c) for c in ("section_ordinal", "chunk_ordinal", "token_count", "overlap_tokens", "part_index", "source_start", "source_end")]
     return out.select(
         "chunk_id", "document_version_id", "heading_path", "access_policy_id", "text", *numbers, F.to_json("spans").alias("spans"), "continuation_of",
         F.array_join("exception_refs", ",").alias("exception_refs"), F.array_join("reference_refs", " / ").alias("reference_refs"))
 
 
+@query(_CHUNKS)
+def chunk_documents(spark, sf):
+    """The whole chunker: sections, tables, sentences, packing, overlap, slices, links, ids."""
+    return _chunk_rows(chunking.chunk_documents(structured(spread(table(spark, sf, "documents")))))
+
+
+@query(_chunks_sql("chars-4", _CFG_SQL.replace("word-v1", "chars-4")))
+def chunk_documents_by_characters(spark, sf):
+    """The chunker under a counter whose counts don't add up: four characters a token, so that each candidate is counted as a whole."""
+    return _chunk_rows(chunking.chunk_documents(structured(spread(table(spark, sf, "documents"))), tokenizer=QUADS))
+
+
 @query(r"""SELECT doc_id, i AS window, array_to_string(w[i * 250 + 1:i * 250 + 300], ' ') AS text FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
   unnest(generate_series(0, greatest(len(w) - 51, 0) // 250)) AS g(i) WHERE len(w) > 0""")
 def fixed_window_chunks(spark, sf):
@@ -636,7 +698,7 @@ def _chunked(spark, sf) -> DataFrame:
 
 _EVEN = [f"src{i}" for i in range(0, 20, 2)]
 _IN_FORCE = "SELECT arg_max(doc_id, make_date((2020 + doc_id % 3)::INT, 1, 1)) AS doc_id FROM documents WHERE make_date((2020 + doc_id % 3)::INT, 1, 1) <= DATE '2021-06-30' GROUP BY doc_id // 3"
-_CHUNK_ITEMS = f"""ch AS MATERIALIZED (SELECT c.* FROM ({_CHUNKS.replace("{cfg}", _CFG_SQL)}) c JOIN documents d ON d.doc_id::VARCHAR = c.document_version_id
+_CHUNK_ITEMS = f"""ch AS MATERIALIZED (SELECT c.* FROM ({_CHUNKS}) c JOIN documents d ON d.doc_id::VARCHAR = c.document_version_id
   WHERE d.doc_id IN ({_IN_FORCE}) AND d.source IN ({", ".join(map(repr, _EVEN))}) AND c.access_policy_id = 'internal')"""
 
 
