@@ -4,6 +4,7 @@ import hashlib
 import struct
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import vectors
@@ -251,6 +252,22 @@ def test_batches_write_only_their_buckets(spark, tmp_path):
     assert store.log().where("generation = 'b1'").count() <= 3 < store.log().where("generation = 'b0'").count()
 
 
+def test_running_sums_with_further_columns(spark, tmp_path):
+    """More columns than the sum needs, read from files, in many ranges: all uses of a range must agree on its bounds."""
+    from vellum.functions.running import running_sum
+
+    rows = spark.range(60_000).selectExpr("id % 3 as g", "id div 3 as i", "id % 11 as v", "uuid() as more", "repeat('x', 50) as most").repartition(7)
+    rows.write.parquet(str(tmp_path / "rows"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        out = running_sum(spark.read.parquet(str(tmp_path / "rows")), ["g"], ["i"], "v", "s")
+        exact = F.sum("v").over(Window.partitionBy("g").orderBy("i"))
+        assert out.columns == ["g", "i", "v", "more", "most", "s"] and out.withColumn("w", exact).where("s <> w").count() == 0 and out.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_running_sums_cross_ranges(spark):
     from vellum.functions.running import running_sum
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.staging import staged
 
 def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` up to and with this row, within ``by`` in ``order`` (which tells all rows apart).
 
     Rows are dealt by ranges of (by, order), so that a group of any size is spread; a range is summed in
-    one task, and a total for each group and range is carried on.  Both uses of the ranges read the same
-    exchange, whose number of partitions is fixed.
+    one task, and a total for each group and range is carried on.  The ranges are sampled, so the dealt rows
+    are written once, with their range's number, and read twice.
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(width, *by, *order).withColumn("_range", F.spark_partition_id())
+    ranged = staged(df.repartitionByRange(width, *by, *order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "_range").agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     names = {c: f"_of_{c}" for c in (*by, "_range")}

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.staging import shared_folder  # noqa: F401
 from vellum.sources.generations import BucketedStore
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder only where driver and executors are one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (base or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-
-
 def merge_stream(stream: DataFrame, store: BucketedStore, checkpoint: str, order: list[str]):
     """Starts a query that merges every batch into the buckets it touches; a batch that is repeated changes nothing."""
 
