@@ -324,42 +324,76 @@ def chunk_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: To
     return chunk_sections(sections(docs), limits, tokenizer)
 
 
-def pack_greedy(tokens: Column, target: int) -> Column:
-    """The group (0, 1, ...) of each element when a group is closed before its tokens would exceed ``target``."""
-    state = "struct<g:int,tok:int,out:array<int>>"
-    zero = F.lit(None).cast(state)
+# ---------------------------------------------------------------- windows for a reranker
 
-    def add(a: Column, t: Column) -> Column:
-        fits = (a["tok"] + t) <= target
-        group = F.when(a.isNull(), 0).when(fits, a["g"]).otherwise(a["g"] + 1).cast("int")
-        total = F.when(a.isNotNull() & fits, a["tok"] + t).otherwise(t).cast("int")
-        return F.struct(group.alias("g"), total.alias("tok"), F.concat(F.coalesce(a["out"], F.array().cast("array<int>")), F.array(group)).alias("out"))
 
-    return F.aggregate(tokens, zero, add, lambda a: a["out"])
+def source_spans(spans: Column, start: Column, end: Column) -> Column:
+    """Where [start, end) of a chunk's text lies in the source, the text being the spans' texts with one character between them."""
 
+    def add(a: Column, s: Column) -> Column:
+        size = s["end"] - s["start"]
+        low, high = F.greatest(start, a["at"]), F.least(end, a["at"] + size)
+        one = F.array(_span(s["start"] + low - a["at"], s["start"] + high - a["at"]))
+        return F.struct((a["at"] + size + 1).alias("at"), F.when(low < high, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-def rerank_windows(chunks: DataFrame, question: str, limits: Limits | None = None) -> DataFrame:
-    """Windows of chunks that fit the scorer's pair limit beside the question and title: chunk_id, window_id, window_index, text, continuation_of.
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), _none(SPAN).alias("out")), add, lambda a: a["out"])
 
-    A chunk that fits is one window under its own id; else whole sentences are packed, and a longer
-    sentence is cut into slices of the budget.
+
+def rerank_windows(pairs: DataFrame, limits: Limits | None = None, tokenizer: Tokenizer = WORDS) -> DataFrame:
+    """Windows of candidates that fit the scorer's pair limit beside their question and title, a row each.
+
+    ``pairs``: chunk_id, question, document_title, heading_path, text, spans, and what else is to be kept; a
+    row is one question with one candidate, and has a budget of its own.  A candidate that fits is one window
+    under its own id; else whole sentences are packed, and a longer sentence is cut into slices that stand
+    alone.  Adds window_index, window_id, window_text, window_spans (in the source), window_tokens and window_of.
+    A table's rows are not slices of the source, so a window of a table has all of its chunk's spans.
     """
     limits = limits or Limits()
     title = F.concat_ws(" ", "document_title", "heading_path")
-    budget = F.lit(limits.pair - limits.special) - T.word_count(F.lit(question)) - T.word_count(title)
-    rows = chunks.withColumn("budget", F.when(budget > 0, budget).otherwise(F.raise_error(F.lit("question and title leave no room")).cast("int")))
-    parts = F.regexp_extract_all("text", F.lit(r"(?s)(.*?)(" + T.SENTENCE_BREAK + r"|\z)"), F.lit(0))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\S+\s*"), F.lit(0))
-    rows = rows.withColumn("s", F.filter(parts, lambda x: x != "")).withColumn("w", words).withColumn("b", F.col("budget"))
-    cut = F.expr("""flatten(transform(s, x -> transform(array(regexp_extract_all(x, '(?U)\\\\S+\\\\s*', 0)), w ->
-        if(size(w) <= b, array(x), transform(sequence(0, cast(ceil(size(w) / b) as int) - 1), i -> array_join(slice(w, i * b + 1, b), ''))))[0]))""")
-    packed = F.expr("""aggregate(cut, cast(struct(0 as tok, array() as out) as struct<tok:int,out:array<string>>), (a, x) ->
-        if(size(a.out) > 0 and a.tok + regexp_count(x, '(?U)\\\\S+') <= b,
-           cast(struct(a.tok + regexp_count(x, '(?U)\\\\S+') as tok, concat(slice(a.out, 1, size(a.out) - 1), array(concat(element_at(a.out, -1), x))) as out) as struct<tok:int,out:array<string>>),
-           cast(struct(regexp_count(x, '(?U)\\\\S+') as tok, concat(a.out, array(x)) as out) as struct<tok:int,out:array<string>>)), a -> a.out)""")
-    fits = T.word_count(F.col("text")) <= F.col("budget")
-    rows = rows.withColumn("cut", cut).withColumn("windows", F.when(fits, F.array("text")).otherwise(packed))
-    out = rows.select("chunk_id", F.size("windows").alias("n"), F.posexplode("windows").alias("window_index", "text"))
-    name = F.when(F.col("n") == 1, F.col("chunk_id")).otherwise(F.concat_ws(":rerank:", "chunk_id", F.col("window_index").cast("string")))
-    first = F.when(F.col("window_index") > 0, F.concat(F.col("chunk_id"), F.lit(":rerank:0")))
-    return out.select("chunk_id", name.alias("window_id"), "window_index", F.regexp_replace("text", r"(?U)\s+$", "").alias("text"), first.alias("continuation_of"))
+    budget = F.lit(limits.pair - limits.special) - tokenizer.count(F.col("question")) - tokenizer.count(title)
+    rows = pairs.withColumn("_b", F.when(budget > 0, budget).otherwise(F.raise_error(F.lit("question and title leave no room")).cast("int")))
+    text = F.col("text")
+
+    def local(sentences: Column, most: Column) -> Column:
+        """Spans in the candidate's text."""
+
+        def step(a: Column, r: Column) -> Column:
+            def with_text(t: Column) -> Column:
+                stop, behind = a["at"] + F.length(t), a["at"] + F.length(r)
+                flushed = F.when(a["start"] >= 0, F.concat(a["out"], F.array(_span(a["start"], a["end"])))).otherwise(a["out"])
+
+                def state(start: Column, end: Column, tok: Column, joined: Column, out: Column) -> Column:
+                    return F.struct(behind.alias("at"), start.alias("start"), end.alias("end"), tok.alias("tok"), joined.alias("text"), out.alias("out"))
+
+                def placed(own: Column) -> Column:
+                    carried = F.lit("") if tokenizer.additive else r
+                    begun = state(a["at"], stop, own, carried, flushed)
+                    grown = a["tok"] + own if tokenizer.additive else tokenizer.count(F.concat(a["text"], t)).cast("int")
+                    after = F.lit("") if tokenizer.additive else F.concat(a["text"], r)
+                    cut = F.transform(tokenizer.slices(t, most), lambda x: _span(a["at"] + x["start"], a["at"] + x["end"]))
+                    return (
+                        F.when(own > most, state(F.lit(-1), F.lit(0), F.lit(0), F.lit(""), F.concat(flushed, cut)))
+                        .when((a["start"] >= 0) & (grown <= most), state(a["start"], stop, grown, after, a["out"]))
+                        .otherwise(begun)
+                    )
+
+                blank = state(a["start"], a["end"], a["tok"], F.lit("") if tokenizer.additive else F.concat(a["text"], r), a["out"])
+                return F.when(t == "", blank).otherwise(T.let(tokenizer.count(t).cast("int"), placed))
+
+            return T.let(T.trim_end(r), with_text)
+
+        zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("tok"), F.lit("").alias("text"), _none(SPAN).alias("out"))
+        return F.aggregate(sentences, zero, step, lambda a: F.when(a["start"] >= 0, F.concat(a["out"], F.array(_span(a["start"], a["end"])))).otherwise(a["out"]))
+
+    raw = F.filter(F.regexp_extract_all(text, F.lit(r"(?s).*?(?:" + T.SENTENCE_BREAK + r"|\z)"), F.lit(0)), lambda x: x != "")
+    fits = tokenizer.count(text) <= F.col("_b")
+    found = F.when(fits, F.array(_span(F.lit(0), F.length(text)))).otherwise(local(raw, F.col("_b")))
+    rows = rows.withColumn("_w", found).select(*pairs.columns, F.size("_w").alias("_n"), F.posexplode("_w").alias("window_index", "_s"))
+    start, end = F.col("_s.start"), F.col("_s.end")
+    sliced = F.aggregate("spans", F.lit(-1), lambda a, s: a + s["end"] - s["start"] + 1) == F.length(text)
+    name = F.when(F.col("_n") == 1, F.col("chunk_id").cast("string")).otherwise(F.concat_ws(":rerank:", F.col("chunk_id").cast("string"), F.col("window_index").cast("string")))
+    shown = F.substring(text, start + 1, end - start)
+    return rows.select(
+        *pairs.columns, "window_index", name.alias("window_id"), shown.alias("window_text"),
+        F.when(sliced, source_spans(F.col("spans"), start, end)).otherwise(F.col("spans")).alias("window_spans"), tokenizer.count(shown).cast("int").alias("window_tokens"),
+        F.when(F.col("window_index") > 0, F.concat(F.col("chunk_id").cast("string"), F.lit(":rerank:0"))).alias("window_of"))

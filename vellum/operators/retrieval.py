@@ -153,6 +153,17 @@ def rerank(candidates: DataFrame, by: list[str], item: str, score: Column, k: in
     return out.withColumnRenamed("rank", "before").withColumn("moved", F.col("before") - F.col("after"))
 
 
+def best_windows(windows: DataFrame, by: list[str], item: str, score: Column, keep: list[str]) -> DataFrame:
+    """For each candidate its best window: ``by``, ``item``, window_index, window_spans, window_text, rerank_score and the columns ``keep``.
+
+    A candidate counts as much as its best window; of equal ones the first is kept, with its spans.
+    """
+    one = F.struct(F.col("rerank_score"), -F.col("window_index"))
+    kept = F.struct("window_index", "window_spans", "window_text", "rerank_score", *keep)
+    best = windows.withColumn("rerank_score", score).groupBy(*by, item).agg(F.max_by(kept, one).alias("w"))
+    return best.select(*by, item, "w.*")
+
+
 def overlap_score(question: Column, text: Column) -> Column:
     """A deterministic stand-in for a cross-encoder: the Jaccard similarity of token sets."""
     a, b = tokens_of(question), tokens_of(text)

@@ -138,27 +138,6 @@ def title_predicate(spark, sf):
     return docs.withColumn("is_title", T.is_title(F.col("line")))
 
 
-def _packed_sql(target: str, source: str, most: str = "1000000000") -> str:
-    return rf"""
-WITH RECURSIVE w AS (SELECT doc_id, i, len(regexp_extract_all(s[i], '\S+')) AS tok FROM ({source}), unnest(generate_series(1, len(s))) AS g(i)),
-s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS i, least(tok - {most} * j, {most}) AS tok FROM w, unnest(generate_series(0, (tok - 1) // {most})) AS g(j)),
-p AS (
-  SELECT doc_id, i, 0 AS grp, tok AS total, tok FROM s WHERE i = 1
-  UNION ALL
-  SELECT s.doc_id, s.i, CASE WHEN p.total + s.tok <= {target} THEN p.grp ELSE p.grp + 1 END, CASE WHEN p.total + s.tok <= {target} THEN p.total + s.tok ELSE s.tok END, s.tok
-  FROM p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i + 1)
-"""
-
-
-@query(_packed_sql("300", f"SELECT doc_id, {_SENT} AS s FROM documents") + "SELECT doc_id, grp AS chunk, sum(tok)::BIGINT AS tokens, count(*) AS sentences FROM p GROUP BY 1, 2")
-def pack_sentences(spark, sf):
-    """Greedy packing of sentences to 300 tokens, the fold at the core of the chunker."""
-    docs = table(spark, sf, "documents").select("doc_id", F.transform(T.sentences(F.col("text")), T.word_count).alias("t"))
-    docs = docs.select("doc_id", F.explode(F.arrays_zip("t", chunking.pack_greedy(F.col("t"), 300).alias("g"))).alias("x"))
-    grouped = docs.groupBy("doc_id", F.col("x.g").alias("chunk")).agg(F.sum("x.t").alias("tokens"), F.count("*").alias("sentences"))
-    return grouped.withColumn("chunk", F.col("chunk").cast("long"))
-
-
 _CFG = ids.fingerprint(ids.Limits())
 #: The same in SQL, from its text.
 _CFG_SQL = """sha256('{"max_tokens":400,"overlap_tokens":50,"strategy":"section-aware-parent-child","target_tokens":300,"tokenizer":"word-v1"}')"""
@@ -172,6 +151,7 @@ def chunk_ids(spark, sf):
 
 
 #: What the SQL counts: a text's size, tokens of a size, the size of what joins two texts, and the size between two places.
+_WORDS = r"len(regexp_extract_all({x}, '\S+'))"
 _MEASURES = {
     "word-v1": {"size": r"len(regexp_extract_all({x}, '\S+'))", "tok": "({x})", "gap": "0", "tail": "list_sum(list_transform(f.sents[j:], lambda y: y.size))",
                 "back": "list_sum(list_transform(tail, lambda y: y.size))", "both": "list_sum(list_transform(tail, lambda y: y.size)) + size"},
@@ -288,33 +268,6 @@ def subspan_slices(spark, sf):
     return docs.select("doc_id", F.col("part").cast("long").alias("part"), T.word_count(F.col("text")).cast("long").alias("tokens"), "text")
 
 
-@query(rf"""WITH s AS (SELECT doc_id, i, len(regexp_extract_all(s[i], '\S+')) AS tok FROM (SELECT doc_id, {_SENT} AS s FROM documents), unnest(generate_series(1, len(s))) AS g(i)),
-r AS (SELECT *, sum(tok) OVER (PARTITION BY doc_id ORDER BY i DESC) AS back FROM s)
-SELECT doc_id, coalesce(sum(tok) FILTER (WHERE back <= 50), 0)::BIGINT AS overlap_tokens, count(*) FILTER (WHERE back <= 50) AS sentences FROM r GROUP BY doc_id""")
-def overlap_tail(spark, sf):
-    """The longest run of whole sentences at a document's end within 50 tokens."""
-    s = table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
-    s = s.withColumn("tok", T.word_count(F.col("s")))
-    back = F.sum("tok").over(Window.partitionBy("doc_id").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    s = s.withColumn("fits", back <= 50)
-    return s.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("tok"))), F.lit(0)).alias("overlap_tokens"), F.count_if("fits").alias("sentences"))
-
-
-_EXC = _SENTENCES.replace("{t}", "'Bags over ' || doc_id || ' kg go as cargo. Except when a note is attached. ' || text || ' Ask staff unless told. Done.'")
-
-
-@query(f"""WITH s AS (SELECT doc_id, i, s[i] AS x FROM (SELECT doc_id, {_EXC} AS s FROM documents), unnest(generate_series(1, len(s))) AS g(i)),
-k AS (SELECT doc_id, i - 1 AS ordinal, sha256(doc_id || '|' || (i - 1)) AS id, regexp_matches(x, '(?i)(^\\s*exception\\b|\\b(except|unless)\\b|\\bexception applies\\b)') AS exception FROM s)
-SELECT doc_id, ordinal, exception, CASE WHEN lead(exception) OVER w THEN lead(id) OVER w END AS exception_ref FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)""")
-def exception_links(spark, sf):
-    """A sentence before an exception refers to the exception's id."""
-    text = F.concat(F.lit("Bags over "), F.col("doc_id"), F.lit(" kg go as cargo. Except when a note is attached. "), F.col("text"), F.lit(" Ask staff unless told. Done."))
-    s = table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(text)).alias("ordinal", "x"))
-    s = s.select("doc_id", F.col("ordinal").cast("long"), F.sha2(F.concat_ws("|", "doc_id", "ordinal"), 256).alias("id"), T.is_exception(F.col("x")).alias("exception"))
-    by = Window.partitionBy("doc_id").orderBy("ordinal")
-    return s.select("doc_id", "ordinal", "exception", F.when(F.lead("exception").over(by), F.lead("id").over(by)).alias("exception_ref"))
-
-
 @query(r"""SELECT doc_id, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ' / ') AS refs
   FROM (SELECT doc_id, regexp_extract_all('Please refer to the ' || source || ' policy. ' || text || ' See section ' || (doc_id % 7) || ' now. Please refer to the ' || source || ' policy.', '(?i)\b(?:refer to|see section|see the)\b[^.\n]{0,160}') AS r FROM documents)""")
 def reference_extract(spark, sf):
@@ -335,12 +288,39 @@ def table_row_groups(spark, sf):
     return out.select("document_version_id", F.col("chunk_ordinal").cast("long").alias("chunk_ordinal"), "table_header", "text")
 
 
-@query(_packed_sql("500", f"SELECT doc_id, {_SENT} AS s FROM documents", "500") + "SELECT doc_id, grp AS window, sum(tok)::BIGINT AS tokens FROM p GROUP BY 1, 2")
+def _windows_sql(pairs: str) -> str:
+    """Windows of ``pairs`` (question_id, item_id, text, b), a row each: question_id, item_id, w (from 0), a, e, in the text."""
+    return rf"""pr AS MATERIALIZED (SELECT *, {_WORDS.replace("{x}", "text")} AS words FROM ({pairs})),
+ws AS MATERIALIZED (SELECT question_id, item_id, b, row_number() OVER (PARTITION BY question_id, item_id ORDER BY m) AS i, a, a + length(t) AS e, t, {_WORDS.replace("{x}", "t")} AS tok FROM (
+  SELECT *, regexp_replace(y[m], '\s+$', '') AS t, coalesce(sum(length(y[m])) OVER (PARTITION BY question_id, item_id ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  FROM (SELECT *, unnest(generate_series(1, len(y))) AS m FROM (SELECT *, string_split(regexp_replace(text, '([.!?]\s+)([A-Z0-9"“])', '\1' || chr(2) || '\2', 'g'), chr(2)) AS y FROM pr WHERE words > b))) WHERE t <> ''),
+wf AS (SELECT question_id, item_id, i, 1::BIGINT AS grp, tok <= b AS opened, tok AS total, tok > b AS cut FROM ws WHERE i = 1
+  UNION ALL SELECT x.question_id, x.item_id, x.i, CASE WHEN x.tok <= x.b AND opened AND total + x.tok <= x.b THEN grp ELSE grp + 1 END, x.tok <= x.b, CASE WHEN x.tok <= x.b AND opened AND total + x.tok <= x.b THEN total + x.tok ELSE x.tok END, x.tok > x.b
+  FROM wf JOIN ws x ON x.question_id = wf.question_id AND x.item_id = wf.item_id AND x.i = wf.i + 1),
+wn AS (SELECT question_id, item_id, 1 AS grp, 0 AS part, 0 AS a, length(text) AS e FROM pr WHERE words <= b
+  UNION ALL SELECT question_id, item_id, grp, 0, min(a), max(e) FROM wf JOIN ws USING (question_id, item_id, i) WHERE NOT cut GROUP BY ALL
+  UNION ALL SELECT question_id, item_id, grp, part, a + length(array_to_string(v[1:part * b], '')), a + length(array_to_string(v[1:(part + 1) * b], '')) FROM (
+    SELECT *, unnest(generate_series(0, (len(v) - 1) // b)) AS part FROM (SELECT question_id, item_id, grp, a, b, regexp_extract_all(t, '\s*\S+\s*') AS v FROM wf JOIN ws USING (question_id, item_id, i) WHERE cut))),
+win AS (SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id, item_id ORDER BY grp, part) - 1 AS w, a::BIGINT AS a, e::BIGINT AS e FROM wn)"""
+
+
+_ASKED, _TITLE_SHOWN, _HEADING_SHOWN = "What is the weight limit?", "Rules for the rooms", "Limits"
+_ROOM = ids.PAIR - ids.SPECIAL - len(f"{_ASKED} {_TITLE_SHOWN} {_HEADING_SHOWN}".split())
+
+
+@query("WITH RECURSIVE " + _windows_sql(f"SELECT 0 AS question_id, doc_id AS item_id, text, {_ROOM} AS b FROM documents") + """
+SELECT item_id AS doc_id, w AS window, a AS start, e AS stop, substr(text, a + 1, e - a) AS text FROM win JOIN documents ON doc_id = item_id""")
 def rerank_windows(spark, sf):
-    """Windows beside a 5-word question and 4-word title: 512 - 3 - 9 tokens each."""
-    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("Rules for the rooms").alias("document_title"), F.lit("Limits").alias("heading_path"), "text")
-    out = chunking.rerank_windows(chunks, "What is the weight limit?")
-    return out.select(F.col("chunk_id").alias("doc_id"), F.col("window_index").cast("long").alias("window"), T.word_count(F.col("text")).cast("long").alias("tokens"))
+    """Windows of every document beside one question and title; they slice back to the text."""
+    docs = spread(table(spark, sf, "documents"))
+    pairs = docs.select(
+        F.col("doc_id").alias("chunk_id"), F.lit(_ASKED).alias("question"), F.lit(_TITLE_SHOWN).alias("document_title"), F.lit(_HEADING_SHOWN).alias("heading_path"), "text",
+        F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"))).alias("spans"))
+    out = chunking.rerank_windows(pairs)
+    at = F.col("window_spans")[0]
+    return out.select(
+        F.col("chunk_id").alias("doc_id"), F.col("window_index").cast("long").alias("window"), at["start"].cast("long").alias("start"), at["end"].cast("long").alias("stop"),
+        F.substring("text", at["start"] + 1, at["end"] - at["start"]).alias("text"))
 
 
 @query("""SELECT doc_id, 'title: ' || source || ' / ' || lang || ' | text: ' || text AS embedding_input FROM documents""")
@@ -619,6 +599,31 @@ def rerank_movement(spark, sf):
     return out.select("question_id", "item_id", F.col("before").cast("long"), F.col("after").cast("long"), F.col("moved").cast("long"), "rerank_score")
 
 
+_PAIRS = r"""SELECT h.question_id, h.item_id, h.rank AS before, d.text, 512 - 3 - len(regexp_extract_all(b.text, '\S+')) - len(regexp_extract_all(concat_ws(' ', d.source, d.lang), '\S+')) AS b
+  FROM h JOIN documents d ON d.doc_id = h.item_id JOIN benchmark b ON b.item_id = h.question_id"""
+
+
+@query(_HYBRID.replace("WITH", "WITH RECURSIVE", 1) + ", " + _windows_sql(_PAIRS) + rf""",
+sc AS (SELECT win.*, pr.before, substr(pr.text, a + 1, e - a) AS shown, {_OVERLAP} AS score FROM (SELECT *, list_distinct(regexp_extract_all(lower(substr(pr.text, win.a + 1, win.e - win.a)), {_TOKENS})) AS dt FROM win JOIN pr USING (question_id, item_id)) AS win
+  JOIN (SELECT item_id AS question_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS qt FROM benchmark) b USING (question_id) JOIN pr USING (question_id, item_id)),
+bw AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY question_id, item_id ORDER BY score DESC, w) = 1)
+SELECT question_id, item_id, before, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS after, score AS rerank_score, w AS window, a AS start, e AS stop, shown AS text FROM bw QUALIFY after <= 5""")
+def rerank_by_windows(spark, sf):
+    """Hybrid candidates scored window by window: each has the score of its best window, whose span is kept and slices back to the source."""
+    vec, kw, items = _hybrid_lists(spark, sf)
+    fused = retrieval.rrf([vec, kw], ["question_id"], "item_id").select("question_id", "item_id", F.col("rank").alias("before"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("document_title"), F.col("lang").alias("heading_path"), "text")
+    pairs = fused.join(docs, "item_id").join(_questions(spark, sf), "question_id").withColumn("chunk_id", F.col("item_id"))
+    windows = chunking.rerank_windows(pairs.withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))))
+    best = retrieval.best_windows(windows, ["question_id"], "item_id", retrieval.overlap_score(F.col("question"), F.col("window_text")), ["before"])
+    out = retrieval.top_k(best, ["question_id"], "rerank_score", "item_id", 5)
+    at = F.col("window_spans")[0]
+    out = out.join(docs.select("item_id", "text"), "item_id")
+    return out.select(
+        "question_id", "item_id", F.col("before").cast("long"), F.col("rank").cast("long").alias("after"), "rerank_score", F.col("window_index").cast("long").alias("window"),
+        at["start"].cast("long").alias("start"), at["end"].cast("long").alias("stop"), F.substring("text", at["start"] + 1, at["end"] - at["start"]).alias("text"))
+
+
 @query(_HYBRID + """SELECT question_id, item_id, best, lists, position FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY best, item_id) AS position FROM
   (SELECT question_id, item_id, min(rank) AS best, count(*) AS lists FROM (SELECT question_id, item_id, rank FROM vec UNION ALL SELECT question_id, item_id, rank FROM kw) GROUP BY ALL)) WHERE position <= 15""")
 def candidate_union_cap(spark, sf):
