@@ -105,8 +105,8 @@ def follow(short: np.ndarray, line: np.ndarray, p: np.ndarray, q: np.ndarray, n:
     return length
 
 
-def _shard(ids: list, texts: list[bytes], tests: Tests, window: int):
-    """Rows of SCHEMA for one shard."""
+def _shard(ids: list, texts: list[bytes], tests: Tests, window: int, places_too: bool = True):
+    """Rows of SCHEMA for one shard; without ``places_too`` matches are not followed beyond their windows, nor paired with places of items."""
     words = Words(texts, LOWER_ALNUM)
     codes, first = tests.codes(words.hash), words.first
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -142,6 +142,8 @@ def _shard(ids: list, texts: list[bytes], tests: Tests, window: int):
             matches.append((at, n))
             for d in np.unique(doc[at]):
                 items.setdefault(int(d), set()).update(owners[w])
+            if not places_too:
+                continue
             places = tests.places[n][w]
             before, step = tests.line[places - 1], max(1, 1_000_000 // len(places))
             for x in range(lo[w], hi[w], step):
@@ -179,8 +181,12 @@ def _held(benchmark: DataFrame, window: int, blocks: int, block: int) -> Broadca
     return benchmark.sparkSession.sparkContext.broadcast(Tests([(r["item"], r["text"].encode()) for r in mine.toLocalIterator()], window))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """A row a document and block of the benchmark: doc_id, n_words, hit word positions, items found, longest matches with their places."""
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, places_too: bool = True) -> DataFrame:
+    """A row a document and block of the benchmark: doc_id, n_words, hit word positions, items found, longest matches with their places.
+
+    Items that begin alike, as with a common instruction, give a match for each place of each of them;
+    ``places_too=False`` leaves the matches empty, which is all that deciding on documents needs.
+    """
     blocks = _blocks(benchmark, block_words)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_at", pa.int32())])))])
     scratch, names = Scratch(docs.sparkSession), []
@@ -191,7 +197,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
                 for i, j in pieces(texts):
-                    rows = list(_shard(ids[i:j], texts[i:j], tests.value, window))
+                    rows = list(_shard(ids[i:j], texts[i:j], tests.value, window, places_too))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
@@ -203,7 +209,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
     return reduce(DataFrame.union, names)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, places_too: bool = True) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated, matches, longest, longest_at; a row per document.
 
     ``matches``: at and length in words, item and item_at, for each common run of words that neither side extends.
@@ -211,9 +217,9 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
     # Blocks see the same documents, whose rows meet by numbers of their own.
     marked = numbered(docs.select("doc_id", "text"), Scratch(docs.sparkSession)) if _blocks(benchmark, block_words) > 1 else None
     if marked is None:
-        rows = matches(docs, benchmark, window, block_words)
+        rows = matches(docs, benchmark, window, block_words, places_too)
     else:
-        parts = matches(marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), benchmark, window, block_words)
+        parts = matches(marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), benchmark, window, block_words, places_too)
         joined = parts.groupBy("doc_id").agg(
             F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -241,7 +247,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         def run(batches, tests=tests):
             for batch in batches:
                 texts = utf8(batch.column("text"))
-                clean = [not hit for i, j in pieces(texts) for _, _, hit, _, _ in _shard(list(range(i, j)), texts[i:j], tests.value, window)]
+                clean = [not hit for i, j in pieces(texts) for _, _, hit, _, _ in _shard(list(range(i, j)), texts[i:j], tests.value, window, False)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
