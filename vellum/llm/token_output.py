@@ -248,7 +248,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_i
     rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
-        keys, held, part, number = [], [], 0, 0
+        keys, held, size, part, number = [], [], 0, 0, 0
 
         def segment():
             counts = [len(x) for x in held]
@@ -262,9 +262,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_i
                 part = p
                 keys.append(key)
                 held.append(unpack_ints(ids))
-                if sum(map(len, held[-1:])) >= segment_ids or len(held) >= 4096 or sum(map(len, held)) >= segment_ids:
+                size += len(held[-1])
+                if size >= segment_ids or len(held) >= 4096:
                     yield segment()
-                    keys, held, number = [], [], number + 1
+                    keys, held, size, number = [], [], 0, number + 1
         if held:
             yield segment()
 
