@@ -152,13 +152,18 @@ def bwt_shared(contexts: list[bytes], least: np.ndarray, length: int = LENGTH) -
     place = np.arange(int(size.sum())) + owner + 1
     text[place] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1
     n = len(text)
-    rank, width = text, 1
-    while width < length:  # the order of more bytes than that never matters
-        pair = rank * (n + 257) + np.concatenate((rank[width:], np.zeros(min(width, n), np.int64)))[:n]
-        order = np.argsort(pair, kind="stable")
+    # Seven symbols of nine bits are sorted at once, then ranks of twice as many symbols from pairs of ranks.
+    pair, width = np.zeros(n, np.int64), 7
+    for j in range(7):
+        pair[: max(n - j, 0)] |= text[j:] << (9 * (6 - j))
+    while True:
+        order = np.argsort(pair)
         step = np.concatenate(([0], (np.diff(pair[order]) != 0).astype(np.int64)))
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(step)
+        if width >= length:  # the order of more bytes than that never matters
+            break
+        pair = rank * (n + 1) + np.concatenate((rank[width:], np.zeros(min(width, n), np.int64)))[:n]
         width *= 2
     suffixes = order
     where = np.empty(n, np.int64)
