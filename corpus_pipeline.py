@@ -57,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
+        before = list(scratch.paths)
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)  # no later stage reads what came before
     return STAGES[-1][1](spark, docs, sf_dir)
