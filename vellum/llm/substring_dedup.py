@@ -166,22 +166,23 @@ def bwt_shared(contexts: list[bytes], least: np.ndarray, length: int = LENGTH) -
         pair = rank * (n + 1) + np.concatenate((rank[width:], np.zeros(min(width, n), np.int64)))[:n]
         width *= 2
     suffixes = order
-    where = np.empty(n, np.int64)
-    where[suffixes] = np.arange(n)
-    before = text[suffixes - 1]  # the transform; 0 separates contexts
+    where = np.empty(n, np.int32)
+    where[suffixes] = np.arange(n, dtype=np.int32)
+    before = text[suffixes - 1].astype(np.uint16)  # the transform; 0 separates contexts
     to = where[suffixes - 1]  # the LF mapping
-    alive = np.flatnonzero(text[suffixes] >= 0)
-    group = np.zeros(n, np.int64)
+    alive, group = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     for _ in range(length):
         byte = before[alive]
         own = byte > 0
         alive, group, byte = alive[own], group[own], byte[own]
-        order = np.argsort(byte.astype(np.uint16), kind="stable")
-        alive, group, byte = alive[order], group[order], byte[order]
-        new = np.concatenate(([True], (byte[1:] != byte[:-1]) | (group[1:] != group[:-1]))) if len(alive) else np.empty(0, bool)
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1 if len(group) else np.empty(0, bool)
-        alive, group = to[alive[several]], group[several]
+        if not len(alive):
+            break
+        order = np.argsort(byte, kind="stable")
+        group, byte = group[order], byte[order]
+        new = np.ones(len(order) + 1, bool)  # where an interval begins, and behind the last
+        new[1:-1] = (byte[1:] != byte[:-1]) | (group[1:] != group[:-1])
+        several = ~(new[1:] & new[:-1])
+        alive, group = to[alive[order[several]]], np.cumsum(new[:-1], dtype=np.int32)[several]
     out = [np.full(max(s - length + 1, 0), v) for s, v in zip(size.tolist(), least.tolist(), strict=True)]
     if len(alive):
         starts = suffixes[alive]
