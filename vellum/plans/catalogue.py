@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import access, checks, ids, vectors
 from vellum.functions import text as T
+from vellum.functions.staging import staged
 from vellum.functions.tokenizers import QUADS
-from vellum.operators import answers, chunking, evaluation, graph, quality, retrieval, versions
+from vellum.operators import answers, chunking, evaluation, evidence, graph, quality, references, retrieval, versions
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -77,9 +78,10 @@ def structured(docs: DataFrame) -> DataFrame:
     row = lambda i: F.concat(F.lit("| "), F.col("source"), F.lit(" room "), i, F.lit(" | "), i, F.lit(" kg |"))
     rows = F.transform(F.sequence(F.lit(1).cast("long"), 40 + F.col("doc_id") % 30), row)
     text = F.concat(
-        F.lit("Manual "), F.col("doc_id"), F.lit("\n1. Purpose\n"), F.col("text"), F.lit("\n2.1 Review Steps\n2.5 kg is a limit, not a title.\nsee it\n"),
+        F.lit("Manual "), F.col("doc_id"), F.lit("\n1. Purpose\n"), F.col("text"), F.lit("\nUnless the list of "), F.col("source"),
+        F.lit(" and of the rooms that it names" * 20 + " says otherwise.\n2.1 Review Steps\n2.5 kg is a limit, not a title.\nsee it\n"),
         F.lit("Section 3 – Limits\n# Notes\nKeep the "), F.col("source"), F.lit(" file.\n4. this is no heading\n# neither is this\nSection 5 - nor that.\n"),
-        F.lit("7. Weights\nBy room. See section 2.1 Review Steps. Exception applies in Manual "), F.col("doc_id") + 1, F.lit(", refer to 1 Purpose.\n\n| Room | Weight |\n|---|:--:|\n"),
+        F.lit("7. Weights\nBy room. See section 7 in Manual "), F.col("doc_id") + 1, F.lit(". Exception applies as stated, refer to 1 Purpose of this one. For checks see the Review Steps first. Or refer to 9 Nowhere.\n\n| Room | Weight |\n|---|:--:|\n"),
         F.array_join(rows, "\n"), F.lit("\nRooms not named take nothing. Unless the vault is open.\n\nAll weights are net.\n"))
     return docs.select(
         F.col("doc_id").cast("string").alias("document_version_id"), F.concat(F.lit("Manual "), F.col("doc_id")).alias("document_title"),
@@ -88,9 +90,9 @@ def structured(docs: DataFrame) -> DataFrame:
 
 _LINES = r"""
 WITH t AS (
-  SELECT doc_id, 'Manual ' || doc_id || chr(10) || '1. Purpose' || chr(10) || text || chr(10) || '2.1 Review Steps' || chr(10) || '2.5 kg is a limit, not a title.' || chr(10)
+  SELECT doc_id, 'Manual ' || doc_id || chr(10) || '1. Purpose' || chr(10) || text || chr(10) || 'Unless the list of ' || source || repeat(' and of the rooms that it names', 20) || ' says otherwise.' || chr(10) || '2.1 Review Steps' || chr(10) || '2.5 kg is a limit, not a title.' || chr(10)
     || 'see it' || chr(10) || 'Section 3 – Limits' || chr(10) || '# Notes' || chr(10) || 'Keep the ' || source || ' file.' || chr(10) || '4. this is no heading' || chr(10) || '# neither is this' || chr(10) || 'Section 5 - nor that.' || chr(10)
-    || '7. Weights' || chr(10) || 'By room. See section 2.1 Review Steps. Exception applies in Manual ' || (doc_id + 1) || ', refer to 1 Purpose.' || chr(10) || chr(10) || '| Room | Weight |' || chr(10) || '|---|:--:|' || chr(10)
+    || '7. Weights' || chr(10) || 'By room. See section 7 in Manual ' || (doc_id + 1) || '. Exception applies as stated, refer to 1 Purpose of this one. For checks see the Review Steps first. Or refer to 9 Nowhere.' || chr(10) || chr(10) || '| Room | Weight |' || chr(10) || '|---|:--:|' || chr(10)
     || array_to_string(list_transform(generate_series(1, 40 + doc_id % 30), lambda i: '| ' || source || ' room ' || i || ' | ' || i || ' kg |'), chr(10)) || chr(10) || 'Rooms not named take nothing. Unless the vault is open.' || chr(10) || chr(10) || 'All weights are net.' || chr(10) AS text FROM documents),
 l AS (SELECT doc_id, text, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS pos
       FROM (SELECT doc_id, text, s, unnest(generate_series(1, len(s))) AS i, s[i] AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM t))),
@@ -696,15 +698,16 @@ def _chunked(spark, sf) -> DataFrame:
     versions_ = _versions(spark, sf)
     current = versions.as_of(versions_, "policy", "effective_from", "doc_id", F.lit("2021-06-30").cast("date")).select("doc_id")
     meta = versions_.join(current, "doc_id", "left_semi").select("document_version_id", F.when(F.col("corpus_id").isin(*_EVEN), "core").otherwise("attic").alias("corpus_id"))
-    chunks = chunking.chunk_documents(structured(table(spark, sf, "documents").join(current, "doc_id", "left_semi"))).join(meta, "document_version_id")
+    chunks = staged(chunking.chunk_documents(structured(spread(table(spark, sf, "documents")).join(current, "doc_id", "left_semi")))).join(meta, "document_version_id")
     rule = F.when(F.col("access_policy_id") == "restricted", "store").otherwise("staff")
     return chunks.withColumn("tenant_id", F.lit("museum")).withColumn("document_policy_id", F.lit("staff")).withColumn("access_policy_id", rule)
 
 
 _EVEN = [f"src{i}" for i in range(0, 20, 2)]
 _IN_FORCE = "SELECT arg_max(doc_id, make_date((2020 + doc_id % 3)::INT, 1, 1)) AS doc_id FROM documents WHERE make_date((2020 + doc_id % 3)::INT, 1, 1) <= DATE '2021-06-30' GROUP BY doc_id // 3"
-_CHUNK_ITEMS = f"""ch AS MATERIALIZED (SELECT c.* FROM ({_CHUNKS}) c JOIN documents d ON d.doc_id::VARCHAR = c.document_version_id
-  WHERE d.doc_id IN ({_IN_FORCE}) AND d.source IN ({", ".join(map(repr, _EVEN))}) AND c.access_policy_id = 'internal')"""
+_CHUNK_ITEMS = f"""cx AS MATERIALIZED (SELECT c.*, d.doc_id, d.source IN ({", ".join(map(repr, _EVEN))}) AND c.access_policy_id = 'internal' AS readable FROM ({_CHUNKS}) c JOIN documents d ON d.doc_id::VARCHAR = c.document_version_id
+  WHERE d.doc_id IN ({_IN_FORCE})),
+ch AS MATERIALIZED (SELECT * FROM cx WHERE readable)"""
 
 
 def _asked_chunks(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -724,43 +727,141 @@ def chunk_retrieval(spark, sf):
     return best.join(named, "item_id").select("question_id", F.col("item_id").alias("chunk_id"), "heading_path", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("WITH " + _CHUNK_ITEMS + "," + _CHUNK_KW + """, c AS (SELECT question_id, kw.rank, token_count, document_version_id || ':' || heading_path AS parent_id FROM kw JOIN ch ON ch.chunk_id = kw.item_id),
-p AS (SELECT question_id, parent_id, min(rank) AS rank FROM c GROUP BY ALL), e AS (SELECT p.*, (SELECT sum(token_count) FROM ch WHERE ch.document_version_id || ':' || ch.heading_path = p.parent_id)::BIGINT AS tokens FROM p),
-u AS (SELECT *, sum(tokens) OVER (PARTITION BY question_id ORDER BY rank, parent_id)::BIGINT AS used FROM e)
-SELECT question_id, parent_id, rank, tokens, used FROM u WHERE used <= 3500""")
+_KEY_WORDS = r"regexp_extract_all(lower({x}), '[\p{L}\p{N}]+(?:\.\p{N}+)*')"
+#: Phrases resolved to sections by their longest match; edges with their span; those that ada may see.
+_EDGES = r"""
+ph AS (SELECT chunk_id, doc_id, section_ordinal, text, spans, unnest(string_split(reference_refs, ' / ')) AS phrase FROM cx WHERE reference_refs <> ''),
+gr AS (SELECT chunk_id, phrase, array_to_string(w[i:i + n - 1], ' ') AS key, n, i FROM (SELECT *, unnest(generate_series(1, least(14, len(w) - i + 1))) AS n FROM (SELECT chunk_id, phrase, {words:phrase} AS w, unnest(generate_series(1, len({words:phrase}))) AS i FROM ph))),
+hs AS MATERIALIZED (SELECT doc_id, section_ordinal, heading FROM ({sections}) WHERE doc_id IN ({in_force}) AND (section_ordinal > 0 OR body_end > 0)),
+nm AS (SELECT chunk_id, phrase, arg_min(doc_id, (-n, i, doc_id::VARCHAR)) AS named FROM gr JOIN (SELECT DISTINCT doc_id, 'manual ' || doc_id AS key FROM hs) USING (key) GROUP BY ALL),
+ak AS (SELECT ph.*, named, coalesce(named, doc_id) AS dst_doc FROM ph LEFT JOIN nm USING (chunk_id, phrase)),
+hk AS (SELECT DISTINCT doc_id, section_ordinal, unnest([array_to_string({words:heading}, ' '), CASE WHEN num <> '' THEN 'section ' || num END, array_to_string({words:title}, ' ')]) AS key
+  FROM (SELECT *, regexp_extract(heading, '^(?:Section )?(\d+(?:\.\d+)*) ', 1) AS num, regexp_replace(heading, '^(?:Section )?\d+(?:\.\d+)* ', '') AS title FROM hs WHERE section_ordinal > 0)),
+mt AS (SELECT chunk_id, phrase, arg_min(hk.section_ordinal, (-n, i, hk.section_ordinal)) AS dst_section FROM ak JOIN gr USING (chunk_id, phrase) JOIN hk ON hk.doc_id = dst_doc AND hk.key = gr.key GROUP BY ALL),
+e0 AS (SELECT ak.*, coalesce(dst_section, CASE WHEN named IS NOT NULL THEN 0 END) AS sec FROM ak LEFT JOIN mt USING (chunk_id, phrase)),
+ed AS MATERIALIZED (SELECT chunk_id, doc_id, section_ordinal, phrase, CASE WHEN good THEN dst_doc END AS dst_doc, CASE WHEN good THEN sec END AS dst_section, strpos(text, phrase) - 1 AS local, spans,
+    CASE WHEN good THEN 'validated' WHEN sec IS NOT NULL THEN 'self' ELSE 'unresolved' END AS validation_status
+  FROM (SELECT *, sec IS NOT NULL AND NOT (dst_doc = doc_id AND sec = section_ordinal) AS good FROM e0)),
+ve AS MATERIALIZED (SELECT * FROM ed WHERE validation_status = 'validated' AND chunk_id IN (SELECT chunk_id FROM ch) AND (dst_doc, dst_section) IN (SELECT (doc_id, section_ordinal) FROM ch))"""
+_EDGES = _EDGES.replace("{sections}", _BODIES + "SELECT doc_id, section_ordinal, heading, body_end FROM s").replace("{in_force}", _IN_FORCE)
+_EDGES = re.sub(r"\{words:(\w+)\}", lambda x: _KEY_WORDS.replace("{x}", x[1]), _EDGES)
+
+
+def _graph(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All chunks in force, those ada may read, all edges found in their texts, and the visible ones."""
+    every = _chunked(spark, sf)
+    chunks = retrieval.readable(every, policies(spark), principals(spark).where("user_id = 'ada'"), ["core"])
+    current = every.select("document_version_id").distinct()
+    parts = chunking.sections(structured(spread(table(spark, sf, "documents")))).join(current, "document_version_id", "left_semi")
+    edges = staged(references.reference_edges(every, parts))
+    return every, chunks, edges, references.visible_edges(edges, chunks)
+
+
+@query("WITH " + _CHUNK_ITEMS + "," + _EDGES + """ SELECT chunk_id, doc_id::VARCHAR AS document_version_id, section_ordinal, phrase, dst_doc::VARCHAR AS dst_document, dst_section, validation_status,
+  chunk_id IN (SELECT chunk_id FROM ch) AND coalesce((dst_doc, dst_section) IN (SELECT (doc_id, section_ordinal) FROM ch), false) AND validation_status = 'validated' AS visible FROM ed""")
+def reference_graph(spark, sf):
+    """References found in chunks, resolved to sections, and which of them the principal may see: both ends and the supporting chunk."""
+    _, _, edges, visible = _graph(spark, sf)
+    seen = visible.select("chunk_id", "phrase", F.lit(True).alias("visible"))
+    out = edges.join(seen, ["chunk_id", "phrase"], "left")
+    return out.select(
+        "chunk_id", "document_version_id", F.col("section_ordinal").cast("long").alias("section_ordinal"), "phrase", "dst_document", F.col("dst_section").cast("long").alias("dst_section"),
+        "validation_status", F.coalesce("visible", F.lit(False)).alias("visible"))
+
+
+@query("WITH " + _CHUNK_ITEMS + "," + _EDGES + """ SELECT ed.chunk_id, phrase, ed.local + cx.source_start AS start, substr(t.text, (ed.local + cx.source_start + 1)::BIGINT, length(phrase)::BIGINT) AS text
+  FROM ed JOIN cx USING (chunk_id) JOIN (""" + _LINES + """SELECT DISTINCT doc_id, text FROM h) t ON t.doc_id = cx.doc_id WHERE len(string_split(cx.spans, '},{')) = 1""")
+def reference_spans(spark, sf):
+    """Where each reference stands in its source: the span slices back to the phrase (chunks of one span)."""
+    every, _, edges, _ = _graph(spark, sf)
+    one = every.where("size(spans) = 1").select("chunk_id")
+    texts = structured(spread(table(spark, sf, "documents"))).select("document_version_id", "text")
+    out = edges.join(one, "chunk_id", "left_semi").join(texts, "document_version_id")
+    return out.select("chunk_id", "phrase", F.col("start").cast("long").alias("start"), F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("text"))
+
+
+_PACK_BUDGET = 900
+
+
+@query("WITH " + _CHUNK_ITEMS + "," + _CHUNK_KW + "," + _EDGES + r""",
+tx AS (SELECT DISTINCT doc_id, text FROM (""" + _LINES + r"""SELECT doc_id, text FROM h)),
+sp AS (SELECT *, unnest(from_json(spans, '[{"start":"BIGINT","end":"BIGINT"}]')) AS x FROM cx),
+sel AS (SELECT question_id, item_id AS chunk_id, kw.rank, doc_id, section_ordinal, chunk_ordinal FROM kw JOIN ch ON ch.chunk_id = kw.item_id WHERE kw.rank <= 5),
+runs AS (SELECT a.chunk_id, b.chunk_id AS linked, b.readable FROM cx a JOIN cx b ON b.doc_id = a.doc_id AND b.section_ordinal = a.section_ordinal AND b.chunk_ordinal > a.chunk_ordinal
+  WHERE NOT EXISTS (SELECT 1 FROM cx c WHERE c.doc_id = a.doc_id AND c.section_ordinal = a.section_ordinal AND c.chunk_ordinal >= a.chunk_ordinal AND c.chunk_ordinal < b.chunk_ordinal AND c.exception_refs = '')),
+au AS (SELECT doc_id, section_ordinal, min(source_start) AS start, max(source_end) AS stop FROM ch GROUP BY ALL),
+nd AS (SELECT question_id, 2 * (sel.rank - 1) AS bit, sel.doc_id, x.start AS start, x.end AS stop FROM sel JOIN sp USING (chunk_id)
+  UNION ALL SELECT question_id, 2 * sel.rank - 1, sel.doc_id, x.start, x.end FROM sel JOIN runs ON runs.chunk_id = sel.chunk_id JOIN sp ON sp.chunk_id = linked
+  UNION ALL SELECT DISTINCT question_id, 10 + sel.rank - 1, au.doc_id, start, stop FROM sel JOIN (SELECT DISTINCT doc_id, section_ordinal, dst_doc, dst_section FROM ve) v ON v.doc_id = sel.doc_id AND v.section_ordinal = sel.section_ordinal JOIN au ON au.doc_id = dst_doc AND au.section_ordinal = dst_section
+  UNION ALL SELECT question_id, 15 + sel.rank - 1, sel.doc_id, start, stop FROM sel JOIN au ON au.doc_id = sel.doc_id),
+bd AS (SELECT question_id, doc_id, edge, lead(edge) OVER (PARTITION BY question_id, doc_id ORDER BY edge) AS nxt FROM (SELECT question_id, doc_id, start AS edge FROM nd UNION SELECT question_id, doc_id, stop FROM nd)),
+ow AS (SELECT bd.question_id, bd.doc_id, edge AS start, nxt AS stop, min(bit) AS bit FROM bd JOIN nd ON nd.question_id = bd.question_id AND nd.doc_id = bd.doc_id AND nd.start <= edge AND nd.stop >= nxt GROUP BY ALL),
+pt AS MATERIALIZED (SELECT ow.*, substr(text, start + 1, stop - start) AS text, len(regexp_extract_all(substr(text, start + 1, stop - start), '\S+')) AS tokens FROM ow JOIN tx USING (doc_id)),
+co AS (SELECT n.question_id, n.bit, sum(coalesce(c.cost, 0)) OVER (PARTITION BY n.question_id ORDER BY n.bit)::BIGINT AS used FROM (SELECT DISTINCT question_id, bit FROM nd) n LEFT JOIN (SELECT question_id, bit, sum(tokens) AS cost FROM pt GROUP BY ALL) c USING (question_id, bit)),
+st AS (SELECT question_id, min(bit) FILTER (WHERE used > {budget}) AS stop_bit FROM co GROUP BY 1),
+status AS (SELECT *, CASE WHEN coalesce(stop_bit = 0 OR (stop_bit < 10 AND stop_bit % 2 = 1), false) THEN 'insufficient_evidence' ELSE 'answered' END AS status FROM st)
+SELECT question_id, status, kind, document_version_id, count(*) AS words, sum(('0x' || substr(md5(word), 1, 8))::BIGINT)::BIGINT AS mark, max(used) AS used FROM (
+  SELECT s.question_id, status, CASE WHEN bit < 10 AND bit % 2 = 0 THEN 'evidence' WHEN bit < 10 THEN 'exception' WHEN bit < 15 THEN 'reference' ELSE 'parent' END AS kind, doc_id::VARCHAR AS document_version_id, used, unnest(regexp_extract_all(text, '\S+')) AS word
+  FROM status s JOIN pt USING (question_id) JOIN co USING (question_id, bit) WHERE status = 'answered' AND (stop_bit IS NULL OR bit < stop_bit)) GROUP BY ALL
+UNION ALL SELECT question_id, status, NULL, NULL, 0, NULL, NULL FROM status WHERE status <> 'answered'
+""".replace("{budget}", str(_PACK_BUDGET)))
 def context_pack(spark, sf):
-    """Parents of the retrieved chunks, each once at its best rank, whole, while 3,500 tokens last; only readable chunks count."""
-    chunks, asked = _asked_chunks(spark, sf)
-    best = retrieval.keyword_top(chunks.select(F.col("chunk_id").alias("item_id"), "text"), asked)
-    found = best.join(chunks.select(F.col("chunk_id").alias("item_id"), "parent_id"), "item_id").groupBy("question_id", "parent_id").agg(F.min("rank").cast("long").alias("rank"))
-    sizes = chunks.groupBy("parent_id").agg(F.sum("token_count").alias("tokens"))
-    return retrieval.within_budget(found.join(sizes, "parent_id"), ["question_id"], ["rank", "parent_id"], "tokens")
+    """Five chunks a question with their exceptions, the sections they refer to and their documents' readable rest, no word twice, within 900 tokens.
+
+    The result tells for each kind and document how many words were packed, with a digest of them.
+    """
+    every, chunks, _, edges = _graph(spark, sf)
+    best = retrieval.keyword_top(chunks.select(F.col("chunk_id").alias("item_id"), "text"), _questions(spark, sf)).withColumnRenamed("item_id", "chunk_id")
+    texts = structured(spread(table(spark, sf, "documents"))).select("document_version_id", "text")
+    out = evidence.pack(best.where("rank <= 5"), every, chunks, edges, texts, ["question_id"], _PACK_BUDGET)
+    words = out.select("question_id", "status", "kind", "document_version_id", "used", F.explode_outer(T.words(F.col("text"))).alias("word"))
+    mark = F.sum(F.conv(F.substring(F.md5(F.encode("word", "UTF-8")), 1, 8), 16, 10).cast("long")).alias("mark")
+    return words.groupBy("question_id", "status", "kind", "document_version_id").agg(F.count("word").alias("words"), mark, F.max("used").alias("used"))
+
+
+_GRAPH_RERANK = "WITH RECURSIVE " + _CHUNK_ITEMS + "," + _CHUNK_KW + "," + _EDGES + rf""",
+vl AS (SELECT b.item_id AS question_id, ch.chunk_id AS item_id, row_number() OVER (PARTITION BY b.item_id ORDER BY {_SIM} DESC, ch.chunk_id) AS rank
+  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id JOIN embeddings e ON true JOIN ch ON ch.doc_id = e.vec_id AND ch.section_ordinal = 1 AND ch.chunk_ordinal = 0 QUALIFY rank <= 10),
+hf AS (SELECT question_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT question_id, item_id, rank FROM vl UNION ALL SELECT question_id, item_id, rank FROM kw) GROUP BY ALL),
+hr AS (SELECT question_id, item_id AS chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS rank FROM hf),
+sd AS (SELECT question_id, doc_id, section_ordinal, min(hr.rank) AS seed FROM hr JOIN ch USING (chunk_id) GROUP BY ALL),
+nr AS (SELECT question_id, dst_doc, dst_section, min(seed) AS seed FROM sd JOIN (SELECT DISTINCT doc_id, section_ordinal, dst_doc, dst_section FROM ve) v USING (doc_id, section_ordinal) GROUP BY ALL),
+fc AS (SELECT chunk_id, doc_id, section_ordinal, row_number() OVER (PARTITION BY doc_id, section_ordinal ORDER BY chunk_ordinal, chunk_id) AS n FROM ch),
+ad AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY seed, fc.doc_id::VARCHAR, fc.section_ordinal, n) AS place FROM nr JOIN fc ON fc.doc_id = dst_doc AND fc.section_ordinal = dst_section AND n <= 10
+  WHERE (question_id, chunk_id) NOT IN (SELECT (question_id, chunk_id) FROM hr) QUALIFY place <= 10),
+ev AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hop, place) AS before FROM (SELECT question_id, chunk_id, 0 AS hop, rank AS place FROM hr UNION ALL SELECT question_id, chunk_id, 1, place FROM ad) QUALIFY before <= 30),
+""" + _windows_sql(r"""SELECT ev.question_id, ev.chunk_id AS item_id, hop, before, ch.text, 'Manual ' || doc_id || ' ' || heading_path AS title,
+  512 - 3 - len(regexp_extract_all(b.text, '\S+')) - len(regexp_extract_all('Manual ' || doc_id || ' ' || heading_path, '\S+')) AS b FROM ev JOIN ch ON ch.chunk_id = ev.chunk_id JOIN benchmark b ON b.item_id = ev.question_id""") + rf""",
+sc AS (SELECT x.*, {_OVERLAP} AS score FROM (SELECT win.question_id, win.item_id, w, hop, before, substr(text, a + 1, e - a) AS shown, list_distinct(regexp_extract_all(lower(title || ' ' || substr(text, a + 1, e - a)), {_TOKENS})) AS dt FROM win JOIN pr USING (question_id, item_id)) x
+  JOIN (SELECT item_id AS question_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS qt FROM benchmark) b USING (question_id)),
+bw AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY question_id, item_id ORDER BY score DESC, w) = 1)
+SELECT question_id, item_id AS chunk_id, hop, before, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS after, score AS rerank_score, w AS window, shown AS text FROM bw QUALIFY after <= 5"""
 
 
-_HOPS = f"SELECT doc_id AS src, doc_id + 1 AS dst FROM documents WHERE doc_id % 3 <> 0 AND doc_id IN ({_OPEN}) AND doc_id + 1 IN ({_OPEN})"
+def _hybrid_chunks(spark, sf, chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """question_id, chunk_id, rank: keyword and vector lists of chunks fused; a document's vector stands for its first chunk of text."""
+    kw = retrieval.keyword_top(chunks.select(F.col("chunk_id").alias("item_id"), "text"), asked)
+    first = chunks.where("section_ordinal = 1 and chunk_ordinal = 0").select(F.col("document_version_id").cast("long").alias("vec_id"), "chunk_id")
+    e = table(spark, sf, "embeddings")
+    vecs = e.join(first, "vec_id").select(F.col("chunk_id").alias("item_id"), "embedding")
+    q = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")).join(asked.select("question_id"), "question_id", "left_semi")
+    return retrieval.rrf([retrieval.nearest(vecs, q), kw], ["question_id"], "item_id").select("question_id", F.col("item_id").alias("chunk_id"), "rank")
 
 
-@query(_HYBRID + f""", hops AS ({_HOPS}), seeds AS (SELECT question_id, item_id, rank FROM h),
-near AS (SELECT s.question_id, dst AS item_id, min(s.rank) AS seed FROM seeds s JOIN hops ON src = s.item_id WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.question_id = s.question_id AND x.item_id = dst) GROUP BY ALL),
-added AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY seed, item_id) AS place FROM near QUALIFY place <= 10),
-every AS (SELECT question_id, item_id, 0 AS hop, rank AS place FROM seeds UNION ALL SELECT question_id, item_id, 1, place FROM added),
-capped AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hop, place) AS before FROM every QUALIFY before <= 30),
-s AS (SELECT capped.*, {_OVERLAP} AS rerank_score FROM capped
-  JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS qt FROM benchmark) b ON b.item_id = capped.question_id
-  JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS dt FROM documents) d ON d.doc_id = capped.item_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, item_id) AS after FROM s)
-SELECT question_id, item_id, hop, before, after, rerank_score FROM r WHERE after <= 5""")
+@query(_GRAPH_RERANK)
 def graph_rerank(spark, sf):
-    """Hybrid candidates, one hop along validated edges (here to the next document) at most ten more, thirty in all, reranked."""
-    vec, kw, items = _hybrid_lists(spark, sf)
-    fused = retrieval.rrf([vec, kw], ["question_id"], "item_id")
-    edges = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("REFERS_TO").alias("type"), F.when(F.col("doc_id") % 3 != 0, "validated").otherwise("draft").alias("validation_status"))
-    hops = graph.permitted_edges(edges, items.select(F.col("item_id").alias("id")), ["REFERS_TO"])
-    every = retrieval.with_neighbours(fused, hops, ["question_id"], "item_id")
-    full = every.join(items.select("item_id", "text"), "item_id").join(_questions(spark, sf), "question_id")
-    out = retrieval.rerank(full, ["question_id"], "item_id", retrieval.overlap_score(F.col("question"), F.col("text")), 5)
-    return out.select("question_id", "item_id", "hop", F.col("before").cast("long"), F.col("after").cast("long"), "rerank_score")
+    """Hybrid candidates, ten more at most along references found in text, thirty in all, reranked by their best windows."""
+    _, chunks, _, edges = _graph(spark, sf)
+    asked = _questions(spark, sf)
+    every = references.with_referenced(_hybrid_chunks(spark, sf, chunks, asked), edges, chunks, ["question_id"]).withColumnRenamed("rank", "before")
+    pairs = every.join(chunks.select("chunk_id", "document_title", "heading_path", "text", "spans"), "chunk_id").join(asked, "question_id")
+    windows = chunking.rerank_windows(pairs)
+    shown = F.concat_ws(" ", "document_title", "heading_path", "window_text")
+    best = retrieval.best_windows(windows, ["question_id"], "chunk_id", retrieval.overlap_score(F.col("question"), shown), ["hop", "before"])
+    out = retrieval.top_k(best, ["question_id"], "rerank_score", "chunk_id", 5)
+    return out.select(
+        "question_id", "chunk_id", "hop", F.col("before").cast("long").alias("before"), F.col("rank").cast("long").alias("after"), "rerank_score",
+        F.col("window_index").cast("long").alias("window"), F.col("window_text").alias("text"))
 
 
 @query(_BODIES + """SELECT x.section_id, heading, CASE WHEN heading IS NULL THEN 'not_found' ELSE 'found' END AS status, length(body)::BIGINT AS chars
