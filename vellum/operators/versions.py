@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.running import running
+
 
 def as_of(versions: DataFrame, policy: str, effective_from: str, version: str, date: Column) -> DataFrame:
     """For each policy the version in force at ``date``: the last that started by then (ties: the largest)."""
@@ -31,6 +33,22 @@ def conflicts(active: DataFrame, policy: str, version: str, value: str) -> DataF
     return a.join(b, pair).select(F.col(f"a.{policy}").alias(policy), F.col(f"a.{version}").alias("first"), F.col(f"b.{version}").alias("second"))
 
 
+def conflict_groups(active: DataFrame, policy: str, version: str, start: str, stop: str, value: str) -> DataFrame:
+    """``policy``, ``start``, ``stop``, versions, values: runs of active versions whose intervals overlap and that disagree in ``value``.
+
+    One sweep in the order of starts: a version belongs to the run before it if it starts by the latest stop so far.
+    An interval without a stop never ends.  No pairs are made, and no policy is held by one task.
+    """
+    far = F.lit("9999-12-31").cast(active.schema[stop].dataType)
+    rows = active.select(policy, version, start, F.coalesce(F.col(stop), far).alias(stop), value)
+    order = [start, version]
+    swept = running(rows, [policy], order, maxima={"_reach": stop}, current=False)
+    swept = swept.withColumn("_new", F.when(F.coalesce(F.col(start) > F.col("_reach"), F.lit(True)), 1).otherwise(0))
+    groups = running(swept.drop("_reach"), [policy], order, {"_run": "_new"}).groupBy(policy, "_run")
+    out = groups.agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("versions"), F.count_distinct(value).alias("values"))
+    return out.where("values > 1").drop("_run")
+
+
 def difference(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFrame:
     """key, change: added, removed, changed or same, between two snapshots."""
     b, a = before.select(key, F.col(digest).alias("_b")), after.select(key, F.col(digest).alias("_a"))

@@ -13,7 +13,8 @@ from vellum.functions import access, checks, ids, vectors
 from vellum.functions import text as T
 from vellum.functions.staging import staged
 from vellum.functions.tokenizers import QUADS
-from vellum.operators import answers, chunking, evaluation, evidence, graph, quality, references, retrieval, versions
+from vellum.operators import answers, chunking, evaluation, evidence, graph, quality, references, requests, retrieval, versions
+from vellum.sources import generations
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -457,13 +458,17 @@ def history_grants(spark, sf):
     return principals(spark).crossJoin(F.broadcast(corpora)).select("user_id", "corpus_id", access.may_read_history(F.col("explicit_grants"), F.col("corpus_id")).alias("may_read_history"))
 
 
-@query("""WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS revision FROM events GROUP BY user_id)
-SELECT user_id, revision, last_type, last_type <> 'error' AS still_allowed FROM s""")
+@query("""WITH q AS (SELECT event_id AS request, user_id, ts AS started, ts + INTERVAL 6 HOUR AS returned FROM events WHERE event_type = 'view'),
+c AS (SELECT user_id, ts, event_id, event_type <> 'error' AS allowed FROM events WHERE event_type IN ('error', 'signup', 'purchase')),
+x AS (SELECT request, user_id, (SELECT count(*) FROM c WHERE c.user_id = q.user_id AND c.ts <= started) AS revision_before, (SELECT count(*) FROM c WHERE c.user_id = q.user_id AND c.ts <= returned) AS revision_after,
+  coalesce((SELECT arg_max(allowed, (ts, event_id)) FROM c WHERE c.user_id = q.user_id AND c.ts <= started), false) AS allowed_before, coalesce((SELECT arg_max(allowed, (ts, event_id)) FROM c WHERE c.user_id = q.user_id AND c.ts <= returned), false) AS allowed_after FROM q)
+SELECT *, CASE WHEN NOT allowed_before THEN 'refused' WHEN NOT allowed_after THEN 'withheld' WHEN revision_before <> revision_after THEN 'decided_again' ELSE 'answered' END AS status FROM x""")
 def revocation_recheck(spark, sf):
-    """Access decided again from each user's latest state; an error event stands for a revocation."""
+    """Views as requests of six hours; errors take an entitlement away, signups and purchases give it: decided when a request starts and again when it returns."""
     e = table(spark, sf, "events")
-    s = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count("*").alias("revision"))
-    return s.select("user_id", "revision", "last_type", (F.col("last_type") != "error").alias("still_allowed"))
+    asked = e.where("event_type = 'view'").select(F.col("event_id").alias("request"), "user_id", F.col("ts").alias("started"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("returned"))
+    changes = e.where("event_type in ('error', 'signup', 'purchase')").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("change"), (F.col("event_type") != "error").alias("allowed"))
+    return requests.recheck(asked, changes)
 
 
 @query(_ACL_SQL + f"""SELECT fact, user_id FROM (SELECT r.doc_id // 5 AS fact, a.user_id, count(*) AS n FROM ({_RULED}) r JOIN acl a ON a.policy_id = r.policy_id AND a.allowed GROUP BY ALL)
@@ -475,10 +480,32 @@ def permission_intersection(spark, sf):
     return quality.common_to_all(docs.select("fact"), readers.select("fact", "u.user_id"), ["fact"], ["user_id"])
 
 
-@query("""SELECT doc_id, length(text) <= 2000 AND text NOT LIKE '%role%' AS accepted FROM documents""")
+_REQUEST = """CASE doc_id % 10 WHEN 0 THEN text WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{"question": 7, "top_k": "many"}' ELSE
+  '{"question": ' || to_json(text) || CASE doc_id % 10 WHEN 3 THEN ', "role": "admin", "Tenant": 1' WHEN 4 THEN ', "mode": "fast"' WHEN 5 THEN ', "as_of": "2021-02-30"' WHEN 6 THEN ', "corpora": ["core", 3]'
+  WHEN 7 THEN ', "corpora": ["core", "maps"], "mode": "hybrid", "as_of": "2021-02-28", "top_k": 5' WHEN 8 THEN ', "corpora": "core", "top_k": 2.5' ELSE '' END || '}' END"""
+
+
+@query(rf"""WITH q AS (SELECT doc_id, {_REQUEST} AS r FROM documents), v AS (SELECT doc_id, CASE WHEN json_valid(r) THEN r::JSON END AS j FROM q),
+k AS (SELECT doc_id, j, json_type(j) = 'OBJECT' AS ok, CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) ELSE [] END AS keys, json_type(j, '$.question') AS tq, json_type(j, '$.corpora') AS tc, json_type(j, '$.mode') AS tm, json_type(j, '$.as_of') AS ta, json_type(j, '$.top_k') AS tk FROM v),
+n AS (SELECT *, CASE WHEN tc = 'ARRAY' THEN len(list_filter(json_extract(j, '$.corpora[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 ELSE false END AS strings FROM k)
+SELECT doc_id, CASE WHEN NOT coalesce(ok, false) THEN 'not an object' ELSE array_to_string(list_concat(
+    list_transform(list_sort(list_filter(keys, lambda x: x NOT IN ('question', 'corpora', 'mode', 'as_of', 'top_k'))), lambda x: 'unknown field: ' || x),
+    list_filter([CASE WHEN tq <> 'VARCHAR' THEN 'type: question' END, CASE WHEN tc IS NOT NULL AND NOT strings THEN 'type: corpora' END, CASE WHEN tm <> 'VARCHAR' THEN 'type: mode' END, CASE WHEN ta <> 'VARCHAR' THEN 'type: as_of' END,
+      CASE WHEN tk NOT IN ('UBIGINT', 'BIGINT') THEN 'type: top_k' END, CASE WHEN NOT list_contains(keys, 'question') THEN 'missing: question' END,
+      CASE WHEN tq = 'VARCHAR' AND length(trim(json_extract_string(j, '$.question'))) NOT BETWEEN 1 AND 2000 THEN 'length: question' END,
+      CASE WHEN tm = 'VARCHAR' AND json_extract_string(j, '$.mode') NOT IN ('vector', 'hybrid', 'hybrid_rerank', 'graph_rerank', 'agentic') THEN 'mode' END,
+      CASE WHEN ta = 'VARCHAR' AND try_strptime(json_extract_string(j, '$.as_of'), '%Y-%m-%d') IS NULL THEN 'date: as_of' END], lambda x: x IS NOT NULL)), '; ') END AS reasons FROM n""")
 def request_validation(spark, sf):
-    """Questions over 2,000 characters, and requests that name a security field, are turned away."""
-    return table(spark, sf, "documents").select("doc_id", ((F.length("text") <= 2000) & ~F.contains("text", F.lit("role"))).alias("accepted"))
+    """Requests as JSON, with whole texts as questions: unknown fields, wrong types, lengths, modes and dates are refused, with reasons."""
+    kind, question = F.col("doc_id") % 10, F.get(F.split(F.to_json(F.struct("text")), '"text":', 2), F.lit(1))
+    more = {3: ', "role": "admin", "Tenant": 1', 4: ', "mode": "fast"', 5: ', "as_of": "2021-02-30"', 6: ', "corpora": ["core", 3]',
+            7: ', "corpora": ["core", "maps"], "mode": "hybrid", "as_of": "2021-02-28", "top_k": 5', 8: ', "corpora": "core", "top_k": 2.5'}
+    rest = F.lit("")
+    for k, v in more.items():
+        rest = F.when(kind == k, v).otherwise(rest)
+    body = F.concat(F.lit('{"question": '), F.regexp_replace(question, r"\}$", ""), rest, F.lit("}"))
+    text = F.when(kind == 0, F.col("text")).when(kind == 1, "[1, 2]").when(kind == 2, '{"question": 7, "top_k": "many"}').otherwise(body)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(requests.refusals(text), "; ").alias("reasons"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -905,11 +932,39 @@ def graph_one_hop(spark, sf):
     return out.withColumn("position", F.col("position").cast("long"))
 
 
-@query("""WITH RECURSIVE t(user_id, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT c_custkey, depth + 1 FROM customer JOIN t ON c_custkey // 2 = t.user_id WHERE c_custkey > 1) SELECT 'c' || user_id AS user_id, depth::BIGINT AS depth FROM t""")
+def _people(spark, sf) -> DataFrame:
+    """Customers as a binary tree of managers, a few of whom manage each other in a circle."""
+    key = F.col("c_custkey")
+    circle = F.when(key == 600, 1201).when(key > 1, F.floor(key / 2))
+    return table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("user_id"), F.concat(F.lit("c"), circle).alias("manager_id"))
+
+
+_TREE = "WITH RECURSIVE p AS (SELECT c_custkey AS k, CASE WHEN c_custkey = 600 THEN 1201 WHEN c_custkey > 1 THEN c_custkey // 2 END AS m FROM customer), "
+
+
+@query(_TREE + """t(user_id, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT k, depth + 1 FROM p JOIN t ON m = t.user_id) SELECT 'c' || user_id AS user_id, depth::BIGINT AS depth FROM t""")
 def reporting_subtree(spark, sf):
-    """Customers as a binary tree: everyone below the first."""
-    people = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("user_id"), F.when(F.col("c_custkey") > 1, F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 2))).alias("manager_id"))
-    return graph.reporting_subtree(spark, people, "c1").withColumn("depth", F.col("depth").cast("long"))
+    """Everyone below the first customer: one range of the tree's labels."""
+    return graph.below(graph.tree_labels(_people(spark, sf)), "c1").withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(_TREE + """r AS (SELECT k FROM p WHERE m IS NULL UNION ALL SELECT p.k FROM p JOIN r ON p.m = r.k), t(top, k) AS (SELECT k, k FROM r UNION ALL SELECT top, p.k FROM p JOIN t ON p.m = t.k),
+o AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1)
+SELECT 'c' || top AS user_id, count(*) - 1 AS people, coalesce(sum(orders) FILTER (WHERE t.k <> top), 0)::BIGINT AS orders FROM t LEFT JOIN o ON o.k = t.k GROUP BY top""")
+def relationship_scope(spark, sf):
+    """For everyone the people below and their orders, by intervals of labels; nobody's subtree is listed."""
+    orders = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("user_id"), F.lit(1).cast("long").alias("orders"))
+    return graph.sums_below(graph.tree_labels(_people(spark, sf)), orders, "orders")
+
+
+@query(_TREE + """t(k) AS (SELECT 5::BIGINT UNION ALL SELECT p.k FROM p JOIN t ON p.m = t.k)
+SELECT o_orderkey, 'c' || o_custkey AS owner, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_custkey IN (SELECT k FROM t) QUALIFY rank <= 10""")
+def scope_topk(spark, sf):
+    """The ten largest orders of those whose rule invokes the reporting subtree of one manager: the range stands below the top-k."""
+    own = graph.below(graph.tree_labels(_people(spark, sf)), "c5").select(F.col("user_id").alias("owner"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.concat(F.lit("c"), "o_custkey").alias("owner"))
+    best = orders.join(own, "owner", "left_semi").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(10)
+    return best.select("o_orderkey", "owner", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("long").alias("rank"))
 
 
 @query("""SELECT 'customer' AS label, count(*) AS nodes, count(*) - count(DISTINCT c_custkey) AS repeated FROM customer UNION ALL SELECT 'nation', count(*), count(*) - count(DISTINCT n_nationkey) FROM nation""")
@@ -935,6 +990,19 @@ def active_conflicts(spark, sf):
     return versions.conflicts(active, "o_custkey", "o_orderkey", "o_orderpriority")
 
 
+_GROUPS = """WITH a AS (SELECT *, o_orderdate + INTERVAL 90 DAY AS until FROM orders WHERE o_orderstatus = 'O'),
+n AS (SELECT *, CASE WHEN o_orderdate <= max(until) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM a),
+r AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS run FROM n)
+SELECT o_custkey, min(o_orderdate) AS o_orderdate, max(until) AS until, count(*) AS versions, count(DISTINCT o_orderpriority) AS values FROM r GROUP BY o_custkey, run HAVING count(DISTINCT o_orderpriority) > 1"""
+
+
+@query(_GROUPS)
+def conflict_groups(spark, sf):
+    """Open orders of a customer as versions in force for ninety days: runs that overlap and disagree in priority, by a sweep."""
+    active = table(spark, sf, "orders").where("o_orderstatus = 'O'").withColumn("until", F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS"))
+    return versions.conflict_groups(active, "o_custkey", "o_orderkey", "o_orderdate", "until", "o_orderpriority")
+
+
 @query("""SELECT o_orderkey, o_orderdate <= TIMESTAMP '1996-06-30' AND (TIMESTAMP '1996-06-30' <= o_orderdate + INTERVAL 365 DAY) AS in_force FROM orders""")
 def versions_in_force(spark, sf):
     date = F.lit("1996-06-30").cast("timestamp")
@@ -958,10 +1026,18 @@ def missing_acl(spark, sf):
     return quality.missing(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+@query("""WITH w AS (SELECT doc_id, sha256('title: ' || source || ' / ' || lang || ' | text: ' || text) AS h FROM documents),
+c AS (SELECT CASE vec_id % 10 WHEN 1 THEN sha256(h) ELSE h END AS h, CASE vec_id % 10 WHEN 2 THEN 'old' ELSE 'm1' END AS m, CASE vec_id % 10 WHEN 3 THEN 32 ELSE len(embedding) END AS d, CASE vec_id % 10 WHEN 4 THEN 'p0' ELSE 'p1' END AS p FROM embeddings JOIN w ON doc_id = vec_id)
+SELECT doc_id FROM w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.h = w.h AND m = 'm1' AND d = 64 AND p = 'p1')""")
 def embedding_cache_missing(spark, sf):
-    """Chunks whose embedding must still be made."""
-    return quality.missing(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    """Texts whose embedding must be made: the cache holds some of them, a tenth each of another input, model, dimension or preprocessing."""
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2(T.embedding_input(F.col("source"), F.col("lang"), F.col("text")), 256).alias("input_sha256"))
+    wanted = docs.select("*", F.lit("m1").alias("model_digest"), F.lit(64).alias("dimension"), F.lit("p1").alias("preprocessing"))
+    last = F.col("vec_id") % 10
+    cache = table(spark, sf, "embeddings").join(docs, F.col("doc_id") == F.col("vec_id")).select(
+        F.when(last == 1, F.sha2("input_sha256", 256)).otherwise(F.col("input_sha256")).alias("input_sha256"), F.when(last == 2, "old").otherwise("m1").alias("model_digest"),
+        F.when(last == 3, 32).otherwise(F.size("embedding")).alias("dimension"), F.when(last == 4, "p0").otherwise("p1").alias("preprocessing"))
+    return generations.missing_embeddings(wanted, cache).select("doc_id")
 
 
 @query("""SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src3', 'src5')""")
@@ -972,9 +1048,10 @@ def allowlist(spark, sf):
 
 
 @query("""SELECT 'duplicate' AS finding, min(doc_id)::VARCHAR AS subject FROM documents GROUP BY text HAVING count(*) > 1 UNION ALL SELECT 'missing_acl', doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-  UNION ALL SELECT DISTINCT 'unresolved_reference', (doc_id * 2)::VARCHAR FROM documents WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)""")
+  UNION ALL SELECT DISTINCT 'unresolved_reference', (doc_id * 2)::VARCHAR FROM documents WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT 'conflict', o_custkey::VARCHAR FROM (""" + _GROUPS + ")")
 def quality_findings(spark, sf):
-    return quality.findings(duplicate=duplicate_hashes(spark, sf).select("first"), missing_acl=missing_acl(spark, sf), unresolved_reference=unresolved_references(spark, sf))
+    return quality.findings(conflict=conflict_groups(spark, sf).select("o_custkey"), duplicate=duplicate_hashes(spark, sf).select("first"), missing_acl=missing_acl(spark, sf), unresolved_reference=unresolved_references(spark, sf))
 
 
 _SNAP = "SELECT o_orderkey, sha256(o_orderstatus || {x}) AS d FROM orders WHERE o_orderkey % 7 <> {r}"
@@ -1077,11 +1154,19 @@ def benchmark_contamination(spark, sf):
     return quality.shared_runs(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id", 8)
 
 
-@query("""SELECT conv_id, count(*) AS calls, count(*) FILTER (WHERE n <= 6) AS allowed FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1""")
+@query("""WITH c AS (SELECT user_id AS run, event_id AS call, ts, CASE WHEN event_id % 5 > 1 THEN event_id % 5 END AS agent, CASE WHEN event_id % 5 <= 1 THEN 0 WHEN event_id % 11 = 0 THEN 2 ELSE 1 END AS depth FROM events),
+w AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, call) AS n, CASE WHEN agent IS NOT NULL AND row_number() OVER (PARTITION BY run, agent ORDER BY ts, call) = 1 THEN 1 ELSE 0 END AS new, min(ts) OVER (PARTITION BY run) AS begun FROM c),
+s AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY ts, call) AS agents FROM w),
+b AS (SELECT *, n > 6 AS a1, depth > 1 AS a2, agents > 2 AS a3, epoch(ts) - epoch(begun) > 120 AS a4 FROM s)
+SELECT run, count(*) AS calls, arg_min(call, (ts, call)) FILTER (WHERE a1) AS over_calls, arg_min(call, (ts, call)) FILTER (WHERE a2) AS over_depth, arg_min(call, (ts, call)) FILTER (WHERE a3) AS over_subagents,
+  arg_min(call, (ts, call)) FILTER (WHERE a4) AS over_seconds, coalesce(min(n) FILTER (WHERE a1 OR a2 OR a3 OR a4), count(*) + 1) - 1 AS allowed FROM b GROUP BY run""")
 def tool_budget(spark, sf):
-    """At most six tool calls a run; turns stand for calls."""
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf, "conversations").select("conv_id", n.alias("n")).groupBy("conv_id").agg(F.count("*").alias("calls"), F.count_if(F.col("n") <= 6).alias("allowed"))
+    """Events as calls of runs with subagents: the first call that breaks each of the four limits, and the calls before any does."""
+    e, agent = table(spark, sf, "events"), F.col("event_id") % 5
+    calls = e.select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("call"), F.col("ts").alias("at"), F.when(agent > 1, agent).alias("agent"),
+        F.when(agent <= 1, 0).when(F.col("event_id") % 11 == 0, 2).otherwise(1).alias("depth"))
+    return requests.run_budgets(calls.withColumn("at", F.col("at").cast("timestamp")))
 
 
 @query(f"""WITH m AS (SELECT d.source, count(*) AS matches, count(*) FILTER (WHERE d.doc_id IN ({_OPEN})) AS permitted, count(DISTINCT l.quality) FILTER (WHERE d.doc_id IN ({_OPEN})) - 1 AS conflicting FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1)

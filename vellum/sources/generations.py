@@ -106,3 +106,19 @@ class BucketedStore:
         seq = (self.log().agg(F.max("seq")).first()[0] or 0) + 1
         named = self.spark.range(1).select(F.lit(seq).cast("long").alias("seq"), F.lit(generation).alias("generation"), F.explode(F.array(*map(F.lit, touched)).cast("array<int>")).alias("bucket"))
         named.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+
+CACHE_KEY = ["input_sha256", "model_digest", "dimension", "preprocessing"]
+
+
+def missing_embeddings(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` whose embedding must be made: no cached one has the same input, model, dimension and preprocessing."""
+    return wanted.join(cache.select(*CACHE_KEY).distinct(), CACHE_KEY, "left_anti")
+
+
+def one_model(rows: DataFrame) -> DataFrame:
+    """``rows`` if all were made by one model, dimension and preprocessing; else an error, before anything is published."""
+    kinds = rows.select("model_digest", "dimension", "preprocessing").distinct().limit(2).collect()
+    if len(kinds) > 1:
+        raise ValueError("a generation holds embeddings of one model, dimension and preprocessing only")
+    return rows
