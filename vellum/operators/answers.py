@@ -34,12 +34,21 @@ def supported(claims: DataFrame, citations: DataFrame, evidence: DataFrame) -> D
     return out.select(*CLAIM, "citations", "invented", "unfounded", good.alias("supported"))
 
 
-def security_counters(cases: DataFrame, by: list[str], allowed: Column, returned: Column) -> DataFrame:
-    """``by``, cases, denied, disclosed (returned though not allowed), starved (allowed but not returned), passed."""
-    out = cases.groupBy(*by).agg(
-        F.count("*").alias("cases"), F.count_if(~allowed).alias("denied"), F.count_if(returned & ~allowed).alias("disclosed"),
-        F.count_if(allowed & ~returned).alias("starved"))
-    return out.withColumn("passed", (F.col("disclosed") == 0) & (F.col("starved") == 0))
+def security_counters(returned: DataFrame, decided: DataFrame, users: list[str], modes: list[str]) -> DataFrame:
+    """user_id, mode, returned, disclosed, mark, permitted, passed, a row for each user and mode, answers or none.
+
+    ``returned``: user_id, mode, question_id, item_id, rank, the real output.  ``decided``: user_id, item_id, allowed, by
+    other means than the retrieval's own filter; an item without a decision is forbidden.  ``disclosed`` counts
+    forbidden rows; a user who may read something but gets nothing fails as well.  ``mark`` is a digest of the rows.
+    """
+    spark = returned.sparkSession
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, users))).alias("user_id")).select("user_id", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    rows = returned.join(decided, ["user_id", "item_id"], "left")
+    found = rows.groupBy("user_id", "mode").agg(
+        F.count("*").alias("returned"), F.count_if(~F.coalesce("allowed", F.lit(False))).alias("disclosed"), F.sum(F.col("item_id") * F.col("rank")).alias("mark"))
+    may = decided.groupBy("user_id").agg(F.count_if("allowed").alias("permitted"))
+    out = every.join(found, ["user_id", "mode"], "left").join(may, "user_id", "left").na.fill(0, ["returned", "disclosed", "mark", "permitted"])
+    return out.withColumn("passed", (F.col("disclosed") == 0) & ((F.col("returned") > 0) == (F.col("permitted") > 0)))
 
 
 def live_sessions(sessions: DataFrame, now: Column) -> DataFrame:

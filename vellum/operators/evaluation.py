@@ -15,6 +15,23 @@ def recall(retrieved: Column, acceptable: Column) -> Column:
     return F.when(F.size(acceptable) > 0, F.array_max(share))
 
 
+def clause_recall(lists: DataFrame, clauses: DataFrame, by: list[str], ks: tuple[int, ...] = (5, 20)) -> DataFrame:
+    """``by``, question_id, clauses, recall_5, recall_20: the share of a question's labelled clauses that its first items hold.
+
+    ``lists``: ``by``, question_id, item_id, rank.  ``clauses``: what of ``by`` it has, question_id, item_id, clause: those
+    that the principal may read.  A clause counts once, in however many items it is found.  Questions without
+    a readable clause don't apply and have no row; one whose list is empty has recall 0.
+    """
+    own = [c for c in by if c in clauses.columns]
+    every = clauses.groupBy(*own, "question_id").agg(F.count_distinct("clause").alias("clauses"))
+    modes = lists.select(*by).distinct()
+    cases = modes.join(every, own) if own else modes.crossJoin(F.broadcast(every))
+    met = lists.join(clauses, [*own, "question_id", "item_id"]).groupBy(*by, "question_id").agg(
+        *[F.count_distinct(F.when(F.col("rank") <= k, F.col("clause"))).alias(f"_{k}") for k in ks])
+    out = cases.join(met, [*by, "question_id"], "left")
+    return out.select(*by, "question_id", "clauses", *[(F.coalesce(f"_{k}", F.lit(0)) / F.col("clauses")).alias(f"recall_{k}") for k in ks])
+
+
 def case_passes(status: Column, expected: Column, required: Column, prohibited: Column, answer: Column) -> Column:
     """The right status, every required fact, no prohibited one."""
     all_in = F.forall(required, lambda f: F.contains(answer, f))

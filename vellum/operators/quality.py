@@ -37,8 +37,8 @@ def common_to_all(members: DataFrame, marks: DataFrame, by: list[str], mark: lis
     return have.join(every, by).where("_have = _every").select(*by, *mark)
 
 
-def shared_runs(docs: DataFrame, doc: str, items: DataFrame, item: str, words: int, most: int = 64 << 20) -> DataFrame:
-    """``doc``, ``item``, shared: how many distinct runs of so many lower-case words two texts have in common.
+def run_pairs(docs: DataFrame, doc: str, items: DataFrame, item: str, words: int, most: int = 64 << 20) -> DataFrame:
+    """``doc``, ``item``, run: the distinct runs of so many lower-case words that two texts have in common.
 
     Runs meet by 64 hash bits and are then compared.  Where the items' texts take at most ``most`` bytes
     times the run's length, their runs go to every executor and no run of a document is shuffled; else both sides are.
@@ -55,5 +55,9 @@ def shared_runs(docs: DataFrame, doc: str, items: DataFrame, item: str, words: i
     held = runs(items, item)
     if words * (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= most:
         held = F.broadcast(held)
-    both = runs(docs, doc).join(held, ["_hash", "run"])
-    return both.groupBy(F.col(f"_{doc}").alias(doc), F.col(f"_{item}").alias(item)).agg(F.count("*").alias("shared"))
+    return runs(docs, doc).join(held, ["_hash", "run"]).select(F.col(f"_{doc}").alias(doc), F.col(f"_{item}").alias(item), "run")
+
+
+def shared_runs(docs: DataFrame, doc: str, items: DataFrame, item: str, words: int, most: int = 64 << 20) -> DataFrame:
+    """``doc``, ``item``, shared: how many distinct runs of so many lower-case words two texts have in common."""
+    return run_pairs(docs, doc, items, item, words, most).groupBy(doc, item).agg(F.count("*").alias("shared"))

@@ -589,9 +589,9 @@ h AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC,
 """
 
 
-def _hybrid_lists(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hybrid_lists(spark, sf, user: str = "ada") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vector list, keyword list and readable items; question i has benchmark text i and vector i."""
-    items = _readable(spark, sf)
+    items = _readable(spark, sf, user)
     vecs = _vectors(spark, sf).join(items.select("item_id"), "item_id", "left_semi")
     asked = _questions(spark, sf).select("question_id")
     q = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")).join(asked, "question_id", "left_semi")
@@ -1111,9 +1111,51 @@ def best_evidence_set(spark, sf):
     return table(spark, sf, "documents").select("doc_id", evaluation.recall(retrieval.tokens_of(F.col("text")), F.array(F.array(F.lit("the"), F.lit("of")), F.array(F.lit("le")))).alias("best"))
 
 
-@query("""SELECT lang AS mode, source AS corpus, count(n_chars) AS cases, round(avg(n_chars), 6) AS mean FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())""")
+_READERS = ("ada", "eve")
+#: Lists of each reader by mode: lists(user_id, mode, question_id, item_id, rank).
+_MODES = "WITH" + _KW.replace("{where}", "").replace("kw AS (SELECT *", "kw_all AS (SELECT *") + f""",
+rd AS MATERIALIZED (SELECT a.user_id, r.doc_id AS item_id FROM ({_RULED}) r JOIN ({_ACL_SQL} SELECT * FROM acl) a ON a.policy_id = r.policy_id AND a.allowed AND a.user_id IN {{users}}),
+kw AS (SELECT user_id, question_id, item_id, row_number() OVER (PARTITION BY user_id, question_id ORDER BY score DESC, item_id) AS rank FROM k JOIN rd USING (item_id) QUALIFY rank <= 10),
+vec AS (SELECT user_id, b.item_id AS question_id, rd.item_id, row_number() OVER (PARTITION BY user_id, b.item_id ORDER BY {_SIM} DESC, rd.item_id) AS rank FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id JOIN embeddings e ON true JOIN rd ON rd.item_id = e.vec_id QUALIFY rank <= 10),
+f AS (SELECT user_id, question_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT * FROM vec UNION ALL SELECT * FROM kw) GROUP BY ALL),
+h AS (SELECT user_id, question_id, item_id, row_number() OVER (PARTITION BY user_id, question_id ORDER BY score DESC, item_id) AS rank FROM f),
+s AS (SELECT h.user_id, h.question_id, h.item_id, {_OVERLAP} AS score FROM h JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS qt FROM benchmark) b ON b.item_id = h.question_id
+  JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS dt FROM documents) d ON d.doc_id = h.item_id),
+r AS (SELECT user_id, question_id, item_id, row_number() OVER (PARTITION BY user_id, question_id ORDER BY score DESC, item_id) AS rank FROM s),
+lists AS MATERIALIZED (SELECT user_id, 'vector' AS mode, question_id, item_id, rank FROM vec UNION ALL SELECT user_id, 'keyword', question_id, item_id, rank FROM kw
+  UNION ALL SELECT user_id, 'hybrid', question_id, item_id, rank FROM h UNION ALL SELECT user_id, 'hybrid_rerank', question_id, item_id, rank FROM r)"""
+
+
+def _mode_lists(spark, sf, users: tuple[str, ...]) -> DataFrame:
+    """user_id, mode, question_id, item_id, rank: what each mode returns to each of the principals."""
+    asked, out = _questions(spark, sf), []
+    for user in users:
+        vec, kw, items = _hybrid_lists(spark, sf, user)
+        vec, kw = staged(vec.select("question_id", "item_id", "rank")), staged(kw.select("question_id", "item_id", "rank"))
+        fused = retrieval.rrf([vec, kw], ["question_id"], "item_id")
+        full = fused.join(items.select("item_id", "text"), "item_id").join(asked, "question_id")
+        again = retrieval.top_k(full.withColumn("again", retrieval.overlap_score(F.col("question"), F.col("text"))).drop("rank"), ["question_id"], "again", "item_id", 30)
+        for mode, ranked in (("vector", vec), ("keyword", kw), ("hybrid", fused), ("hybrid_rerank", again)):
+            out.append(ranked.select(F.lit(user).alias("user_id"), F.lit(mode).alias("mode"), "question_id", "item_id", "rank"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(_MODES.replace("{users}", str(_READERS)) + r""",
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM documents), v AS (SELECT item_id, regexp_extract_all(lower(text), '\S+') AS w FROM benchmark),
+ws AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS s FROM w, unnest(generate_series(1, len(w) - 7)) AS g(i)), vs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS s FROM v, unnest(generate_series(1, len(w) - 7)) AS g(i)),
+cl AS MATERIALIZED (SELECT rd.user_id, vs.item_id AS question_id, ws.doc_id AS item_id, s FROM ws JOIN vs USING (s) JOIN rd ON rd.item_id = ws.doc_id),
+ev AS (SELECT user_id, question_id, count(DISTINCT s) AS clauses FROM cl GROUP BY ALL),
+mt AS (SELECT user_id, mode, question_id, count(DISTINCT s) FILTER (WHERE rank <= 5) AS a, count(DISTINCT s) FILTER (WHERE rank <= 20) AS b FROM lists JOIN cl USING (user_id, question_id, item_id) GROUP BY ALL),
+cs AS (SELECT m.user_id, m.mode, question_id, clauses, coalesce(a, 0) / clauses AS a, coalesce(b, 0) / clauses AS b FROM (SELECT DISTINCT user_id, mode FROM lists) m JOIN ev USING (user_id) LEFT JOIN mt USING (user_id, mode, question_id))
+SELECT user_id, mode, count(*) AS cases, sum(clauses)::BIGINT AS clauses, round(avg(a), 6) AS recall_5, round(avg(b), 6) AS recall_20 FROM cs GROUP BY ALL""")
 def mode_comparison(spark, sf):
-    return evaluation.macro(table(spark, sf, "documents").select(F.col("lang").alias("mode"), F.col("source").alias("corpus"), "n_chars"), "mode", "corpus", "n_chars")
+    """Modes on one question set, for two principals: the share of labelled clauses found, clauses being the runs of eight words that passages and readable documents share."""
+    pairs = staged(quality.run_pairs(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id", 8))
+    pairs = pairs.select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("item_id"), F.col("run").alias("clause"))
+    clauses = reduce(DataFrame.unionByName, [pairs.join(_readable(spark, sf, u).select("item_id"), "item_id", "left_semi").withColumn("user_id", F.lit(u)) for u in _READERS])
+    cases = evaluation.clause_recall(_mode_lists(spark, sf, _READERS), clauses, ["user_id", "mode"])
+    return cases.groupBy("user_id", "mode").agg(
+        F.count("*").alias("cases"), F.sum("clauses").alias("clauses"), F.round(F.avg("recall_5"), 6).alias("recall_5"), F.round(F.avg("recall_20"), 6).alias("recall_20"))
 
 
 @query("""SELECT event_type, count(value) AS runs, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
@@ -1260,16 +1302,26 @@ def calculator(spark, sf):
     return o.select("o_orderkey", c).select("o_orderkey", "c.status", "c.result", "c.inputs.free", "c.inputs.rate", "c.citation")
 
 
-@query(_ACL_SQL + f"""SELECT u.user_id, count(*) AS cases, count(*) FILTER (WHERE NOT coalesce(acl.allowed, false)) AS denied, 0::BIGINT AS disclosed, 0::BIGINT AS starved, true AS passed
-  FROM u CROSS JOIN ({_RULED}) d LEFT JOIN acl ON acl.user_id = u.user_id AND acl.policy_id = d.policy_id GROUP BY 1""")
+_CHECKED = ("ben", "cleo", "eve", "ivo")
+
+
+@query(_MODES.replace("{users}", str(_CHECKED)) + f""", md(mode) AS (VALUES ('vector'), ('keyword'), ('hybrid'), ('hybrid_rerank')), us AS (SELECT unnest({list(_CHECKED)}) AS user_id),
+dec AS (SELECT a.user_id, r.doc_id AS item_id, a.allowed FROM ({_RULED}) r JOIN ({_ACL_SQL} SELECT * FROM acl) a ON a.policy_id = r.policy_id)
+SELECT user_id, mode, count(lists.item_id) AS returned, count(lists.item_id) FILTER (WHERE NOT coalesce(allowed, false)) AS disclosed, coalesce(sum(lists.item_id * rank), 0)::BIGINT AS mark,
+  (SELECT count(*) FROM dec x WHERE x.user_id = us.user_id AND x.allowed) AS permitted, count(lists.item_id) FILTER (WHERE NOT coalesce(allowed, false)) = 0 AND (count(lists.item_id) > 0) = ((SELECT count(*) FROM dec x WHERE x.user_id = us.user_id AND x.allowed) > 0) AS passed
+FROM us CROSS JOIN md LEFT JOIN lists USING (user_id, mode) LEFT JOIN dec USING (user_id, item_id) GROUP BY user_id, mode""")
 def security_counters(spark, sf):
-    """Every principal's retrieval against the rules decided on their own: nothing forbidden comes back, nothing permitted is lost."""
-    docs, people = _labelled(spark, sf), principals(spark)
-    chunks = docs.select("doc_id", F.lit("core").alias("corpus_id"), F.lit("museum").alias("tenant_id"), F.col("p.id").alias("document_policy_id"), F.col("p.id").alias("access_policy_id"))
-    back = [retrieval.readable(chunks, policies(spark), people.where(F.col("user_id") == p[0])).select(F.lit(p[0]).alias("user_id"), "doc_id", F.lit(True).alias("back")) for p in PRINCIPALS]
-    every = docs.crossJoin(F.broadcast(people.select(F.struct("*").alias("u")))).select("u.user_id", "doc_id", access.allow("u", F.lit("core"), F.lit("museum"), "p").alias("ok"))
-    cases = every.join(reduce(DataFrame.unionByName, back), ["user_id", "doc_id"], "left")
-    return answers.security_counters(cases, ["user_id"], F.col("ok"), F.coalesce("back", F.lit(False)))
+    """What each mode really returned to each principal, against decisions made by other means: rules in plain SQL over the tables."""
+    decided = spark.sql(
+        """SELECT u.user_id, p.id AS rule, u.active AND array_contains(u.allowed_corpus_ids, 'core') AND NOT coalesce(array_contains(p.denied_users, u.user_id), false) AND CASE
+             WHEN p.classification IN ('public', 'internal') THEN true
+             WHEN p.classification = 'restricted' THEN coalesce(array_contains(p.allowed_users, u.user_id), false)
+               OR (exists(u.roles, r -> coalesce(array_contains(p.allowed_roles, r), false)) AND (coalesce(size(p.department_ids), 0) <= 0 OR coalesce(array_contains(p.department_ids, u.department_id), false)))
+             ELSE false END AS allowed FROM {people} u CROSS JOIN {rules} p""", people=principals(spark), rules=policies(spark))
+    marks = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"), F.when(F.col("toxic") == 1, "store").when(F.col("toxic") == 0, "staff").alias("rule"))
+    ruled = marks.join(table(spark, sf, "documents").select(F.col("doc_id").alias("item_id")), "item_id", "left_semi").join(F.broadcast(decided), "rule")
+    ruled = ruled.where(F.col("user_id").isin(*_CHECKED)).select("user_id", "item_id", "allowed")
+    return answers.security_counters(staged(_mode_lists(spark, sf, _CHECKED)), ruled, list(_CHECKED), ["vector", "keyword", "hybrid", "hybrid_rerank"])
 
 
 @query("""WITH s AS (SELECT event_id, user_id, ts, ts + INTERVAL 12 HOUR AS expires_at, (SELECT min(e.ts) FROM events e WHERE e.user_id = v.user_id AND e.event_type = 'error' AND e.ts > v.ts) AS revoked_at FROM events v WHERE event_type = 'view')
