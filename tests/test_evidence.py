@@ -152,3 +152,30 @@ def test_an_unreadable_exception_is_missing(spark):
     whole, part = (evidence.pack(selected, every, x, none, texts, ["q"]).collect() for x in (every, every.where("chunk_id = '1'")))
     assert [(r["kind"], r["text"]) for r in sorted(whole, key=lambda r: r["start"])] == [("evidence", "some"), ("exception", "more")]
     assert [(r["status"], r["text"]) for r in part] == [("insufficient_evidence", None)]
+
+
+def test_security_counters_find_planted_violations(spark):
+    from vellum.operators import answers
+
+    kind = "user_id string, mode string, question_id int, item_id int, rank int"
+    decided = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 1, False), ("c", 1, True)], "user_id string, item_id int, allowed boolean")
+    good = [("a", "vector", 1, 1, 1), ("a", "keyword", 1, 1, 1), ("c", "vector", 1, 1, 1), ("c", "keyword", 1, 1, 1)]
+    users, modes = ["a", "b", "c"], ["vector", "keyword"]
+
+    def failed(rows):
+        return {(r["user_id"], r["mode"], r["disclosed"]) for r in answers.security_counters(spark.createDataFrame(rows, kind), decided, users, modes).collect() if not r["passed"]}
+
+    assert failed(good) == set()
+    assert failed([*good, ("a", "vector", 1, 2, 2)]) == {("a", "vector", 1)}  # forbidden
+    assert failed([*good, ("a", "keyword", 1, 9, 2)]) == {("a", "keyword", 1)}  # without a decision
+    assert failed([*good, ("b", "vector", 1, 1, 1)]) == {("b", "vector", 1)}
+    assert failed(good[1:]) == {("a", "vector", 0)}  # starved
+
+
+def test_clause_recall(spark):
+    from vellum.operators import evaluation
+
+    lists = spark.createDataFrame([("v", 1, 10, 1), ("v", 1, 11, 2), ("v", 1, 12, 6), ("k", 2, 10, 1)], "mode string, question_id int, item_id int, rank int")
+    clauses = spark.createDataFrame([(1, 10, "a"), (1, 11, "a"), (1, 12, "b"), (1, 13, "c"), (2, 11, "a")], "question_id int, item_id int, clause string")
+    got = {(r["mode"], r["question_id"]): (r["clauses"], round(r["recall_5"], 3), round(r["recall_20"], 3)) for r in evaluation.clause_recall(lists, clauses, ["mode"]).collect()}
+    assert got == {("v", 1): (3, 0.333, 0.667), ("v", 2): (1, 0.0, 0.0), ("k", 1): (3, 0.0, 0.0), ("k", 2): (1, 0.0, 0.0)}
