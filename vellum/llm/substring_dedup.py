@@ -118,7 +118,7 @@ class Anchors:
 
 
 def _found(texts: list[bytes], bits: Shared | None = None):
-    for i, j in pieces(texts, 1 << 20):
+    for i, j in pieces(texts, 1 << 17):  # some twenty arrays of eight bytes for each byte of these
         found = Anchors(texts[i:j])
         if bits is not None and len(found.lo):
             left, right = found.sides()
