@@ -78,3 +78,14 @@ def status(matches: Column, permitted: Column, conflicting: Column, clear: Colum
         .when(matches > 0, "answered")
         .otherwise("unavailable")
     )
+
+
+def lost_at(clean: DataFrame, damaged: DataFrame, by: list[str], stages: list[str]) -> DataFrame:
+    """``by``, lost_at: for the evidence that passes every stage of the clean run, the first stage of the damaged run that it doesn't, or ``kept``.
+
+    Both tables have a row for each candidate, ``by`` and a boolean a stage; a candidate without a row passes none.
+    """
+    whole = clean.where(" and ".join(stages)).select(*by)
+    other = damaged.select(*by, *[F.col(s).alias(f"_{s}") for s in stages])
+    first = F.coalesce(*[F.when(~F.coalesce(f"_{s}", F.lit(False)), s) for s in stages], F.lit("kept"))
+    return whole.join(other, by, "left").select(*by, first.alias("lost_at"))

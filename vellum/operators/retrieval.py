@@ -15,11 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from vellum.functions.access import allow
 from vellum.functions.running import running_sum
-from vellum.functions.vectors import dot
 
 #: Bytes of questions (texts, or vectors as doubles) that every task holds at a time; more are asked in blocks.
 MOST_BYTES = 64 << 20
@@ -43,16 +42,46 @@ def top_k(df: DataFrame, by: list[str], score: str, item: str, k: int) -> DataFr
 def nearest(vectors: DataFrame, questions: DataFrame, k: int = 10, digits: int = 6, most: int = MOST_BYTES) -> DataFrame:
     """Exact cosine top-k of unit vectors: question_id, item_id, score, rank.
 
-    ``vectors``: item_id, embedding, already authorized.  ``questions``: question_id, vector.  Each
-    executor holds a block of the questions, and a block reads the vectors once, unshuffled.
+    ``vectors``: item_id, embedding, already authorized; those that are null, have nulls or another dimension than
+    a question's aren't compared with it.  ``questions``: question_id, vector.  Each task holds a block of the questions as a
+    matrix, multiplies it with its own vectors a batch at a time, and hands on its ``k`` best a question.
     """
+    read = vectors.select("item_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = StructType([questions.schema["question_id"], read.schema["item_id"], StructField("score", DoubleType())])
 
     def ask(some: DataFrame) -> DataFrame:
-        pairs = vectors.crossJoin(F.broadcast(some))
-        scored = pairs.select("question_id", "item_id", F.round(dot(F.col("embedding"), F.col("vector")), digits).alias("score"))
-        return top_k(scored, ["question_id"], "score", "item_id", k)
+        rows = some.select("question_id", F.col("vector").cast("array<double>")).where("vector is not null").toLocalIterator()
+        held = vectors.sparkSession.sparkContext.broadcast([(r[0], np.array(r[1], np.float64)) for r in rows])
+        return read.mapInArrow(lambda batches: _nearest_best(batches, held.value, k, digits), schema)
 
-    return in_blocks(questions, 8 * F.size("vector") + 32, ask, most)
+    best = in_blocks(questions, 8 * F.size("vector") + 32, ask, most)
+    return top_k(best, ["question_id"], "score", "item_id", k)
+
+
+def _nearest_best(batches, questions: list[tuple], k: int, digits: int):
+    """The best rows of each batch, ties with the last included; all of a task's batches are cut again by the top-k."""
+    sizes = sorted({len(v) for _, v in questions})
+    ids = {d: [q for q, v in questions if len(v) == d] for d in sizes}
+    matrix = {d: np.array([v for _, v in questions if len(v) == d]).T for d in sizes}
+    scale = 10.0**digits
+    for batch in batches:
+        lists = batch.column("embedding")
+        length = lists.value_lengths().fill_null(-1).to_numpy()
+        whole = pc.fill_null(lists.flatten(), float("nan")).to_numpy()
+        first = np.concatenate(([0], np.cumsum(np.maximum(length, 0))))
+        for d in sizes:
+            own = np.flatnonzero(length == d)
+            step = max(16, _SCORES // len(ids[d]))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                score = whole[first[some][:, None] + np.arange(d)] @ matrix[d]
+                score = np.floor(score * scale + 0.5) / scale
+                score[np.isnan(score)] = -np.inf
+                n = len(some)
+                least = np.partition(score, n - k, axis=0)[n - k] if n > k else np.full(len(ids[d]), -np.inf)
+                x, q = np.nonzero((score >= least) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[d][i] for i in q]), batch.column("item_id").take(pa.array(some[x])), pa.array(score[x, q])], names=["question_id", "item_id", "score"])
 
 
 #: A token with a digit, taken with its dotted, hyphened or slashed parts (2.1, 12-b), is an identifier; others are words.

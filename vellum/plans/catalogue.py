@@ -1228,16 +1228,75 @@ def overall_status(spark, sf):
     return checks.agg(F.when(good, 0).otherwise(1).alias("status"), F.count("*").alias("checks"))
 
 
-@query("""SELECT b.doc_id, CASE WHEN NOT b.clean THEN 'not in the input' WHEN NOT b.dirty THEN 'lost by the stale snapshot' ELSE 'retrieved in both' END AS diagnosis
-  FROM (SELECT doc_id, contains(text, 'the') AS clean, contains(text, 'the') AND doc_id % 3 <> 0 AS dirty FROM documents) b""")
+_STAGES = ["ingest", "chunk", "authorize", "rank", "fuse", "rerank", "pack"]
+_FUSED_MOST, _PACKED = 6, 2500
+
+
+def _trace_sql(x: str, docs: str, labels: str, vectors: str) -> str:
+    """A run over one snapshot: each candidate of each question with the stages it passes; names end in ``x``."""
+    return f"""
+d{x} AS MATERIALIZED ({docs}), l{x} AS ({labels}), v{x} AS MATERIALIZED ({vectors}),
+o{x} AS MATERIALIZED (SELECT d.doc_id, text FROM d{x} d JOIN l{x} l USING (doc_id) WHERE toxic = 0 AND regexp_matches(text, '\\S')),
+t{x} AS MATERIALIZED (SELECT doc_id AS item_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS dt, len(regexp_extract_all(text, '\\S+')) AS tokens FROM o{x}),
+m{x} AS (SELECT question_id, item_id, sum(CASE WHEN regexp_matches(token, '\\p{{N}}') THEN 5 ELSE 1 END)::BIGINT AS shared FROM (SELECT item_id, unnest(dt) AS token FROM t{x}) JOIN qtok USING (token) GROUP BY ALL),
+k{x} AS (SELECT question_id, m.item_id, row_number() OVER (PARTITION BY question_id ORDER BY shared + CASE WHEN contains(lower(o.text), lower(b.text)) THEN 10 ELSE 0 END DESC, m.item_id) AS rank
+  FROM m{x} m JOIN o{x} o ON o.doc_id = m.item_id JOIN benchmark b ON b.item_id = question_id QUALIFY rank <= 10),
+w{x} AS (SELECT b.item_id AS question_id, e.vec_id AS item_id, row_number() OVER (PARTITION BY b.item_id ORDER BY {_SIM} DESC, e.vec_id) AS rank
+  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id JOIN v{x} e ON e.vec_id IN (SELECT doc_id FROM o{x}) QUALIFY rank <= 10),
+f{x} AS (SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS fused FROM (
+  SELECT question_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT * FROM w{x} UNION ALL SELECT * FROM k{x}) GROUP BY ALL)),
+r{x} AS (SELECT question_id, item_id, tokens, row_number() OVER (PARTITION BY question_id ORDER BY {_OVERLAP} DESC, item_id) AS after FROM f{x} JOIN t{x} USING (item_id) JOIN qset USING (question_id) WHERE fused <= {_FUSED_MOST}),
+p{x} AS (SELECT question_id, item_id, sum(tokens) OVER (PARTITION BY question_id ORDER BY after) AS used FROM r{x} WHERE after <= 5)"""
+
+
+_DIAGNOSE = "WITH " + f"""qset AS MATERIALIZED (SELECT item_id AS question_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS qt FROM benchmark), qtok AS (SELECT question_id, unnest(qt) AS token FROM qset),""" + _trace_sql(
+    "1", "SELECT doc_id, text FROM documents", "SELECT doc_id, toxic FROM labels", "SELECT vec_id, embedding FROM embeddings") + "," + _trace_sql(
+    "2", "SELECT doc_id, CASE doc_id % 7 WHEN 2 THEN '  ' WHEN 4 THEN reverse(text) WHEN 6 THEN text || ' ' || repeat(text || ' ', 3) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 1",
+    "SELECT doc_id, CASE doc_id % 7 WHEN 3 THEN 1 ELSE toxic END AS toxic FROM labels", "SELECT vec_id, CASE WHEN vec_id % 7 IN (4, 5) THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings") + f"""
+SELECT question_id, item_id, CASE WHEN d.doc_id IS NULL THEN 'ingest' WHEN NOT regexp_matches(d.text, '\\S') THEN 'chunk' WHEN o.doc_id IS NULL THEN 'authorize' WHEN f.fused IS NULL THEN 'rank' WHEN f.fused > {_FUSED_MOST} THEN 'fuse'
+  WHEN p.used IS NULL THEN 'rerank' WHEN p.used > {_PACKED} THEN 'pack' ELSE 'kept' END AS lost_at
+FROM p1 LEFT JOIN d2 d ON d.doc_id = item_id LEFT JOIN o2 o ON o.doc_id = item_id LEFT JOIN f2 f USING (question_id, item_id) LEFT JOIN p2 p USING (question_id, item_id) WHERE p1.used <= {_PACKED}"""
+
+
+def _trace(spark, sf, docs: DataFrame, labels: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """question_id, item_id and a boolean a stage: how far each document comes for each question in one snapshot."""
+    asked = _questions(spark, sf)
+    rules = labels.select("doc_id", F.when(F.col("toxic") == 1, "store").otherwise("staff").alias("id"))
+    full = docs.where(F.col("text").rlike(r"(?U)\S"))
+    who = F.broadcast(principals(spark).where("user_id = 'ada'").select(F.struct("*").alias("u")))
+    ruled = full.join(rules, "doc_id").join(F.broadcast(policies(spark)), "id").select("doc_id", "text", F.struct("id", "classification", "allowed_roles", "department_ids", "allowed_users", "denied_users").alias("p"))
+    items = staged(ruled.crossJoin(who).where(access.allow("u", F.lit("core"), F.lit("museum"), "p")).select(F.col("doc_id").alias("item_id"), "text"))
+    vecs = embeddings.select(F.col("vec_id").alias("item_id"), "embedding").join(items.select("item_id"), "item_id", "left_semi")
+    q = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")).join(asked.select("question_id"), "question_id", "left_semi")
+    fused = staged(retrieval.rrf([retrieval.nearest(vecs, q), retrieval.keyword_top(items, asked)], ["question_id"], "item_id").select("question_id", "item_id", "rank"))
+    capped = fused.where(F.col("rank") <= _FUSED_MOST).join(items, "item_id").join(asked, "question_id").drop("rank")
+    again = retrieval.top_k(capped.withColumn("again", retrieval.overlap_score(F.col("question"), F.col("text"))), ["question_id"], "again", "item_id", 5)
+    used = F.sum(T.word_count(F.col("text"))).over(Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    packed = again.select("question_id", "item_id", used.alias("used"))
+    # Every pair of a question and a document that has a rank; the earlier stages are a document's own.
+    places = fused.join(packed, ["question_id", "item_id"], "left")
+    yes = F.lit(True)
+    return places.select("question_id", "item_id", yes.alias("ingest"), yes.alias("chunk"), yes.alias("authorize"), yes.alias("rank"), (F.col("rank") <= _FUSED_MOST).alias("fuse"), F.col("used").isNotNull().alias("rerank"),
+                         F.coalesce(F.col("used") <= _PACKED, F.lit(False)).alias("pack")), items.select("item_id", yes.alias("_open"))
+
+
+@query(_DIAGNOSE)
 def diagnose(spark, sf):
-    """The same question on a clean and a stale snapshot, joined by document."""
-    docs = table(spark, sf, "documents")
-    clean = docs.select("doc_id", F.contains("text", F.lit("the")).alias("clean"))
-    stale = docs.where("doc_id % 3 <> 0").select("doc_id", F.contains("text", F.lit("the")).alias("dirty"))
-    both = clean.join(stale, "doc_id", "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
-    found = F.when(~F.col("clean"), "not in the input").when(~F.col("dirty"), "lost by the stale snapshot").otherwise("retrieved in both")
-    return both.select("doc_id", found.alias("diagnosis"))
+    """The packed evidence of a clean snapshot, and the stage at which a damaged one loses it.
+
+    Damaged are texts (missing, blank, reversed, four times as long), labels and vectors, a seventh of the documents each.
+    """
+    docs, labels, e = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"), table(spark, sf, "embeddings").select("vec_id", "embedding")
+    part, turned = F.col("doc_id") % 7, F.transform("embedding", lambda x: -x)
+    bad_docs = docs.where(part != 1).withColumn("text", F.when(part == 2, "  ").when(part == 4, F.reverse("text")).when(part == 6, F.concat("text", F.lit(" "), F.repeat(F.concat("text", F.lit(" ")), F.lit(3)))).otherwise(F.col("text")))
+    bad_labels = labels.withColumn("toxic", F.when(part == 3, 1).otherwise(F.col("toxic")))
+    clean, _ = _trace(spark, sf, docs, labels, e)
+    damaged, open_ = _trace(spark, sf, bad_docs, bad_labels, e.withColumn("embedding", F.when((F.col("vec_id") % 7).isin(4, 5), turned).otherwise(F.col("embedding"))))
+    evidence_ = staged(clean.where("pack"))
+    own = bad_docs.select(F.col("doc_id").alias("item_id"), F.lit(True).alias("_in"), F.col("text").rlike(r"(?U)\S").alias("_full"))
+    had = evidence_.select("question_id", "item_id").join(own, "item_id", "left").join(open_, "item_id", "left").join(damaged.select("question_id", "item_id", "rank", "fuse", "rerank", "pack"), ["question_id", "item_id"], "left")
+    had = had.select("question_id", "item_id", F.col("_in").alias("ingest"), F.col("_full").alias("chunk"), F.col("_open").alias("authorize"), "rank", "fuse", "rerank", "pack")
+    return evaluation.lost_at(evidence_, had, ["question_id", "item_id"], _STAGES)
 
 
 @query("""SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
