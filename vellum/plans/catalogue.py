@@ -79,7 +79,7 @@ def structured(docs: DataFrame) -> DataFrame:
     row = lambda i: F.concat(F.lit("| "), F.col("source"), F.lit(" room "), i, F.lit(" | "), i, F.lit(" kg |"))
     rows = F.transform(F.sequence(F.lit(1).cast("long"), 40 + F.col("doc_id") % 30), row)
     text = F.concat(
-        F.lit("Manual "), F.col("doc_id"), F.lit("\n1. Purpose\n"), F.col("text"), F.lit("\nUnless the list of "), F.col("source"),
+        F.lit("Manual "), F.col("doc_id"), F.lit("\n1. Purpose\n"), F.col("text"), F.lit("\nFor loads see section 7 of this one. Unless the list of "), F.col("source"),
         F.lit(" and of the rooms that it names" * 20 + " says otherwise.\n2.1 Review Steps\n2.5 kg is a limit, not a title.\nsee it\n"),
         F.lit("Section 3 – Limits\n# Notes\nKeep the "), F.col("source"), F.lit(" file.\n4. this is no heading\n# neither is this\nSection 5 - nor that.\n"),
         F.lit("7. Weights\nBy room. See section 7 in Manual "), F.col("doc_id") + 1, F.lit(". Exception applies as stated, refer to 1 Purpose of this one. For checks see the Review Steps first. Or refer to 9 Nowhere.\n\n| Room | Weight |\n|---|:--:|\n"),
@@ -91,7 +91,7 @@ def structured(docs: DataFrame) -> DataFrame:
 
 _LINES = r"""
 WITH t AS (
-  SELECT doc_id, 'Manual ' || doc_id || chr(10) || '1. Purpose' || chr(10) || text || chr(10) || 'Unless the list of ' || source || repeat(' and of the rooms that it names', 20) || ' says otherwise.' || chr(10) || '2.1 Review Steps' || chr(10) || '2.5 kg is a limit, not a title.' || chr(10)
+  SELECT doc_id, 'Manual ' || doc_id || chr(10) || '1. Purpose' || chr(10) || text || chr(10) || 'For loads see section 7 of this one. Unless the list of ' || source || repeat(' and of the rooms that it names', 20) || ' says otherwise.' || chr(10) || '2.1 Review Steps' || chr(10) || '2.5 kg is a limit, not a title.' || chr(10)
     || 'see it' || chr(10) || 'Section 3 – Limits' || chr(10) || '# Notes' || chr(10) || 'Keep the ' || source || ' file.' || chr(10) || '4. this is no heading' || chr(10) || '# neither is this' || chr(10) || 'Section 5 - nor that.' || chr(10)
     || '7. Weights' || chr(10) || 'By room. See section 7 in Manual ' || (doc_id + 1) || '. Exception applies as stated, refer to 1 Purpose of this one. For checks see the Review Steps first. Or refer to 9 Nowhere.' || chr(10) || chr(10) || '| Room | Weight |' || chr(10) || '|---|:--:|' || chr(10)
     || array_to_string(list_transform(generate_series(1, 40 + doc_id % 30), lambda i: '| ' || source || ' room ' || i || ' | ' || i || ' kg |'), chr(10)) || chr(10) || 'Rooms not named take nothing. Unless the vault is open.' || chr(10) || chr(10) || 'All weights are net.' || chr(10) AS text FROM documents),
@@ -807,7 +807,7 @@ def reference_spans(spark, sf):
     return out.select("chunk_id", "phrase", F.col("start").cast("long").alias("start"), F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("text"))
 
 
-_PACK_BUDGET = 900
+_PACK_BUDGETS = (1700, 3500)
 
 
 @query("WITH " + _CHUNK_ITEMS + "," + _CHUNK_KW + "," + _EDGES + r""",
@@ -825,25 +825,26 @@ bd AS (SELECT question_id, doc_id, edge, lead(edge) OVER (PARTITION BY question_
 ow AS (SELECT bd.question_id, bd.doc_id, edge AS start, nxt AS stop, min(bit) AS bit FROM bd JOIN nd ON nd.question_id = bd.question_id AND nd.doc_id = bd.doc_id AND nd.start <= edge AND nd.stop >= nxt GROUP BY ALL),
 pt AS MATERIALIZED (SELECT ow.*, substr(text, start + 1, stop - start) AS text, len(regexp_extract_all(substr(text, start + 1, stop - start), '\S+')) AS tokens FROM ow JOIN tx USING (doc_id)),
 co AS (SELECT n.question_id, n.bit, sum(coalesce(c.cost, 0)) OVER (PARTITION BY n.question_id ORDER BY n.bit)::BIGINT AS used FROM (SELECT DISTINCT question_id, bit FROM nd) n LEFT JOIN (SELECT question_id, bit, sum(tokens) AS cost FROM pt GROUP BY ALL) c USING (question_id, bit)),
-st AS (SELECT question_id, min(bit) FILTER (WHERE used > {budget}) AS stop_bit FROM co GROUP BY 1),
+st AS (SELECT question_id, budget, min(bit) FILTER (WHERE used > budget) AS stop_bit FROM co, (VALUES {budgets}) AS g(budget) GROUP BY ALL),
 status AS (SELECT *, CASE WHEN coalesce(stop_bit = 0 OR (stop_bit < 10 AND stop_bit % 2 = 1), false) THEN 'insufficient_evidence' ELSE 'answered' END AS status FROM st)
-SELECT question_id, status, kind, document_version_id, count(*) AS words, sum(('0x' || substr(md5(word), 1, 8))::BIGINT)::BIGINT AS mark, max(used) AS used FROM (
-  SELECT s.question_id, status, CASE WHEN bit < 10 AND bit % 2 = 0 THEN 'evidence' WHEN bit < 10 THEN 'exception' WHEN bit < 15 THEN 'reference' ELSE 'parent' END AS kind, doc_id::VARCHAR AS document_version_id, used, unnest(regexp_extract_all(text, '\S+')) AS word
+SELECT budget, question_id, status, kind, document_version_id, count(*) AS words, sum(('0x' || substr(md5(word), 1, 8))::BIGINT)::BIGINT AS mark, max(used) AS used FROM (
+  SELECT budget, s.question_id, status, CASE WHEN bit < 10 AND bit % 2 = 0 THEN 'evidence' WHEN bit < 10 THEN 'exception' WHEN bit < 15 THEN 'reference' ELSE 'parent' END AS kind, doc_id::VARCHAR AS document_version_id, used, unnest(regexp_extract_all(text, '\S+')) AS word
   FROM status s JOIN pt USING (question_id) JOIN co USING (question_id, bit) WHERE status = 'answered' AND (stop_bit IS NULL OR bit < stop_bit)) GROUP BY ALL
-UNION ALL SELECT question_id, status, NULL, NULL, 0, NULL, NULL FROM status WHERE status <> 'answered'
-""".replace("{budget}", str(_PACK_BUDGET)))
+UNION ALL SELECT budget, question_id, status, NULL, NULL, 0, NULL, NULL FROM status WHERE status <> 'answered'
+""".replace("{budgets}", ", ".join(f"({b})" for b in _PACK_BUDGETS)))
 def context_pack(spark, sf):
-    """Five chunks a question with their exceptions, the sections they refer to and their documents' readable rest, no word twice, within 900 tokens.
+    """Five chunks a question with their exceptions, the sections they refer to and their documents' readable rest, no word twice, within 1,700 and 3,500 tokens.
 
     The result tells for each kind and document how many words were packed, with a digest of them.
     """
     every, chunks, _, edges = _graph(spark, sf)
     best = retrieval.keyword_top(chunks.select(F.col("chunk_id").alias("item_id"), "text"), _questions(spark, sf)).withColumnRenamed("item_id", "chunk_id")
     texts = structured(spread(table(spark, sf, "documents"))).select("document_version_id", "text")
-    out = evidence.pack(best.where("rank <= 5"), every, chunks, edges, texts, ["question_id"], _PACK_BUDGET)
-    words = out.select("question_id", "status", "kind", "document_version_id", "used", F.explode_outer(T.words(F.col("text"))).alias("word"))
+    best = staged(best.where("rank <= 5").select("question_id", "chunk_id", "rank"))
+    packs = [evidence.pack(best, every, chunks, edges, texts, ["question_id"], b).withColumn("budget", F.lit(b)) for b in _PACK_BUDGETS]
+    words = reduce(DataFrame.unionByName, packs).select("budget", "question_id", "status", "kind", "document_version_id", "used", F.explode_outer(T.words(F.col("text"))).alias("word"))
     mark = F.sum(F.conv(F.substring(F.md5(F.encode("word", "UTF-8")), 1, 8), 16, 10).cast("long")).alias("mark")
-    return words.groupBy("question_id", "status", "kind", "document_version_id").agg(F.count("word").alias("words"), mark, F.max("used").alias("used"))
+    return words.groupBy("budget", "question_id", "status", "kind", "document_version_id").agg(F.count("word").alias("words"), mark, F.max("used").alias("used"))
 
 
 _GRAPH_RERANK = "WITH RECURSIVE " + _CHUNK_ITEMS + "," + _CHUNK_KW + "," + _EDGES + rf""",
@@ -862,7 +863,7 @@ ev AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hop, place
 sc AS (SELECT x.*, {_OVERLAP} AS score FROM (SELECT win.question_id, win.item_id, w, hop, before, substr(text, a + 1, e - a) AS shown, list_distinct(regexp_extract_all(lower(title || ' ' || substr(text, a + 1, e - a)), {_TOKENS})) AS dt FROM win JOIN pr USING (question_id, item_id)) x
   JOIN (SELECT item_id AS question_id, list_distinct(regexp_extract_all(lower(text), {_TOKENS})) AS qt FROM benchmark) b USING (question_id)),
 bw AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY question_id, item_id ORDER BY score DESC, w) = 1)
-SELECT question_id, item_id AS chunk_id, hop, before, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS after, score AS rerank_score, w AS window, shown AS text FROM bw QUALIFY after <= 5"""
+SELECT question_id, item_id AS chunk_id, hop, before, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS after, score AS rerank_score, w AS window, shown AS text FROM bw QUALIFY after <= 15"""
 
 
 def _hybrid_chunks(spark, sf, chunks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -877,7 +878,7 @@ def _hybrid_chunks(spark, sf, chunks: DataFrame, asked: DataFrame) -> DataFrame:
 
 @query(_GRAPH_RERANK)
 def graph_rerank(spark, sf):
-    """Hybrid candidates, ten more at most along references found in text, thirty in all, reranked by their best windows."""
+    """Hybrid candidates, ten more at most along references found in text, thirty in all, reranked by their best windows; the first fifteen."""
     _, chunks, _, edges = _graph(spark, sf)
     asked = _questions(spark, sf)
     every = references.with_referenced(_hybrid_chunks(spark, sf, chunks, asked), edges, chunks, ["question_id"]).withColumnRenamed("rank", "before")
@@ -885,7 +886,7 @@ def graph_rerank(spark, sf):
     windows = chunking.rerank_windows(pairs)
     shown = F.concat_ws(" ", "document_title", "heading_path", "window_text")
     best = retrieval.best_windows(windows, ["question_id"], "chunk_id", retrieval.overlap_score(F.col("question"), shown), ["hop", "before"])
-    out = retrieval.top_k(best, ["question_id"], "rerank_score", "chunk_id", 5)
+    out = retrieval.top_k(best, ["question_id"], "rerank_score", "chunk_id", 15)
     return out.select(
         "question_id", "chunk_id", "hop", F.col("before").cast("long").alias("before"), F.col("rank").cast("long").alias("after"), "rerank_score",
         F.col("window_index").cast("long").alias("window"), F.col("window_text").alias("text"))
@@ -1229,7 +1230,7 @@ def overall_status(spark, sf):
 
 
 _STAGES = ["ingest", "chunk", "authorize", "rank", "fuse", "rerank", "pack"]
-_FUSED_MOST, _PACKED = 6, 2500
+_FUSED_MOST, _PACKED = 10, 2500
 
 
 def _trace_sql(x: str, docs: str, labels: str, vectors: str) -> str:
