@@ -21,6 +21,7 @@ doc_id keep the order of their ids' checksums; an empty table writes no segment.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from itertools import chain
 
@@ -126,13 +127,19 @@ RAW_SPACE[9:14] = 32
 _MOST = 2_000_000
 
 
+def _tokenizer(model: str):
+    """One thread each: Spark's tasks use all cores already."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(model)
+
+
 class WordIds:
     """A tokenizer with the ids of the words met so far, as sorted arrays; emptied beyond ``_MOST`` words."""
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer = _tokenizer(model)
         self.clear()
 
     def clear(self) -> None:
@@ -142,7 +149,7 @@ class WordIds:
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         if len(self.hash) > _MOST:
             self.clear()
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
         at = len(self.flat) + np.cumsum(size) - size
@@ -173,12 +180,10 @@ class TextIds:
     """A tokenizer for whole texts."""
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer = _tokenizer(model)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        got = self.tokenizer.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in got]
 
 
