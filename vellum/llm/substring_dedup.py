@@ -266,7 +266,7 @@ def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
         return rows.mapInArrow(texts_of, "m long, anchor int, ctx long, context binary")
 
     usual = fetch(unclear.where(F.col("contexts") <= hot)).repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor", "ctx", "m")
-    masks = usual.mapInArrow(lambda batches: _masks(batches, 1 << 19), MASKS)
+    masks = usual.mapInArrow(lambda batches: _masks(batches, 1 << 16), MASKS)
     many = unclear.where(F.col("contexts") > hot).drop("contexts")
     if not many.isEmpty():
         keys = ["anchor", "ctx", "m"]
