@@ -169,7 +169,7 @@ def elements(body: Column, tokenizer: Tokenizer, most: int) -> Column:
 # ---------------------------------------------------------------- packing
 
 
-def _ranges(units: Column, start: Column, limits: Limits, tokenizer: Tokenizer) -> Column:
+def packed_ranges(units: Column, start: Column, limits: Limits, tokenizer: Tokenizer) -> Column:
     """Packs elements greedily: to the target, exceptions up to the maximum; longer ones and table groups stand alone."""
 
     def state(a: Column, u: Column, **new: Column) -> Column:
@@ -297,7 +297,7 @@ def chunk_sections(parts: DataFrame, limits: Limits | None = None, tokenizer: To
         F.array(_span(F.col("body_start"), F.col("body_end"))).alias("spans"), F.col("tokens").alias("tok"), F.lit(None).cast("string").alias("header"), F.col("body").alias("rendered"),
         F.lit(0).alias("overlap"), F.lit(0).alias("part"), F.lit(False).alias("cut")))
     packed = T.let(elements(F.col("body"), tokenizer, limits.most), lambda units: T.let(
-        _ranges(units, F.col("body_start"), limits, tokenizer), lambda ranges: _pieces(units, ranges, limits, tokenizer)))
+        packed_ranges(units, F.col("body_start"), limits, tokenizer), lambda ranges: _pieces(units, ranges, limits, tokenizer)))
     short = (F.col("tokens") <= limits.most) & ~T.has_table(F.col("body"))
     named = F.when(short, whole).otherwise(packed)
     with_ids = F.transform(named, lambda p: F.struct(p.alias("p"), chunk_id(F.col("document_version_id"), p["spans"], p["part"], digest).alias("id")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.functions import access, checks, ids, vectors
 from vellum.functions import text as T
 from vellum.functions.staging import staged
-from vellum.functions.tokenizers import QUADS
+from vellum.functions.tokenizers import QUADS, WORDS
 from vellum.operators import answers, chunking, evaluation, evidence, graph, quality, references, requests, retrieval, versions
 from vellum.sources import generations
 
@@ -135,10 +135,11 @@ def section_access_override(spark, sf):
     return chunking.sections(structured(table(spark, sf, "documents"))).select("document_version_id", "heading", "access_policy_id")
 
 
-@query("SELECT doc_id, line, " + _TITLE.replace("{x}", "line") + " AS is_title FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)")
+@query("SELECT doc_id, i - 1 AS n, l[i] AS line, " + _TITLE.replace("{x}", "l[i]") + " AS is_title FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) AS g(i)")
 def title_predicate(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.split("text", "\n")[0].alias("line"))
-    return docs.withColumn("is_title", T.is_title(F.col("line")))
+    """Every line of every text: might it be a title?"""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    return lines.select("doc_id", F.col("n").cast("long").alias("n"), "line", T.is_title(F.col("line")).alias("is_title"))
 
 
 _CFG = ids.fingerprint(ids.Limits())
@@ -173,8 +174,9 @@ _RULE_SQL = r"'^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$'"
 _ROW_SQL = r"'^\s*\|.+\|\s*$'"
 
 
-def _chunks_sql(tokenizer: str, config: str) -> str:
+def _chunks_sql(tokenizer: str, limits: ids.Limits = ids.Limits()) -> str:  # noqa: B008
     """The whole chunker: blocks, tables, sentences, the packing fold, slices, ids."""
+    config = f"""sha256('{{"max_tokens":{limits.most},"overlap_tokens":{limits.overlap},"strategy":"section-aware-parent-child","target_tokens":{limits.target},"tokenizer":"{tokenizer}"}}')"""
     out = _BODIES.replace("WITH t AS", "WITH RECURSIVE t AS") + r""",
 c0 AS (SELECT doc_id, section_ordinal, heading, access_policy_id, body_start::BIGINT AS bs, body_end::BIGINT AS be, substr(text, (body_start + 1)::BIGINT, (body_end - body_start)::BIGINT) AS body FROM s),
 c AS MATERIALIZED (SELECT *, {tok:size:body} AS tokens, len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, {rule}))) > 0 AS tab FROM c0 WHERE regexp_matches(body, '\S')),
@@ -230,10 +232,12 @@ FROM n"""
     out = re.sub(r"\{tok:size:(\w+)\}", lambda x: m["tok"].replace("{x}", m["size"].replace("{x}", x[1])), out)
     out = re.sub(r"\{size:([^{}]+)\}", lambda x: m["size"].replace("{x}", x[1]), out)
     out = re.sub(r"\{tok:([^{}]+)\}", lambda x: m["tok"].replace("{x}", f"({x[1]})"), out)
+    for usual, own in ((1600, 4 * limits.most), (400, limits.most), (300, limits.target), (50, limits.overlap)):  # the text has the usual limits
+        out = re.sub(rf"\b{usual}\b", str(own), out)
     return out.replace("{rule}", _RULE_SQL).replace("{row}", _ROW_SQL).replace("{cfg}", config)
 
 
-_CHUNKS = _chunks_sql("word-v1", _CFG_SQL)
+_CHUNKS = _chunks_sql("word-v1")
 
 
 def _chunk_rows(out: DataFrame) -> DataFrame:
@@ -249,12 +253,54 @@ def chunk_documents(spark, sf):
     return _chunk_rows(chunking.chunk_documents(structured(spread(table(spark, sf, "documents")))))
 
 
-@query(_chunks_sql("chars-4", _CFG_SQL.replace("word-v1", "chars-4")))
+@query(_chunks_sql("chars-4"))
 def chunk_documents_by_characters(spark, sf):
     """The chunker under a counter whose counts don't add up: four characters a token, so that each candidate is counted as a whole."""
     return _chunk_rows(chunking.chunk_documents(structured(spread(table(spark, sf, "documents"))), tokenizer=QUADS))
 
 
+_UNITS_SQL = r"""
+WITH RECURSIVE y AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(\n\s*\n)', '\1' || chr(2), 'g'), '([.!?]\s+)([A-Z0-9"“])', '\1' || chr(2) || '\2', 'g'), chr(2)) AS y FROM documents),
+w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY m) AS i, len(regexp_extract_all(t, '\S+')) AS tok FROM (SELECT doc_id, m, regexp_replace(y[m], '\s+$', '') AS t FROM y, unnest(generate_series(1, len(y))) AS g(m)) WHERE t <> ''),
+p AS (SELECT doc_id, i, 0 AS grp, tok AS total, tok FROM w WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.i, CASE WHEN p.total + w.tok <= 300 THEN p.grp ELSE p.grp + 1 END, CASE WHEN p.total + w.tok <= 300 THEN p.total + w.tok ELSE w.tok END, w.tok FROM p JOIN w ON w.doc_id = p.doc_id AND w.i = p.i + 1)
+"""
+
+
+@query(_UNITS_SQL + "SELECT doc_id, grp AS chunk, sum(tok)::BIGINT AS tokens, count(*) AS sentences FROM p GROUP BY 1, 2")
+def pack_sentences(spark, sf):
+    """The chunker's packing alone: a text as one section, sentences to 300 tokens, no overlap."""
+    docs = spread(table(spark, sf, "documents")).withColumn("text", F.replace("text", F.lit("---"), F.lit("—")))
+    limits = ids.Limits(300, 300, 0)
+    packed = T.let(chunking.elements(F.col("text"), WORDS, 300), lambda units: F.transform(chunking.packed_ranges(units, F.lit(0), limits, WORDS), lambda r: F.struct(
+        r["tok"].alias("tokens"), F.size(F.filter(F.slice(units, r["first"] + 1, r["last"] - r["first"] + 1), lambda u: u["t"] != "")).alias("sentences"))))
+    rows = docs.select("doc_id", F.posexplode(packed).alias("chunk", "x"))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("x.tokens").cast("long").alias("tokens"), F.col("x.sentences").cast("long").alias("sentences"))
+
+
+_SMALL = ids.Limits(15, 60, 25)
+
+
+@query(_chunks_sql("word-v1", _SMALL))
+def overlap_tail(spark, sf):
+    """The chunker under small limits, where most pieces are one sentence: the next one repeats whole sentences of it."""
+    return _chunk_rows(chunking.chunk_documents(structured(spread(table(spark, sf, "documents"))), _SMALL))
+
+
+@query(_chunks_sql("chars-4", _SMALL))
+def overlap_by_characters(spark, sf):
+    """The same where counts don't add up: long sentences give slices found by halving."""
+    return _chunk_rows(chunking.chunk_documents(structured(spread(table(spark, sf, "documents"))), _SMALL, QUADS))
+
+
+@query(f"WITH c AS MATERIALIZED ({_CHUNKS}) SELECT a.chunk_id, a.exception_refs AS exception_id, a.text, b.text AS exception_text FROM c a JOIN c b ON b.chunk_id = a.exception_refs")
+def exception_links(spark, sf):
+    """The chunks linked with the exception behind them, and its text: every link leads to a chunk."""
+    out = _chunk_rows(chunking.chunk_documents(structured(spread(table(spark, sf, "documents"))))).select("chunk_id", "exception_refs", "text")
+    behind = out.select(F.col("chunk_id").alias("exception_id"), F.col("text").alias("exception_text"))
+    return out.where("exception_refs <> ''").withColumnRenamed("exception_refs", "exception_id").join(behind, "exception_id").select("chunk_id", "exception_id", "text", "exception_text")
+
+
 @query(r"""SELECT doc_id, i AS window, array_to_string(w[i * 250 + 1:i * 250 + 300], ' ') AS text FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
   unnest(generate_series(0, greatest(len(w) - 51, 0) // 250)) AS g(i) WHERE len(w) > 0""")
 def fixed_window_chunks(spark, sf):
@@ -279,12 +325,12 @@ def reference_extract(spark, sf):
 
 
 @query(r"""SELECT n_nationkey::VARCHAR AS document_version_id, g AS chunk_ordinal, '| Item | Limit |' || chr(10) || '|---|---|' AS table_header,
-  '| Item | Limit |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_name || ' ' || i || ' | ' || i || ' kg |', chr(10) ORDER BY i) AS text
-  FROM (SELECT *, (i - 1) // 2 AS g FROM nation, unnest(generate_series(1, 5)) AS x(i)) WHERE n_name NOT LIKE '% %' GROUP BY n_nationkey, g""")
+  '| Item | Limit |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || replace(n_name, ' ', '-') || ' ' || i || ' | ' || i || ' kg |', chr(10) ORDER BY i) AS text
+  FROM (SELECT *, (i - 1) // 2 AS g FROM nation, unnest(generate_series(1, 5)) AS x(i)) GROUP BY n_nationkey, g""")
 def table_row_groups(spark, sf):
     """Tables split into row groups that repeat the header: two rows of seven tokens beside its six within 20."""
-    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit("| "), F.col("n_name"), F.lit(" "), i, F.lit(" | "), i, F.lit(" kg |"))), "\n")
-    docs = table(spark, sf, "nation").where(~F.col("n_name").contains(" ")).select(
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit("| "), F.replace("n_name", F.lit(" "), F.lit("-")), F.lit(" "), i, F.lit(" | "), i, F.lit(" kg |"))), "\n")
+    docs = table(spark, sf, "nation").select(
         F.col("n_nationkey").cast("string").alias("document_version_id"), F.lit("T").alias("document_title"), F.lit("p").alias("access_policy_id"),
         F.concat(F.lit("| Item | Limit |\n|---|---|\n"), rows).alias("text"))
     out = chunking.chunk_documents(docs, ids.Limits(16, 20, 0))
@@ -331,11 +377,14 @@ def embedding_input_format(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.embedding_input(F.col("source"), F.col("lang"), F.col("text")).alias("embedding_input"))
 
 
-@query(r"""SELECT doc_id, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS normalized, len(regexp_extract_all(text, '\S+')) AS offsets FROM documents""")
+@query(r"""WITH r AS (SELECT doc_id, i, r[i] AS run, regexp_extract(r[i], '\S+$') AS word FROM (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS r FROM documents), unnest(generate_series(1, len(r))) AS g(i)),
+o AS (SELECT doc_id, i, word, sum(length(word) + 1) OVER w - length(word) - 1 AS n, sum(length(run)) OVER w - length(word) AS o FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT d.doc_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS normalized, coalesce(string_agg(n::BIGINT || ':' || o::BIGINT, ',' ORDER BY i), '') AS offsets FROM documents d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id""")
 def whitespace_normalization(spark, sf):
-    """Every offset leads back: the word at each normalized start is the word at its original start."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", T.normalize_spaces(F.col("text")).alias("n"))
-    return docs.select("doc_id", F.col("n.normalized").alias("normalized"), F.size("n.offsets").cast("long").alias("offsets"))
+    """White space normalized, and for each word its place before and after, so that every span maps back."""
+    docs = table(spark, sf, "documents").select("doc_id", T.normalize_spaces(F.col("text")).alias("n"))
+    places = F.transform("n.offsets", lambda o: F.concat_ws(":", o["normalized"].cast("string"), o["original"].cast("string")))
+    return docs.select("doc_id", F.col("n.normalized").alias("normalized"), F.array_join(places, ",").alias("offsets"))
 
 
 @query(r"""WITH d AS (SELECT source, lang, length(text) AS chars, len(regexp_extract_all(text, '\S+')) AS tokens FROM documents),
@@ -688,22 +737,6 @@ def stand_in_cross_encoder(spark, sf):
     return _reranked(spark, sf, 30).select("question_id", "item_id", "rerank_score")
 
 
-@query(f"""SELECT c.doc_id, p.doc_id AS parent_id, length(p.text) AS parent_chars FROM documents c JOIN documents p ON p.doc_id = c.doc_id - c.doc_id % 10
-  WHERE c.doc_id IN ({_OPEN}) AND p.doc_id IN ({_OPEN})""")
-def parent_expansion_authorized(spark, sf):
-    """A passage's parent (here the document at the start of its ten) only if it is readable as well."""
-    ok = _readable(spark, sf)
-    children = ok.select(F.col("item_id").alias("doc_id"), (F.col("item_id") - F.col("item_id") % 10).alias("parent_id"))
-    parents = ok.select(F.col("item_id").alias("parent_id"), F.length("text").cast("long").alias("parent_chars"))
-    return children.join(parents, "parent_id").select("doc_id", "parent_id", "parent_chars")
-
-
-@query(f"""SELECT doc_id, source, substr(text, 1, 80) AS excerpt FROM documents WHERE doc_id IN ({_OPEN})""")
-def source_excerpt(spark, sf):
-    """The excerpt of a source, for everything the principal may read; the rest is not found."""
-    return _readable(spark, sf).select(F.col("item_id").alias("doc_id"), "source", F.substring("text", 1, 80).alias("excerpt"))
-
-
 @query("""SELECT doc_id, CASE WHEN length(text) < 40 THEN 'clarification' WHEN lang = 'en' THEN 'lookup' ELSE 'cross-policy' END AS route FROM documents""")
 def triage(spark, sf):
     route = F.when(F.length("text") < 40, "clarification").when(F.col("lang") == "en", "lookup").otherwise("cross-policy")
@@ -807,6 +840,26 @@ def reference_spans(spark, sf):
     return out.select("chunk_id", "phrase", F.col("start").cast("long").alias("start"), F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("text"))
 
 
+@query("WITH " + _CHUNK_ITEMS + """, au AS (SELECT document_version_id, section_ordinal, min(source_start) AS start, max(source_end) AS stop, count(*) AS n, max(chunk_ordinal) - min(chunk_ordinal) + 1 AS room FROM ch GROUP BY ALL)
+SELECT document_version_id, section_ordinal, start::BIGINT AS start, stop::BIGINT AS stop FROM au WHERE n = room""")
+def parent_expansion_authorized(spark, sf):
+    """What the principal may read of each parent: the intervals that readable chunks cover, never a restricted sibling's."""
+    chunks = retrieval.readable(_chunked(spark, sf), policies(spark), principals(spark).where("user_id = 'ada'"), ["core"])
+    return evidence.authorized_intervals(chunks).select("document_version_id", *[F.col(c).cast("long").alias(c) for c in ("section_ordinal", "start", "stop")])
+
+
+@query("WITH " + _CHUNK_ITEMS + ", tx AS (SELECT DISTINCT doc_id, text FROM (" + _LINES + """SELECT doc_id, text FROM h))
+SELECT chunk_id, CASE WHEN readable THEN 'found' ELSE 'not_found' END AS status, CASE WHEN readable THEN substr(t.text, source_start + 1, source_end - source_start) END AS excerpt FROM cx JOIN tx t USING (doc_id)""")
+def source_excerpt(spark, sf):
+    """The source behind each chunk, from its first span to its last; what may not be read looks as if it weren't there."""
+    every = _chunked(spark, sf)
+    chunks = retrieval.readable(every, policies(spark), principals(spark).where("user_id = 'ada'"), ["core"])
+    texts = structured(spread(table(spark, sf, "documents"))).select("document_version_id", F.col("text").alias("source"))
+    asked = every.select("chunk_id", "document_version_id", "source_start", "source_end").join(chunks.select("chunk_id", F.lit(True).alias("ok")), "chunk_id", "left").join(texts, "document_version_id")
+    shown = F.when(F.col("ok"), F.substring("source", F.col("source_start") + 1, F.col("source_end") - F.col("source_start")))
+    return asked.select("chunk_id", F.when(F.col("ok"), "found").otherwise("not_found").alias("status"), shown.alias("excerpt"))
+
+
 _PACK_BUDGETS = (1700, 3500)
 
 
@@ -892,16 +945,20 @@ def graph_rerank(spark, sf):
         F.col("window_index").cast("long").alias("window"), F.col("window_text").alias("text"))
 
 
+def _labelled_sections(spark, sf) -> DataFrame:
+    """Sections with tenant, corpus and both rules."""
+    parts = chunking.sections(structured(spread(table(spark, sf, "documents"))))
+    rule = F.when(F.col("access_policy_id") == "restricted", "store").otherwise("staff")
+    return parts.withColumn("tenant_id", F.lit("museum")).withColumn("corpus_id", F.lit("core")).withColumn("document_policy_id", F.lit("staff")).withColumn("access_policy_id", rule)
+
+
 @query(_BODIES + """SELECT x.section_id, heading, CASE WHEN heading IS NULL THEN 'not_found' ELSE 'found' END AS status, length(body)::BIGINT AS chars
   FROM (SELECT doc_id || ':' || h AS section_id FROM documents, (VALUES ('1 Purpose'), ('2.1 Review Steps'), ('9 Nowhere')) AS v(h) WHERE doc_id % 50 = 0) x
   LEFT JOIN (SELECT doc_id || ':' || heading AS section_id, heading, substr(text, (body_start + 1)::BIGINT, (body_end - body_start)::BIGINT) AS body FROM s WHERE access_policy_id = 'internal') y USING (section_id)""")
 def section_lookup(spark, sf):
     """Sections by id, for every 50th document; a forbidden section and one that doesn't exist look the same."""
     asked = table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.explode(F.array(*[F.concat("doc_id", F.lit(f":{h}")) for h in ("1 Purpose", "2.1 Review Steps", "9 Nowhere")])).alias("section_id"))
-    parts = chunking.sections(structured(table(spark, sf, "documents")))
-    rule = F.when(F.col("access_policy_id") == "restricted", "store").otherwise("staff")
-    parts = parts.withColumn("tenant_id", F.lit("museum")).withColumn("corpus_id", F.lit("core")).withColumn("document_policy_id", F.lit("staff")).withColumn("access_policy_id", rule)
-    ok = retrieval.readable(parts, policies(spark), principals(spark).where("user_id = 'ada'"))
+    ok = retrieval.readable(_labelled_sections(spark, sf), policies(spark), principals(spark).where("user_id = 'ada'"))
     return retrieval.get_sections(asked, ok).select("section_id", "heading", "status", F.length("body").cast("long").alias("chars"))
 
 
@@ -911,7 +968,8 @@ o AS (SELECT first, second, heading, place, digest AS a FROM pairs JOIN q ON doc
 SELECT first::VARCHAR AS first, second::VARCHAR AS second, heading, place, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN w USING (first, second, heading, place)""")
 def compare_versions(spark, sf):
     """Each policy's first version against its second, readable section by section."""
-    parts = chunking.sections(structured(table(spark, sf, "documents"))).where("access_policy_id = 'internal'")
+    parts = _labelled_sections(spark, sf)
+    parts = retrieval.readable(parts, policies(spark), principals(spark).where("user_id = 'ada'"))
     ids_ = table(spark, sf, "documents").select("doc_id")
     pairs = ids_.where("doc_id % 3 = 0").join(ids_.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi")
     pairs = pairs.select(F.col("doc_id").cast("string").alias("first"), (F.col("doc_id") + 1).cast("string").alias("second"))
