@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +134,19 @@ def _tokenizer(model: str):
     return Tokenizer.from_str(model)
 
 
+def _encoded(tokenizer, words: list[str], line: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words in turn and how many each has; they are encoded as lines of words, and offsets tell whose an id is."""
+    flat, size = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+    lines = [words[i : i + line] for i in range(0, len(words), line)]
+    for own, got in zip(lines, tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        room = np.fromiter((len(w) + 1 for w in own), np.int64, len(own))
+        start = np.cumsum(room) - room
+        at = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
+        flat.append(np.array(got.ids, np.uint32))
+        size.append(np.bincount(np.searchsorted(start, at, "right") - 1, minlength=len(own)))
+    return np.concatenate(flat), np.concatenate(size)
+
+
 class WordIds:
     """A tokenizer with the ids of the words met so far, as sorted arrays; emptied beyond ``_MOST`` words."""
 
@@ -149,9 +161,7 @@ class WordIds:
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         if len(self.hash) > _MOST:
             self.clear()
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+        flat, size = _encoded(self.tokenizer, words)
         at = len(self.flat) + np.cumsum(size) - size
         where = np.searchsorted(self.hash, hashes)
         self.hash, self.at, self.size = (np.insert(a, where, b) for a, b in ((self.hash, hashes), (self.at, at), (self.size, size)))
