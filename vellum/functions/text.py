@@ -115,18 +115,42 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     return let(words(text), cut)
 
 
+def sums_before(sizes: Column) -> Column:
+    """For each of an array's ints the sum of those before it.
+
+    A fold copies all that it carries at every step, so a fold that carries its own output costs the square of the
+    array's length.  Here blocks of about the root of that length are summed each, and then their totals.
+    """
+
+    def folded(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
+
+    def blocks(x: Column, width: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(x), width)
+        return F.transform(starts, lambda s: folded(F.slice(x, s, width)))
+
+    def joined(b: Column) -> Column:
+        at = folded(F.transform(b, lambda y: y["at"]))["out"]
+        return let(at, lambda base: F.flatten(F.transform(b, lambda y, i: F.transform(y["out"], lambda n: n + F.get(base, i)))))
+
+    width = lambda x: F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int")
+    return let(sizes, lambda x: F.when(F.size(x) > 0, let(width(x), lambda w: let(blocks(x, w), joined))).otherwise(F.array().cast("array<int>")))
+
+
 def normalize_spaces(text: Column) -> Column:
     """The text with every white-space run as one space, and where each of its words began in the original.
 
     Struct (normalized, offsets): offsets holds (normalized start, original start) for each run of
     non-space, so any span of the normalized copy maps back; the original is kept by the caller.
     """
-    runs = F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0))
-    start = F.struct(F.lit(0).alias("from"), F.lit(0).alias("to"), F.array().cast("array<struct<normalized:int,original:int>>").alias("out"))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0)), F.length)
+
+    def places(runs: Column, word: Column) -> Column:
+        def placed(to: Column, from_: Column) -> Column:
+            return F.transform(word, lambda n, i: F.struct(F.get(to, i).alias("normalized"), (F.get(from_, i) + F.get(runs, i) - n).alias("original")))
 
-    def add(a: Column, run: Column) -> Column:
-        word = F.length(F.regexp_replace(run, r"^(?U)\s+", ""))
-        at = F.struct(a["to"].alias("normalized"), (a["from"] + F.length(run) - word).alias("original"))
-        return F.struct((a["from"] + F.length(run)).alias("from"), (a["to"] + word + 1).alias("to"), F.concat(a["out"], F.array(at)).alias("out"))
+        return let(sums_before(F.transform(word, lambda n: n + 1)), lambda to: let(sums_before(runs), lambda from_: placed(to, from_)))
 
-    return F.struct(F.array_join(words(text), " ").alias("normalized"), F.aggregate(runs, start, add, lambda a: a["out"]).alias("offsets"))
+    offsets = let(runs, lambda r: let(F.transform(words(text), F.length), lambda w: places(r, w)))
+    return F.struct(F.array_join(words(text), " ").alias("normalized"), offsets.alias("offsets"))
