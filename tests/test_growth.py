@@ -2,10 +2,14 @@
 
 import itertools
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators import retrieval
 
 
 def test_sums_before(spark):
@@ -22,3 +26,29 @@ def test_a_long_text_is_normalized_in_time(spark):
     got = one.select(F.length("n.normalized").alias("size"), F.size("n.offsets").alias("words"), F.element_at("n.offsets", -1).alias("last")).first()
     assert time.monotonic() - began < 20
     assert (got["size"], got["words"], tuple(got["last"])) == (5 * n - 1, 2 * n, (5 * n - 2, 6 * n - 1))
+
+
+def test_a_task_hands_on_its_best_vectors_only(spark):
+    """However many steps a task takes; what each step found used to be handed on."""
+    rng = np.random.default_rng(0)
+    v = rng.integers(-3, 4, (20_000, 8)).astype(float)
+    batches = [pa.record_batch({"item_id": pa.array(range(at, at + 5000)), "embedding": pa.array(list(v[at : at + 5000]))}) for at in range(0, len(v), 5000)]
+    got = pa.Table.from_batches(retrieval._nearest_best(batches, [(q, v[q]) for q in range(500)], 3, 6)).to_pandas()
+    assert len(got) == 1500
+    for q in (0, 7, 499):
+        want = sorted(range(len(v)), key=lambda i: (-(v[i] @ v[q]), i))[:3]
+        assert list(got[got.question_id == q].item_id) == want
+
+
+def test_keyword_pairs_in_memory_are_bounded(spark):
+    """Documents that share many words with many questions: all their pairs at once took more than a gigabyte."""
+    words = [f"w{i}" for i in range(40)]
+    questions = [(q, " ".join(words) + f" q{q}", [*words, f"q{q}"], [1] * 41) for q in range(100)]
+    n = 8192
+    batch = pa.record_batch({"item_id": pa.array(range(n)), "text": pa.array([" ".join(words)] * n), "tokens": pa.array([words] * n)})
+    tracemalloc.start()
+    got = pa.Table.from_batches(retrieval._keyword_best([batch], questions, 2, 10)).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(got.item_id) == [0, 1] * 100 and set(got.score) == {40}
+    assert peak < 150 << 20
