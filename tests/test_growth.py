@@ -1,6 +1,7 @@
 """Work and memory that must not grow faster than the input."""
 
 import itertools
+import random
 import time
 import tracemalloc
 
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import retrieval
+from vellum.functions.ids import Limits
+from vellum.operators import chunking, retrieval
 
 
 def test_sums_before(spark):
@@ -52,3 +54,31 @@ def test_keyword_pairs_in_memory_are_bounded(spark):
     tracemalloc.stop()
     assert list(got.item_id) == [0, 1] * 100 and set(got.score) == {40}
     assert peak < 150 << 20
+
+
+#: The pattern that says what a sentence is, as a search at every character.
+PLAIN_SENTENCE = r"""(?sU).*?(?:\n\s*\n|(?<=[.!?])(?!\s*\n\s*\n)\s+(?=[A-Z0-9"“])|\z)"""
+
+
+def test_sentences_are_those_of_the_plain_pattern(spark):
+    r = random.Random(3)
+    texts = [("".join(r.choice("aA.?! \n\n\t\u00a07“") for _ in range(r.randrange(30))),) for _ in range(3000)]
+    both = spark.createDataFrame(texts, "t string").select("t", *[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(c) for c, p in (("new", T.SENTENCE), ("plain", PLAIN_SENTENCE))])
+    assert both.where("new <> plain").count() == 0
+
+
+def test_costly_searches_are_spared_only_where_they_find_nothing(spark):
+    texts = ["EXCEPT x", "Unleſs y", "an exception applies", "exceptional", "Refer To a", "ſee ſection 3", "SEE THE b", "see section c", "tree the", "", "none", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.is_exception(F.col("t")), F.col("t").rlike(T.EXCEPTION), T.references(F.col("t")), F.array_distinct(F.regexp_extract_all("t", F.lit(T.REFERENCE), F.lit(0)))).collect()
+    assert [(r[0], r[2]) for r in got] == [(r[1], r[3]) for r in got]
+
+
+def test_a_long_table_is_grouped_in_time(spark):
+    """A row group is not counted anew for every row, and no fold carries the rows: both cost the square of a table."""
+    n = 6000
+    text = "T\n\n| a | b |\n|---|---|\n" + "\n".join(f"| row {i} | {i} |" for i in range(n))
+    docs = spark.createDataFrame([("v", "Title", "p", text)], "document_version_id string, document_title string, access_policy_id string, text string")
+    began = time.monotonic()
+    got = chunking.chunk_documents(docs, Limits(20_000, 30_000, 50)).where("table_header is not null").select("text", "token_count").collect()
+    assert time.monotonic() - began < 20
+    assert sum(c["text"].count("| row ") for c in got) == n and all(len(c["text"].split()) == c["token_count"] <= 30_000 for c in got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ BARE_HEADING = r"(?U)^(\d+\.\d+(?:\.\d+)*)\s+(\S.*?)\s*$"
 SENTENCE_BREAK = r"""(?U)(?<=[.!?])\s+(?=[A-Z0-9"“])"""
 BLOCK_BREAK = r"(?U)\n\s*\n"
 #: A sentence with the white space behind it: up to a blank line, a sentence break that no blank line is in, or the end.
-SENTENCE = r"""(?sU).*?(?:\n\s*\n|(?<=[.!?])(?!\s*\n\s*\n)\s+(?=[A-Z0-9"“])|\z)"""
+#: Stops are looked at only where a line or a run of closing marks ends.
+_SENTENCE_END = r"""(?!\s*\n\s*\n)\s+(?=[A-Z0-9"“])"""
+SENTENCE = rf"""(?sU)(?:[^\n.!?]++|[.!?]++(?!{_SENTENCE_END})|\n(?!\s*\n))*+(?:\n\s*\n|[.!?]++{_SENTENCE_END}|\z)"""
 EXCEPTION = r"(?iU)(^\s*exception\b|\b(except|unless)\b|\bexception applies\b)"
 REFERENCE = r"(?iU)\b(refer to|see section|see the)\b[^.\n]{0,160}"
 TABLE_ROW = r"(?U)^\s*\|.+\|\s*$"
@@ -70,13 +74,27 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+def _has(text: Column, *parts: str) -> Column:
+    """Whether one of some lower-case parts occurs in any case: spares most texts a costlier search."""
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts]))
+
+
 def is_exception(text: Column) -> Column:
-    return text.rlike(EXCEPTION)
+    return _has(text, "excep", "unle") & text.rlike(EXCEPTION)
 
 
 def references(text: Column) -> Column:
     """Distinct reference phrases in the order they first appear."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
+    return F.when(text.isNull() | _has(text, "refer to", "ee section", "ee the", "ee ſection"), found).otherwise(F.array().cast("array<string>"))
+
+
+def is_table_row(line: Column) -> Column:
+    return F.contains(line, F.lit("|")) & line.rlike(TABLE_ROW)
+
+
+def is_table_rule(line: Column) -> Column:
+    return F.contains(line, F.lit("---")) & line.rlike(TABLE_RULE)
 
 
 def within_words(text: Column, least: int = 500, most: int = 800) -> Column:
@@ -85,16 +103,20 @@ def within_words(text: Column, least: int = 500, most: int = 800) -> Column:
 
 
 def has_table(text: Column) -> Column:
-    return F.contains(text, F.lit("---")) & F.exists(F.split(text, "\n"), lambda line: line.rlike(TABLE_RULE))
+    return F.contains(text, F.lit("---")) & F.exists(F.split(text, "\n"), is_table_rule)
+
+
+#: What (?U)\s matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_end(text: Column) -> Column:
-    """Without the white space, Unicode's included, at its end; a look at the last character spares most texts a search."""
-    return F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)\s+\z", "")).otherwise(text)
+    """Without the white space, Unicode's included, at its end."""
+    return F.rtrim(text, F.lit(WHITE))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def embedding_input(title: Column, heading_path: Column, text: Column) -> Column:

@@ -44,17 +44,16 @@ def sections(docs: DataFrame) -> DataFrame:
     after the document; it keeps the document's policy.  Blank documents give none.
     """
     key, named = "document_version_id", "access_by_heading" in docs.columns
-    found = "array<struct<heading:string,at:int,line:int>>"
 
     def read(lines: Column) -> Column:
         """The headings with where their lines begin and the lines' numbers."""
+        heads = F.filter(F.transform(lines, lambda x, i: F.struct(T.heading(x).alias("heading"), i.alias("line"))), lambda h: h["heading"].isNotNull())
 
-        def step(a: Column, line: Column) -> Column:
-            here = F.when(line["h"].isNotNull(), F.concat(a["out"], F.array(F.struct(line["h"].alias("heading"), a["at"].alias("at"), a["n"].alias("line"))))).otherwise(a["out"])
-            return F.struct((a["at"] + line["size"] + 1).alias("at"), (a["n"] + 1).alias("n"), here.alias("out"))
+        def placed(h: Column) -> Column:
+            at = T.sums_before(F.transform(lines, lambda x: F.length(x) + 1))
+            return T.let(at, lambda before: F.transform(h, lambda x: F.struct(x["heading"].alias("heading"), F.get(before, x["line"]).alias("at"), x["line"].alias("line"))))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(found).alias("out"))
-        return F.aggregate(F.transform(lines, lambda x: F.struct(F.length(x).alias("size"), T.heading(x).alias("h"))), start, step, lambda a: a["out"])
+        return T.let(heads, lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(_none("struct<heading:string,at:int,line:int>")))
 
     def parts(lines: Column, heads: Column) -> Column:
         total = F.length("text")
@@ -102,33 +101,53 @@ def _sentences(text: Column, tokenizer: Tokenizer) -> Column:
 
 def _table_groups(block: Column, lines: Column, rule: Column, tokenizer: Tokenizer, most: int) -> Column:
     """Row groups that repeat the header, as many rows as fit; the lines up to the first rule (number ``rule``, from 1) are the header."""
-    row = "array<struct<s:int,e:int,t:string>>"
     top = F.slice(lines, F.lit(1), rule)
 
     def shaped(line: Column) -> Column:
-        return line.rlike(T.TABLE_ROW) | line.rlike(T.TABLE_RULE)
+        return T.is_table_row(line) | T.is_table_rule(line)
 
     def groups(size: Column, shown: Column, header: Column) -> Column:
-        def rendered(rows: Column) -> Column:
-            return F.concat(shown, F.lit("\n"), F.array_join(F.transform(rows, lambda r: r["t"]), "\n"))
-
         def group(rows: Column) -> Column:
             spans = F.concat(F.array(_span(F.lit(0), size)), F.transform(rows, lambda r: _span(r["s"], F.least(r["e"], F.length(block)))))
-            return T.let(rendered(rows), lambda t: F.struct(spans.alias("spans"), header.alias("header"), t.alias("rendered"), tokenizer.count(t).cast("int").alias("tok")))
-
-        def step(a: Column, line: Column) -> Column:
-            behind = a["at"] + F.length(line) + 1
-            one = F.array(F.struct(a["at"].alias("s"), behind.alias("e"), T.strip(line).alias("t")))
-            fits = tokenizer.count(rendered(F.concat(a["rows"], one))) <= most
-            alone = F.when(tokenizer.count(rendered(one)) <= most, one).otherwise(F.raise_error(F.lit("a table row with its header exceeds the token limit")).cast(row))
-            closed = F.struct(behind.alias("at"), alone.alias("rows"), F.when(F.size(a["rows"]) > 0, F.concat(a["out"], F.array(group(a["rows"])))).otherwise(a["out"]).alias("out"))
-            grown = F.struct(behind.alias("at"), F.concat(a["rows"], one).alias("rows"), a["out"].alias("out"))
-            skipped = F.struct(behind.alias("at"), a["rows"].alias("rows"), a["out"].alias("out"))
-            return F.when(~line.rlike(T.TABLE_ROW) | line.rlike(T.TABLE_RULE), skipped).when(fits, grown).otherwise(closed)
-
-        start = F.struct(size.alias("at"), F.array().cast(row).alias("rows"), _none(GROUP).alias("out"))
-        done = lambda a: F.when(F.size(a["rows"]) > 0, F.concat(a["out"], F.array(group(a["rows"])))).otherwise(a["out"])
-        return F.aggregate(F.slice(lines, rule + 1, F.size(lines)), start, step, done)
+            rendered = F.concat(shown, F.lit("\n"), F.array_join(F.transform(rows, lambda r: r["t"]), "\n"))
+            return T.let(rendered, lambda t: F.struct(spans.alias("spans"), header.alias("header"), t.alias("rendered"), tokenizer.count(t).cast("int").alias("tok")))
+
+        def read(rest: Column) -> Column:
+            def one(before: Column) -> Column:
+                placed = F.transform(rest, lambda line, i: F.struct(line.alias("line"), (size + F.get(before, i)).alias("s")))
+                rows = F.filter(placed, lambda x: T.is_table_row(x["line"]) & ~T.is_table_rule(x["line"]))
+                return F.transform(rows, lambda x: T.let(T.strip(x["line"]), lambda t: F.struct(
+                    x["s"].alias("s"), (x["s"] + F.length(x["line"]) + 1).alias("e"), t.alias("t"), (tokenizer.count(t) if tokenizer.additive else F.lit(0)).cast("int").alias("tok"))))
+
+            return T.let(T.sums_before(F.transform(rest, lambda x: F.length(x) + 1)), one)
+
+        def ends(rows: Column, own: Column) -> Column:
+            """The first row of each group, as a fold over the rows: what is carried is the open group's tokens, or its text where they don't add up."""
+
+            def step(a: Column, r: Column) -> Column:
+                def with_text(text: Column) -> Column:
+                    def state(tok: Column, text: Column, out: Column) -> Column:
+                        return F.struct((a["i"] + 1).alias("i"), tok.cast("int").alias("tok"), text.alias("text"), out.alias("out"))
+
+                    def alone() -> Column:
+                        t = F.concat(shown, F.lit("\n"), r["t"])
+                        tok = own + r["tok"] if tokenizer.additive else tokenizer.count(t)
+                        fits = T.let(tok, lambda n: F.when(n <= most, n).otherwise(F.raise_error(F.lit("a table row with its header exceeds the token limit")).cast("int")))
+                        return state(fits, F.lit("") if tokenizer.additive else t, F.array_append(a["out"], a["i"]))
+
+                    tok = a["tok"] + r["tok"] if tokenizer.additive else tokenizer.count(text)
+                    return T.let(tok, lambda n: F.when((a["i"] > 0) & (n <= most), state(n, text, a["out"])).otherwise(alone()))
+
+                return with_text(F.lit("")) if tokenizer.additive else T.let(F.concat(a["text"], F.lit("\n"), r["t"]), with_text)
+
+            zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("tok"), F.lit("").alias("text"), F.array().cast("array<int>").alias("out"))
+            return F.aggregate(rows, zero, step, lambda a: a["out"])
+
+        def cut(rows: Column) -> Column:
+            first = T.let(tokenizer.count(shown).cast("int"), lambda own: ends(rows, own))
+            return T.let(first, lambda f: F.transform(f, lambda at, i: group(F.slice(rows, at + 1, F.coalesce(F.get(f, i + 1), F.size(rows)) - at))))
+
+        return T.let(F.slice(lines, rule + 1, F.size(lines)), lambda rest: T.let(read(rest), cut))
 
     text = F.array_join(top, "\n")
     return T.let(F.length(text) + 1, lambda size: T.let(T.strip(text), lambda shown: T.let(
@@ -147,7 +166,7 @@ def _block(raw: Column, tokenizer: Tokenizer, most: int) -> Column:
 
             def after(line: Column, i: Column) -> Column:
                 whole = F.concat(line, F.when(i + 1 < F.size(lines), "\n").otherwise(""))
-                prose = (i >= rule) & ~line.rlike(T.TABLE_ROW) & ~line.rlike(T.TABLE_RULE) & line.rlike(r"(?U)\S")
+                prose = (i >= rule) & ~T.is_table_row(line) & ~T.is_table_rule(line) & line.rlike(r"(?U)\S")
                 return F.when(prose, _sentences(whole, tokenizer)).otherwise(F.array(_element(whole, F.lit(""), tokenizer)))
 
             rest = F.substring(raw, F.length(block) + 1, F.length(raw))  # white space behind the block
@@ -157,11 +176,11 @@ def _block(raw: Column, tokenizer: Tokenizer, most: int) -> Column:
         return F.when(block == "", blank).when(rule == 0, _sentences(raw, tokenizer)).otherwise(T.let(_table_groups(block, lines, rule, tokenizer, most), with_lines))
 
     return T.let(F.split(block, "\n"), lambda lines: T.let(
-        F.array_position(F.transform(lines, lambda x: x.rlike(T.TABLE_RULE)), True).cast("int"), lambda rule: table(lines, rule)))
+        F.array_position(F.transform(lines, T.is_table_rule), True).cast("int"), lambda rule: table(lines, rule)))
 
 
 def elements(body: Column, tokenizer: Tokenizer, most: int) -> Column:
-    blocks = F.regexp_extract_all(body, F.lit(r"(?s).*?(?:" + T.BLOCK_BREAK + r"|\z)"), F.lit(0))
+    blocks = F.regexp_extract_all(body, F.lit(r"(?sU)(?:[^\n]++|\n(?!\s*\n))*+(?:\n\s*\n|\z)"), F.lit(0))
     by_block = F.flatten(F.transform(F.filter(blocks, lambda b: b != ""), lambda b: _block(b, tokenizer, most)))
     return F.when(T.has_table(body), by_block).otherwise(_sentences(body, tokenizer))
 
@@ -194,30 +213,36 @@ def packed_ranges(units: Column, start: Column, limits: Limits, tokenizer: Token
 
     def overlapped(a: Column, u: Column) -> Column:
         """Whole sentences from the end of the piece just closed, while they fit the overlap; it must be one span."""
-        kind = "struct<go:boolean,back:int,taken:int,seen:int,text:string,kept:string,tok:int>"
+        kind = "struct<go:boolean,back:int,taken:int,kept_tok:int,seen:int,size:int,tok:int,text:string,kept:string>"
 
         def back(b: Column, x: Column) -> Column:
-            def with_text(text: Column) -> Column:
-                fits = b["go"] & (tokenizer.count(T.trim_end(text)) <= limits.overlap)
-                far = b["seen"] + 1
-
-                def pick(yes, no):
-                    return F.when((x["t"] != "") & fits, yes).otherwise(no)
+            def counted(text: Column, tok: Column) -> Column:
+                def picked(take: Column, fits: Column) -> Column:
+                    new = {"back": b["size"] + x["n"], "taken": b["seen"] + 1, "kept_tok": tok, "kept": text}
+                    pick = {n: F.when(take, v).otherwise(b[n]) for n, v in new.items()}
+                    return F.struct(
+                        (fits | (x["t"] == "")).alias("go"), pick["back"].alias("back"), pick["taken"].alias("taken"), pick["kept_tok"].alias("kept_tok"),
+                        (b["seen"] + 1).alias("seen"), (b["size"] + x["n"]).alias("size"), tok.cast("int").alias("tok"), text.alias("text"), pick["kept"].alias("kept"))
 
-                return F.struct(
-                    (b["go"] & (fits | (x["t"] == ""))).alias("go"), pick(F.length(text), b["back"]).alias("back"), pick(far, b["taken"]).alias("taken"), far.alias("seen"),
-                    text.alias("text"), pick(text, b["kept"]).alias("kept"), b["tok"].alias("tok"))
+                return T.let(tok <= limits.overlap, lambda fits: T.let((x["t"] != "") & fits, lambda take: picked(take, fits)))
 
-            return F.when(b["go"], T.let(F.concat(x["r"], b["text"]), with_text)).otherwise(b)
+            if tokenizer.additive:  # what was skipped stands in the text as well
+                own = F.when(x["t"] != "", x["tok"]).otherwise(tokenizer.count(x["r"]).cast("int"))
+                return F.when(b["go"], T.let(b["tok"] + own, lambda tok: counted(F.lit(""), tok))).otherwise(b)
+            return F.when(b["go"], T.let(F.concat(x["r"], b["text"]), lambda text: T.let(tokenizer.count(T.trim_end(text)).cast("int"), lambda tok: counted(text, tok)))).otherwise(b)
 
         def joined(v: Column) -> Column:
+            def grown(text: Column, both: Column, behind: Column) -> Column:
+                one = state(a, u, first=a["i"] - v["taken"], head=a["i"], last=a["i"], start=a["at"] - v["back"], tok=both, overlap=behind,
+                            text=F.lit("") if tokenizer.additive else text, out=closed(a, F.lit(False)))
+                return F.when((v["taken"] > 0) & (both <= limits.most), one).otherwise(begun(a, u, closed(a, F.lit(False))))
+
+            if tokenizer.additive:
+                return T.let(v["kept_tok"] + u["tok"], lambda both: grown(F.lit(""), both, v["kept_tok"]))
             text = F.concat(v["kept"], u["t"])
-            both, behind = tokenizer.count(text).cast("int"), tokenizer.count(v["kept"]).cast("int")
-            grown = state(a, u, first=a["i"] - v["taken"], head=a["i"], last=a["i"], start=a["at"] - v["back"], tok=both, overlap=behind,
-                          text=F.lit("") if tokenizer.additive else text, out=closed(a, F.lit(False)))
-            return F.when((v["taken"] > 0) & (both <= limits.most), grown).otherwise(begun(a, u, closed(a, F.lit(False))))
+            return T.let(text, lambda t: T.let(tokenizer.count(t).cast("int"), lambda both: grown(t, both, tokenizer.count(v["kept"]).cast("int"))))
 
-        zero = F.struct(F.lit(True), F.lit(0), F.lit(0), F.lit(0), F.lit(""), F.lit(""), F.lit(0)).cast(kind)
+        zero = F.struct(F.lit(True), *[F.lit(0)] * 6, F.lit(""), F.lit("")).cast(kind)
         tail = F.aggregate(F.reverse(F.slice(units, a["first"] + 1, a["i"] - a["first"])), zero, back)
         return F.when((a["head"] == a["last"]) & F.lit(limits.overlap > 0), T.let(tail, joined)).otherwise(begun(a, u, closed(a, F.lit(False))))
 
@@ -292,14 +317,15 @@ def chunk_sections(parts: DataFrame, limits: Limits | None = None, tokenizer: To
     """Child chunks of sections (as ``sections`` gives them), one row each."""
     limits = limits or Limits()
     digest = fingerprint(limits, tokenizer.name)
-    rows = parts.withColumn("tokens", tokenizer.count(F.col("body")).cast("int")).where("tokens > 0").where(F.col("body").rlike(r"(?U)\S"))
-    whole = F.array(F.struct(
-        F.array(_span(F.col("body_start"), F.col("body_end"))).alias("spans"), F.col("tokens").alias("tok"), F.lit(None).cast("string").alias("header"), F.col("body").alias("rendered"),
+    rows = parts.where(F.col("body").rlike(r"(?U)\S"))
+    whole = lambda tokens: F.array(F.struct(
+        F.array(_span(F.col("body_start"), F.col("body_end"))).alias("spans"), tokens.alias("tok"), F.lit(None).cast("string").alias("header"), F.col("body").alias("rendered"),
         F.lit(0).alias("overlap"), F.lit(0).alias("part"), F.lit(False).alias("cut")))
     packed = T.let(elements(F.col("body"), tokenizer, limits.most), lambda units: T.let(
         packed_ranges(units, F.col("body_start"), limits, tokenizer), lambda ranges: _pieces(units, ranges, limits, tokenizer)))
-    short = (F.col("tokens") <= limits.most) & ~T.has_table(F.col("body"))
-    named = F.when(short, whole).otherwise(packed)
+    # A body is counted once, here; a filter beside it would count it again.
+    tokens = tokenizer.count(F.col("body")).cast("int")
+    named = T.let(tokens, lambda n: F.when(n > 0, F.when((n <= limits.most) & ~T.has_table(F.col("body")), whole(n)).otherwise(packed)))
     with_ids = F.transform(named, lambda p: F.struct(p.alias("p"), chunk_id(F.col("document_version_id"), p["spans"], p["part"], digest).alias("id")))
 
     def linked(all_: Column) -> Column:
