@@ -106,9 +106,9 @@ def _table_groups(block: Column, lines: Column, rule: Column, tokenizer: Tokeniz
     def shaped(line: Column) -> Column:
         return T.is_table_row(line) | T.is_table_rule(line)
 
-    def groups(size: Column, shown: Column, header: Column) -> Column:
+    def groups(size: Column, shown: Column, header: Column, end: Column) -> Column:
         def group(rows: Column) -> Column:
-            spans = F.concat(F.array(_span(F.lit(0), size)), F.transform(rows, lambda r: _span(r["s"], F.least(r["e"], F.length(block)))))
+            spans = F.concat(F.array(_span(F.lit(0), size)), F.transform(rows, lambda r: _span(r["s"], F.least(r["e"], end))))
             rendered = F.concat(shown, F.lit("\n"), F.array_join(F.transform(rows, lambda r: r["t"]), "\n"))
             return T.let(rendered, lambda t: F.struct(spans.alias("spans"), header.alias("header"), t.alias("rendered"), tokenizer.count(t).cast("int").alias("tok")))
 
@@ -151,7 +151,7 @@ def _table_groups(block: Column, lines: Column, rule: Column, tokenizer: Tokeniz
 
     text = F.array_join(top, "\n")
     return T.let(F.length(text) + 1, lambda size: T.let(T.strip(text), lambda shown: T.let(
-        T.strip(F.array_join(F.filter(top, shaped), "\n")), lambda header: groups(size, shown, header))))
+        T.strip(F.array_join(F.filter(top, shaped), "\n")), lambda header: T.let(F.length(block), lambda end: groups(size, shown, header, end)))))
 
 
 def _block(raw: Column, tokenizer: Tokenizer, most: int) -> Column:
