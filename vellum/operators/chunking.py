@@ -372,7 +372,8 @@ def rerank_windows(pairs: DataFrame, limits: Limits | None = None, tokenizer: To
     row is one question with one candidate, and has a budget of its own.  A candidate that fits is one window
     under its own id; else whole sentences are packed, and a longer sentence is cut into slices that stand
     alone.  Adds window_index, window_id, window_text, window_spans (in the source), window_tokens and window_of.
-    A table's rows are not slices of the source, so a window of a table has all of its chunk's spans.
+    A table's rows are not slices of the source, so a window of a table has all of its chunk's spans, and so has
+    the one window of an empty text.
     """
     limits = limits or Limits()
     title = F.concat_ws(" ", "document_title", "heading_path")
@@ -414,12 +415,14 @@ def rerank_windows(pairs: DataFrame, limits: Limits | None = None, tokenizer: To
     raw = F.filter(F.regexp_extract_all(text, F.lit(r"(?s).*?(?:" + T.SENTENCE_BREAK + r"|\z)"), F.lit(0)), lambda x: x != "")
     fits = tokenizer.count(text) <= F.col("_b")
     found = F.when(fits, F.array(_span(F.lit(0), F.length(text)))).otherwise(local(raw, F.col("_b")))
-    rows = rows.withColumn("_w", found).select(*pairs.columns, F.size("_w").alias("_n"), F.posexplode("_w").alias("window_index", "_s"))
+    # Made where it is exploded: by a column of its own Spark would first filter, and make all windows three times.
+    placed = T.let(found, lambda w: F.transform(w, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.size(w).alias("n"))))
+    rows = rows.select(*pairs.columns, F.posexplode(placed).alias("window_index", "_s"))
     start, end = F.col("_s.start"), F.col("_s.end")
     sliced = F.aggregate("spans", F.lit(-1), lambda a, s: a + s["end"] - s["start"] + 1) == F.length(text)
-    name = F.when(F.col("_n") == 1, F.col("chunk_id").cast("string")).otherwise(F.concat_ws(":rerank:", F.col("chunk_id").cast("string"), F.col("window_index").cast("string")))
+    name = F.when(F.col("_s.n") == 1, F.col("chunk_id").cast("string")).otherwise(F.concat_ws(":rerank:", F.col("chunk_id").cast("string"), F.col("window_index").cast("string")))
     shown = F.substring(text, start + 1, end - start)
     return rows.select(
         *pairs.columns, "window_index", name.alias("window_id"), shown.alias("window_text"),
-        F.when(sliced, source_spans(F.col("spans"), start, end)).otherwise(F.col("spans")).alias("window_spans"), tokenizer.count(shown).cast("int").alias("window_tokens"),
+        F.when(sliced & (start < end), source_spans(F.col("spans"), start, end)).otherwise(F.col("spans")).alias("window_spans"), tokenizer.count(shown).cast("int").alias("window_tokens"),
         F.when(F.col("window_index") > 0, F.concat(F.col("chunk_id").cast("string"), F.lit(":rerank:0"))).alias("window_of"))
