@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.functions.ids import Limits
+from vellum.llm import hashbits, substring_dedup
 from vellum.operators import chunking, retrieval
 
 
@@ -82,3 +83,42 @@ def test_a_long_table_is_grouped_in_time(spark):
     got = chunking.chunk_documents(docs, Limits(20_000, 30_000, 50)).where("table_header is not null").select("text", "token_count").collect()
     assert time.monotonic() - began < 20
     assert sum(c["text"].count("| row ") for c in got) == n and all(len(c["text"].split()) == c["token_count"] <= 30_000 for c in got)
+
+
+def test_copies_of_a_text_are_set_aside(spark, monkeypatch):
+    """Every place of every copy was staged, and its text dealt out with its cuts."""
+    text, staged, write = " ".join(f"w{i * i}" for i in range(200)), {}, substring_dedup.Scratch.write
+
+    def counted(self, df, name, *a, **k):
+        out = write(self, df, name, *a, **k)
+        staged[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup.Scratch, "write", counted)
+    rows = [(i, text) for i in range(5, 50)] + [(90, text[:300] + "!"), (None, text), (3, text[:49]), (4, text[:49]), (None, None)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(d, n, n if d is None or d > 5 and d < 90 else 300 if d == 90 else 0) for d, t in rows for n in [len(t or "")]]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"])) for r in got)
+    assert all(r["n_spans"] == (r["n_removed"] > 0) and len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in got)
+    assert staged["found"] < 2 * len(text) // 10 and staged["cuts"] == 1
+
+
+def test_sides_that_no_string_holds_are_not_counted():
+    """They kept twice as many places, of which nothing could come."""
+    texts = [bytes(random.Random(s).choices(range(97, 123), k=400)) for s in range(20)]
+    found = substring_dedup.Anchors(texts)
+    before, after = found.reach()
+    assert (before | after).all() and not (before & after).all()
+    assert len(found.distinct()) == before.sum() + after.sum() < 2 * len(found.at)
+
+
+def test_two_marks_let_fewer_others_through(spark):
+    def items(batch):
+        return [np.random.default_rng(0).integers(0, 2**64, 400_000, np.uint64)] if batch.num_rows else []
+
+    asked, passed = np.random.default_rng(1).integers(0, 2**64, 100_000, np.uint64), []
+    for marks in (1, 2):
+        bits = hashbits.shared(spark.range(1), items, count=2, size=1 << 20, marks=marks)
+        assert all(bits.maybe(x).all() for x in items(pa.record_batch({"id": [0]})))
+        passed.append(bits.maybe(asked).mean())
+    assert passed[1] < 0.015 < 0.03 < passed[0]

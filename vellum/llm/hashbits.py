@@ -3,7 +3,9 @@
 Tasks reduce their items to sorted runs, dealt by value ranges; each range is merged and counted by
 one task.  What comes back is a bitmap of at most ``BYTES``, smaller for few items, with one bit for
 many values once the corpus is large: a set bit only means "maybe shared", which costs work, never
-results.  Optionally the values of the highest counts are returned too, again a bounded number.
+results.  With two marks a value has a second bit in the same 64 bytes, so that fewer others pass while
+the bitmap is far from full.  Optionally the values of the highest counts are returned too, again a
+bounded number.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import pack_ints, pack_sorted, shuffle_width, squeeze, unpack_ints, unpack_sorted, unsqueeze
+from vellum.llm.common import pack_ints, pack_sorted, shuffle_files_removed, shuffle_width, squeeze, unpack_ints, unpack_sorted, unsqueeze
 
 BITS = 44  # of an item's 64-bit hash
-BYTES, LEAST = 1 << 25, 1 << 20
+BYTES, LEAST, BLOCK = 1 << 25, 1 << 20, 64
 _FLUSH = 2_000_000
 _SCHEMA = "part int, items binary, counts binary"
 
@@ -26,7 +28,7 @@ def bitmap_bytes(items: int) -> int:
 
 
 def first_byte(part: int, parts: int, size: int = BYTES) -> int:
-    return -(-part * size // parts)
+    return -(-part * (size // BLOCK) // parts) * BLOCK
 
 
 def shift(size: int) -> int:
@@ -34,6 +36,12 @@ def shift(size: int) -> int:
     return BITS - (size.bit_length() + 2)
 
 
+def second(item: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Another bit in the block of ``bit``, by bits of the item that did not choose that one."""
+    block = BLOCK * 8 - 1
+    return (bit & ~block) | (item & np.uint64(block)).astype(np.int64)
+
+
 class Collector:
     """Gathers items (each document's own distinct ones) and hands them on as sorted runs."""
 
@@ -62,20 +70,26 @@ class Collector:
 class Shared:
     """The result: ``bits`` and the ``heavy`` items (ascending) with their counts."""
 
-    def __init__(self, bits: np.ndarray, heavy: np.ndarray, counts: np.ndarray):
-        self.bits, self.heavy, self.counts = bits, heavy, counts
+    def __init__(self, bits: np.ndarray, heavy: np.ndarray, counts: np.ndarray, marks: int = 1):
+        self.bits, self.heavy, self.counts, self.marks = bits, heavy, counts, marks
         self.shift = shift(len(bits))
 
     def __getstate__(self) -> tuple:
-        return squeeze(self.bits.tobytes()), self.heavy, self.counts
+        return squeeze(self.bits.tobytes()), self.heavy, self.counts, self.marks
 
     def __setstate__(self, state: tuple) -> None:
-        self.bits, self.heavy, self.counts = np.frombuffer(unsqueeze(state[0]), np.uint8), *state[1:]
+        self.bits, self.heavy, self.counts, self.marks = np.frombuffer(unsqueeze(state[0]), np.uint8), *state[1:]
         self.shift = shift(len(self.bits))
 
+    def _set(self, bit: np.ndarray) -> np.ndarray:
+        return ((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         bit = (hashes >> np.uint64(64 - BITS + self.shift)).astype(np.int64)
-        return ((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+        out = self._set(bit)
+        if self.marks > 1:
+            out[out] = self._set(second(hashes[out] >> np.uint64(64 - BITS), bit[out]))
+        return out
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
         """1 where surely alone, the exact count of a heavy item, else 2."""
@@ -89,8 +103,8 @@ class Shared:
         return out
 
 
-def shared(docs: DataFrame, items, count: int = 1, heavy: int = 0, heavy_from: int = 16, size: int = BYTES) -> Shared:
-    """``items(batch)`` gives arrays of hashes, each distinct within its document, for a batch of ``docs``; ``size``: bytes of the bitmap."""
+def shared(docs: DataFrame, items, count: int = 1, heavy: int = 0, heavy_from: int = 16, size: int = BYTES, marks: int = 1) -> Shared:
+    """``items(batch)`` gives arrays of hashes, each distinct within its document, for a batch of ``docs``; ``size``: bytes of the bitmap; ``marks``: bits of a value, 1 or 2."""
     parts = shuffle_width(docs.sparkSession)
 
     def runs(batches):
@@ -118,7 +132,10 @@ def shared(docs: DataFrame, items, count: int = 1, heavy: int = 0, heavy_from: i
         item, n = item[first], np.add.reduceat(n, first)
         lo, hi = first_byte(part, parts, size), first_byte(part + 1, parts, size)
         mark = np.zeros((hi - lo) * 8, np.uint8)
-        mark[(item[n >= 2] >> np.uint64(shift(size))).astype(np.int64) - lo * 8] = 1
+        bit = (item[n >= 2] >> np.uint64(shift(size))).astype(np.int64)
+        mark[bit - lo * 8] = 1
+        if marks > 1:
+            mark[second(item[n >= 2], bit) - lo * 8] = 1
         top = np.flatnonzero(n >= heavy_from) if heavy else np.empty(0, np.int64)
         most = max(1, heavy // parts)
         if len(top) > most:
@@ -127,11 +144,12 @@ def shared(docs: DataFrame, items, count: int = 1, heavy: int = 0, heavy_from: i
             pa.array([part], pa.int32()), pa.array([squeeze(np.packbits(mark, bitorder="little").tobytes())], pa.binary()),
             pa.array([pack_sorted(item[top])], pa.binary()), pa.array([n[top].astype("<u4").tobytes()], pa.binary())], names=["part", "bits", "items", "counts"])
 
-    found = docs.mapInArrow(runs, _SCHEMA).repartitionById(parts, "part").mapInArrow(merge, "part int, bits binary, items binary, counts binary")
+    with shuffle_files_removed(docs.sparkSession):
+        found = docs.mapInArrow(runs, _SCHEMA).repartitionById(parts, "part").mapInArrow(merge, "part int, bits binary, items binary, counts binary").collect()
     bits, top, counts = np.zeros(size, np.uint8), [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-    for r in sorted(found.collect(), key=lambda r: r["part"]):  # ``size`` bytes and ``heavy`` entries in all
+    for r in sorted(found, key=lambda r: r["part"]):  # ``size`` bytes and ``heavy`` entries in all
         got = np.frombuffer(unsqueeze(bytes(r["bits"])), np.uint8)
         bits[first_byte(r["part"], parts, size) :][: len(got)] = got
         top.append(unpack_sorted(bytes(r["items"])))
         counts.append(np.frombuffer(bytes(r["counts"]), "<u4"))
-    return Shared(bits, np.concatenate(top), np.concatenate(counts))
+    return Shared(bits, np.concatenate(top), np.concatenate(counts), marks)

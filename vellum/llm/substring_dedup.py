@@ -3,7 +3,11 @@
 Where to look: every string of LENGTH bytes has an anchor, its 12-byte gram of the smallest hash, so
 equal strings have equal anchors at equal places.  The strings of one anchor occurrence are
 consecutive; together they are its context.  Equal strings also share the anchor with the 19 bytes
-before it, or with the 19 after it; only occurrences with one of these in two documents are kept.
+before it, or with the 19 after it; only occurrences with one of these in two documents are kept.  A
+side that none of an occurrence's strings holds as a whole doesn't count.
+
+Copies: of rows with one whole text only those of the smallest id are looked at; the others lose all of a
+text of LENGTH bytes or more, and no smaller id of a string is lost without them.
 
 What is equal: contexts equal as a whole are settled by counting (the smallest id of each distinct
 context).  Where an anchor has several distinct contexts, a Burrows-Wheeler transform of these
@@ -16,6 +20,8 @@ pre-aggregated group on the string itself.
 
 The bytes of a context are fetched for its first occurrence only, and only documents that lose bytes
 are joined with their cuts; both by bounded bitmaps that may let others through, never the reverse.
+A row that the bitmap of first texts doesn't hold is a copy for certain; a copy it lets through is
+treated like any other text, with the same result.
 
 Keys: a context is known by 64 hash bits of its own and 32 of its anchor.
 
@@ -30,11 +36,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import MULT, Scratch, mix, pieces, shuffle_width, signed, utf8
-from vellum.llm.hashbits import Shared, shared
+from vellum.llm.hashbits import Shared, bitmap_bytes, shared
 
 LENGTH, GRAM = 50, 12
 SIDE = (LENGTH - GRAM + 1) // 2  # one side of the anchor has as many bytes of the string
@@ -85,7 +92,7 @@ class Anchors:
             setattr(self, name, getattr(self, name)[mask])
 
     def sides(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of each anchor with the SIDE bytes before it, and with those after it (beyond a text's ends: of whatever stands there)."""
+        """Hashes of each anchor with the SIDE bytes before it, and with those after it; worth looking at only where ``reach`` holds."""
         out = []
         for k, places in enumerate(((-SIDE, 8 - SIDE, 16 - SIDE, GRAM - 8), (0, 8, 16, GRAM + SIDE - 8))):
             h = np.full(len(self.at), k + 1, np.uint64)
@@ -95,11 +102,16 @@ class Anchors:
             out.append(mix(h))
         return out[0], out[1]
 
+    def reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether any of an occurrence's strings holds the whole side before the anchor, and whether any holds that after it."""
+        return self.lo <= self.at - SIDE, self.hi >= self.at - SIDE
+
     def distinct(self) -> np.ndarray:
         """Hashes of sides, each once a document."""
         if not len(self.at):
             return np.empty(0, np.uint64)
-        keys, doc = np.concatenate(self.sides()), np.concatenate((self.doc, self.doc))
+        held = np.concatenate(self.reach())
+        keys, doc = np.concatenate(self.sides())[held], np.concatenate((self.doc, self.doc))[held]
         order = np.lexsort((doc, keys))
         a, d = keys[order], doc[order]
         return a[np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])))]
@@ -121,8 +133,10 @@ def _found(texts: list[bytes], bits: Shared | None = None):
     for i, j in pieces(texts, 1 << 17):  # some twenty arrays of eight bytes for each byte of these
         found = Anchors(texts[i:j])
         if bits is not None and len(found.lo):
-            left, right = found.sides()
-            found.keep(bits.maybe(left) | bits.maybe(right))
+            (left, right), (before, after) = found.sides(), found.reach()
+            before[before] = bits.maybe(left[before])
+            after[after] = bits.maybe(right[after])
+            found.keep(before | after)
         yield i, found
 
 
@@ -222,16 +236,50 @@ def _masks(batches, most: int):
         yield settle(held)
 
 
+def _row_key(batch: pa.RecordBatch) -> np.ndarray:
+    return _key(batch.column("doc_id").to_numpy(), batch.column("_hash").to_numpy())
+
+
+def _listed(table: DataFrame, columns: list[str]) -> Shared:
+    """A bitmap of the rows of a written table, by its size: others that it lets through are few."""
+    def keys(batch):
+        return [np.unique(_key(*(batch.column(c).to_numpy() for c in columns)))]
+
+    return shared(table.select(*columns), keys, count=2, size=bitmap_bytes(table.count()), marks=2)
+
+
+def first_texts(rows: DataFrame) -> Shared:
+    """A bitmap of the rows that no row with the same text and a smaller id goes before."""
+    scratch = Scratch(rows.sparkSession)
+    firsts = rows.groupBy(F.unhex(F.sha2("text", 256)).alias("_digest")).agg(F.min("doc_id").alias("doc_id"), F.min("_hash").alias("_hash"))
+    out = _listed(scratch.write(firsts.select("doc_id", "_hash"), "firsts"), ["doc_id", "_hash"])
+    scratch.drop("firsts")
+    return out
+
+
 def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
-    """doc_id, _hash (of the text), cuts: array of (lo, mask), the strings to remove; only documents with some."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    """doc_id, _hash (of the text), cuts: array of (lo, mask), the strings to remove; only documents with some that are no copies as a whole."""
     rows = keyed(docs)
-    bits = shared(rows.select("text"), lambda batch: (f.distinct() for _, f in _found(utf8(batch.column("text")))))
+    return _spans(rows, docs.sparkSession.sparkContext.broadcast(first_texts(rows)), hot)
+
+
+def _spans(rows: DataFrame, firsts: Broadcast[Shared], hot: int) -> DataFrame:
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
+
+    def originals(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(firsts.value.maybe(_row_key(batch))))
+
+    def sides(batch):
+        for part in originals([batch]):
+            yield from (f.distinct() for _, f in _found(utf8(part.column("text"))))
+
+    bits = shared(rows.select("doc_id", "_hash", "text"), sides, marks=2)
     held = spark.sparkContext.broadcast(bits)
 
     def occurrences(batches):
-        for batch in batches:
+        for batch in originals(batches):
             texts, ids, hashes = utf8(batch.column("text")), batch.column("doc_id"), batch.column("_hash")
             for i, f in _found(texts, held.value):
                 if len(f.lo):
@@ -248,12 +296,11 @@ def spans(docs: DataFrame, hot: int = 4000) -> DataFrame:
 
     def fetch(part: DataFrame) -> DataFrame:
         """m, anchor, ctx, context for the rows of ``part``; the bitmap may let a few others through."""
-        firsts = shared(part, lambda batch: [np.unique(_key(*(batch.column(c).to_numpy() for c in ("anchor", "ctx", "m"))))], count=2)
-        wanted = spark.sparkContext.broadcast(firsts)
+        wanted = spark.sparkContext.broadcast(_listed(part, ["anchor", "ctx", "m"]))
 
         def texts_of(batches):
             near, first = held.value, wanted.value
-            for batch in batches:
+            for batch in originals(batches):
                 texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_numpy()
                 for i, f in _found(texts, near):
                     f.keep(first.maybe(_key(_short(f.anchor), signed(f.contexts()), ids[f.doc + i]))) if len(f.lo) else None
@@ -299,17 +346,20 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, ke
 
 def dedup(docs: DataFrame, hot: int = 4000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, binary), kept_sha256; a row per document."""
-    cuts, rows = spans(docs, hot), keyed(docs)
-    bits = shared(cuts.select("doc_id", "_hash"), lambda batch: [np.unique(_key(batch.column("doc_id").to_numpy(), batch.column("_hash").to_numpy()))], count=2)
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = keyed(docs)
+    firsts = docs.sparkSession.sparkContext.broadcast(first_texts(rows))
+    cuts = _spans(rows, firsts, hot)
+    held = docs.sparkSession.sparkContext.broadcast(_listed(cuts, ["doc_id", "_hash"]))
     bit = np.arange(SPAN, dtype=np.int64)
 
-    def finished(ids, texts: list[bytes], places: list[np.ndarray | None]) -> pa.RecordBatch:
+    def finished(ids, texts: list[bytes], places: list[np.ndarray | None], copies: bool = False) -> pa.RecordBatch:
         out = []
         for text, start in zip(texts, places, strict=True):
             removed = runs = 0
             kept = text
-            if start is not None:
+            if copies and len(text) >= LENGTH:
+                removed, runs, kept = len(text), 1, b""
+            elif start is not None:
                 upto = np.cumsum(start)[: len(text)]
                 gone = upto - np.concatenate((np.zeros(LENGTH, np.int64), upto))[: len(text)] > 0
                 removed = int(gone.sum())
@@ -320,18 +370,23 @@ def dedup(docs: DataFrame, hot: int = 4000) -> DataFrame:
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))],
                                           names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    def maybe_cut(batch):
-        return held.value.maybe(_key(batch.column("doc_id").to_numpy(), batch.column("_hash").to_numpy()))
+    def maybe(batch):
+        """Which rows may be first texts, and which of these may lose bytes."""
+        key = _row_key(batch)
+        first = firsts.value.maybe(key)
+        return first, first & held.value.maybe(key)
 
     def whole(batches):
         for batch in batches:
-            rest = batch.filter(pa.array(~maybe_cut(batch)))
-            if len(rest):
-                yield finished(rest.column("_id"), utf8(rest.column("text")), [None] * len(rest))
+            first, cut = maybe(batch)
+            for mask, copies in ((~first, True), (first & ~cut, False)):
+                rest = batch.filter(pa.array(mask))
+                if len(rest):
+                    yield finished(rest.column("_id"), utf8(rest.column("text")), [None] * len(rest), copies)
 
     def to_join(batches):
         for batch in batches:
-            yield batch.filter(pa.array(maybe_cut(batch)))
+            yield batch.filter(pa.array(maybe(batch)[1]))
 
     def cut(batches):
         for batch in batches:
